@@ -10,8 +10,8 @@ ordered by size are skipped where the bounds rule out all of their pairs.
 
 Answer level: classes are what is asked for, so a set's answers follow from those of a set that it is
 linked to.  Every set is first verified against one leader, the most typical member of the lists that
-they share; then only pairs of different classes that share enough prefix shingles are verified, and
-none within a class.  No pair that could join two classes is left out.
+they share; then only pairs of different classes are verified that share enough prefix shingles, told
+from what each shares with the leaders, and none within a class.  No pair that could join two classes is left out.
 """
 
 from __future__ import annotations
@@ -176,59 +176,76 @@ def possible(n: np.ndarray, u: np.ndarray, last: np.ndarray, n2: np.ndarray, u2:
     return (np.minimum(n, n2) >= need) & (most >= need)
 
 
-def leader_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, leader): of the leaders of a set's lists that it may be linked to, the one they share most lists with.
+def with_leaders(entries: DataFrame) -> DataFrame:
+    """Adds to every list entry (key, doc_id, n, last, u) its list's leader: the member with the fewest unshared prefix shingles (ties: the least id).
 
-    The leader of a list is its member with the fewest unshared prefix shingles (ties: the least id).
     Lists are streamed in order; a list's leader is all that is held of it.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("leader", pa.int64()), ("c", pa.int32())])
+    names = ["key", "doc_id", "n", "last", "u"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        key_, leader_ = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, n, last, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            if held is not None and held[0] == key[0]:
-                new[0] = False
-                key, doc, n, last, u, new = (np.concatenate([[h], x]) for h, x in zip((*held, True), (key, doc, n, last, u, new), strict=True))
-            at = np.flatnonzero(new)[np.cumsum(new) - 1]
-            held = tuple(x[at[-1]] for x in (key, doc, n, last, u))
-            ok = possible(n, u, last, n[at], u[at], last[at], percent) & (doc != doc[at])
-            pair, c = np.unique(np.stack([doc[ok], doc[at][ok]], 1), axis=0, return_counts=True)
-            yield B.row_batch(schema, doc_id=pair[:, 0], leader=pair[:, 1], c=c.astype(np.int32))
-
-    lists = entries.select("key", "doc_id", "n", "last", "u").repartition(B.partitions(entries.sparkSession), "key").sortWithinPartitions("key", "u", "doc_id")
-    pairs = lists.mapInArrow(run, "doc_id long, leader long, c int").groupBy("doc_id", "leader").agg(F.sum("c").alias("c"))
-    return pairs.groupBy("doc_id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
+            key, doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            new = np.append(True, key[1:] != key[:-1])
+            leader = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            if key_ == key[0]:
+                leader[: int(np.flatnonzero(np.append(new[1:], True))[0]) + 1] = leader_
+            key_, leader_ = key[-1], leader[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(leader)], names=[*names, "leader"])
+
+    lists = entries.select(*names).repartition(B.partitions(entries.sparkSession), "key").sortWithinPartitions("key", "u", "doc_id")
+    return lists.mapInArrow(run, "key long, doc_id long, n int, last long, u int, leader long")
+
+
+def leader_pairs(by_leader: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, leader): of the leaders of a set's lists that it may be linked to, the one it shares most lists with.
+
+    ``by_leader`` has (doc_id, leader, n, last, u, s), s being the number of the set's lists with that leader.
+    """
+    led = by_leader.where("doc_id = leader").select("leader", F.col("n").alias("n2"), F.col("last").alias("last2"), F.col("u").alias("u2"))
+    need = f"cast(ceil({percent} * (n + n2) / {100 + percent}D) as int)"
+    most = "case when last < last2 then n - u when last2 < last then n2 - u2 else least(n - u, n2 - u2) end"
+    pairs = by_leader.where("doc_id <> leader").join(led, "leader").where(f"least(n, n2) >= {need} and {most} >= {need}")
+    return pairs.groupBy("doc_id").agg(F.max_by("leader", F.struct("s", -F.col("leader"))).alias("leader"))
 
 
 def class_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, leader) pairs of different classes (column comp) that may be linked: enough shared prefix shingles for the overlap.
+    """(doc_id, leader) pairs of different classes (column comp) that may be linked.
 
-    Only lists with more than one class come here.  Blocks of members in order of size are paired while
-    sizes allow, so of a long list only blocks with members that may be linked are looked at.
+    A linked pair shares ``need`` prefix shingles at least.  Of a list with leader L, a set has s lists with
+    that leader and r with others, so two sets share at most min(s, s') + min(r, r').  If all that they share
+    is led by L, min(s, s') must reach ``need``.  If not, they meet in a list of another leader as well; so
+    where L is the main leader of both, which is so in a long list of near copies, only the first case
+    counts.  Blocks of a list's members, in order of size, are paired while sizes and classes allow.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("need", pa.int32())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("leader", pa.int64()), ("c", pa.int32()), ("need", pa.int32())])
 
-    def pairs(doc: np.ndarray, n: np.ndarray, last: np.ndarray, u: np.ndarray, comp: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(doc: np.ndarray, n: np.ndarray, last: np.ndarray, u: np.ndarray, comp: np.ndarray, leader: np.ndarray, s: np.ndarray, r: np.ndarray, main: np.ndarray) -> Iterator[np.ndarray]:
+        behind = n - prefix_length(n, percent)
         for i in range(0, len(doc), LIST_BLOCK):
-            x = slice(i, i + LIST_BLOCK)
+            x = np.arange(i, min(i + LIST_BLOCK, len(doc)))[:, None]
             for j in range(i, len(doc), LIST_BLOCK):
-                y = slice(j, j + LIST_BLOCK)
-                if 100 * n[x].max() < percent * n[j] or (comp[x].min() == comp[x].max() == comp[y].min() == comp[y].max()):
+                y = np.arange(j, min(j + LIST_BLOCK, len(doc)))[None, :]
+                if 100 * n[x[-1, 0]] < percent * n[j] or (comp[x] == comp[y]).all():
                     continue
-                ok = possible(n[x, None], u[x, None], last[x, None], n[None, y], u[None, y], last[None, y], percent) & (comp[x, None] != comp[None, y])
-                p, q = np.nonzero(np.triu(ok, 1) if i == j else ok)
+                ok = possible(n[x], u[x], last[x], n[y], u[y], last[y], percent) & (comp[x] != comp[y])
+                if i == j:
+                    ok = np.triu(ok, 1)
+                p, q = np.nonzero(ok)
                 p, q = p + i, q + j
+                # Behind its prefix a set has so many shingles; the set whose prefix ends first shares no others.
+                rest = np.where(last[p] < last[q], behind[p], np.where(last[q] < last[p], behind[q], np.minimum(behind[p], behind[q])))
+                need = least_overlap(n[p], n[q], percent) - rest
+                led, other = np.minimum(s[p], s[q]), np.minimum(r[p], r[q])
+                first = led >= need
+                keep = (led + other >= need) & (first | ~(main[p] & main[q]))
+                p, q, need, other, first = p[keep], q[keep], need[keep], other[keep], first[keep]
                 if len(p):
-                    # Behind its prefix a set has so many shingles; the set whose prefix ends first shares no others.
-                    behind, behind2 = n[p] - prefix_length(n[p], percent), n[q] - prefix_length(n[q], percent)
-                    need = least_overlap(n[p], n[q], percent) - np.where(last[p] < last[q], behind, np.where(last[q] < last[p], behind2, np.minimum(behind, behind2)))
-                    yield np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), need], 1)
+                    both_main = main[p] & main[q]
+                    yield np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), leader[p], np.where(both_main, need - other, 1)], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -236,27 +253,25 @@ def class_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             all_, c = np.unique(np.concatenate(kept), axis=0, return_counts=True)
-            return B.row_batch(schema, a=all_[:, 0], b=all_[:, 1], c=c.astype(np.int32), need=all_[:, 2].astype(np.int32))
+            return B.row_batch(schema, a=all_[:, 0], b=all_[:, 1], leader=all_[:, 2], c=c.astype(np.int32), need=all_[:, 3].astype(np.int32))
 
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        def lists() -> Iterator[list[np.ndarray]]:
+            rest: list[np.ndarray] | None = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(10)]
+                if rest is not None:
+                    cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+                bounds = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist()]
+                for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                    yield [c[s:e] for c in cols[1:]]
+                rest = [c[bounds[-1] :] for c in cols]
             if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            new = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-            bounds = [0, *new.tolist()]
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                for part in pairs(*(c[s:e] for c in cols[1:])):
-                    kept.append(part)
-                    count += len(part)
-                    if count > 500_000:
-                        yield flush()
-                        kept, count = [], 0
-            rest = [c[bounds[-1] :] for c in cols]
-        if rest is not None:
-            for part in pairs(*(c for c in rest[1:])):
+                yield rest[1:]
+
+        for own in lists():
+            for part in pairs(*own):
                 kept.append(part)
                 count += len(part)
                 if count > 500_000:
@@ -265,9 +280,9 @@ def class_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
         if kept:
             yield flush()
 
-    lists = entries.select("key", "doc_id", "n", "last", "u", "comp").repartition(B.partitions(entries.sparkSession), "key").sortWithinPartitions("key", "n", "doc_id")
-    found = lists.mapInArrow(run, "a long, b long, c int, need int").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"))
-    return found.where("c >= need").select(F.col("b").alias("doc_id"), F.col("a").alias("leader"))
+    lists = entries.select("key", "doc_id", "n", "last", "u", "comp", "leader", "s", "r", "main").repartition(B.partitions(entries.sparkSession), "key").sortWithinPartitions("key", "n", "doc_id")
+    found = lists.mapInArrow(run, "a long, b long, leader long, c int, need int").groupBy("a", "b", "leader").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
+    return found.where("c >= need").select(F.col("b").alias("doc_id"), F.col("a").alias("leader")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, leader_rows: int = LEADER_ROWS) -> DataFrame:
@@ -375,11 +390,14 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     entries = B.stored(prefix_entries(reps, rarity(table, bits), bits, buckets, k, percent), "join-entries")
     shared = entries.groupBy("doc_id", "n").agg(F.count("*").alias("s"))
     need = F.expr(f"n - cast(ceil({percent} * n / 100.0D) as int) + 1 - s")
-    full = B.stored(entries.join(shared.select("doc_id", need.cast("int").alias("u")), "doc_id"), "join-lists")
-    links = verified(reps, leader_pairs(full, percent), k, percent)
+    full = B.stored(with_leaders(entries.join(shared.select("doc_id", need.cast("int").alias("u")), "doc_id")), "join-lists")
+    by_leader = B.stored(full.groupBy("doc_id", "leader", "n", "last", "u").agg(F.count("*").cast("int").alias("s")), "join-leaders")
+    links = verified(reps, leader_pairs(by_leader, percent), k, percent)
     nodes = shared.select("doc_id", F.col("doc_id").alias("comp"))
     label = connected(spark, nodes, links)
-    marked = full.join(label, "doc_id")
+    total = by_leader.groupBy("doc_id").agg(F.sum("s").cast("int").alias("t"), F.max_by("leader", F.struct("s", -F.col("leader"))).alias("top"))
+    sets = by_leader.join(total, "doc_id").join(label, "doc_id").select("doc_id", "leader", "comp", "s", (F.col("t") - F.col("s")).alias("r"), (F.col("leader") == F.col("top")).alias("main"))
+    marked = full.join(sets, ["doc_id", "leader"])
     mixed = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     more = verified(reps, class_pairs(marked.join(mixed, "key", "left_semi"), percent), k, percent)
     label = connected(spark, label, more).select(F.col("doc_id").alias("rep"), "comp")
