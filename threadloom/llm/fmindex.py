@@ -25,6 +25,8 @@ from . import blocks as B
 WINDOW, GRAM, LONGEST = 13, 6, 32
 #: A cut list of at most so many bytes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Input bytes of one shard, and the bound of the filter of shared minimizers.
+SHARD_BYTES, FILTER_BYTES = 4 << 20, 64 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -152,60 +154,90 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
-def shared_documents(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
-    """(doc_id) of all documents that have a minimizer in common with another one; only these can have a repeated window.
+def _bloom_bits(v: np.ndarray, size: int) -> np.ndarray:
+    """The two filter positions of each minimizer, one row each."""
+    return np.stack([(v >> np.uint64(7)) % np.uint64(size), B.mix(v ^ _STEP) % np.uint64(size)]).astype(np.int64)
 
-    In a block of texts a minimizer that several documents have flags them at once and is sent on for one
-    of them, so a passage that a third of all documents have is sent once a block.
+
+def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """A stored table of the minimizers that several documents have, as blobs with their number; only their windows can be repeated.
+
+    In a block of texts a minimizer goes on once, with one of its documents and whether it has several, so
+    a passage that a third of all documents have is sent once a block.
     """
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = B.ids(batch)
-            for a, n, data, offs in B.text_blocks(batch, block_bytes=4 * B.BLOCK_BYTES):
+            for a, n, data, offs in B.text_blocks(batch, block_bytes=2 * B.BLOCK_BYTES):
                 v, doc, _, _ = segments(*_hashed(data, offs), window)
                 doc = doc_ids[a : a + n][doc]
-                order = np.lexsort((doc, v))
+                order = np.argsort(v, kind="stable")
                 v, doc = v[order], doc[order]
-                new = np.ones(len(v), bool)
-                new[1:] = v[1:] != v[:-1]
-                other = ~new
-                other[1:] &= doc[1:] != doc[:-1]
-                group = np.cumsum(new) - 1
-                many = np.zeros(int(new.sum()), bool)
-                many[group[other]] = True
-                flagged = np.unique(doc[many[group]]) if len(v) else doc
-                at = np.flatnonzero(new)
+                at = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+                if not len(at):
+                    continue
+                many = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
                 bucket = (v[at] >> np.uint64(40)) % np.uint64(buckets)
-                rows = [(k, B.pack(v[at[i]], doc[at[i]])) for k, i in B.split_by(bucket)]
-                rows.append((-1 - int(doc_ids[a]) % buckets, B.pack(flagged)))
+                rows = [(k, B.pack(v[at[i]], doc[at[i]], many[i])) for k, i in B.split_by(bucket)]
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], blob=[r[1] for r in rows])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vs, ds, out = [], [], []
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if k < 0:
-                    out.append(np.frombuffer(blob.as_buffer(), np.int64))
-                else:
-                    v, d = B.unpack(blob.as_py(), "u8", "i8")
-                    vs.append(v)
-                    ds.append(d)
-        if vs:
-            v, d = np.concatenate(vs), np.concatenate(ds)
+        parts = [B.unpack(blob, "u8", "i8", "?") for batch in batches for blob in batch.column(1).to_pylist()]
+        if parts:
+            v, doc, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(v, kind="stable")
-            v, d = v[order], d[order]
-            same = np.zeros(len(v) + 1, bool)
-            same[1:-1] = v[1:] == v[:-1]
-            out.append(d[same[1:] | same[:-1]])
-        yield B.row_batch(pa.schema([("doc_id", pa.int64())]), doc_id=np.unique(np.concatenate([np.zeros(0, np.int64), *out])))
+            v, doc, many = v[order], doc[order], many[order]
+            at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            ok = np.maximum.reduceat(many, at) | (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))
+            v = v[at[ok]]
+            yield B.row_batch(pa.schema([("n", pa.int64()), ("blob", pa.binary())]), n=[len(v)], blob=[v.tobytes()])
+
+    return B.stored(docs.mapInArrow(send, "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(meet, "n long, blob binary"), "fm-minimizers")
 
-    sent = docs.mapInArrow(send, "bucket int, blob binary").repartition(buckets, "bucket")
-    return sent.mapInArrow(meet, "doc_id long").distinct()
 
+def minimizer_filter(shared: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of the shared minimizers, 12 bits each, made by ranges on the executors; None where it would have over FILTER_BYTES.
 
-def _segment_rows(docs: DataFrame, buckets: int, window: int, content: bool) -> DataFrame:
+    A false hit only sends a segment that no other document has.  Without a filter all segments are sent.
+    """
+    n = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    size = max(1024, 12 * n)
+    if size > 8 * FILTER_BYTES:
+        return None
+    wide = 1 << 20
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                bits = np.unique(_bloom_bits(np.frombuffer(blob, "u8"), size))
+                for k, i in B.split_by(bits // wide):
+                    yield B.row_batch(pa.schema([("part", pa.int32()), ("blob", pa.binary())]), part=[k], blob=[(bits[i] % wide).astype(np.uint32).tobytes()])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts.setdefault(k, np.zeros(wide, bool))[np.frombuffer(blob, np.uint32)] = True
+        for k, x in parts.items():
+            yield B.row_batch(pa.schema([("part", pa.int32()), ("blob", pa.binary())]), part=[k], blob=[np.packbits(x).tobytes()])
+
+    out = np.zeros((size // wide + 1, wide // 8), np.uint8)
+    kind = "part int, blob binary"
+    for r in shared.select("blob").mapInArrow(place, kind).repartition(min(size // wide + 1, B.partitions(shared.sparkSession)), "part").mapInArrow(fill, kind).collect():
+        out[r["part"]] = np.frombuffer(bytes(r["blob"]), np.uint8)
+    return np.append(out.ravel(), np.frombuffer(np.array([size], np.int64).tobytes(), np.uint8))
+
+
+def _passes(bloom: np.ndarray, v: np.ndarray) -> np.ndarray:
+    size = int(bloom[-8:].view(np.int64)[0])
+    one, two = _bloom_bits(v, size)
+    test = lambda b: (bloom[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
+    return (test(one) & test(two)).astype(bool)
+
+
+def _segment_rows(docs: DataFrame, buckets: int, window: int, content: bool, sent) -> DataFrame:
     """The segments by shard: with ``content`` each block's distinct ones (hash, least document, windows, words), else all places (hash, document, first word)."""
     names = ["seg", "doc", "size", "words"] if content else ["seg", "doc", "size"]
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in names)])
@@ -213,9 +245,12 @@ def _segment_rows(docs: DataFrame, buckets: int, window: int, content: bool) ->
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = B.ids(batch)
-            for a, n, data, offs in B.text_blocks(batch, block_bytes=2 * B.BLOCK_BYTES):
+            for a, n, data, offs in B.text_blocks(batch):
                 h, first = _hashed(data, offs)
                 v, doc, p, size = segments(h, first, window)
+                if sent.value is not None:
+                    own = _passes(sent.value, v)
+                    v, doc, p, size = v[own], doc[own], p[own], size[own]
                 if not len(v):
                     continue
                 seg = _sequence_hashes(h, p, size + window - 1)
@@ -276,11 +311,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     belong to their ids: rows of one id should be equal.  A null id counts as the least.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    buckets = B.bucket_count(src)
-    flagged = B.stored(shared_documents(src, buckets, window), "fm-flagged")
-    small = flagged.count() <= B.BROADCAST_ROWS
-    least = F.lit(-(1 << 63)).cast("long")
-    some = src.join(F.broadcast(flagged) if small else flagged, F.coalesce(src["doc_id"], least) == flagged["doc_id"], "left_semi")
+    buckets = B.bucket_count(src, SHARD_BYTES)
+    sent = docs.sparkSession.sparkContext.broadcast(minimizer_filter(shared_minimizers(src, buckets, window)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
@@ -293,8 +325,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             seg, size, first = _search_shard(seg, doc, size.astype(np.int64), flat, window)
             yield B.row_batch(schema, bucket=[k], kind=[0], seg=[seg.tobytes()], doc=[first.tobytes()], size=[size.astype(np.int32).tobytes()])
 
-    found = _segment_rows(some, buckets, window, True).repartition(buckets, "bucket").mapInArrow(search, "bucket int, kind int, seg binary, doc binary, size binary")
-    places = _segment_rows(some, buckets, window, False).select("bucket", F.lit(1).alias("kind"), "seg", "doc", "size")
+    found = _segment_rows(src, buckets, window, True, sent).repartition(buckets, "bucket").mapInArrow(search, "bucket int, kind int, seg binary, doc binary, size binary")
+    places = _segment_rows(src, buckets, window, False, sent).select("bucket", F.lit(1).alias("kind"), "seg", "doc", "size")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A shard's answers come before its places, which are streamed.
