@@ -1,9 +1,417 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their DuckDB SQL, side by side."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import text as X
+from ..operators import dist, runs, stats, tree
+from ..sources import tables as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Marker words that the invented prose has (the published lists are the library's defaults).
+WORDS = {"system": ["the", "of", "and"], "relational": ["to", "in", "that"], "uncertainty": ["is", "of the", "der"]}
+
+MSG = """m AS (SELECT *, strftime(ts, '%Y-%m') AS month, CAST((length(text) * 31 + turn) % 8 AS INTEGER) AS domain FROM (
+  SELECT conv_id, turn, role, text, (DATE '2025-05-01' + to_months(CAST(conv_id % 8 AS INTEGER)))::TIMESTAMP + to_days(CAST((conv_id // 8) % 28 AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS ts FROM conversations))"""
+EVT = "e AS (SELECT event_id, user_id AS thread, ts, ts::DATE AS day, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, event_type AS domain FROM events)"
+ORD = "o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_custkey % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, o_orderpriority AS domain, o_totalprice AS value FROM orders)"
+NODES = """n AS (SELECT conv_id, turn, conv_id || '-' || turn AS node_id, CASE WHEN turn = 0 THEN NULL WHEN turn >= 2 AND (conv_id + turn) % 5 = 0 THEN conv_id || '-' || (turn - 2) ELSE conv_id || '-' || (turn - 1) END AS parent_id FROM conversations)"""
+
+
+def sides(cte: str, table: str, period: str) -> str:
+    """CTEs: counts c(period, domain, l, r, ls, rs) of both roles with their totals."""
+    return f"""{cte}, c0 AS (SELECT {period} AS p, domain, count(*) FILTER (role = 'user') AS l, count(*) FILTER (role = 'assistant') AS r FROM {table} WHERE role IN ('user', 'assistant') GROUP BY 1, 2),
+c AS (SELECT *, sum(l) OVER (PARTITION BY p) AS ls, sum(r) OVER (PARTITION BY p) AS rs FROM c0)"""
+
+
+JS = "sqrt(greatest(0.0, sum(0.5 * (CASE WHEN l > 0 THEN l / ls * ln(l / ls / ((l / ls + r / rs) / 2)) ELSE 0 END + CASE WHEN r > 0 THEN r / rs * ln(r / rs / ((l / ls + r / rs) / 2)) ELSE 0 END))))"
+ENT = "sum(CASE WHEN l > 0 THEN -(l / ls) * ln(l / ls) ELSE 0.0 END)"
+CURVES = f"SELECT p AS month, CAST(max(ls) AS BIGINT) AS user_msgs, CAST(max(rs) AS BIGINT) AS assistant_msgs, {ENT} AS entropy_user, CASE WHEN max(ls) >= 10 AND max(rs) >= 10 THEN {JS} END AS js_distance FROM c GROUP BY p"
+
+
+def query(oracle: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---- diagnostics and profiles
+
+
+@query("SELECT role, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS pct FROM conversations GROUP BY role")
+def role_counts_pct(spark, d):
+    n = S.table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"))
+    return n.select("role", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("pct"))
+
+
+@query(f"WITH {MSG} SELECT ts::DATE AS day, role, count(*) AS n FROM m GROUP BY 1, 2")
+def daily_role_counts(spark, d):
+    return S.conversations(spark, d).groupBy(F.to_date("ts").alias("day"), "role").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MSG} SELECT count(*) AS n, count(DISTINCT conv_id) AS threads, min(ts) AS first_ts, max(ts) AS last_ts, round(avg(CASE WHEN text IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS with_text FROM m")
+def corpus_scalars(spark, d):
+    return S.conversations(spark, d).agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("threads"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.avg(F.col("text").isNotNull().cast("double")), 6).alias("with_text"))
+
+
+@query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (role = 'user') AS user_msgs, count(*) FILTER (role = 'assistant') AS assistant_msgs FROM conversations GROUP BY conv_id ORDER BY chars DESC, conv_id LIMIT 30")
+def top_threads_by_chars(spark, d):
+    c = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"), F.count_if(F.col("role") == "user").alias("user_msgs"), F.count_if(F.col("role") == "assistant").alias("assistant_msgs"))
+    return c.orderBy(F.desc("chars"), "conv_id").limit(30)
+
+
+@query("""SELECT count(*) FILTER (role = 'user') AS user_msgs, count(*) FILTER (role = 'assistant') AS assistant_msgs, round(avg(CASE WHEN role = 'user' THEN length(text) END), 6) AS avg_user_chars,
+round(avg(CASE WHEN role = 'assistant' THEN length(text) END), 6) AS avg_assistant_chars, round(count(*) FILTER (role = 'assistant') / greatest(count(*) FILTER (role = 'user'), 1), 6) AS ratio FROM conversations WHERE role IN ('user', 'assistant')""")
+def interaction_profile(spark, d):
+    c = S.table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
+    u, a = F.col("role") == "user", F.col("role") == "assistant"
+    return c.agg(F.count_if(u).alias("user_msgs"), F.count_if(a).alias("assistant_msgs"), F.round(F.avg(F.when(u, F.length("text"))), 6).alias("avg_user_chars"), F.round(F.avg(F.when(a, F.length("text"))), 6).alias("avg_assistant_chars"), F.round(X.per(F.count_if(a), F.count_if(u)), 6).alias("ratio"))
+
+
+def _marks(words: list[str]) -> str:
+    """DuckDB: whole-word matches by way of single blanks around all words."""
+    return "(" + " + ".join(f"((length(t) - length(replace(t, ' {w} ', ''))) // {len(w) + 2})" for w in words) + ")"
+
+
+_CLEAN = "SELECT *, ' ' || replace(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' ', '  ') || ' ' AS t FROM m"
+
+
+@query(f"WITH {MSG}, k AS ({_CLEAN}) SELECT month, count(*) AS user_messages, CAST(sum({_marks(['the', 'of', 'and'])}) AS BIGINT) AS system_words, round(1000.0 * sum({_marks(['the', 'of', 'and'])}) / count(*), 6) AS system_per_1k FROM k WHERE role = 'user' GROUP BY month")
+def marker_trajectory_monthly(spark, d):
+    m = S.conversations(spark, d).where("role = 'user'").withColumn("k", X.marker_count(F.col("text"), WORDS["system"]))
+    return m.groupBy("month").agg(F.count("text").alias("user_messages"), F.sum("k").cast("long").alias("system_words"), F.round(F.sum("k") * 1000.0 / F.count("text"), 6).alias("system_per_1k"))
+
+
+@query(f"WITH {MSG}, k AS ({_CLEAN}) SELECT role, CAST(sum({_marks(['to', 'in', 'that'])}) AS BIGINT) AS relational, count(*) AS n FROM k GROUP BY role")
+def marker_profile(spark, d):
+    return S.conversations(spark, d).groupBy("role").agg(F.sum(X.marker_count(F.col("text"), WORDS["relational"])).cast("long").alias("relational"), F.count("*").alias("n"))
+
+
+def _ttr(df: DataFrame, key: str) -> DataFrame:
+    w = df.select(key, F.explode(X.ascii_words(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("k"))
+    return w.groupBy(key).agg(F.count("*").alias("unique_words"), F.sum("k").alias("total_words"), F.round(F.count("*") / F.sum("k"), 4).alias("ttr"))
+
+
+def _ttr_sql(src: str, key: str) -> str:
+    return f"w AS (SELECT {key}, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM {src}) SELECT {key}, count(DISTINCT w) AS unique_words, count(*) AS total_words, round(count(DISTINCT w) / count(*), 4) AS ttr FROM w WHERE regexp_full_match(w, '[a-z]+') GROUP BY {key}"
+
+
+@query(f"WITH {MSG}, u AS (SELECT * FROM m WHERE role = 'user'), {_ttr_sql('u', 'month')}")
+def ttr_monthly(spark, d):
+    return _ttr(S.conversations(spark, d).where("role = 'user'"), "month")
+
+
+@query(f"WITH {_ttr_sql('documents', 'lang')}")
+def ttr_by_lang(spark, d):
+    return _ttr(S.table(spark, d, "documents"), "lang")
+
+
+@query("SELECT doc_id, length(text) AS chars, 'doc ' || doc_id AS title FROM documents WHERE text IS NOT NULL AND length(text) > 0")
+def nonempty_scan(spark, d):
+    t = S.table(spark, d, "documents").where(F.col("text").isNotNull() & (F.length("text") > 0))
+    return t.select("doc_id", F.length("text").cast("long").alias("chars"), X.safe_title(F.concat(F.lit("doc:  "), F.col("doc_id"), F.lit(" ?!"))).alias("title"))
+
+
+# ---- shares, entropy, divergence
+
+
+@query(f"WITH {MSG} SELECT month, role, domain, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY month, role), 6) AS share FROM m GROUP BY 1, 2, 3")
+def share_by_period_role_domain(spark, d):
+    return rounded(dist.shares(S.conversations(spark, d), ["month", "role"], "domain"), "share")
+
+
+@query(f"WITH {sides(MSG, 'm', 'month')}, g AS (SELECT * FROM (SELECT DISTINCT p FROM c) x1 CROSS JOIN (SELECT DISTINCT domain FROM c) x2) SELECT p AS month, domain, round(coalesce(l / nullif(max(ls) OVER (PARTITION BY p), 0), 0), 6) AS left_share, round(coalesce(r / nullif(max(rs) OVER (PARTITION BY p), 0), 0), 6) AS right_share FROM g LEFT JOIN c USING (p, domain)")
+def scaffolded_shares(spark, d):
+    return rounded(dist.scaffolded(S.conversations(spark, d), "month", "domain", "role", "user", "assistant"), "left_share", "right_share")
+
+
+@query(f"WITH {MSG}, s AS (SELECT month, domain, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY month) AS q FROM m WHERE role = 'user' GROUP BY 1, 2) SELECT month, CAST(sum(n) AS BIGINT) AS n, count(*) AS categories, round(sum(-q * ln(q)), 6) AS entropy FROM s GROUP BY month")
+def entropy_ln_monthly(spark, d):
+    return rounded(dist.entropy(S.conversations(spark, d).where("role = 'user'"), ["month"], "domain"), "entropy")
+
+
+@query(f"WITH {EVT}, s AS (SELECT day, domain, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY day) AS q FROM e GROUP BY 1, 2) SELECT day, CAST(sum(n) AS BIGINT) AS n, count(*) AS categories, round(sum(-q * log2(q)), 6) AS entropy FROM s GROUP BY day")
+def entropy_by_day(spark, d):
+    return rounded(dist.entropy(S.event_facts(spark, d), ["day"], "domain", base=2.0), "entropy")
+
+
+@query(f"WITH {sides(MSG, 'm', 'month')} SELECT p AS month, CAST(max(ls) AS BIGINT) AS left_n, CAST(max(rs) AS BIGINT) AS right_n, CASE WHEN max(ls) >= 10 AND max(rs) >= 10 THEN round({JS}, 6) END AS js_distance FROM c GROUP BY p")
+def js_distance_monthly(spark, d):
+    return rounded(dist.js_distance(S.conversations(spark, d), ["month"], "domain", "role", "user", "assistant"), "js_distance")
+
+
+@query(f"WITH {sides(ORD, 'o', 'month')} SELECT p AS month, CAST(max(ls) AS BIGINT) AS left_n, CAST(max(rs) AS BIGINT) AS right_n, CASE WHEN max(ls) >= 10 AND max(rs) >= 10 THEN round({JS.replace('ls', 'nullif(ls,0)').replace('rs', 'nullif(rs,0)')}, 6) END AS js_distance FROM c GROUP BY p")
+def js_distance_orders(spark, d):
+    return rounded(dist.js_distance(S.order_facts(spark, d), ["month"], "domain", "role", "user", "assistant"), "js_distance")
+
+
+@query(f"WITH {sides(MSG, 'm', 'month')}, k AS ({CURVES}) SELECT month, user_msgs, assistant_msgs, round(entropy_user, 6) AS entropy_user, round(js_distance, 6) AS js_distance FROM k")
+def monthly_curves(spark, d):
+    return rounded(dist.curves(S.conversations(spark, d), "month", "role", "domain"), "entropy_user", "js_distance")
+
+
+@query(f"""WITH {ORD}, c AS (SELECT month, domain, count(*) / sum(count(*)) OVER (PARTITION BY month) AS share FROM o GROUP BY 1, 2), g AS (SELECT month, domain, coalesce(share, 0) AS share FROM (SELECT DISTINCT month FROM c) x1 CROSS JOIN (SELECT DISTINCT domain FROM c) x2 LEFT JOIN c USING (month, domain)),
+ref AS (SELECT domain, avg(share) AS q FROM g WHERE month <= '1995-12' GROUP BY domain), x AS (SELECT month, (share + 1e-10) / sum(share + 1e-10) OVER (PARTITION BY month) AS p, (q + 1e-10) / sum(q + 1e-10) OVER (PARTITION BY month) AS q FROM g JOIN ref USING (domain))
+SELECT month, round(sqrt(greatest(0, sum(0.5 * (p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))))) / ln(2)), 6) AS jsd FROM x GROUP BY month""")
+def js_distance_from_reference(spark, d):
+    s = dist.shares(S.order_facts(spark, d), ["month"], "domain")
+    grid = s.select("month").distinct().crossJoin(F.broadcast(s.select("domain").distinct())).join(s, ["month", "domain"], "left").select("month", "domain", F.coalesce("share", F.lit(0.0)).alias("share"))
+    return rounded(dist.js_from_reference(grid, "month", "domain", F.col("month") <= "1995-12"), "jsd")
+
+
+@query(f"WITH {ORD}, q AS (SELECT month FROM o GROUP BY month HAVING count(*) FILTER (role = 'user') >= 40 AND count(*) FILTER (role = 'assistant') >= 40) SELECT month, count(*) AS n FROM o SEMI JOIN q USING (month) GROUP BY month")
+def semi_join_qualifying_periods(spark, d):
+    return dist.qualifying(S.order_facts(spark, d), "month", "role", 40).groupBy("month").agg(F.count("*").alias("n"))
+
+
+# ---- runs, shifts, windows, states
+
+RUNS = "r0 AS (SELECT *, CASE WHEN domain IS DISTINCT FROM lag(domain) OVER w THEN 1 ELSE 0 END AS nw FROM e WINDOW w AS (PARTITION BY thread ORDER BY ts, event_id)), r1 AS (SELECT *, sum(nw) OVER (PARTITION BY thread ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run_id FROM r0), r AS (SELECT thread, CAST(run_id AS BIGINT) AS run_id, min(domain) AS category, arg_min(role, (ts, event_id)) AS initiator_role, min(ts) AS \"start\", max(ts) AS \"end\", count(*) AS n FROM r1 GROUP BY 1, 2)"
+
+
+def _runs(spark, d):
+    return runs.runs(S.event_facts(spark, d), "thread", ["ts", "event_id"], "domain", "role")
+
+
+@query(f"WITH {EVT}, s AS (SELECT thread, ts, event_id, role AS initiator_role, lag(domain) OVER (PARTITION BY thread ORDER BY ts, event_id) AS from_category, domain AS to_category FROM e WHERE domain IS NOT NULL) SELECT * FROM s WHERE from_category <> to_category")
+def domain_shifts(spark, d):
+    return runs.shifts(S.event_facts(spark, d), "thread", ["ts", "event_id"], "domain", "role")
+
+
+@query(f"WITH {EVT}, s AS (SELECT role, lag(domain) OVER (PARTITION BY thread ORDER BY ts, event_id) AS f, domain AS t FROM e), x AS (SELECT * FROM s WHERE f <> t) SELECT count(*) AS total_shifts, round(avg(CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END), 6) AS user_share FROM x")
+def shift_initiation_summary(spark, d):
+    s = runs.shifts(S.event_facts(spark, d), "thread", ["ts", "event_id"], "domain", "role")
+    return s.agg(F.count("*").alias("total_shifts"), F.round(F.avg((F.col("initiator_role") == "user").cast("double")), 6).alias("user_share"))
+
+
+@query(f"WITH {EVT}, {RUNS} SELECT * FROM r")
+def run_segments(spark, d):
+    return _runs(spark, d)
+
+
+@query(f"WITH {EVT}, {RUNS} SELECT * FROM r WHERE n >= 3")
+def sustained_runs(spark, d):
+    return runs.sustained(_runs(spark, d), 3)
+
+
+@query(f"WITH {EVT}, {RUNS} SELECT * FROM r WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY thread ORDER BY \"start\", run_id) = 1")
+def first_sustained_run(spark, d):
+    return runs.first_sustained(_runs(spark, d), "thread", 3)
+
+
+_BINOM = "lf AS (SELECT i, coalesce((SELECT sum(ln(j)) FROM range(1, i + 1) t(j)), 0.0) AS v FROM range(0, (SELECT max(n) FROM s) + 1) q(i)), pm AS (SELECT s.n, s.k, f.i, exp((SELECT v FROM lf WHERE lf.i = s.n) - f.v - (SELECT v FROM lf WHERE lf.i = s.n - f.i) + s.n * ln(0.5)) AS p FROM s, lf f WHERE f.i <= s.n), po AS (SELECT p AS pk FROM pm WHERE i = k)"
+
+
+@query(f"WITH {EVT}, {RUNS}, s AS (SELECT count(*) AS n, count(*) FILTER (initiator_role = 'user') AS k FROM r WHERE n >= 3), {_BINOM} SELECT max(k) AS k, max(n) AS n, round(least(1.0, sum(p)), 6) AS p_value FROM pm, po WHERE p <= pk + 1e-12")
+def episode_summary(spark, d):
+    s = runs.sustained(_runs(spark, d), 3).agg(F.count_if(F.col("initiator_role") == "user").alias("k"), F.count("*").alias("n"))
+    return rounded(stats.binomial_two_sided(s, "k", "n"), "p_value")
+
+
+@query(f"""WITH {EVT}, x AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS a FROM e), w AS (SELECT rn // 250 AS "window", rn % 250 AS place, ts, domain FROM x WHERE rn < (a // 250) * 250),
+s AS (SELECT "window", domain, count(*) / 250.0 AS q FROM w GROUP BY 1, 2), t AS (SELECT "window", max(CASE WHEN place = 125 THEN ts END) AS mid_ts FROM w GROUP BY 1) SELECT "window", mid_ts, round(sum(-q * log2(q)), 6) AS entropy FROM s JOIN t USING ("window") GROUP BY 1, 2""")
+def rolling_entropy_count_window(spark, d):
+    w = runs.count_windows(S.event_facts(spark, d), ["ts", "event_id"], 250, "day")
+    mid = w.groupBy("window").agg(F.max(F.when(F.col("place") == 125, F.col("ts"))).alias("mid_ts"))
+    return rounded(dist.entropy(w, ["window"], "domain", base=2.0).join(mid, "window").select("window", "mid_ts", "entropy"), "entropy")
+
+
+_OC = f"WITH {sides(ORD, 'o', 'month')}, k0 AS ({CURVES.replace('ls', 'nullif(ls,0)').replace('rs', 'nullif(rs,0)')}), k AS (SELECT month, round(entropy_user, 9) AS entropy_user, round(js_distance, 9) AS js_distance FROM k0)"
+
+
+def _order_curves(spark, d):
+    return rounded(dist.curves(S.order_facts(spark, d), "month", "role", "domain"), "entropy_user", "js_distance", digits=9).select("month", "entropy_user", "js_distance")
+
+
+@query(_OC + ", q AS (SELECT quantile_cont(entropy_user, 0.33) AS el, quantile_cont(entropy_user, 0.66) AS eh, quantile_cont(js_distance, 0.33) AS jl, quantile_cont(js_distance, 0.66) AS jh FROM k) SELECT month, CASE WHEN entropy_user >= eh AND js_distance >= jh THEN 'Exploration' WHEN entropy_user <= el AND js_distance <= jl THEN 'Consolidation' ELSE 'Transitional' END AS state FROM k, q")
+def states_quantile(spark, d):
+    return runs.states_quantile(_order_curves(spark, d), "entropy_user", "js_distance").select("month", "state")
+
+
+_RATE = ", dl AS (SELECT month, entropy_user - lag(entropy_user) OVER (ORDER BY month) AS de, js_distance - lag(js_distance) OVER (ORDER BY month) AS dj, row_number() OVER (ORDER BY month) AS rn FROM k), st AS (SELECT month, de, dj, CASE WHEN rn = 1 THEN 'Initial' WHEN de > 0 AND dj > 0 THEN 'Exploration' WHEN de < 0 AND dj < 0 THEN 'Consolidation' ELSE 'Transitional' END AS state FROM dl)"
+
+
+@query(_OC + _RATE + " SELECT month, round(de, 6) AS delta_entropy, state FROM st")
+def states_rate(spark, d):
+    return runs.states_rate(_order_curves(spark, d), "month", "entropy_user", "js_distance").select("month", F.round("delta_entropy_user", 6).alias("delta_entropy"), "state")
+
+
+@query(_OC + _RATE + ", t AS (SELECT lag(state) OVER (ORDER BY month) AS from_state, state AS to_state FROM st) SELECT from_state, to_state, count(*) AS n FROM t WHERE from_state IS NOT NULL GROUP BY 1, 2")
+def state_transitions(spark, d):
+    return runs.transitions(runs.states_rate(_order_curves(spark, d), "month", "entropy_user", "js_distance"), "month")
+
+
+# ---- coupling and statistics
+
+_G = f"WITH {sides(ORD, 'o', 'month')}, g AS (SELECT p, domain, coalesce(l / nullif(ls, 0), 0.0) AS u, coalesce(r / nullif(rs, 0), 0.0) AS a FROM (SELECT DISTINCT p FROM c) x1 CROSS JOIN (SELECT DISTINCT domain FROM c) x2 LEFT JOIN c USING (p, domain)), dd AS (SELECT p, domain, u - lag(u) OVER w AS du, a - lag(a) OVER w AS da FROM g WINDOW w AS (PARTITION BY domain ORDER BY p)), pr AS (SELECT p, domain, du, da, lead(du) OVER w AS du2, lead(da) OVER w AS da2 FROM dd WINDOW w AS (PARTITION BY domain ORDER BY p)), cs AS (SELECT p, sum(du * da2) / nullif(sqrt(sum(du * du) * sum(da2 * da2)), 0) AS f, sum(da * du2) / nullif(sqrt(sum(da * da) * sum(du2 * du2)), 0) AS b FROM pr WHERE du IS NOT NULL AND du2 IS NOT NULL GROUP BY p)"
+
+
+def _pairs(spark, d):
+    """Changes of both sides' shares with the next period's changes beside them, per domain."""
+    s = dist.scaffolded(S.order_facts(spark, d), "month", "domain", "role", "user", "assistant").withColumnsRenamed({"left_share": "u", "right_share": "a"})
+    w = Window.partitionBy("domain").orderBy("month")
+    x = runs.deltas(s, "month", ["u", "a"], ["domain"])
+    return x.withColumns({"next_u": F.lead("delta_u").over(w), "next_a": F.lead("delta_a").over(w)}).where(F.col("delta_u").isNotNull() & F.col("next_u").isNotNull())
+
+
+@query(_G + " SELECT p AS month, round(f, 6) AS forward, round(b, 6) AS reverse FROM cs")
+def delta_coupling_pairs(spark, d):
+    p = _pairs(spark, d)
+    f, b = dist.cosine(p, ["month"], "delta_u", "next_a").withColumnRenamed("cosine", "forward"), dist.cosine(p, ["month"], "delta_a", "next_u").withColumnRenamed("cosine", "reverse")
+    return rounded(f.join(b, "month"), "forward", "reverse")
+
+
+@query(_G + " SELECT round(avg(f), 6) AS forward, round(avg(b), 6) AS reverse, round(avg(f) - avg(b), 6) AS difference FROM cs")
+def delta_coupling_summary(spark, d):
+    p = _pairs(spark, d)
+    f, b = dist.cosine(p, ["month"], "delta_u", "next_a").withColumnRenamed("cosine", "f"), dist.cosine(p, ["month"], "delta_a", "next_u").withColumnRenamed("cosine", "b")
+    return f.join(b, "month").agg(F.round(F.avg("f"), 6).alias("forward"), F.round(F.avg("b"), 6).alias("reverse"), F.round(F.avg("f") - F.avg("b"), 6).alias("difference"))
+
+
+@query(_G + " SELECT domain, round(corr(du, da2), 6) AS r, count(*) AS n FROM pr WHERE du IS NOT NULL AND da2 IS NOT NULL GROUP BY domain")
+def domain_pearson(spark, d):
+    return rounded(stats.pearson(_pairs(spark, d), ["domain"], "delta_u", "next_a"), "r")
+
+
+@query(_G + ", tot AS (SELECT avg(f) AS f FROM cs), mm AS (SELECT max(u) - min(u) AS rng, domain FROM g GROUP BY domain), vol AS (SELECT domain, avg(abs(du)) AS v FROM dd GROUP BY domain) SELECT domain, round(rng, 6) AS value_range, round(v, 6) AS volatility, round(rng / (v + 1e-6), 4) AS structure_index FROM mm JOIN vol USING (domain)")
+def scale_separation(spark, d):
+    s = dist.scaffolded(S.order_facts(spark, d), "month", "domain", "role", "user", "assistant")
+    x = runs.deltas(s, "month", ["left_share"], ["domain"]).groupBy("domain").agg((F.max("left_share") - F.min("left_share")).alias("g"), F.avg(F.abs("delta_left_share")).alias("v"))
+    return x.select("domain", F.round("g", 6).alias("value_range"), F.round("v", 6).alias("volatility"), F.round(F.col("g") / (F.col("v") + 1e-6), 4).alias("structure_index"))
+
+
+_SERIES = f"WITH {ORD}, v AS (SELECT domain, month, round(avg(value), 4) AS x, count(*) AS n, row_number() OVER (PARTITION BY domain ORDER BY month) - 1 AS t FROM o GROUP BY 1, 2)"
+
+
+def _series(spark, d):
+    o = S.order_facts(spark, d).groupBy("domain", "month").agg(F.round(F.avg("value"), 4).alias("x"), F.count("*").alias("n"))
+    return o.withColumn("t", F.row_number().over(Window.partitionBy("domain").orderBy("month")) - 1)
+
+
+@query(_SERIES + ", r AS (SELECT domain, rank() OVER (PARTITION BY domain ORDER BY n) + (count(*) OVER (PARTITION BY domain, n) - 1) / 2 AS rx, rank() OVER (PARTITION BY domain ORDER BY t) AS rt FROM v) SELECT domain, round(corr(rx, rt), 6) AS rho, count(*) AS n FROM r GROUP BY domain")
+def spearman_trend(spark, d):
+    return rounded(stats.spearman(_series(spark, d).withColumnRenamed("n", "k"), ["domain"], "k", "t"), "rho")
+
+
+@query(_SERIES + " SELECT domain, round(regr_slope(n, t), 6) AS slope, round(regr_intercept(n, t), 6) AS intercept FROM v GROUP BY domain")
+def linear_trend(spark, d):
+    return rounded(stats.line(_series(spark, d), ["domain"], "t", "n"), "slope", "intercept")
+
+
+@query(_SERIES + " SELECT domain, median(n) AS med, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS sd, quantile_cont(n, 0.66) AS q66, arg_max(month, (n, month)) AS peak, arg_min(month, (n, month)) AS low FROM v GROUP BY domain")
+def series_summary(spark, d):
+    k = F.struct("n", "month")
+    return _series(spark, d).groupBy("domain").agg(F.median("n").alias("med"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("sd"), F.percentile("n", F.lit(0.66)).alias("q66"), F.max_by("month", k).alias("peak"), F.min_by("month", k).alias("low"))
+
+
+@query(f"WITH {sides(MSG, 'm', 'month')}, k AS ({CURVES}) SELECT round(avg(CASE WHEN month IN ('2025-08', '2025-09', '2025-10') THEN entropy_user END) - avg(CASE WHEN month IN ('2025-05', '2025-06', '2025-07') THEN entropy_user END), 6) AS entropy_peak_early, round(avg(CASE WHEN month IN ('2025-09', '2025-10') THEN js_distance END) - avg(CASE WHEN month IN ('2025-05', '2025-06', '2025-07', '2025-08') THEN js_distance END), 6) AS js_spike FROM k")
+def contrast_windows(spark, d):
+    k = dist.curves(S.conversations(spark, d), "month", "role", "domain")
+    e, p, _ = stats.pick_windows([f"2025-{m:02}" for m in range(5, 13)], ["2025-05", "2025-06", "2025-07"], ["2025-08", "2025-09", "2025-10"], ["2025-11", "2025-12"])
+    return k.agg(F.round(stats.contrast(k, "month", "entropy_user", p, e), 6).alias("entropy_peak_early"), F.round(stats.contrast(k, "month", "js_distance", ["2025-09", "2025-10"], ["2025-05", "2025-06", "2025-07", "2025-08"]), 6).alias("js_spike"))
+
+
+@query("WITH l AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) SELECT CAST(least(floor((o_totalprice - lo) / (hi - lo) * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM orders, l GROUP BY 1")
+def value_histogram(spark, d):
+    return stats.histogram(S.table(spark, d, "orders"), "o_totalprice", 20)
+
+
+# ---- permutations (hash-ordered, so SQL can repeat them)
+
+
+@query(_SERIES + """, s AS (SELECT month AS row_id, n AS x, t FROM v WHERE domain = '1-URGENT'), p AS (SELECT perm_id, row_id, x, t, row_number() OVER (PARTITION BY perm_id ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM s, range(0, 50) q(perm_id)),
+j AS (SELECT a.perm_id, a.t, b.x FROM p a JOIN p b ON a.perm_id = b.perm_id AND a.pos = b.dst) SELECT perm_id, round(corr(t, x), 6) AS r, count(*) AS n FROM j GROUP BY perm_id""")
+def perm_trend(spark, d):
+    s = _series(spark, d).where("domain = '1-URGENT'").select(F.col("month").alias("row_id"), F.col("n").alias("x"), "t")
+    return rounded(stats.pearson(stats.permute(s, "row_id", "x", 50), ["perm_id"], "t", "x_perm"), "r")
+
+
+@query(f"""WITH {MSG}, s AS (SELECT conv_id || '-' || turn AS row_id, month, role, domain FROM m WHERE role IN ('user', 'assistant')), p AS (SELECT perm_id, row_id, month, role, domain, row_number() OVER (PARTITION BY perm_id, month ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id, month ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM s, range(0, 20) q(perm_id)),
+j AS (SELECT a.perm_id, a.month, a.domain, b.role FROM p a JOIN p b ON a.perm_id = b.perm_id AND a.month = b.month AND a.pos = b.dst) SELECT perm_id, month, domain, count(*) FILTER (role = 'user') AS user_n FROM j GROUP BY 1, 2, 3""")
+def perm_role_shuffle(spark, d):
+    m = S.conversations(spark, d).where("role in ('user', 'assistant')").select(F.col("node_id").alias("row_id"), "month", "role", "domain")
+    return stats.permute(m, "row_id", "role", 20, within=("month",)).groupBy("perm_id", "month", "domain").agg(F.count_if(F.col("role_perm") == "user").alias("user_n"))
+
+
+# ---- threads and trees
+
+
+@query(f"""WITH RECURSIVE {NODES}, walk AS (SELECT conv_id, node_id, 1 AS depth, lpad(CAST(turn AS VARCHAR), 4, '0') AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.conv_id, n.node_id, w.depth + 1, w.path || '/' || lpad(CAST(n.turn AS VARCHAR), 4, '0') FROM n JOIN walk w ON n.conv_id = w.conv_id AND n.parent_id = w.node_id),
+best AS (SELECT conv_id, path FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC, path) = 1) SELECT w.conv_id, CAST(w.depth - 1 AS BIGINT) AS pos, w.node_id FROM walk w JOIN best b ON w.conv_id = b.conv_id AND starts_with(b.path, w.path)""")
+def tree_main_path(spark, d):
+    return tree.main_path(S.conversations(spark, d), "conv_id", "node_id", "parent_id", "turn")
+
+
+@query(f"WITH {NODES} SELECT conv_id, node_id FROM n WHERE parent_id IS NULL")
+def tree_roots(spark, d):
+    return tree.roots(S.conversations(spark, d), "conv_id", "node_id", "parent_id").select("conv_id", "node_id")
+
+
+@query("SELECT conv_id, string_agg('[' || upper(role) || '] ' || turn || chr(10) || text || chr(10), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def thread_transcripts(spark, d):
+    return tree.transcript(S.conversations(spark, d).withColumn("at", F.col("turn").cast("string")), "conv_id", "turn", "role", "at", "text")
+
+
+@query(f"WITH {MSG}, t AS (SELECT conv_id, min(month) AS month, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role IN ('user', 'assistant')) AS k, sum(length(text)) AS c FROM m GROUP BY conv_id) SELECT month, count(*) AS threads, round(median(c / nullif(k, 0)), 6) AS med_chars_per_msg, round(median(u / nullif(k, 0)), 6) AS med_user_share FROM t GROUP BY month")
+def thread_complexity_monthly(spark, d):
+    t = S.conversations(spark, d).groupBy("conv_id").agg(F.min("month").alias("month"), F.count_if(F.col("role") == "user").alias("u"), F.count_if(F.col("role").isin("user", "assistant")).alias("k"), F.sum(F.length("text")).alias("c"))
+    return t.groupBy("month").agg(F.count("*").alias("threads"), F.round(F.median(X.share(F.col("c"), F.col("k"))), 6).alias("med_chars_per_msg"), F.round(F.median(X.share(F.col("u"), F.col("k"))), 6).alias("med_user_share"))
+
+
+# ---- vectors
+
+
+@query("WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, i::INTEGER AS i, round(avg(v), 6) AS mean FROM x GROUP BY 1, 2")
+def centroid_mean(spark, d):
+    e = S.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
+    return e.groupBy("label", (F.col("i") + 1).alias("i")).agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 5) AS norm FROM embeddings")
+def l2_norms(spark, d):
+    sq = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    return S.table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(sq), 5).alias("norm"))
+
+
+# ---- tables behind figures
+
+
+@query(_SERIES + " SELECT domain, month, round(100.0 * n / first_value(n) OVER (PARTITION BY domain ORDER BY month), 6) AS idx, round((n - min(n) OVER q)::DOUBLE / (max(n) OVER q - min(n) OVER q), 6) AS minmax FROM v WINDOW q AS (PARTITION BY domain)")
+def fig_index_and_minmax(spark, d):
+    w, q = Window.partitionBy("domain").orderBy("month"), Window.partitionBy("domain")
+    s = _series(spark, d)
+    return s.select("domain", "month", F.round(F.col("n") * 100.0 / F.first("n").over(w), 6).alias("idx"), F.round((F.col("n") - F.min("n").over(q)) / (F.max("n").over(q) - F.min("n").over(q)), 6).alias("minmax"))
+
+
+@query(_SERIES + " SELECT domain, month, CASE WHEN count(*) OVER w = 5 THEN round(avg(n) OVER w, 6) END AS rolling FROM v WINDOW w AS (PARTITION BY domain ORDER BY month ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+def fig_rolling_mean(spark, d):
+    w = Window.partitionBy("domain").orderBy("month").rowsBetween(-2, 2)
+    return _series(spark, d).select("domain", "month", F.when(F.count("*").over(w) == 5, F.round(F.avg("n").over(w), 6)).alias("rolling"))
+
+
+@query(f"WITH {sides(MSG, 'm', 'month')}, s AS (SELECT domain, coalesce(l / nullif(ls, 0), 0) AS u, coalesce(r / nullif(rs, 0), 0) AS a FROM (SELECT DISTINCT p FROM c) x1 CROSS JOIN (SELECT DISTINCT domain FROM c) x2 LEFT JOIN c USING (p, domain)) SELECT domain, round(avg(u), 6) AS user_share, round(avg(a), 6) AS assistant_share, round(avg(u) - avg(a), 6) AS lead FROM s GROUP BY domain")
+def fig_lead_by_domain(spark, d):
+    s = dist.scaffolded(S.conversations(spark, d), "month", "domain", "role", "user", "assistant")
+    return s.groupBy("domain").agg(F.round(F.avg("left_share"), 6).alias("user_share"), F.round(F.avg("right_share"), 6).alias("assistant_share"), F.round(F.avg("left_share") - F.avg("right_share"), 6).alias("lead"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
