@@ -8,10 +8,12 @@ cut, so a longer document is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2 << 20
 #: Bytes of one bucket of a bucketed stage; the number of buckets follows the input's size.
 BUCKET_BYTES = 8 << 20
+#: Bytes of the Arrow batches that the JVM hands to Python, where the session sets none.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: A table of at most so many rows of a few bytes may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,6 +47,33 @@ def work_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, since a batch of long texts is held by the JVM and the worker at once; a bound of the session's own stays."""
+    if not spark.sparkContext.getConf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are reused, and what an idle one keeps lessens what the others can have."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function, which releases memory when a task ends."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table in the shared folder and read again: lineage ends here, and a lost executor costs nothing that was written."""
     spark = df.sparkSession

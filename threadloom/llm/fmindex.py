@@ -167,6 +167,7 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
     """
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
+    @B.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = B.ids(batch)
@@ -183,6 +184,7 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
                 rows = [(k, B.pack(v[at[i]], doc[at[i]], many[i])) for k, i in B.split_by(bucket)]
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], blob=[r[1] for r in rows])
 
+    @B.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [B.unpack(blob, "u8", "i8", "?") for batch in batches for blob in batch.column(1).to_pylist()]
         if parts:
@@ -208,6 +210,7 @@ def minimizer_filter(shared: DataFrame) -> np.ndarray | None:
         return None
     wide = 1 << 20
 
+    @B.tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
@@ -215,6 +218,7 @@ def minimizer_filter(shared: DataFrame) -> np.ndarray | None:
                 for k, i in B.split_by(bits // wide):
                     yield B.row_batch(pa.schema([("part", pa.int32()), ("blob", pa.binary())]), part=[k], blob=[(bits[i] % wide).astype(np.uint32).tobytes()])
 
+    @B.tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -242,6 +246,7 @@ def _segment_rows(docs: DataFrame, buckets: int, window: int, content: bool, sen
     names = ["seg", "doc", "size", "words"] if content else ["seg", "doc", "size"]
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in names)])
 
+    @B.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = B.ids(batch)
@@ -314,6 +319,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = B.bucket_count(src, SHARD_BYTES)
     sent = docs.sparkSession.sparkContext.broadcast(minimizer_filter(shared_minimizers(src, buckets, window)))
 
+    @B.tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:
@@ -328,6 +334,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = _segment_rows(src, buckets, window, True, sent).repartition(buckets, "bucket").mapInArrow(search, "bucket int, kind int, seg binary, doc binary, size binary")
     places = _segment_rows(src, buckets, window, False, sent).select("bucket", F.lit(1).alias("kind"), "seg", "doc", "size")
 
+    @B.tidy
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A shard's answers come before its places, which are streamed.
         known: list[tuple] = []
@@ -363,6 +370,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     marked = found.unionByName(places).repartition(buckets, "bucket").sortWithinPartitions("kind").mapInArrow(mark, "bucket int, blob binary")
 
+    @B.tidy
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [B.unpack(blob, "i8", "i4", "i4") for batch in batches for blob in batch.column(1).to_pylist()]
         if not parts:
@@ -398,6 +406,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) ->
     joined = src.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, F.coalesce(src["doc_id"], F.lit(-(1 << 63)).cast("long")) == cuts["_id"], "left").select("doc_id", "text", "spans", *[f"keep_{c}" for c in keep])
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[f"keep_{c}" for c in keep]]
 
+    @B.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed = batch.column(2).to_pylist()

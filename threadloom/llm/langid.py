@@ -160,6 +160,7 @@ def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, sample_bytes / sizes[lang]))])
     picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
 
+    @B.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("blob", pa.binary())])
         for batch in batches:
@@ -196,6 +197,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[Column] | None = No
         return src.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
         scorer = Scorer(sent.value)

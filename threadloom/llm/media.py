@@ -149,6 +149,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
+    @B.tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.column(0)
@@ -201,6 +202,7 @@ def decode(stored: DataFrame, with_pcm: bool = True) -> DataFrame:
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in DECODED.split(", ")])
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = batch.column(2)

@@ -70,6 +70,7 @@ def signatures(docs: DataFrame, bits: int, k: int = SHINGLE) -> DataFrame:
     """A stored table of (doc_id, n, f1, f2) for documents, and of the tasks' sketch counts (bucket, blob) with null doc_id."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = None
         for batch in batches:
@@ -101,6 +102,7 @@ def rarity(table: DataFrame, bits: int) -> np.ndarray:
     """The sketch's counts over all documents as 256 logarithmic classes; its size is fixed by ``bits``."""
     wide = min(bits, 16)
 
+    @B.tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -121,6 +123,7 @@ def prefix_entries(docs: DataFrame, classes: np.ndarray, bits: int, buckets: int
     sent = docs.sparkSession.sparkContext.broadcast(classes)
     schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("sets", pa.binary())])
 
+    @B.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
@@ -143,6 +146,7 @@ def prefix_entries(docs: DataFrame, classes: np.ndarray, bits: int, buckets: int
                     rows.append((b, B.pack(key[i], local.astype(np.uint32)), B.pack(doc_ids[a : a + n][own], size[own].astype(np.uint32), last[own])))
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], entries=[r[1] for r in rows], sets=[r[2] for r in rows])
 
+    @B.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in batches:
@@ -183,6 +187,7 @@ def with_leaders(entries: DataFrame) -> DataFrame:
     """
     names = ["key", "doc_id", "n", "last", "u"]
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_, leader_ = None, None
         for batch in batches:
@@ -247,6 +252,7 @@ def class_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
                     both_main = main[p] & main[q]
                     yield np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), leader[p], np.where(both_main, need - other, 1)], 1)
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
         count = 0
@@ -305,6 +311,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE, percent: int =
     joined = docs.join(F.broadcast(roles) if 2 * n <= B.BROADCAST_ROWS else roles, docs["doc_id"] == roles["_id"]).select("doc_id", "text", "leaders", "salts")
     schema = pa.schema([("leader", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
+    @B.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids, leaders, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -323,6 +330,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE, percent: int =
                             out, size = {f.name: [] for f in schema}, 0
                 yield B.row_batch(schema, **out)
 
+    @B.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, np.zeros(0, np.uint64)
         for batch in batches:

@@ -163,6 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -295,6 +296,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS) -
     ranked = ranked.join(offsets, ["length", "_bucket"]).select(*cut.columns, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
     names = cut.columns
 
+    @B.tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sent.value
         key = (rows[:, 0] << 48) + rows[:, 1] if len(rows) else rows

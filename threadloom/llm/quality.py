@@ -87,6 +87,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, statistics): one row a document, written to the shared folder."""
     schema = pa.schema([("doc_id", pa.int64()), *((s, pa.float64()) for s in STATS)])
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, n, data, offs in B.text_blocks(batch):
@@ -152,6 +153,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
     sent = stats.sparkSession.sparkContext.broadcast(model)
     width = features + 2
 
+    @B.tidy
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, m = np.zeros((width, width)), sent.value
         some = False
@@ -163,6 +165,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
         if some:
             yield B.row_batch(pa.schema([("i", pa.int32()), ("blob", pa.binary())]), i=np.arange(width), blob=[r.tobytes() for r in a])
 
+    @B.tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -181,6 +184,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
     model.weight = np.linalg.solve(a[:k, :k] + penalty, a[:k, k])
     sent2 = spark.sparkContext.broadcast(model)
 
+    @B.tidy
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, n, s = np.zeros(BINS), np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
@@ -208,6 +212,7 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
         return stats.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     sent = stats.sparkSession.sparkContext.broadcast(model)
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
         for batch in batches:

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fmindex, langid, media, ngram_join, packing, quality, sharding, toxicity, urlfilter
+from . import blocks, decontam, fmindex, langid, media, ngram_join, packing, quality, sharding, toxicity, urlfilter
 
 
 _SHIPPED: set[str] = set()
@@ -33,6 +33,7 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    blocks.bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

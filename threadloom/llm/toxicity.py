@@ -97,6 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left")
     picked = rows.withColumn("is_u", share("unlabelled", unlabelled / max(docs.count(), 1))).where(F.col("is_u") | F.col("is_p").isNotNull())
 
+    @B.tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("is_p", pa.bool_()), ("is_u", pa.bool_()), ("blob", pa.binary())])
         for batch in batches:
@@ -123,6 +124,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     kept = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((kept.astype(np.uint32), weights[kept], bias))
 
+    @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
         at, w, b = sent.value
