@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dist, runs, stats, tree
+from ..operators import dist, runs, stats, topics, tree
 from ..sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,6 +387,35 @@ def l2_norms(spark, d):
     return S.table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(sq), 5).alias("norm"))
 
 
+@query("""WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label AS assigned, i, avg(v) AS m FROM x GROUP BY 1, 2),
+q AS (SELECT vec_id, assigned, sum((v - m) * (v - m)) AS distance FROM x JOIN c USING (i) GROUP BY 1, 2) SELECT vec_id, assigned, round(distance, 5) AS distance FROM q QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, assigned) = 1""")
+def nearest_centroid_assign(spark, d):
+    e = S.table(spark, d, "embeddings")
+    return topics.nearest_centroid(e.select("vec_id", "embedding"), "embedding", topics.centroids(e, "label", "embedding"), "label").select("vec_id", "assigned", F.round("distance", 5).alias("distance"))
+
+
+# ---- topics
+
+STOP = ["the", "of", "and", "to", "in", "is"]
+TFIDF = r"""w AS (SELECT doc_id, source, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}'), lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'is')) AS ws FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT term, count(*) AS df FROM f GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.6::DOUBLE * (SELECT n FROM n) ORDER BY sum(tf) DESC, term LIMIT 60000),
+x AS (SELECT doc_id, term, tf * (ln((1.0 + (SELECT n FROM n)) / (1 + df)) + 1) AS x FROM f JOIN v USING (term)),
+g AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM x)"""
+
+
+@query(f"WITH {TFIDF} SELECT doc_id, term, round(weight, 6) AS weight FROM g")
+def tfidf_weights(spark, d):
+    return rounded(topics.tfidf(S.table(spark, d, "documents"), "doc_id", "text", STOP), "weight")
+
+
+@query(f"WITH {TFIDF}, s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), m AS (SELECT source, term, round(sum(weight) / any_value(s.n), 6) AS mean FROM g JOIN documents USING (doc_id) JOIN s USING (source) GROUP BY 1, 2) SELECT source, row_number() OVER (PARTITION BY source ORDER BY mean DESC, term)::INTEGER AS rank, term, mean FROM m QUALIFY rank <= 20")
+def cluster_top_terms(spark, d):
+    docs = S.table(spark, d, "documents")
+    return topics.top_terms(topics.tfidf(docs, "doc_id", "text", STOP), docs, "doc_id", "source")
+
+
 # ---- tables behind figures
 
 
