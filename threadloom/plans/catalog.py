@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dist, runs, stats, topics, tree
+from ..operators import dist, runs, stats, topic_model, topics, tree
 from ..sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,6 +416,15 @@ def cluster_top_terms(spark, d):
     return topics.top_terms(topics.tfidf(docs, "doc_id", "text", STOP), docs, "doc_id", "source")
 
 
+@query()
+def topic_holdout(spark, d):
+    """Clusters and domains of all documents by a model fitted on those of the first two sources by name."""
+    docs = S.table(spark, d, "documents")
+    first = F.broadcast(docs.select("source").distinct().orderBy("source").limit(2))
+    model = topic_model.fit(docs.join(first, "source", "left_semi"), "text", 12, 4, STOP)
+    return model.transform(docs).select("doc_id", "source", "cluster", "domain")
+
+
 # ---- tables behind figures
 
 
