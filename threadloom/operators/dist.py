@@ -76,15 +76,16 @@ def js_from_reference(dist: DataFrame, period: str, category: str, train: Column
     return x.groupBy(period).agg(F.sqrt(F.greatest(F.sum(_js(F.col("p"), F.col("q"))), F.lit(0.0)) / math.log(base)).alias("jsd"))
 
 
-def curves(df: DataFrame, period: str, role: str, category: str, left: str = "user", right: str = "assistant") -> DataFrame:
-    """(period, user_msgs, assistant_msgs, entropy_user, js_distance) by one aggregation of the rows."""
-    c = two_sided(df, [period], category, role, left, right)
-    w = Window.partitionBy(period)
+def curves(df: DataFrame, period: str, role: str, category: str, left: str = "user", right: str = "assistant", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, period, user_msgs, assistant_msgs, entropy_user, js_distance) by one aggregation of the rows."""
+    by = [*keys, period]
+    c = two_sided(df, by, category, role, left, right)
+    w = Window.partitionBy(*by)
     c = c.withColumns({"l_all": F.sum("l").over(w), "r_all": F.sum("r").over(w)})
     p, q = F.col("l") / F.nullif(F.col("l_all"), F.lit(0)), F.col("r") / F.nullif(F.col("r_all"), F.lit(0))
-    out = c.groupBy(period).agg(F.max("l_all").alias("user_msgs"), F.max("r_all").alias("assistant_msgs"), F.sum(F.when(p > 0, -p * F.log(p)).otherwise(0.0)).alias("entropy_user"), F.sum(_js(p, q)).alias("d"))
+    out = c.groupBy(*by).agg(F.max("l_all").alias("user_msgs"), F.max("r_all").alias("assistant_msgs"), F.sum(F.when(p > 0, -p * F.log(p)).otherwise(0.0)).alias("entropy_user"), F.sum(_js(p, q)).alias("d"))
     ok = (F.col("user_msgs") >= 10) & (F.col("assistant_msgs") >= 10)
-    return out.select(period, "user_msgs", "assistant_msgs", "entropy_user", F.when(ok, F.sqrt(F.greatest("d", F.lit(0.0)))).alias("js_distance"))
+    return out.select(*by, "user_msgs", "assistant_msgs", "entropy_user", F.when(ok, F.sqrt(F.greatest("d", F.lit(0.0)))).alias("js_distance"))
 
 
 def cosine(df: DataFrame, keys: list[str], x: str, y: str, eps: float = 1e-12) -> DataFrame:

@@ -45,6 +45,25 @@ def student_two_sided(rho: float, n: int) -> float:
     return 2 * norm * total * h / 3
 
 
+def correlation_pvalue(rho: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs under Student's t, by the finite series for whole degrees of freedom; null for n < 3 or a null rho.
+
+    With an angle of sine |rho|, the odd and even series run over powers of its cosine.
+    """
+    sine = F.least(F.abs(rho), F.lit(1.0))
+    square = 1 - sine * sine
+    odd = (n % 2) == 1  # n - 2 degrees of freedom are odd with n
+    terms = F.greatest(F.floor((n - 2) / 2), F.lit(0)).cast("int")
+    ratio = lambda i: F.when(odd, 2 * i / (2 * i + 1)).otherwise((2 * i - 1) / (2 * i))
+    first = F.when(odd, F.sqrt(square)).otherwise(F.lit(1.0))
+    start = F.struct(first.alias("t"), first.alias("s"))
+    step = lambda a, i: F.struct((a["t"] * square * ratio(i)).alias("t"), (a["s"] + a["t"] * square * ratio(i)).alias("s"))
+    more = F.when(terms > 1, F.sequence(F.lit(1), F.greatest(terms - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    total = F.when(terms > 0, F.aggregate(more, start, step)["s"]).otherwise(F.lit(0.0))
+    inside = F.when(odd, 2 / F.lit(math.pi) * (F.asin(sine) + sine * total)).otherwise(sine * total)
+    return F.when((n >= 3) & rho.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
+
+
 def binomial_two_sided(df: DataFrame, k: str, n: str, p: float = 0.5) -> DataFrame:
     """Adds p_value: the exact sum of probabilities no larger than the observed one, at most 1; null for n = 0."""
     log = lambda i, m: F.expr(f"(ln_fact[{m}] - ln_fact[{i}] - ln_fact[{m} - {i}])") + F.expr(i) * math.log(p) + (F.expr(m) - F.expr(i)) * math.log(1 - p)

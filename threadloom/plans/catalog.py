@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dist, runs, stats, topic_model, topics, tree
+from ..operators import dist, resample, runs, stats, svd, topic_model, topics, tree
 from ..sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,11 +341,134 @@ def perm_trend(spark, d):
     return rounded(stats.pearson(stats.permute(s, "row_id", "x", 50), ["perm_id"], "t", "x_perm"), "r")
 
 
-@query(f"""WITH {MSG}, s AS (SELECT conv_id || '-' || turn AS row_id, month, role, domain FROM m WHERE role IN ('user', 'assistant')), p AS (SELECT perm_id, row_id, month, role, domain, row_number() OVER (PARTITION BY perm_id, month ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id, month ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM s, range(0, 20) q(perm_id)),
-j AS (SELECT a.perm_id, a.month, a.domain, b.role FROM p a JOIN p b ON a.perm_id = b.perm_id AND a.month = b.month AND a.pos = b.dst) SELECT perm_id, month, domain, count(*) FILTER (role = 'user') AS user_n FROM j GROUP BY 1, 2, 3""")
+_MSGS = f"{MSG}, s AS (SELECT conv_id || '-' || turn AS row_id, month, role, domain FROM m WHERE role IN ('user', 'assistant'))"
+#: Draws of a null model, and its contrasts of periods: name -> (measure, periods, periods to take off).
+DRAWS = 20
+CONTRASTS = {
+    "entropy_peak_early": ("entropy_user", ["2025-08", "2025-09", "2025-10"], ["2025-05", "2025-06", "2025-07"]),
+    "js_spike": ("js_distance", ["2025-09", "2025-10"], ["2025-05", "2025-06", "2025-07", "2025-08"]),
+    "js_recovery": ("js_distance", ["2025-11", "2025-12"], ["2025-09", "2025-10"]),
+}
+_MEAN = lambda x, months: f"avg(CASE WHEN month IN ({', '.join(repr(m) for m in months)}) THEN {x} END)"
+_CONTRASTS = ", ".join(f"round({_MEAN(x, a)} - {_MEAN(x, b)}, 9) AS {name}" for name, (x, a, b) in CONTRASTS.items())
+
+
+def _rank_sql(within: str) -> str:
+    """CTE r: the messages ranked by hash in each draw and group."""
+    return f"r AS (SELECT *, row_number() OVER (PARTITION BY perm_id{within} ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS rk FROM s, range(0, {DRAWS}) q(perm_id))"
+
+
+def _draws_sql(rows: str) -> str:
+    """CTEs to g(perm_id, month, curves) from a table of dealt or sampled messages x."""
+    return f"""{rows}, y AS (SELECT {{'k': perm_id, 'm': month}} AS km, role, domain FROM x), {sides('z AS (SELECT 1)', 'y', 'km')}, g AS (SELECT month.k AS perm_id, month.m AS month, user_msgs, assistant_msgs, entropy_user, js_distance FROM ({CURVES}))"""
+
+
+_MONTHS_DEALT = f"{_rank_sql('')}, b AS (SELECT month AS month_perm, sum(count(*)) OVER (ORDER BY month) AS upto, sum(count(*)) OVER (ORDER BY month) - count(*) AS below FROM s GROUP BY month), x AS (SELECT perm_id, month_perm AS month, role, domain FROM r JOIN b ON rk > below AND rk <= upto)"
+_ROLES_DEALT = f"{_rank_sql(', month')}, b AS (SELECT month, role AS role_perm, sum(count(*)) OVER w AS upto, sum(count(*)) OVER w - count(*) AS below FROM s GROUP BY month, role WINDOW w AS (PARTITION BY month ORDER BY role)), x AS (SELECT perm_id, r.month, role_perm AS role, domain FROM r JOIN b ON r.month = b.month AND rk > below AND rk <= upto)"
+_SAMPLED = f"{_rank_sql(', month, role')}, b AS (SELECT role, min(n) AS floor FROM (SELECT month, role, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1), x AS (SELECT perm_id, month, r.role, domain FROM r JOIN b ON r.role = b.role AND rk <= floor)"
+
+
+def _messages(spark, d):
+    return S.conversations(spark, d).where("role in ('user', 'assistant')").select(F.col("node_id").alias("row_id"), "month", "role", "domain")
+
+
+def _null_contrasts(rows):
+    return resample.contrasts(dist.curves(rows, "month", "role", "domain", keys=("perm_id",)), "month", ["perm_id"], CONTRASTS)
+
+
+def _months_dealt(spark, d):
+    return resample.deal(_messages(spark, d), "row_id", "month", DRAWS).select("perm_id", F.col("month_perm").alias("month"), "role", "domain")
+
+
+def _roles_dealt(spark, d):
+    return resample.deal(_messages(spark, d), "row_id", "role", DRAWS, within=("month",)).select("perm_id", "month", F.col("role_perm").alias("role"), "domain")
+
+
+def _sampled(spark, d):
+    return resample.sample_equal(_messages(spark, d), "row_id", "month", "role", DRAWS)
+
+
+@query(f"WITH {_MSGS}, {_draws_sql(_MONTHS_DEALT)} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id")
+def perm_month_shuffle(spark, d):
+    return _null_contrasts(_months_dealt(spark, d))
+
+
+@query(f"WITH {_MSGS}, {_ROLES_DEALT} SELECT perm_id, month, domain, count(*) FILTER (role = 'user') AS user_n FROM x GROUP BY 1, 2, 3")
 def perm_role_shuffle(spark, d):
-    m = S.conversations(spark, d).where("role in ('user', 'assistant')").select(F.col("node_id").alias("row_id"), "month", "role", "domain")
-    return stats.permute(m, "row_id", "role", 20, within=("month",)).groupBy("perm_id", "month", "domain").agg(F.count_if(F.col("role_perm") == "user").alias("user_n"))
+    return _roles_dealt(spark, d).groupBy("perm_id", "month", "domain").agg(F.count_if(F.col("role") == "user").alias("user_n"))
+
+
+@query(f"WITH {_MSGS}, {_draws_sql(_SAMPLED)} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id")
+def volume_control(spark, d):
+    return _null_contrasts(_sampled(spark, d))
+
+
+def _pvalues_sql() -> str:
+    models = {"months": _MONTHS_DEALT, "roles": _ROLES_DEALT, "volume": _SAMPLED}
+    real = f"e AS (SELECT {_CONTRASTS} FROM ({CURVES}))"
+    parts = []
+    for name, rows in models.items():
+        cols = [f"max(e.{c}) AS real_{c}" for c in CONTRASTS] + [f"round(avg(CASE WHEN e.{c} >= 0 AND g.{c} >= e.{c} OR e.{c} < 0 AND g.{c} <= e.{c} THEN 1.0 ELSE 0 END) FILTER (e.{c} IS NOT NULL AND g.{c} IS NOT NULL), 6) AS p_{c}" for c in CONTRASTS]
+        parts.append(f"SELECT '{name}' AS model, {', '.join(cols)} FROM (WITH {_draws_sql(rows)} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id) g, (WITH {sides('z AS (SELECT 1)', 's', 'month')}, {real} SELECT * FROM e) e")
+    return f"WITH {_MSGS} " + " UNION ALL ".join(parts)
+
+
+@query(_pvalues_sql())
+def null_model_pvalues(spark, d):
+    real = resample.contrasts(dist.curves(_messages(spark, d), "month", "role", "domain"), "month", [], CONTRASTS)
+    models = {"months": _months_dealt, "roles": _roles_dealt, "volume": _sampled}
+    parts = [rounded(resample.sided_pvalues(_null_contrasts(f(spark, d)), real, list(CONTRASTS)), *[f"p_{c}" for c in CONTRASTS]).select(F.lit(name).alias("model"), "*") for name, f in models.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_COUPLING = _G + """, mo AS (SELECT DISTINCT p FROM dd WHERE du IS NOT NULL), k AS (SELECT perm_id, p, row_number() OVER (PARTITION BY perm_id ORDER BY p) AS pos, row_number() OVER (PARTITION BY perm_id ORDER BY md5(perm_id || '|42|' || p), p) AS dst FROM mo, range(0, 50) q(perm_id)),
+mv AS (SELECT a.perm_id, a.p, b.p AS src FROM k a JOIN k b ON a.perm_id = b.perm_id AND a.pos = b.dst), z AS (SELECT perm_id, mv.p, x.domain, x.du, y.da FROM mv JOIN dd x ON x.p = mv.p JOIN dd y ON y.p = mv.src AND y.domain = x.domain),
+zz AS (SELECT *, lead(du) OVER w AS du2, lead(da) OVER w AS da2 FROM z WINDOW w AS (PARTITION BY perm_id, domain ORDER BY p)), zc AS (SELECT perm_id, p, sum(du * da2) / nullif(sqrt(sum(du * du) * sum(da2 * da2)), 0) AS f, sum(da * du2) / nullif(sqrt(sum(da * da) * sum(du2 * du2)), 0) AS b FROM zz WHERE du2 IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(_COUPLING + " SELECT perm_id, round(avg(f), 6) AS forward, round(avg(b), 6) AS reverse, round(avg(f) - avg(b), 6) AS difference FROM zc GROUP BY perm_id")
+def perm_coupling(spark, d):
+    s = dist.scaffolded(S.order_facts(spark, d), "month", "domain", "role", "user", "assistant").withColumnsRenamed({"left_share": "u", "right_share": "a"})
+    x = runs.deltas(s, "month", ["u", "a"], ["domain"]).where(F.col("delta_u").isNotNull())
+    return rounded(resample.shuffled_coupling(x, "month", "domain", "delta_u", "delta_a", 50), "forward", "reverse", "difference")
+
+
+@query(_G + """, v AS (SELECT domain, p, du, da2, domain || '|' || p AS row_id FROM pr WHERE du IS NOT NULL AND da2 IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY perm_id, domain ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id, domain ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM v, range(0, 50) q(perm_id)),
+nl AS (SELECT a.perm_id, a.domain, corr(a.du, b.da2) AS r FROM k a JOIN k b ON a.perm_id = b.perm_id AND a.domain = b.domain AND a.pos = b.dst GROUP BY 1, 2), re AS (SELECT domain, corr(du, da2) AS r FROM v GROUP BY 1)
+SELECT domain, round(any_value(re.r), 6) AS r, round(avg(CASE WHEN round(abs(nl.r), 9) >= round(abs(re.r), 9) THEN 1.0 ELSE 0 END), 6) AS p_abs FROM nl JOIN re USING (domain) GROUP BY domain""")
+def perm_domain_pearson(spark, d):
+    v = _pairs(spark, d).select("domain", F.concat_ws("|", "domain", "month").alias("row_id"), "delta_u", "next_a")
+    real = stats.pearson(v, ["domain"], "delta_u", "next_a").select("domain", "r")
+    null = stats.pearson(stats.permute(v, "row_id", "next_a", 50, within=("domain",)), ["perm_id", "domain"], "delta_u", "next_a_perm").select("domain", F.col("r").alias("_n"))
+    far = (F.round(F.abs("_n"), 9) >= F.round(F.abs("r"), 9)).cast("double")
+    return rounded(null.join(real, "domain").groupBy("domain").agg(F.max("r").alias("r"), F.avg(far).alias("p_abs")), "r", "p_abs")
+
+
+@query(f"WITH {EVT}" + """, c AS (SELECT domain, day AS p, count(*) FILTER (role = 'user') AS l, count(*) FILTER (role = 'assistant') AS r FROM e GROUP BY 1, 2),
+q AS (SELECT *, count(*) FILTER (l > 0) OVER w AS la, count(*) FILTER (r > 0) OVER w AS ra, count(*) OVER w AS k, l / sum(l) OVER w AS u, r / sum(r) OVER w AS a FROM c WINDOW w AS (PARTITION BY domain)),
+n AS (SELECT *, lead(u) OVER w AS u2, lead(a) OVER w AS a2 FROM q WHERE la >= 8 AND ra >= 8 WINDOW w AS (PARTITION BY domain ORDER BY p)), v AS (SELECT *, domain || '|' || p AS row_id FROM n WHERE u2 IS NOT NULL),
+re AS (SELECT domain, max(k) AS periods, max(la) AS left_active, max(ra) AS right_active, sum(u * a2) / nullif(sqrt(sum(u * u) * sum(a2 * a2)), 0) AS f, sum(a * u2) / nullif(sqrt(sum(a * a) * sum(u2 * u2)), 0) AS b FROM v GROUP BY domain),
+k AS (SELECT *, row_number() OVER (PARTITION BY perm_id, domain ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id, domain ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM v, range(0, 50) z(perm_id)),
+nl AS (SELECT x.perm_id, x.domain, sum(x.u * y.a2) / nullif(sqrt(sum(x.u * x.u) * sum(y.a2 * y.a2)), 0) AS f FROM k x JOIN k y ON x.perm_id = y.perm_id AND x.domain = y.domain AND x.pos = y.dst GROUP BY 1, 2)
+SELECT re.domain, periods, left_active, right_active, round(re.f, 6) AS forward, round(re.b, 6) AS reverse, round(re.f - re.b, 6) AS difference, round(avg(CASE WHEN round(abs(nl.f - re.b), 9) >= round(abs(re.f - re.b), 9) THEN 1.0 ELSE 0 END), 6) AS p_abs FROM nl JOIN re ON nl.domain = re.domain GROUP BY ALL""")
+def domain_lead_lag(spark, d):
+    return rounded(resample.lead_lag(S.event_facts(spark, d), "day", "domain", "role", n=50), "forward", "reverse", "difference", "p_abs")
+
+
+# s is materialized: inlined, this DuckDB gives 7 of its 8 rows (U is 7.5 by hand on the smallest tables).
+@query(_SERIES + """, s AS MATERIALIZED (SELECT t < 4 AS g, n FROM v WHERE domain = '1-URGENT' AND t < 8), k AS (SELECT row_number() OVER (ORDER BY n, g) - 1 AS i, g, n FROM s), z AS (SELECT count(*) FILTER (g) AS a, count(*) AS c FROM s),
+mk AS (SELECT b AS m FROM range(0, 256) q(b), z WHERE bit_count(b) = z.a AND b < (1 << z.c::INTEGER)), uu AS (SELECT m, sum(CASE WHEN x.n > y.n THEN 1.0 WHEN x.n = y.n THEN 0.5 ELSE 0 END) AS u FROM mk, k x, k y WHERE (m >> x.i::INTEGER) & 1 = 1 AND (m >> y.i::INTEGER) & 1 = 0 GROUP BY m),
+re AS (SELECT sum(CASE WHEN x.n > y.n THEN 1.0 WHEN x.n = y.n THEN 0.5 ELSE 0 END) AS u FROM k x, k y WHERE x.g AND NOT y.g) SELECT max(z.a) AS n_a, max(z.c - z.a) AS n_b, max(re.u)::DOUBLE AS u, round(avg(CASE WHEN uu.u >= re.u THEN 1.0 ELSE 0 END), 6) AS p_greater FROM uu, re, z""")
+def rank_sum_early_late(spark, d):
+    s = _series(spark, d).where("domain = '1-URGENT' and t < 8")
+    return rounded(resample.rank_sum_exact(s, F.col("t") < 4, "n"), "p_greater")
+
+
+@query(_SERIES + """, r AS (SELECT domain, rank() OVER (PARTITION BY domain ORDER BY n) + (count(*) OVER (PARTITION BY domain, n) - 1) / 2 AS rx, rank() OVER (PARTITION BY domain ORDER BY t) AS rt FROM v), c AS (SELECT domain, corr(rx, rt) AS rho, count(*)::INTEGER AS n FROM r GROUP BY domain), x AS (SELECT *, abs(rho) AS si, sqrt(1 - rho * rho) AS co, (n - 2) // 2 AS terms, n % 2 = 1 AS odd FROM c)
+SELECT domain, n::BIGINT AS n, round(CASE WHEN odd THEN 1 - 2 / pi() * (asin(si) + si * list_sum(list_transform(range(0, terms), lambda k: co ** (2 * k + 1) * sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5))))) ELSE 1 - si * list_sum(list_transform(range(0, terms), lambda k: co ** (2 * k) * exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()))) END, 6) AS p_value FROM x""")
+def spearman_pvalue(spark, d):
+    r = stats.spearman(_series(spark, d).withColumnRenamed("n", "k"), ["domain"], "k", "t")
+    return r.select("domain", "n", F.round(stats.correlation_pvalue(F.col("rho"), F.col("n")), 6).alias("p_value"))
 
 
 # ---- threads and trees
@@ -425,6 +549,66 @@ def topic_holdout(spark, d):
     return model.transform(docs).select("doc_id", "source", "cluster", "domain")
 
 
+@query(f"WITH {TFIDF}, s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), m AS (SELECT source, term, round(sum(weight) / any_value(s.n), 6) AS mean FROM g JOIN documents USING (doc_id) JOIN s USING (source) GROUP BY 1, 2), k AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY mean DESC, term) AS rank FROM m QUALIFY rank <= 20), sc AS (SELECT length(source) % 2 AS domain, term, sum(s.n * (21 - rank)) AS score FROM k JOIN s USING (source) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, term) AS rank FROM sc QUALIFY rank <= 25) SELECT domain::INTEGER AS domain, string_agg(term, ', ' ORDER BY rank) FILTER (rank <= 6) AS auto_label, string_agg(term, ', ' ORDER BY rank) AS top_terms FROM o GROUP BY domain")
+def macro_label_terms(spark, d):
+    docs = S.table(spark, d, "documents")
+    fine = topics.top_terms(topics.tfidf(docs, "doc_id", "text", STOP), docs, "doc_id", "source")
+    size = docs.groupBy("source").agg(F.count("*").alias("size"), F.any_value(F.length("source") % 2).alias("domain"))
+    return topics.domain_labels(fine, size, "source", "domain")
+
+
+@query()
+def svd_topics(spark, d):
+    """Clusters of all documents after a truncated SVD of their weights, rows of length 1."""
+    weights = topics.tfidf(S.table(spark, d, "documents"), "doc_id", "text", STOP)
+    return svd.fit(weights, "doc_id", [(12, 16)])[12, 16].transform(weights, "doc_id")
+
+
+@query()
+def robustness_grid(spark, d):
+    """The contrasts of periods for each number of clusters and of dimensions."""
+    m = S.conversations(spark, d).where("role in ('user', 'assistant')")
+    weights = topics.tfidf(m, "node_id", "text", STOP, min_df=2)
+    parts = []
+    for (k, dims), model in svd.fit(weights, "node_id", [(k, n) for k in (4, 6) for n in (8, 16)]).items():
+        told = m.join(model.transform(weights, "node_id"), "node_id")
+        c = resample.contrasts(dist.curves(told, "month", "role", "cluster"), "month", [], CONTRASTS)
+        parts.append(c.select(F.lit(k).alias("k"), F.lit(dims).alias("svd_dims"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# ---- cleaning, maps and checks
+
+
+@query(r"SELECT page_id, CASE WHEN t = '' THEN 'untitled' ELSE substring(t, 1, 120) END AS title FROM (SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(url, ''), '[^\p{L}\p{N}_\s\-.()]', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages)")
+def safe_titles(spark, d):
+    return S.table(spark, d, "pages").select("page_id", X.safe_title(F.col("url")).alias("title"))
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(text || chr(10) || role, '^\s+|\s+$', '', 'g') AS flat FROM conversations WHERE text IS NOT NULL")
+def content_flatten(spark, d):
+    c = S.table(spark, d, "conversations").where(F.col("text").isNotNull())
+    part = F.to_json(F.struct(F.col("role").alias("text")))
+    return c.select("conv_id", "turn", S.content_text(F.concat(F.lit('{"parts":['), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit(","), part, F.lit("]}"))).alias("flat"))
+
+
+@query(f"WITH {EVT}, x AS (SELECT domain, count(*) AS n FROM e WHERE role = 'user' GROUP BY 1), o AS (SELECT domain, count(*) AS n FROM e WHERE role = 'user' AND day >= DATE '2024-01-03' GROUP BY 1) SELECT domain, x.n AS expected, coalesce(o.n, 0) AS observed, coalesce(o.n, 0) - x.n AS diff FROM x LEFT JOIN o USING (domain)")
+def repro_check_left_join(spark, d):
+    e = S.event_facts(spark, d).where("role = 'user'")
+    n = lambda df, name: df.groupBy("domain").agg(F.count("*").alias(name))
+    j = n(e, "expected").join(n(e.where("day >= date'2024-01-03'"), "observed"), "domain", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    return j.withColumn("diff", F.col("observed") - F.col("expected"))
+
+
+@query("SELECT label, CASE WHEN label % 5 < 3 THEN label % 5 END AS macro, count(*) AS n FROM embeddings GROUP BY 1, 2")
+def fine_to_macro_map(spark, d):
+    """Labels by a map whose domains list their labels as text; a label that no domain lists has none."""
+    e = S.table(spark, d, "embeddings")
+    listed = e.select("label").distinct().where("label % 5 < 3").groupBy((F.col("label") % 5).alias("macro")).agg(F.array_join(F.collect_list(F.col("label").cast("string")), ", ").alias("fine"))
+    lookup = listed.select("macro", F.explode(X.int_list(F.col("fine"))).alias("label"))
+    return e.groupBy("label").agg(F.count("*").alias("n")).join(F.broadcast(lookup), "label", "left").select("label", "macro", "n")
+
+
 # ---- tables behind figures
 
 
@@ -447,6 +631,29 @@ def fig_lead_by_domain(spark, d):
     return s.groupBy("domain").agg(F.round(F.avg("left_share"), 6).alias("user_share"), F.round(F.avg("right_share"), 6).alias("assistant_share"), F.round(F.avg("left_share") - F.avg("right_share"), 6).alias("lead"))
 
 
+@query(_SERIES + ", p AS (SELECT domain, month, n / sum(n) OVER (PARTITION BY month) AS share FROM v) SELECT month, round(coalesce(sum(share) FILTER (domain = '1-URGENT'), 0), 6) AS urgent, round(coalesce(sum(share) FILTER (domain = '2-HIGH'), 0), 6) AS high, round(coalesce(sum(share) FILTER (domain = '3-MEDIUM'), 0), 6) AS medium, arg_max(domain, (share, domain)) AS dominant FROM p GROUP BY month")
+def fig_share_pivot(spark, d):
+    p = _series(spark, d).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("month")))
+    part = lambda v: F.round(F.coalesce(F.sum(F.when(F.col("domain") == v, F.col("share"))), F.lit(0.0)), 6)
+    return p.groupBy("month").agg(part("1-URGENT").alias("urgent"), part("2-HIGH").alias("high"), part("3-MEDIUM").alias("medium"), F.max_by("domain", F.struct("share", "domain")).alias("dominant"))
+
+
+@query("WITH t AS (SELECT conv_id, count(*) AS msgs, sum(length(text)) / count(*) AS chars FROM conversations GROUP BY 1) SELECT conv_id, msgs, round(greatest(10.0, least(300.0, chars / max(chars) OVER () * 300)), 6) AS size, row_number() OVER (ORDER BY msgs DESC, conv_id) <= 5 AS labelled FROM t")
+def fig_thread_scatter(spark, d):
+    t = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("msgs"), (F.sum(F.length("text")) / F.count("*")).alias("chars"))
+    top = t.orderBy(F.desc("msgs"), "conv_id").limit(5).select("conv_id", F.lit(True).alias("_top"))
+    x = t.crossJoin(F.broadcast(t.agg(F.max("chars").alias("_max")))).join(F.broadcast(top), "conv_id", "left")
+    return x.select("conv_id", "msgs", F.round(F.greatest(F.lit(10.0), F.least(F.lit(300.0), F.col("chars") / F.col("_max") * 300)), 6).alias("size"), F.coalesce("_top", F.lit(False)).alias("labelled"))
+
+
+@query(_SERIES + ", q AS (SELECT *, (n - min(n) OVER w)::DOUBLE / nullif(max(n) OVER w - min(n) OVER w, 0) AS z FROM v WINDOW w AS (PARTITION BY domain)) SELECT domain, round(coalesce(arg_min(z, month), 0.5), 6) AS first, round(coalesce(arg_max(z, month), 0.5), 6) AS last, round(arg_max(n, month) / arg_min(n, month)::DOUBLE - 1, 6) AS growth FROM q GROUP BY domain")
+def fig_radar(spark, d):
+    w = Window.partitionBy("domain")
+    q = _series(spark, d).withColumn("z", (F.col("n") - F.min("n").over(w)) / F.nullif(F.max("n").over(w) - F.min("n").over(w), F.lit(0)))
+    at = lambda f, x: F.round(F.coalesce(f(x, "month"), F.lit(0.5)), 6)
+    return q.groupBy("domain").agg(at(F.min_by, "z").alias("first"), at(F.max_by, "z").alias("last"), F.round(F.max_by("n", "month") / F.min_by("n", "month") - 1, 6).alias("growth"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -82,7 +82,8 @@ def content_text(content: Column) -> Column:
     own = lambda p: F.coalesce(F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), p)), p)
     joined = F.array_join(F.transform(F.filter(parts, lambda p: p.isNotNull()), own), "\n")
     plain = F.when(~F.ltrim(content).startswith("{"), content)
-    return F.trim(F.coalesce(joined, F.get_json_object(content, "$.text"), F.get_json_object(content, "$.value"), plain, F.lit("")))
+    found = F.coalesce(joined, F.get_json_object(content, "$.text"), F.get_json_object(content, "$.value"), plain, F.lit(""))
+    return F.regexp_replace(found, r"(?U)^\s+|\s+$", "")
 
 
 def export_nodes(export: DataFrame) -> DataFrame:
