@@ -49,6 +49,21 @@ def test_substring(spark):
     assert any(w[1] for w in want.values())
 
 
+@pytest.mark.parametrize(("segments", "most"), [(1, 1 << 20), (4, 2), (1 << 40, 1 << 20)])
+def test_substring_split(spark, monkeypatch, segments, most):
+    monkeypatch.setattr(fmindex, "SPLIT_SEGMENTS", segments)
+    monkeypatch.setattr(fmindex, "SPLIT_MOST", most)
+    passage = " ".join(f"p{i}" for i in range(22))
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(i % 9)) + " " + passage + " " + " ".join(f"e{i}w{j}" for j in range(9 - i % 9))) for i in range(80)]
+    rows += [(100 + i, rows[i][1] + (" " + passage) * (i % 3)) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute.substring(rows)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fmindex.dedup(df).collect()} == want
+    split = fmindex.split_minimizers(fmindex.shared_minimizers(df, 8))
+    # All minimizers of the passage have one level here, so a short list has none of them.
+    assert len(split) <= most and bool(len(split)) == (segments == 1)
+
+
 def test_substring_empty(spark):
     assert fmindex.dedup(frame(spark, ROWS).limit(0)).collect() == []
     assert [r["n_words"] for r in fmindex.dedup(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()] == [2]

@@ -3,7 +3,9 @@
 A window of 13 words is sharded by its minimizer, the least hash of the six-word grams in it, so equal
 windows meet in one shard and no shard is searched for all documents.  Runs of windows with one
 minimizer travel together as a segment.  In a shard the distinct segments are indexed: suffixes sorted
-to the depth of a window, the Burrows-Wheeler transform in a wavelet matrix of packed bits.  Backward
+to the depth of a window, the Burrows-Wheeler transform in a wavelet matrix of packed bits.  A minimizer
+that many segments have, as one in a common passage, is split: its windows are sharded one by one, by
+their own hashes, so its shard doesn't grow with the number of documents around the passage.  Backward
 search then gives every streamed window its suffix interval (its matching statistic reaches the
 threshold where the interval isn't empty) and the least document in it.
 
@@ -27,6 +29,10 @@ WINDOW, GRAM, LONGEST = 13, 6, 32
 BROADCAST_BYTES = 32 << 20
 #: Input bytes of one shard, and the bound of the filter of shared minimizers.
 SHARD_BYTES, FILTER_BYTES = 4 << 20, 64 << 20
+#: Segments of one minimizer from which on its windows are sharded one by one, and the most minimizers so
+#: listed; where there are more, the limit is doubled until the list is as short.
+SPLIT_SEGMENTS, SPLIT_MOST = 4_096, 1 << 20
+_LEVELS = 40
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -162,8 +168,10 @@ def _bloom_bits(v: np.ndarray, size: int) -> np.ndarray:
 def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
     """A stored table of the minimizers that several documents have, as blobs with their number; only their windows can be repeated.
 
-    In a block of texts a minimizer goes on once, with one of its documents and whether it has several, so
-    a passage that a third of all documents have is sent once a block.
+    In a block of texts a minimizer goes on once, with one of its documents, its distinct segments and
+    whether it has several documents, so a passage that a third of all documents have is sent once a
+    block.  ``often`` holds those with many segments, each with its level (how often SPLIT_SEGMENTS has
+    to be doubled to exceed its segments), and ``levels`` their numbers by level.
     """
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -172,31 +180,57 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
         for batch in batches:
             doc_ids = B.ids(batch)
             for a, n, data, offs in B.text_blocks(batch, block_bytes=2 * B.BLOCK_BYTES):
-                v, doc, _, _ = segments(*_hashed(data, offs), window)
+                h, first = _hashed(data, offs)
+                v, doc, p, size = segments(h, first, window)
+                seg = _sequence_hashes(h, p, size + window - 1)
                 doc = doc_ids[a : a + n][doc]
-                order = np.argsort(v, kind="stable")
-                v, doc = v[order], doc[order]
+                order = np.lexsort((seg, v))
+                v, doc, seg = v[order], doc[order], seg[order]
                 at = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
                 if not len(at):
                     continue
                 many = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
+                new = np.append(True, (v[1:] != v[:-1]) | (seg[1:] != seg[:-1]))
+                distinct = np.add.reduceat(new.astype(np.int32), at)
                 bucket = (v[at] >> np.uint64(40)) % np.uint64(buckets)
-                rows = [(k, B.pack(v[at[i]], doc[at[i]], many[i])) for k, i in B.split_by(bucket)]
+                rows = [(k, B.pack(v[at[i]], doc[at[i]], distinct[i].astype(np.int32), many[i])) for k, i in B.split_by(bucket)]
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], blob=[r[1] for r in rows])
 
     @B.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [B.unpack(blob, "u8", "i8", "?") for batch in batches for blob in batch.column(1).to_pylist()]
+        parts = [B.unpack(blob, "u8", "i8", "i4", "?") for batch in batches for blob in batch.column(1).to_pylist()]
         if parts:
-            v, doc, many = (np.concatenate(x) for x in zip(*parts, strict=True))
+            v, doc, n, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(v, kind="stable")
-            v, doc, many = v[order], doc[order], many[order]
+            v, doc, n, many = v[order], doc[order], n[order], many[order]
             at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
             ok = np.maximum.reduceat(many, at) | (np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at))
-            v = v[at[ok]]
-            yield B.row_batch(pa.schema([("n", pa.int64()), ("blob", pa.binary())]), n=[len(v)], blob=[v.tobytes()])
+            v, n = v[at[ok]], np.add.reduceat(n.astype(np.int64), at)[ok]
+            hot = np.flatnonzero(n > SPLIT_SEGMENTS)
+            level = np.minimum(np.log2(n[hot] / SPLIT_SEGMENTS), _LEVELS - 1).astype(np.int8)
+            yield B.row_batch(out, n=[len(v)], blob=[v.tobytes()], often=[B.pack(v[hot], level)], levels=[np.bincount(level, minlength=_LEVELS)])
+
+    out = pa.schema([("n", pa.int64()), ("blob", pa.binary()), ("often", pa.binary()), ("levels", pa.list_(pa.int64()))])
+    kind = "n long, blob binary, often binary, levels array<long>"
+    return B.stored(docs.mapInArrow(send, "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(meet, kind), "fm-minimizers")
+
+
+def split_minimizers(shared: DataFrame) -> np.ndarray:
+    """The sorted minimizers whose windows are sharded one by one, SPLIT_MOST at most: those of the lowest level from which on they are so few."""
+    by_level = shared.agg(*[F.coalesce(F.sum(F.get("levels", F.lit(i))), F.lit(0)).alias(f"l{i}") for i in range(_LEVELS)]).first()
+    least = _LEVELS
+    while least and sum(by_level[least - 1 :]) <= SPLIT_MOST:
+        least -= 1
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                v, level = B.unpack(blob, "u8", "i1")
+                if (level >= least).any():
+                    yield B.row_batch(pa.schema([("blob", pa.binary())]), blob=[v[level >= least].tobytes()])
 
-    return B.stored(docs.mapInArrow(send, "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(meet, "n long, blob binary"), "fm-minimizers")
+    found = [np.frombuffer(bytes(r["blob"]), np.uint64) for r in shared.select("often").mapInArrow(pick, "blob binary").collect()]
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def minimizer_filter(shared: DataFrame) -> np.ndarray | None:
@@ -253,12 +287,20 @@ def _segment_rows(docs: DataFrame, buckets: int, window: int, content: bool, sen
             for a, n, data, offs in B.text_blocks(batch):
                 h, first = _hashed(data, offs)
                 v, doc, p, size = segments(h, first, window)
-                if sent.value is not None:
-                    own = _passes(sent.value, v)
+                bloom, often = sent.value
+                if bloom is not None:
+                    own = _passes(bloom, v)
                     v, doc, p, size = v[own], doc[own], p[own], size[own]
                 if not len(v):
                     continue
+                hot = np.zeros(len(v), bool)
+                if len(often):
+                    hot = often[np.minimum(np.searchsorted(often, v), len(often) - 1)] == v
+                    one = _ranges(p[hot], size[hot])
+                    doc = np.concatenate([doc[~hot], np.repeat(doc[hot], size[hot])])
+                    p, size = np.concatenate([p[~hot], one]), np.concatenate([size[~hot], np.ones(len(one), size.dtype)])
                 seg = _sequence_hashes(h, p, size + window - 1)
+                v = np.concatenate([v[~hot], seg[len(v) - int(hot.sum()) :]])
                 owner = doc_ids[a : a + n][doc]
                 if content:
                     order = np.lexsort((owner, seg))
@@ -317,7 +359,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     buckets = B.bucket_count(src, SHARD_BYTES)
-    sent = docs.sparkSession.sparkContext.broadcast(minimizer_filter(shared_minimizers(src, buckets, window)))
+    shared = shared_minimizers(src, buckets, window)
+    sent = docs.sparkSession.sparkContext.broadcast((minimizer_filter(shared), split_minimizers(shared)))
 
     @B.tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
