@@ -212,7 +212,7 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
 
     out = pa.schema([("n", pa.int64()), ("blob", pa.binary()), ("often", pa.binary()), ("levels", pa.list_(pa.int64()))])
     kind = "n long, blob binary, often binary, levels array<long>"
-    return B.stored(docs.mapInArrow(send, "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(meet, kind), "fm-minimizers")
+    return B.stored(docs.mapInArrow(send, "bucket int, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(meet, kind), "fm-minimizers")
 
 
 def split_minimizers(shared: DataFrame) -> np.ndarray:
@@ -374,7 +374,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             seg, size, first = _search_shard(seg, doc, size.astype(np.int64), flat, window)
             yield B.row_batch(schema, bucket=[k], kind=[0], seg=[seg.tobytes()], doc=[first.tobytes()], size=[size.astype(np.int32).tobytes()])
 
-    found = _segment_rows(src, buckets, window, True, sent).repartition(buckets, "bucket").mapInArrow(search, "bucket int, kind int, seg binary, doc binary, size binary")
+    found = _segment_rows(src, buckets, window, True, sent).repartitionById(buckets, F.col("bucket")).mapInArrow(search, "bucket int, kind int, seg binary, doc binary, size binary")
     places = _segment_rows(src, buckets, window, False, sent).select("bucket", F.lit(1).alias("kind"), "seg", "doc", "size")
 
     @B.tidy
@@ -411,7 +411,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows = [(k, B.pack(d[i], a[i], e[i])) for k, i in B.split_by(d % buckets)]
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], blob=[r[1] for r in rows])
 
-    marked = found.unionByName(places).repartition(buckets, "bucket").sortWithinPartitions("kind").mapInArrow(mark, "bucket int, blob binary")
+    marked = found.unionByName(places).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(mark, "bucket int, blob binary")
 
     @B.tidy
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +432,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         owner, cut = np.unique(d[first], return_index=True)
         yield B.row_batch(pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]), doc_id=owner, spans=[x.tobytes() for x in np.split(pair, cut[1:])])
 
-    return B.stored(marked.repartition(buckets, "bucket").mapInArrow(union, "doc_id long, spans binary"), "fm-spans")
+    return B.stored(marked.repartitionById(buckets, F.col("bucket")).mapInArrow(union, "doc_id long, spans binary"), "fm-spans")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
