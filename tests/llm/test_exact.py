@@ -223,6 +223,22 @@ def test_packing(spark):
     assert packing.pack(packing.stored_pieces(frame(spark, rows).limit(0), path)).collect() == []
 
 
+def test_packing_added_token(spark):
+    """The ids are the tokenizer's own, with nothing set, also where a text holds an added token's content."""
+    path = _tokenizer()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    assert t.encode("end <|endoftext|> next", add_special_tokens=False).ids == [437, 220, 50256, 1306]
+    texts = ["end <|endoftext|> next", "end next", "<|endoftext|>", "a <|endoftext|><|endoftext|>\n日本", "a <|endof", "text|> b", "endoftext <| |>", "", "é <|endoftext|>" * 900]
+    # One block, and texts that hold the content only together.
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, with_ids=True).collect()
+    ids = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["piece"])):
+        ids[r["doc_id"]] += r["ids"]
+    assert ids == {d: t.encode(x, add_special_tokens=False).ids + [0] for d, x in enumerate(texts)}
+
+
 def test_plan():
     r = np.random.default_rng(2)
     for n in (1, 50, 20_000):

@@ -31,7 +31,8 @@ class Encoder:
 
     A byte-level BPE works on pre-tokens alone, so each distinct pre-token goes through the tokenizer
     once a worker and texts are put together from a table of known ones.  Pre-tokens are found in numpy
-    for texts of Latin code points; a text with any other goes through the tokenizer whole.
+    for texts of Latin code points; a text with any other, or with the content of an added token, which the
+    tokenizer takes out before it cuts pre-tokens, goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -40,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.kind = np.full(0x250, 9, np.uint8)
         for c in range(0x250):
             ch = chr(c)
@@ -61,6 +62,16 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def holders(self, raw: bytes, offs: np.ndarray) -> np.ndarray:
+        """The texts in which an added token's content begins."""
+        at = []
+        for content in self.added:
+            i = raw.find(content)
+            while i >= 0:
+                at.append(i)
+                i = raw.find(content, i + 1)
+        return np.unique(np.searchsorted(offs, np.array(at, np.int64), "right") - 1)
+
     def starts(self, cp: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Whether a pre-token begins at each code point; ``edge`` marks the first of each text."""
         c = self.kind[np.minimum(cp, 0x24F)]
@@ -93,14 +104,15 @@ class Encoder:
         n = len(offs) - 1
         lead = (data & 0xC0) != 0x80
         byte_at = np.flatnonzero(lead)
-        cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+        raw = data.tobytes()
+        cp = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
         if len(cp) != len(byte_at):
             raise ValueError("text is not UTF-8")
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         cp_offs = np.searchsorted(byte_at, offs)
         odd = np.flatnonzero((cp >= 0x250) | (self.kind[np.minimum(cp, 0x24F)] == 9))
-        slow = np.unique(np.searchsorted(cp_offs, odd, "right") - 1)
+        slow = np.union1d(np.searchsorted(cp_offs, odd, "right") - 1, self.holders(raw, offs))
         edge = np.zeros(len(cp), bool)
         edge[cp_offs[:-1][np.diff(cp_offs) > 0]] = True
         start = self.starts(cp, edge)
@@ -122,7 +134,6 @@ class Encoder:
         known[inside] = self.keys[where[inside]] == own[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            raw = data.tobytes()
             ids = self.whole([raw[b0[i] : b1[i]].decode() for i in at0[new].tolist()])
             size = np.array([len(x) for x in ids], np.int64)
             flat = np.concatenate(ids)
@@ -143,7 +154,6 @@ class Encoder:
         if not len(slow):
             return ids, count
         parts = [ids[count[d] : count[d + 1]] for d in range(n)]
-        raw = data.tobytes()
         for d, x in zip(slow.tolist(), self.whole([raw[offs[d] : offs[d + 1]].decode() for d in slow.tolist()]), strict=True):
             parts[d] = x
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
