@@ -69,6 +69,25 @@ def test_language_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_all_training_text_counts(spark, monkeypatch):
+    """Few long documents beside many short ones: each language is learnt, from all of its text."""
+    monkeypatch.setattr(langid, "SLICE", 50_000)
+    monkeypatch.setattr(langid, "HELD", 40)
+    r = random.Random(4)
+    say = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    rows = [(i, say("abc é", 3_000_000), "x") for i in range(3)] + [(10, say("def ", 5_000_000), "y")] + [(20 + i, say("gh i", 500), "y") for i in range(100)] + [(200, "q", "z")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model.langs == ["x", "y", "z"]
+    want = defaultdict(int)
+    for _, t, lang in rows:
+        b = t.encode()
+        g, n = np.unique(langid.grams(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0], return_counts=True)
+        for k, c in zip(g.tolist(), n.tolist(), strict=True):
+            want[k, lang] += c
+    level = model.level[0]
+    assert {(k, lang): n for k, row in zip(level["keys"].tolist(), level["n"].tolist(), strict=True) for lang, n in zip(model.langs, row, strict=True) if n} == want
+
+
 def _bad_and_good(n=600):
     r = random.Random(3)
     vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(400)]

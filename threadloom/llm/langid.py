@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-#: Bound of the training sample, in bytes of text a language (whole texts, picked by a hash of doc_id).
-SAMPLE_BYTES = 1_000_000
+#: Bytes of text that are counted at once, fours that a task holds at once, and fours whose code lengths are worked out at once.
+SLICE, HELD, ROWS = 4 << 20, 1 << 20, 1 << 18
 PAD = np.uint8(10)
 EXTRA = 400_000
 
@@ -66,7 +66,7 @@ class Model:
             up["excluded"] = np.zeros_like(up["total"])
             np.add.at(up["excluded"], up["cinv"], np.where(up["n"] > 0, below, 0))
         self.keys = self.level[0]["keys"]
-        self.costs = self.code_lengths(self.keys)
+        self.costs = np.concatenate([self.code_lengths(self.keys[a : a + ROWS]) for a in range(0, max(len(self.keys), 1), ROWS)])
 
     @staticmethod
     def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,43 +146,93 @@ class Scorer:
         return out
 
 
-def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """A model from rows (doc_id, text, lang).  Rows without text or lang don't count; None if none is left.
+def gram_counts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct fours, counts) of a block; a document longer than ``SLICE`` is counted slice by slice, each with the three bytes before it."""
+    if len(data) <= SLICE or len(offs) > 2:
+        yield np.unique(grams(data, offs)[0], return_counts=True)
+        return
+    for a in range(0, len(data), SLICE):
+        part = data[max(a - 3, 0) : a + SLICE]
+        yield np.unique(grams(part, np.array([0, len(part)]))[0][min(a, 3) :], return_counts=True)
 
-    Every language gets about ``sample_bytes`` of text, the rows picked by a hash of their id, so what the
-    driver holds has a fixed bound however large the table or its largest language is.
+
+class Counts:
+    """Counts of fours by language, summed whenever as many as ``HELD`` more have come."""
+
+    def __init__(self):
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held, self.size = 0, 0
+
+    def add(self, lang: str, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.setdefault(lang, []).append((keys, n.astype(np.int64)))
+        self.held += len(keys)
+        if self.held > self.size + HELD:
+            self.sums()
+
+    def sums(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        for lang, rows in self.parts.items():
+            if len(rows) > 1:
+                keys, inv = np.unique(np.concatenate([k for k, _ in rows]), return_inverse=True)
+                n = np.zeros(len(keys), np.int64)
+                np.add.at(n, inv, np.concatenate([x for _, x in rows]))
+                self.parts[lang] = [(keys, n)]
+        self.held = self.size = sum(len(rows[0][0]) for rows in self.parts.values())
+        return {lang: rows[0] for lang, rows in self.parts.items()}
+
+
+def fit(labelled: DataFrame) -> Model | None:
+    """A model from all rows (doc_id, text, lang).  Rows without text or lang don't count; None if none is left.
+
+    Every byte of every language's text is counted, on the executors: a task sums its own rows, and the
+    sums are dealt by the four bytes and summed again.  The driver gets each distinct four of a language
+    once, whose number grows far slower than the text.
     """
-    known = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["b"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("b")).collect()}
-    if not sizes:
-        return None
-    langs = sorted(sizes)
-    share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, sample_bytes / sizes[lang]))])
-    picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
+    known = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text")
+    buckets = B.partitions(labelled.sparkSession)
+    schema = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("blob", pa.binary())])
+
+    def rows(counts: Counts) -> Iterator[pa.RecordBatch]:
+        for lang, (keys, n) in counts.sums().items():
+            for k, i in B.split_by(B.mix(keys.astype(np.uint64)) % np.uint64(buckets)):
+                yield B.row_batch(schema, bucket=[k], lang=[lang], blob=[B.pack(keys[i], n[i])])
 
     @B.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("blob", pa.binary())])
+        counts = Counts()
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
             for lang in np.unique(names):
                 part = batch.take(pa.array(np.flatnonzero(names == lang)))
                 for _, _, data, offs in B.text_blocks(part):
-                    keys, n = np.unique(grams(data, offs)[0], return_counts=True)
-                    yield B.row_batch(schema, lang=[lang], blob=[B.pack(keys, n.astype(np.uint32))])
+                    for keys, n in gram_counts(data, offs):
+                        counts.add(lang, keys, n)
+            if counts.size > 2 * HELD:
+                yield from rows(counts)
+                counts = Counts()
+        yield from rows(counts)
 
-    found: dict[str, list] = {lang: [] for lang in langs}
-    for r in picked.mapInArrow(count, "lang string, blob binary").collect():
-        found[r["lang"]].append(B.unpack(bytes(r["blob"]), "u4", "u4"))
-    keys = np.unique(np.concatenate([k for rows in found.values() for k, _ in rows] or [np.zeros(0, np.uint32)]))
+    @B.tidy
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for batch in batches:
+            for lang, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                counts.add(lang, *B.unpack(blob, "u4", "i8"))
+        for lang, (keys, n) in counts.sums().items():
+            yield B.row_batch(schema, bucket=[0], lang=[lang], blob=[B.pack(keys, n)])
+
+    kind = "bucket int, lang string, blob binary"
+    found: dict[str, list] = {}
+    for r in known.mapInArrow(count, kind).repartition(buckets, "bucket").mapInArrow(total, kind).collect():
+        found.setdefault(r["lang"], []).append(B.unpack(bytes(r["blob"]), "u4", "i8"))
+    if not found:
+        return None
+    langs = sorted(found)
+    keys = np.unique(np.concatenate([k for rows in found.values() for k, _ in rows]))
     counts = np.zeros((len(keys), len(langs)))
     for j, lang in enumerate(langs):
         for k, n in found[lang]:
             counts[np.searchsorted(keys, k), j] += n
-    used = counts.sum(0) > 0  # a language whose few rows the hash passed over can't be told
-    if not used.any():
-        return None
-    return Model([lang for lang, u in zip(langs, used, strict=True) if u], keys, counts[:, used])
+    return Model(langs, keys, counts)
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[Column] | None = None) -> DataFrame:
