@@ -176,3 +176,46 @@ def test_rules_and_segments(spark):
     for word in ("spamafarm", "xspam", "aaa", "farmsp", "zz"):
         assert abs(cost(urlfilter.segment(word, costs, 9.0)) - min(map(cost, splits(word)))) < 1e-9
     assert urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string").limit(0)).collect() == []
+
+
+def test_url_words_and_tokens_without_bounds(spark, monkeypatch):
+    """Rare and long words split hosts, and long path tokens with one beginning stay apart."""
+    r = random.Random(6)
+    rare = ["".join(r.choice("bcdfg") for _ in range(7)) for _ in range(21_000)]
+    long, stem = "verylongwordoftwentyfiveletters", "x" * 70
+    html = " ".join(["bcd", "dfg", long, long] * 3 + rare)
+    pages = [(1, f"http://{long}.com/en/{stem}a", html), (2, f"http://{rare[-1]}{rare[5]}.net/de/{stem}b", None), (3, "http://bcd9dfg.com/en/77", "")]
+    pages += [(4, f"http://{long}dfg{rare[7]}.info/{stem}a", "x"), (5, f"http://q.info/{stem}b-12", "x"), (6, None, "x"), (7, f"http://{rare[-1]}{rare[5]}.info", "x"), (7, f"http://{rare[-1]}{rare[5]}.info", "x")]
+    words = defaultdict(int)
+    for w in (html + " x x x x x").split():
+        words[w] += 1
+    total = sum(words.values())
+    unseen = math.log(total) + 2
+
+    def split(run):
+        best = [(0.0, [])]
+        for e in range(1, len(run) + 1):
+            best.append(min(((best[s][0] + (-math.log(words[run[s:e]] / total) if run[s:e] in words else unseen + 4 * (e - s)), [*best[s][1], run[s:e]]) for s in range(e - 1, -1, -1)), key=lambda c: c[0]))
+        return best[-1][1]
+
+    def tokens(url):
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        runs = "".join(c if c.islower() else " " for c in host).split()
+        pieces = [p for p in path.replace("-", "/").replace(".", "/").split("/") if p]
+        return ["h:" + w for run in runs for w in split(run)] + ["p:" + (f"#{len(p)}" if p.isdigit() else p) for p in pieces]
+
+    said = {1: "block", 2: "allow", 3: "block"}
+    seen = {v: defaultdict(int) for v in ("allow", "block")}
+    for i, u, _ in pages:
+        for t in tokens(u) if i in said else ():
+            seen[said[i]][t] += 1
+    kinds = len(seen["allow"].keys() | seen["block"].keys())
+    size = {v: sum(seen[v].values()) + kinds + 1 for v in seen}
+    want = {i: math.log(3 / 5) - math.log(2 / 5) + sum(math.log((seen["block"][t] + 1) / size["block"]) - math.log((seen["allow"][t] + 1) / size["allow"]) for t in tokens(u)) for i, u, _ in pages}
+    for few in (100_000, 0):
+        monkeypatch.setattr(urlfilter, "SMALL_ROWS", few, raising=False)
+        got = urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+        assert len(got) == len(pages)
+        for x in got:
+            assert abs(x["block_log_odds"] - want[x["page_id"]]) < 1e-9, x
+            assert x["verdict"] == said.get(x["page_id"], "block" if want[x["page_id"]] > 0 else "allow")

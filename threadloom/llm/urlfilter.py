@@ -1,7 +1,8 @@
 """URL filters: rules by longest match, and a naive Bayes verdict over words that a unigram Viterbi pass finds in host names.
 
 The tables hold no verdicts but the rules', so the pages that a rule decides are the labelled
-examples.  Word counts for the segmentation come from the visible text of all pages.
+examples.  Word counts for the segmentation come from the visible text of all pages.  Words and tokens
+are counted without a bound and stay tables: what a host or a path needs of them is joined to it.
 """
 
 from __future__ import annotations
@@ -16,11 +17,8 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Bound of the segmentation's dictionary: its most frequent words.  Rarer words spell themselves by length.
-VOCABULARY = 20_000
-MAX_WORD = 20
-#: Bound of the classifier's token table; rarer tokens count as unseen.
-TOKENS = 50_000
+#: Tables of at most so many tokens, runs or hosts are broadcast; larger ones are joined by a shuffle.
+SMALL_ROWS = 100_000
 
 
 def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -42,13 +40,16 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]] =
     return rule, verdict
 
 
-def word_costs(pages: DataFrame, html_col: str = "html", vocabulary: int = VOCABULARY) -> dict[str, float]:
-    """-log probability of the most frequent words of all pages' visible text (ties: by the word)."""
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcasting where it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(w, n) of every word of all pages' visible text, as a stored table."""
     plain = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("w")).where((F.length("w") > 0) & (F.length("w") <= MAX_WORD))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary).collect()
-    total = sum(r["count"] for r in top) or 1
-    return {r["w"]: -math.log(r["count"] / total) for r in top}
+    words = pages.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("w")).where(F.length("w") > 0)
+    return B.stored(words.groupBy("w").agg(F.count("*").alias("n")), "url-words")
 
 
 def segment(label: str, costs: dict[str, float], unseen: float) -> list[str]:
@@ -58,13 +59,20 @@ def segment(label: str, costs: dict[str, float], unseen: float) -> list[str]:
     where known words can't cover the label.  Ties take the shorter last word.
     """
     n = len(label)
+    lengths = sorted({len(w) for w in costs})
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    start = 0  # where the best unknown last word begins
     for e in range(1, n + 1):
-        for s in range(e - 1, max(-1, e - MAX_WORD - 1), -1):
-            w = label[s:e]
-            c = best[s] + (costs[w] if w in costs else unseen + 4.0 * (e - s))
-            if c < best[e]:
-                best[e], back[e] = c, s
+        if best[e - 1] - 4.0 * (e - 1) <= best[start] - 4.0 * start:
+            start = e - 1
+        c, s = best[start] + unseen + 4.0 * (e - start), start
+        for k in lengths:
+            if k > e:
+                break
+            w = label[e - k : e]
+            if w in costs and (best[e - k] + costs[w], k) < (c, e - s):
+                c, s = best[e - k] + costs[w], e - k
+        best[e], back[e] = c, s
     out, e = [], n
     while e:
         out.append(label[back[e] : e])
@@ -72,58 +80,75 @@ def segment(label: str, costs: dict[str, float], unseen: float) -> list[str]:
     return out[::-1]
 
 
-def url_tokens(host: str, path: str, costs: dict[str, float], unseen: float, seen: dict[str, list[str]]) -> list[str]:
-    """Host words (each label of the host, cut at non-letters, segmented) and path tokens; digits count by their number of places."""
-    key = host
-    if key not in seen:
-        if len(seen) > 100_000:  # a cache only
-            seen.clear()
-        words = []
-        for part in host.split("."):
-            run = ""
-            for ch in part + "-":
-                if "a" <= ch <= "z":
-                    run += ch
-                else:
-                    if run:
-                        words += ["h:" + w for w in segment(run, costs, unseen)]
-                    run = ""
-        seen[key] = words
-    out = list(seen[key])
-    for piece in path.lower().replace(".", "/").replace("-", "/").replace("_", "/").split("/"):
-        if piece:
-            out.append("p:" + (f"#{len(piece)}" if piece.isdigit() else piece[:64]))
-    return out
-
-
-def tokens_of(parts: DataFrame, costs: dict[str, float], keep: str) -> DataFrame:
-    """(keep, tokens array) of every row, by a pandas function over host and path; the dictionary has a fixed bound and goes to each task once."""
-    sent = parts.sparkSession.sparkContext.broadcast(costs)
-    unseen = max(costs.values(), default=10.0) + 2.0
+def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, tokens) of a stored table of distinct hosts: each label, cut at non-letters, segmented by the counts of the words in it."""
+    told = counts.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.sort_array(F.collect_set(F.length("w"))).alias("lengths")).first()
+    total, lengths = told["total"], told["lengths"]
+    unseen = (-math.log(told["least"] / total) if total else 10.0) + 2.0
+    parts = hosts.select("host", F.posexplode(F.filter(F.split("host", "[^a-z]+"), lambda r: r != "")).alias("pos", "run"))
+    runs = B.stored(parts.select("run").distinct(), "url-runs")
+
+    def substrings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple[str, str]] = []
+        for x in frames:
+            for run in x["run"]:
+                for k in lengths:
+                    if k > len(run):
+                        break
+                    rows += [(run, w) for w in {run[i : i + k] for i in range(len(run) - k + 1)}]
+                    if len(rows) > 10_000:
+                        yield pd.DataFrame(rows, columns=["run", "w"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["run", "w"])
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            words = [segment(run, {} if k is None else {r["w"]: -math.log(r["n"] / total) for r in k}, unseen) for run, k in zip(x["run"], x["known"], strict=True)]
+            yield pd.DataFrame({"run": x["run"], "words": words})
+
+    known = runs.mapInPandas(substrings, "run string, w string").join(counts, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    words = B.stored(runs.join(known, "run", "left").mapInPandas(split, "run string, words array<string>"), "url-segments")
+    found = parts.join(small(words), "run").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda p: p["words"])).alias("words"))
+    return B.stored(found.select("host", F.transform("words", lambda w: F.concat(F.lit("h:"), w)).alias("tokens")), "url-hosts")
+
+
+def path_tokens(path: str) -> list[str]:
+    """Tokens of a path; digits count by their number of places."""
+    pieces = path.lower().replace(".", "/").replace("-", "/").replace("_", "/").split("/")
+    return ["p:" + (f"#{len(p)}" if p.isdigit() else p) for p in pieces if p]
+
+
+def with_path_tokens(paths: DataFrame) -> DataFrame:
+    """(path, tokens) of distinct paths, as a stored table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[str]] = {}
-        table = sent.value
         for x in frames:
-            yield pd.DataFrame({"key": x["key"], "tokens": [url_tokens(h, p, table, unseen, seen) for h, p in zip(x["host"], x["path"], strict=True)]})
+            yield pd.DataFrame({"path": x["path"], "tokens": [path_tokens(p) for p in x["path"]]})
 
-    kind = parts.schema[keep].dataType.simpleString()
-    return parts.select(F.col(keep).alias("key"), "host", "path").mapInPandas(run, f"key {kind}, tokens array<string>")
+    return B.stored(paths.mapInPandas(run, "path string, tokens array<string>"), "url-paths")
 
 
-def fit(labelled: DataFrame, costs: dict[str, float], alpha: float = 1.0, tokens: int = TOKENS) -> dict:
-    """Multinomial naive Bayes from (host, path, verdict): token counts are summed by Spark, and at most ``tokens`` of the most frequent come to the driver."""
-    # The counts don't need ids: equal (host, path) rows are summed first.
+def fit(labelled: DataFrame, hosts: DataFrame, paths: DataFrame, alpha: float = 1.0) -> tuple[float, DataFrame, float]:
+    """Multinomial naive Bayes from (host, path, verdict): (bias, stored table (token, weight) of every token, weight of an unseen one)."""
     base = labelled.groupBy("host", "path", "verdict").agg(F.count("*").alias("n"))
-    told = tokens_of(base.select(F.struct("verdict", "n").alias("k"), "host", "path"), costs, "k").select("key.verdict", "key.n", F.explode("tokens").alias("token"))
-    counts = told.groupBy("token").agg(*[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")])
-    rows = counts.orderBy(F.desc(F.col("allow") + F.col("block")), "token").limit(tokens).collect()
+    sums = [F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")]
+    # Equal hosts and equal paths are summed before they meet their tokens.
+    told = [base.groupBy(k).agg(*sums).join(tokens, k).select("allow", "block", F.explode("tokens").alias("token")) for k, tokens in (("host", hosts), ("path", paths))]
+    counts = B.stored(told[0].unionByName(told[1]).groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-tokens")
+    all_ = counts.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in ("allow", "block")]).first()
     prior = {r["verdict"]: r["n"] for r in base.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
-    total = {v: sum(r[v] for r in rows) + alpha * (len(rows) + 1) for v in ("allow", "block")}
+    total = {v: all_[v] + alpha * (all_["n"] + 1) for v in ("allow", "block")}
     n = sum(prior.values())
     bias = math.log((prior.get("block", 0) + 1) / (n + 2)) - math.log((prior.get("allow", 0) + 1) / (n + 2))
-    weight = {r["token"]: math.log((r["block"] + alpha) / total["block"]) - math.log((r["allow"] + alpha) / total["allow"]) for r in rows}
-    return {"bias": bias, "weight": weight, "unseen": math.log(alpha / total["block"]) - math.log(alpha / total["allow"])}
+    weight = F.log((F.col("block") + alpha) / total["block"]) - F.log((F.col("allow") + alpha) / total["allow"])
+    return bias, counts.select("token", weight.alias("weight")), math.log(alpha / total["block"]) - math.log(alpha / total["allow"])
+
+
+def token_sums(tokens: DataFrame, key: str, weights: DataFrame, unseen: float, name: str) -> DataFrame:
+    """(key, name): the summed weights of each row's tokens, in their order, as a stored table."""
+    each = tokens.select(key, F.posexplode("tokens").alias("pos", "token")).join(weights, "token", "left")
+    own = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("weight", F.lit(unseen)).alias("weight"))))
+    return B.stored(each.groupBy(key).agg(F.aggregate(own, F.lit(0.0), lambda a, t: a + t["weight"]).alias(name)), "url-" + name)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -136,19 +161,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     base = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = base.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
-    costs = word_costs(base)
-    model = fit(ruled.where(F.col("said").isNotNull()).select("host", "path", F.col("said").alias("verdict")), costs)
-    sent, sent_costs = pages.sparkSession.sparkContext.broadcast(model), pages.sparkSession.sparkContext.broadcast(costs)
-    unseen_word = max(costs.values(), default=10.0) + 2.0
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[str]] = {}
-        m, table = sent.value, sent_costs.value
-        for x in frames:
-            odds = [m["bias"] + sum(m["weight"].get(t, m["unseen"]) for t in url_tokens(h, p, table, unseen_word, seen)) for h, p in zip(x["host"], x["path"], strict=True)]
-            x["block_log_odds"] = odds
-            x["verdict"] = [s if s is not None and s == s else "block" if o > 0 else "allow" for s, o in zip(x["said"], odds, strict=True)]
-            yield x[["page_id", "host", "path", "rule", "verdict", "block_log_odds"]]
-
-    kind = ruled.schema["page_id"].dataType.simpleString()
-    return ruled.mapInPandas(run, f"page_id {kind}, host string, path string, rule string, verdict string, block_log_odds double")
+    ruled = B.stored(ruled, "url-pages")
+    hosts = host_tokens(B.stored(ruled.select("host").distinct(), "url-names"), word_counts(base))
+    paths = with_path_tokens(ruled.select("path").distinct())
+    bias, weights, unseen = fit(ruled.where(F.col("said").isNotNull()).select("host", "path", F.col("said").alias("verdict")), hosts, paths)
+    weights = small(weights)
+    of_host, of_path = token_sums(hosts, "host", weights, unseen, "host_odds"), token_sums(paths, "path", weights, unseen, "path_odds")
+    odds = F.lit(bias) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0))
+    scored = ruled.join(small(of_host), "host", "left").join(small(of_path), "path", "left").withColumn("block_log_odds", odds)
+    verdict = F.coalesce("said", F.when(F.col("block_log_odds") > 0, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_log_odds")
