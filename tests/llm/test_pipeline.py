@@ -1,0 +1,91 @@
+"""The pipeline's stages, one after the other, against plain Python."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+sys.path.insert(0, str(Path(__file__).parents[2]))
+import brute  # noqa: E402
+import corpus_pipeline as cp  # noqa: E402
+
+
+def _words(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+PASSAGE, LEAK = _words("pass", 20), _words("leak", 15)
+DOCS = {
+    1: _words("a", 40),
+    2: _words("a", 40),  # a copy
+    3: _words("b", 30) + " " + PASSAGE,
+    4: _words("c", 30) + " " + PASSAGE + " " + _words("d", 5),  # loses the passage
+    5: PASSAGE,  # nothing else than the passage of 3
+    6: _words("e", 20) + " " + LEAK,  # contaminated
+    7: "",
+    8: _words("f", 2500),  # more than one piece
+    9: "rejected " * 30,
+}
+
+
+def _write(spark, path):
+    rows = [(d, t, "en", "web", len(t)) for d, t in DOCS.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([("x", LEAK), ("y", _words("other", 12))], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_stages(spark, tmp_path, monkeypatch):
+    """What each stage leaves is what plain Python says of what the one before left."""
+    sf = _write(spark, f"file://{tmp_path}/t")
+    seen = {}
+    monkeypatch.setattr(cp.quality, "document_stats", lambda docs: docs.select("doc_id", "text"))
+    monkeypatch.setattr(cp.quality, "fit", lambda stats, labels: None)
+    monkeypatch.setattr(cp.quality, "score", lambda stats, model: stats.selectExpr("doc_id", "cast(coalesce(text, '') not like 'rejected%' as int) as predicted"))
+
+    def watched(name, stage):
+        def run(s, docs, d):
+            seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+            return stage(s, docs, d)
+
+        return run
+
+    monkeypatch.setattr(cp, "STAGES", [(n, watched(n, st)) for n, st in cp.STAGES])
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    packed = cp.run(spark, sf).collect()
+    assert list(seen) == ["quality", "near_duplicates", "substring_dedup", "decontamination", "packing"]
+    assert seen["quality"] == DOCS
+    assert seen["near_duplicates"] == {d: t for d, t in DOCS.items() if d != 9}
+    classes = brute.classes(list(seen["near_duplicates"].items()))
+    assert seen["substring_dedup"] == {d: t for d, t in seen["near_duplicates"].items() if classes[d][1] == d}
+    assert 2 not in seen["substring_dedup"] and {1, 3, 4, 5, 6, 7, 8} <= seen["substring_dedup"].keys()
+    cut = brute.substring(list(seen["substring_dedup"].items()))
+    assert seen["decontamination"].keys() == {d for d, (n, gone, _) in cut.items() if not gone or gone < n}
+    assert 5 not in seen["decontamination"]
+    assert seen["decontamination"][4] == _words("c", 30) + " " + _words("d", 5)
+    assert all(seen["decontamination"][d] == DOCS[d] for d in seen["decontamination"] if d != 4)
+    found = brute.contamination(list(seen["decontamination"].items()), [("x", LEAK), ("y", _words("other", 12))])
+    assert seen["packing"] == {d: t for d, t in seen["decontamination"].items() if not found[d][4]}
+    assert seen["packing"].keys() == {1, 3, 4, 7, 8}
+    t = Tokenizer.from_file(path)
+    size = {d: len(t.encode(x, add_special_tokens=False).ids) + 1 for d, x in seen["packing"].items()}
+    assert {d: sum(r["length"] for r in packed if r["doc_id"] == d) for d in size} == size
+    assert {r["doc_id"] for r in packed} == size.keys() and size[8] > 2048
+
+
+def test_quality_rejects(spark, tmp_path):
+    """The first stage drops exactly what the classifier rejects, and keeps rows and columns."""
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("no tables here")
+    docs = cp.table(spark, sf, "documents")
+    stats = cp.quality.document_stats(docs)
+    model = cp.quality.fit(stats, cp.table(spark, sf, "labels").where(cp.fold(cp.F.col("doc_id"), 3) != 1))
+    bad = {r["doc_id"] for r in cp.quality.score(stats, model).collect() if r["predicted"] == 0}
+    kept = cp.quality_stage(spark, docs, sf)
+    assert bad and kept.columns == cp.COLUMNS
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.select(*cp.COLUMNS).collect() if r["doc_id"] not in bad)
