@@ -130,6 +130,21 @@ def test_media(spark):
         assert feature.setdefault(r["payload_sha256"], (r["feature"], r["media_sha256"])) == (r["feature"], r["media_sha256"])
 
 
+def test_media_query_stores_pcm(spark, tmp_path):
+    """The query's PCM is in the shared folder, whole, though its rows leave it out."""
+    from threadloom.llm import queries
+
+    frame(spark, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op1_media(spark, str(tmp_path)).collect()}
+    tables = sorted(Path(blocks.work_dir(spark).removeprefix("file:")).glob("pcm16k-*"), key=lambda p: p.stat().st_mtime)
+    assert tables
+    stored = spark.read.parquet(f"file://{tables[-1]}").collect()
+    assert len(stored) == len(ROWS) and "pcm16k" not in next(iter(got.values()))
+    for r in stored:
+        assert len(r["pcm16k"]) == 4 * r["payload_bytes"]
+        assert got[r["doc_id"]]["feature"].endswith(f";pcm16k_crc32={zlib.crc32(r['pcm16k'])}")
+
+
 def test_companding_and_adpcm():
     assert (media.MULAW[0xFF], media.MULAW[0x7F], media.MULAW[0], media.MULAW[0x80]) == (0, 0, -32124, 32124)
     assert (media.ALAW[0xD5], media.ALAW[0x55], media.ALAW[0x2A], media.ALAW[0xAA]) == (8, -8, -32256, 32256)

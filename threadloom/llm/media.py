@@ -160,9 +160,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([i.slice(a, n), pa.array(size), pa.array(media, pa.binary())], schema=schema)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return B.stored(src.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media")
+    return B.stored(src.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media", **PACKED)
 
 
+#: Files and PCM take most of the disk; zstd keeps them smaller than the default codec.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 DECODED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm16k binary"
 
 
@@ -223,3 +225,8 @@ def decode(stored: DataFrame, with_pcm: bool = True) -> DataFrame:
                 a += n
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, DECODED)
+
+
+def store_decoded(stored: DataFrame) -> DataFrame:
+    """What ``decode`` makes of the stored files, PCM included, as a table in the shared folder."""
+    return B.stored(decode(stored), "pcm16k", **PACKED)
