@@ -6,10 +6,12 @@ minimizer travel together as a segment.  In a shard the distinct segments are in
 to the depth of a window, the Burrows-Wheeler transform in a wavelet matrix of packed bits.  A minimizer
 that many segments have, as one in a common passage, is split: its windows are sharded one by one, by
 their own hashes, so its shard doesn't grow with the number of documents around the passage.  Backward
-search then gives every streamed window its suffix interval (its matching statistic reaches the
-threshold where the interval isn't empty) and the least document in it.
+search then gives every window of the distinct segments, once each, its suffix interval and the least
+document in it.  Documents aren't searched: their places are joined to these answers by the segment's
+hash, and no match lengths are worked out.
 
-Words are 64-bit hashes in the index; 13 of them must agree for two windows to match.
+Words are 64-bit hashes in the index, and segments are told apart by one 64-bit hash of their words: two
+segments of one hash in a shard would take each other's answers.
 """
 
 from __future__ import annotations
