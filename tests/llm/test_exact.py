@@ -135,10 +135,11 @@ def test_media_query_stores_pcm(spark, tmp_path):
     from threadloom.llm import queries
 
     frame(spark, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda: set(Path(blocks.work_dir(spark).removeprefix("file:")).glob("pcm16k-*"))
+    before = found()  # the folder may be shared with earlier runs
     got = {r["doc_id"]: r for r in queries.op1_media(spark, str(tmp_path)).collect()}
-    tables = sorted(Path(blocks.work_dir(spark).removeprefix("file:")).glob("pcm16k-*"), key=lambda p: p.stat().st_mtime)
-    assert tables
-    stored = spark.read.parquet(f"file://{tables[-1]}").collect()
+    (new,) = found() - before
+    stored = spark.read.parquet(f"file://{new}").collect()
     assert len(stored) == len(ROWS) and "pcm16k" not in next(iter(got.values()))
     for r in stored:
         assert len(r["pcm16k"]) == 4 * r["payload_bytes"]
