@@ -190,14 +190,50 @@ def test_sharding(spark):
     assert sharding.assign(frame(spark, rows).limit(0)).collect() == []
 
 
-def test_tree_moves_only_where_weights_change(spark):
+def _descended(spark, trees, n=6000):
+    df = spark.range(n)
     from pyspark.sql import functions as F
 
+    for i, tree in enumerate(trees):
+        df = sharding.descend(df, F.col("id"), tree, [f"{level}{i}" for level in sharding.LEVELS])
+    return df.collect()
+
+
+def test_tree_moves_only_where_weights_change(spark):
+    """Keys move into the subtrees of the heavier shard, at every level, and nowhere else."""
     tree = sharding.layout(8)
     heavier = [(g, k, s, 3.0 if s == 5 else w) for g, k, s, w in tree]
-    df = spark.range(5000).select(sharding.descend(F.col("id"), tree)["shard"].alias("a"), sharding.descend(F.col("id"), heavier)["shard"].alias("b")).collect()
-    assert all(r["a"] == r["b"] or r["b"] == 5 for r in df)
-    assert abs(sum(r["b"] == 5 for r in df) / 5000 - 0.3) < 0.03
+    got = _descended(spark, [tree, heavier])
+    moved = [r for r in got if r["shard0"] != r["shard1"]]
+    # Shard 5 is in rack 2 of region 1: who moves enters that region, or its rack from the region, or the shard from the rack.
+    for r in moved:
+        assert r["region1"] == 1
+        if r["region0"] == 1:
+            assert r["rack1"] == 2
+        if r["rack0"] == 2:
+            assert r["shard1"] == 5
+    assert any(r["region0"] == 0 for r in moved) and any(r["rack0"] == 3 for r in moved) and any(r["rack0"] == 2 for r in moved)
+    assert abs(sum(r["shard1"] == 5 for r in got) / len(got) - 0.3) < 0.03
+    assert all(abs(sum(r["shard1"] == s for r in got) / len(got) - 0.1) < 0.02 for s in range(8) if s != 5)
+
+
+def test_tree_decides(spark):
+    """The tree itself places keys: the same shards under other regions and racks hold other keys, in the same shares."""
+    trees = [sharding.layout(8), [(0, 0, s, 1.0) for s in range(8)], [(s % 2, s % 4, s, 1.0) for s in range(8)]]
+    got = _descended(spark, trees)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        assert sum(r[f"shard{i}"] != r[f"shard{j}"] for r in got) > len(got) / 3
+    for i in range(3):
+        assert all(abs(sum(r[f"shard{i}"] == s for r in got) / len(got) - 1 / 8) < 0.02 for s in range(8))
+        where = {s: (g, k) for g, k, s, _ in trees[i]}
+        assert all((r[f"region{i}"], r[f"rack{i}"]) == where[r[f"shard{i}"]] for r in got)
+
+
+def test_tree_grows_by_one(spark):
+    for shards in (1, 2, 5, 8, 9):
+        got = _descended(spark, [sharding.layout(shards), sharding.grown(sharding.layout(shards))], 2000)
+        assert all(r["shard1"] in (r["shard0"], shards) for r in got)
+        assert abs(sum(r["shard1"] == shards for r in got) / len(got) - 1 / (shards + 1)) < 0.04
 
 
 def _tokenizer():
