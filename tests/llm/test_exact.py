@@ -130,20 +130,32 @@ def test_media(spark):
         assert feature.setdefault(r["payload_sha256"], (r["feature"], r["media_sha256"])) == (r["feature"], r["media_sha256"])
 
 
-def test_media_query_stores_pcm(spark, tmp_path):
-    """The query's PCM is in the shared folder, whole, though its rows leave it out."""
+def test_media_query_returns_pcm(spark, tmp_path):
+    """The query's rows carry the resampled PCM, whole: the samples themselves at the even places."""
     from threadloom.llm import queries
 
     frame(spark, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
-    found = lambda: set(Path(blocks.work_dir(spark).removeprefix("file:")).glob("pcm16k-*"))
-    before = found()  # the folder may be shared with earlier runs
-    got = {r["doc_id"]: r for r in queries.op1_media(spark, str(tmp_path)).collect()}
-    (new,) = found() - before
-    stored = spark.read.parquet(f"file://{new}").collect()
-    assert len(stored) == len(ROWS) and "pcm16k" not in next(iter(got.values()))
-    for r in stored:
-        assert len(r["pcm16k"]) == 4 * r["payload_bytes"]
-        assert got[r["doc_id"]]["feature"].endswith(f";pcm16k_crc32={zlib.crc32(r['pcm16k'])}")
+    got = queries.op1_media(spark, str(tmp_path)).collect()
+    text = dict(ROWS)
+    assert len(got) == len(ROWS)
+    for r in got:
+        pcm = np.frombuffer(r["pcm16k"], "<i2")
+        raw = (text[r["doc_id"]] or "").encode()
+        assert pcm[0::2].tolist() == media.MULAW[list(raw) + [255] * (r["payload_bytes"] - len(raw))].tolist()
+        assert r["feature"].endswith(f";pcm16k_crc32={zlib.crc32(r['pcm16k'])}")
+
+
+def test_resampling():
+    """A tone below the old half rate stays itself at twice the rate, and signals don't reach into each other."""
+    t = np.arange(1200)
+    tone = (9000 * np.sin(2 * np.pi * 0.35 * t)).astype(np.int16)
+    both = media.resample_double(np.concatenate([tone, -tone]), np.array([0, 1200, 2400]))
+    want = 9000 * np.sin(2 * np.pi * 0.35 * (np.arange(2400) / 2))
+    assert np.abs(both[100:2300] - want[100:2300]).max() < 12
+    assert both[:2400].tolist() == media.resample_double(tone, np.array([0, 1200])).tolist()
+    # No image of the tone above the old half rate.
+    power = np.abs(np.fft.rfft(both[:2400] * np.hanning(2400)))
+    assert power[640:].max() < power.max() / 500
 
 
 def test_companding_and_adpcm():

@@ -131,12 +131,33 @@ def wav_payload(media: bytes) -> tuple[int, bytes]:
     raise ValueError("no samples")
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """Samples at twice the rate: between two neighbours their mean, the last one held."""
+def half_band(reach: int = 16) -> np.ndarray:
+    """Weights of the samples on either side of a point halfway between two: a sinc under a Kaiser window, for ``reach`` samples each way; they sum to 1/2 a side."""
+    x = np.arange(reach) + 0.5
+    w = np.sinc(x) * np.i0(8.0 * np.sqrt(1 - (x / reach) ** 2))
+    return (w / (2 * w.sum())).astype(np.float32)
+
+
+HALF_BAND = half_band()
+
+
+def resample_double(pcm: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each signal of ``pcm`` (signals begin at ``bounds``, the total last) at twice the rate.
+
+    A half-band low-pass keeps the samples and interpolates the points between them, so the images over
+    the old half rate are filtered out.  A signal is silent before its first and after its last sample.
+    """
+    reach, size = len(HALF_BAND), np.diff(bounds)
+    # Signals apart by enough silence that no tap reaches the next one.
+    at = np.arange(len(pcm)) + np.repeat(reach * (1 + np.arange(len(size))), size)
+    apart = np.zeros(len(pcm) + reach * (len(size) + 1), np.float32)
+    apart[at] = pcm
+    between = np.zeros(len(pcm), np.float32)
+    for k, c in enumerate(HALF_BAND):
+        between += c * (apart[at - k] + apart[at + 1 + k])
     out = np.empty(2 * len(pcm), np.int16)
     out[0::2] = pcm
-    nxt = np.append(pcm[1:], pcm[-1:]).astype(np.int32)
-    out[1::2] = (pcm.astype(np.int32) + nxt) >> 1
+    out[1::2] = np.clip(np.rint(between), -32768, 32767)
     return out
 
 
@@ -163,12 +184,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return B.stored(src.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media", **PACKED)
 
 
-#: Files and PCM take most of the disk; zstd keeps them smaller than the default codec.
+#: The stored files take most of the disk; zstd keeps them smaller than the default codec.
 PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 DECODED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm16k binary"
 
 
-def _decoded(batch: pa.RecordBatch, rows: list[tuple[int, bytes]], first: int, with_pcm: bool) -> dict:
+def _decoded(rows: list[tuple[int, bytes]]) -> dict:
     payloads = [wav_payload(m)[1] for _, m in rows]
     flat = np.frombuffer(b"".join(payloads), np.uint8)
     bounds = np.cumsum([0, *map(len, payloads)])
@@ -185,20 +206,21 @@ def _decoded(batch: pa.RecordBatch, rows: list[tuple[int, bytes]], first: int, w
     peak = np.maximum.reduceat(np.abs(u.astype(np.int32)), at)
     block_rms = np.add.reduceat((adpcm.astype(np.float64) ** 2).sum(1), per[:-1]) / (np.diff(per) * adpcm.shape[1])
     rms_u, rms_a = rms(u), rms(a)
+    doubled = resample_double(u, bounds)
     out = {"pcm": [], "feature": []}
     for k in range(len(rows)):
-        pcm = resample_double(u[bounds[k] : bounds[k + 1]]).tobytes()
+        pcm = doubled[2 * bounds[k] : 2 * bounds[k + 1]].tobytes()
         out["feature"].append(f"mulaw_rms={rms_u[k]:.3f};alaw_rms={rms_a[k]:.3f};adpcm_rms={np.sqrt(block_rms[k]):.3f};peak={peak[k]};zero_crossings={zero[k]:.0f};pcm16k_bytes={len(pcm)};pcm16k_crc32={zlib.crc32(pcm)}")
-        out["pcm"].append(pcm if with_pcm else None)
+        out["pcm"].append(pcm)
     out["payload"] = payloads
     return out
 
 
-def decode(stored: DataFrame, with_pcm: bool = True) -> DataFrame:
+def decode(stored: DataFrame) -> DataFrame:
     """Reads the stored files: digests of the samples read back, features of the three expansions, and 16 kHz PCM.
 
     feature: root mean squares under mu-law, A-law and ADPCM, the peak and zero crossings, and size and
-    crc32 of the resampled PCM.  Equal files give equal values.  ``with_pcm=False`` leaves pcm16k null.
+    crc32 of the resampled PCM, which is the column pcm16k (16-bit little-endian).  Equal files give equal values.
     """
     names = [c.split()[0] for c in DECODED.split(", ")]
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
@@ -213,7 +235,7 @@ def decode(stored: DataFrame, with_pcm: bool = True) -> DataFrame:
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(np.cumsum(size[a:]), B.BLOCK_BYTES)) + a)
                 rows = [(k, media[k].as_py()) for k in range(a, min(b, batch.num_rows))]
-                x = _decoded(batch, rows, a, with_pcm)
+                x = _decoded(rows)
                 n = len(rows)
                 cols = {
                     "doc_id": batch.column(0).slice(a, n), "n_bytes": batch.column(1).slice(a, n),
@@ -226,7 +248,3 @@ def decode(stored: DataFrame, with_pcm: bool = True) -> DataFrame:
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, DECODED)
 
-
-def store_decoded(stored: DataFrame) -> DataFrame:
-    """What ``decode`` makes of the stored files, PCM included, as a table in the shared folder."""
-    return B.stored(decode(stored), "pcm16k", **PACKED)

@@ -51,7 +51,7 @@ def fold(doc_id: Column, mod: int) -> Column:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_decoded(media.store(table(spark, sf_dir, "documents"))).drop("pcm16k")
+    return media.decode(media.store(table(spark, sf_dir, "documents")))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
