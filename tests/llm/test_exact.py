@@ -91,14 +91,31 @@ def test_decontamination_empty(spark):
     assert decontam.scan(frame(spark, ROWS).limit(0), none).collect() == []
 
 
-def test_classes(spark):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(frame(spark, ROWS)).collect()}
-    assert got == brute.classes(ROWS)
-    assert len({c for _, c in got.values()}) < len(got)
+def _classes(docs, **more):
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.components(docs, **more).collect())
 
 
-def test_classes_many(spark):
-    """Near copies in chains and stars, some linked only through others."""
+def test_classes(spark):
+    want = brute.classes(ROWS)
+    assert _classes(frame(spark, ROWS)) == sorted((d, *want[d]) for d, _ in ROWS)
+    assert len({c for _, c in want.values()}) < len(want)
+
+
+def test_classes_repeated_rows(spark):
+    """Every row comes out once: repeated rows, null ids, and an id with several texts, which is one document."""
+    rows = [(3, "a"), (5, "a"), (5, "a"), (5, "a"), (7, None), (9, ""), (None, "a"), (None, None)]
+    got = ngram_join.components(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(3, 1, 3), (5, 1, 3), (5, 1, 3), (5, 1, 3), (7, 0, 7), (9, 0, 9), (None, 1, None), (None, 0, None)], key=str)
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, long), (4, "b c"), (6, long + " x"), (8, "b c"), (8, "b c")]
+    assert _classes(frame(spark, rows)) == [(4, 1, 4), (4, 56, 4), (6, 57, 4), (8, 1, 8), (8, 1, 8)]
+
+
+@pytest.mark.parametrize("list_rows", [4_096, 5])
+def test_classes_many(spark, monkeypatch, list_rows):
+    """Near copies in chains and stars, some linked only through others; long lists in one part or in many."""
+    monkeypatch.setattr(ngram_join.list_parts, "__defaults__", (list_rows,))
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 512 if list_rows > 5 else 3)
     r = random.Random(9)
     vocab = [f"w{i}" for i in range(900)]
     rows, d = [], 0
@@ -110,8 +127,26 @@ def test_classes_many(spark):
             for _ in range(r.choice([0, 1, 1, 2])):
                 w[r.randrange(len(w))] = r.choice(vocab)
     r.shuffle(rows)
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.components(frame(spark, rows)).collect()}
-    assert got == brute.classes(rows)
+    want = brute.classes(rows)
+    assert _classes(frame(spark, rows)) == sorted((d, *want[d]) for d, _ in rows)
+
+
+def test_connected(spark):
+    """Chains, stars and a ring, against a union-find of plain Python."""
+    r = random.Random(11)
+    names = r.sample(range(10_000), 300)
+    edges = [(names[i], names[i + 1]) for i in range(80)] + [(names[100], names[i]) for i in range(101, 160)] + [(names[160 + i], names[160 + (i + 1) % 40]) for i in range(40)]
+    edges += [(names[r.randrange(200, 300)], names[r.randrange(200, 300)]) for _ in range(60)] + [(names[299], names[299])]
+    parent = {n: n for e in edges for n in e}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {x["node"]: x["comp"] for x in ngram_join.connected(spark.createDataFrame(edges, "a long, b long").repartition(4), 4).collect()}
+    assert got == {n: root(n) for n in parent if root(n) != n}
 
 
 def test_classes_empty(spark):

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2 << 20
 #: Bytes of one bucket of a bucketed stage; the number of buckets follows the input's size.
 BUCKET_BYTES = 8 << 20
+#: Partitions of a bucketed stage; more buckets share them.
+MOST_PARTITIONS = 1 << 17
 #: Bytes of the Arrow batches that the JVM hands to Python, where the session sets none.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: A table of at most so many rows of a few bytes may be broadcast; larger ones are joined by a shuffle.
@@ -37,14 +39,26 @@ _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """This application's folder under ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster it is an error, since
+    other machines wouldn't see such a folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/threadloom-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> bool:
+    """Removes this application's stored tables; queries' results that haven't been written or collected by then are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -74,11 +88,14 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows written as a table in the shared folder and read again: lineage ends here, and a lost executor costs nothing that was written."""
+def stored(df: DataFrame, name: str, files: int | None = None, **options: str) -> DataFrame:
+    """The rows written as a table in the shared folder and read again: lineage ends here, and a lost executor costs nothing that was written.
+
+    ``files`` bounds the number of files of a table that is small for its number of partitions.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    (df if files is None else df.coalesce(files)).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,8 +108,52 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def bucket_count(df: DataFrame, bucket_bytes: int = BUCKET_BYTES, least: int = 8) -> int:
-    """Buckets for a stage over these rows, in proportion to their bytes."""
-    return int(min(max(least, input_bytes(df) // bucket_bytes), 1 << 20))
+    """Buckets for a stage over these rows, in proportion to their bytes and without a bound."""
+    return max(least, input_bytes(df) // bucket_bytes)
+
+
+def gathered(df: DataFrame, buckets: int, *order: str) -> DataFrame:
+    """The rows of each value of the column ``bucket`` in one partition, a bucket to a partition while there are at most MOST_PARTITIONS.
+
+    Where there are more, a partition holds several buckets one after the other.  Rows are sorted by
+    ``order`` in a bucket.
+    """
+    parts = min(buckets, MOST_PARTITIONS)
+    out = df.repartitionById(parts, F.pmod(F.col("bucket"), F.lit(parts)).cast("int"))
+    by = [*(["bucket"] if buckets > parts else []), *order]
+    return out.sortWithinPartitions(*by) if by else out
+
+
+def per_bucket(batches: Iterator[pa.RecordBatch], bucket: int = 0) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The batches of each bucket in turn, cut where the bucket changes; each must be used up before the next."""
+    rest: list[pa.RecordBatch] = []
+
+    def own() -> Iterator[pa.RecordBatch]:
+        now = None
+        while True:
+            batch = rest.pop() if rest else next(batches, None)
+            if batch is None:
+                return
+            if not batch.num_rows:
+                continue
+            k = batch.column(bucket).to_numpy(zero_copy_only=False)
+            if now is None:
+                now = k[0]
+            n = len(k) if (k == now).all() else int(np.argmax(k != now))
+            if n < len(k):
+                rest.append(batch.slice(n))
+            if n:
+                yield batch.slice(0, n)
+            if rest:
+                return
+
+    while True:
+        first = rest.pop() if rest else next(batches, None)
+        if first is None:
+            return
+        if first.num_rows:
+            rest.append(first)
+            yield own()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -4,14 +4,17 @@ A document is the set of its distinct five-word shingles.  Equal sets are one se
 sets share one order of shingles, rare before frequent by a count sketch of all documents, and a set of
 n shingles need only be looked up by its first n - ceil(0.8 n) + 1 (its prefix).
 
-Index level: an inverted list knows for each member how many of its prefix shingles no other set's
-prefix has and where its prefix ends, which bounds the overlap of any two members; blocks of members
-ordered by size are skipped where the bounds rule out all of their pairs.
-
-Answer level: classes are what is asked for, so a set's answers follow from those of a set that it is
-linked to.  Every set is first verified against one leader, the most typical member of the lists that
-they share; then only pairs of different classes are verified that share enough prefix shingles, told
-from what each shares with the leaders, and none within a class.  No pair that could join two classes is left out.
+Index level: an inverted list knows of each member its size, the shingle's position in it, how many of
+its prefix shingles no other set's prefix has and where its prefix ends.  Blocks of a list, ordered by
+size and position, are skipped as a whole where these can't give a link: two sets that share a shingle at
+positions i and j share no more than min(i, j) before it and what the shorter rest leaves behind it.
+
+Answer level: every set is first verified against one leader, the most typical member of the lists that
+they share, which gives the leader's answers.  Classes are what is asked for, so pairs of one class need
+no answer.  Of the others, a set's answers are derived from its leader's: sets that share x and y
+shingles with a leader share x + y - |leader| at least and min(x, y) + min(what each has besides) at most,
+which settles a pair either way; only pairs that this leaves open are verified by their shingles.  No
+pair that could join two classes is left out.
 """
 
 from __future__ import annotations
@@ -26,9 +29,13 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 SHINGLE, PERCENT = 5, 80
-#: Members of a leader that one task verifies.
-LEADER_ROWS = 5_000
+#: Input bytes of one bucket of shingles and of one task of what follows.
+JOIN_BYTES = 16 << 20
+#: Members of a leader, and of a part of a list, that one task takes at a time.
+LEADER_ROWS, LIST_ROWS = 5_000, 4_096
 LIST_BLOCK = 512
+#: Bytes of sets that go on in one batch.
+SEND_BYTES = 2 << 20
 _ALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -66,8 +73,14 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def fingerprints(g: np.ndarray, first: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """A hash of each document's set: the sum of its shingles' mixed hashes."""
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(B.mix(g ^ salt), dtype=np.uint64)])
+    return (run[first[1:]] - run[first[:-1]]).view(np.int64)
+
+
 def signatures(docs: DataFrame, bits: int, k: int = SHINGLE) -> DataFrame:
-    """A stored table of (doc_id, n, f1, f2) for documents, and of the tasks' sketch counts (bucket, blob) with null doc_id."""
+    """A stored table of (doc_id, n, f1, f2) for documents, and of the tasks' sketch counts (bucket, blob) with null doc_id and n."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
     @B.tidy
@@ -80,13 +93,8 @@ def signatures(docs: DataFrame, bits: int, k: int = SHINGLE) -> DataFrame:
                     sketch = np.zeros(1 << bits, np.uint32)
                 own, count = np.unique((g >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                 sketch[own] += count.astype(np.uint32)
-                size = np.diff(first)
-                f = []
-                for salt in (np.uint64(0), _ALT):
-                    run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(B.mix(g ^ salt), dtype=np.uint64)])
-                    f.append((run_[first[1:]] - run_[first[:-1]]).view(np.int64))
                 none = [None] * n
-                yield B.row_batch(schema, doc_id=batch.column(0).slice(a, n), n=size.astype(np.int32), f1=f[0], f2=f[1], bucket=none, blob=none)
+                yield B.row_batch(schema, doc_id=batch.column(0).slice(a, n), n=np.diff(first).astype(np.int32), f1=fingerprints(g, first), f2=fingerprints(g, first, _ALT), bucket=none, blob=none)
         if sketch is not None:
             wide = min(bits, 16)
             for j, part in enumerate(sketch.reshape(-1, 1 << wide)):
@@ -94,8 +102,7 @@ def signatures(docs: DataFrame, bits: int, k: int = SHINGLE) -> DataFrame:
                 if len(at):
                     yield B.row_batch(schema, doc_id=[None], n=[None], f1=[None], f2=[None], bucket=[j], blob=[B.pack(at.astype(np.uint16), part[at])])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return B.stored(src.mapInArrow(run, "doc_id long, n int, f1 long, f2 long, bucket int, blob binary"), "join-signatures")
+    return B.stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f1 long, f2 long, bucket int, blob binary"), "join-signatures")
 
 
 def rarity(table: DataFrame, bits: int) -> np.ndarray:
@@ -118,55 +125,74 @@ def rarity(table: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
+def chosen_sets(batch: pa.RecordBatch, a: int, n: int, data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of a block of (doc_id, text, only), without the rows whose set isn't the one that ``only`` names."""
+    g, first = shingle_sets(data, offs, k)
+    only = batch.column(2).slice(a, n)
+    if only.null_count < n:
+        out = (fingerprints(g, first) != only.fill_null(0).to_numpy(zero_copy_only=False)) & only.is_valid().to_numpy(zero_copy_only=False)
+        size = np.diff(first)
+        g, first = g[~np.repeat(out, size)], np.concatenate([[0], np.cumsum(np.where(out, 0, size))])
+    return g, first
+
+
 def prefix_entries(docs: DataFrame, classes: np.ndarray, bits: int, buckets: int, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, doc_id, n, last) for every prefix shingle that at least two sets' prefixes have; key and last are ranks in the common order."""
+    """(key, doc_id, n, pos, last) for every prefix shingle that at least two sets' prefixes have.
+
+    ``docs`` has (doc_id, text, only).  key and last are ranks in the common order, pos the shingle's place
+    in its set.  Rows of one document give one set.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(classes)
-    schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("sets", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("entries", pa.binary()), ("sets", pa.binary())])
+    out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("last", pa.int64())])
 
     @B.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
             doc_ids = B.ids(batch)
-            for a, n, data, offs in B.text_blocks(batch, block_bytes=2 * B.BLOCK_BYTES):
-                g, first = shingle_sets(data, offs, k)
+            for a, n, data, offs in B.text_blocks(batch):
+                g, first = chosen_sets(batch, a, n, data, offs, k)
                 key = (table[(g >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (g & np.uint64((1 << 55) - 1))
                 doc = B.owners(first)
-                order = np.lexsort((key, doc))
-                key = key[order]
+                key = key[np.lexsort((key, doc))]
                 size = np.diff(first)
                 keep = np.where(size > 0, prefix_length(size, percent), 0)
-                at = np.arange(len(key)) - first[doc] < keep[doc]
+                pos = np.arange(len(key)) - first[doc]
+                at = pos < keep[doc]
                 last = key[np.maximum(first[:-1] + keep - 1, 0)] if len(key) else np.zeros(n, np.uint64)
-                key, doc = key[at], doc[at]
-                bucket = (key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+                key, doc, pos = key[at], doc[at], pos[at]
+                bucket = (key & np.uint64((1 << 55) - 1)) % np.uint64(buckets)
                 rows = []
                 for b, i in B.split_by(bucket):
                     own, local = np.unique(doc[i], return_inverse=True)
-                    rows.append((b, B.pack(key[i], local.astype(np.uint32)), B.pack(doc_ids[a : a + n][own], size[own].astype(np.uint32), last[own])))
+                    rows.append((b, B.pack(key[i], local.astype(np.uint32), pos[i].astype(np.uint32)), B.pack(doc_ids[a : a + n][own], size[own].astype(np.uint32), last[own])))
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], entries=[r[1] for r in rows], sets=[r[2] for r in rows])
 
     @B.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for e, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key, local = B.unpack(e, "u8", "u4")
-                doc, n, last = B.unpack(s, "i8", "u4", "u8")
-                parts.append((key, doc[local], n[local], last[local]))
-        if not parts:
-            return
-        key, doc, n, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        same = np.zeros(len(s) + 1, bool)
-        same[1:-1] = s[1:] == s[:-1]
-        order = order[same[1:] | same[:-1]]
-        for a in range(0, len(order), 50_000):
-            i = order[a : a + 50_000]
-            yield B.row_batch(pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("last", pa.int64())]), key=key[i].view(np.int64), doc_id=doc[i], n=n[i].astype(np.int32), last=last[i].view(np.int64))
-
-    return docs.mapInArrow(send, "bucket int, entries binary, sets binary").repartition(buckets, "bucket").mapInArrow(meet, "key long, doc_id long, n int, last long")
+        for bucket in B.per_bucket(batches):
+            parts = []
+            for batch in bucket:
+                for e, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    key, local, pos = B.unpack(e, "u8", "u4", "u4")
+                    doc, n, last = B.unpack(s, "i8", "u4", "u8")
+                    parts.append((key, doc[local], n[local], pos, last[local]))
+            key, doc, n, pos, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            order = np.lexsort((doc, key))
+            x, d = key[order], doc[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (d[1:] != d[:-1])
+            order, x = order[new], x[new]
+            same = np.zeros(len(x) + 1, bool)
+            same[1:-1] = x[1:] == x[:-1]
+            order = order[same[1:] | same[:-1]]
+            for a in range(0, len(order), 50_000):
+                i = order[a : a + 50_000]
+                yield B.row_batch(out, key=key[i].view(np.int64), doc_id=doc[i], n=n[i].astype(np.int32), pos=pos[i].astype(np.int32), last=last[i].view(np.int64))
+
+    return B.gathered(docs.mapInArrow(send, "bucket long, entries binary, sets binary"), buckets).mapInArrow(meet, "key long, doc_id long, n int, pos int, last long")
 
 
 def possible(n: np.ndarray, u: np.ndarray, last: np.ndarray, n2: np.ndarray, u2: np.ndarray, last2: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -181,28 +207,12 @@ def possible(n: np.ndarray, u: np.ndarray, last: np.ndarray, n2: np.ndarray, u2:
 
 
 def with_leaders(entries: DataFrame) -> DataFrame:
-    """Adds to every list entry (key, doc_id, n, last, u) its list's leader: the member with the fewest unshared prefix shingles (ties: the least id).
+    """Adds to every list entry its list's leader: the member with the fewest unshared prefix shingles ``u`` (ties: the least id).
 
-    Lists are streamed in order; a list's leader is all that is held of it.
+    Leaders are aggregated before the entries meet them, so no task needs a whole list.
     """
-    names = ["key", "doc_id", "n", "last", "u"]
-
-    @B.tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_, leader_ = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            new = np.append(True, key[1:] != key[:-1])
-            leader = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            if key_ == key[0]:
-                leader[: int(np.flatnonzero(np.append(new[1:], True))[0]) + 1] = leader_
-            key_, leader_ = key[-1], leader[-1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(leader)], names=[*names, "leader"])
-
-    lists = entries.select(*names).repartition(B.partitions(entries.sparkSession), "key").sortWithinPartitions("key", "u", "doc_id")
-    return lists.mapInArrow(run, "key long, doc_id long, n int, last long, u int, leader long")
+    least = entries.groupBy("key").agg(F.min(F.struct("u", "doc_id"))["doc_id"].alias("leader"))
+    return entries.join(least, "key")
 
 
 def leader_pairs(by_leader: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -217,40 +227,82 @@ def leader_pairs(by_leader: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.groupBy("doc_id").agg(F.max_by("leader", F.struct("s", -F.col("leader"))).alias("leader"))
 
 
-def class_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, leader) pairs of different classes (column comp) that may be linked.
+def list_parts(lists: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
+    """The entries of lists with several classes, by part: adds bucket, a, b and own.
+
+    A list of over ``rows`` members is dealt into parts of about as many, and a task pairs two parts (a, b)
+    of it, so that a long list is the work of many tasks; a member goes to each task of its part ``own``.
+    """
+    mixed = lists.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("_n")).where("x < y")
+    s = F.ceil(F.col("_n") / rows).cast("int")
+    dealt = lists.join(mixed.select("key", s.alias("_s")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_s")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    return dealt.select("key", F.least("own", "_o").alias("a"), F.greatest("own", "_o").alias("b"), "own", *LISTED)
+
+
+#: What a list says of a member, beside its key and parts.
+LISTED = ["doc_id", "n", "pos", "last", "u", "comp", "leader", "s", "r", "main", "judge", "shares", "judge_n"]
+
+
+def class_pairs(lists: DataFrame, tasks: int, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, leader, sure) pairs of different classes that may be linked, or surely are.
 
     A linked pair shares ``need`` prefix shingles at least.  Of a list with leader L, a set has s lists with
     that leader and r with others, so two sets share at most min(s, s') + min(r, r').  If all that they share
     is led by L, min(s, s') must reach ``need``.  If not, they meet in a list of another leader as well; so
     where L is the main leader of both, which is so in a long list of near copies, only the first case
-    counts.  Blocks of a list's members, in order of size, are paired while sizes and classes allow.
+    counts.  A set shares ``shares`` shingles with its judge, the leader that it was verified against, which
+    has ``judge_n``: where two sets have one judge, that bounds what they share.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("leader", pa.int64()), ("c", pa.int32()), ("need", pa.int32())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("leader", pa.int64()), ("c", pa.int32()), ("need", pa.int32()), ("sure", pa.bool_())])
 
-    def pairs(doc: np.ndarray, n: np.ndarray, last: np.ndarray, u: np.ndarray, comp: np.ndarray, leader: np.ndarray, s: np.ndarray, r: np.ndarray, main: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(x: dict[str, np.ndarray], halves: bool) -> Iterator[np.ndarray]:
+        order = np.lexsort((x["doc_id"], x["pos"], x["n"]))
+        x = {c: v[order] for c, v in x.items()}
+        n, pos, comp = x["n"], x["pos"], x["comp"]
+        tail = n - 1 - pos
         behind = n - prefix_length(n, percent)
-        for i in range(0, len(doc), LIST_BLOCK):
-            x = np.arange(i, min(i + LIST_BLOCK, len(doc)))[:, None]
-            for j in range(i, len(doc), LIST_BLOCK):
-                y = np.arange(j, min(j + LIST_BLOCK, len(doc)))[None, :]
-                if 100 * n[x[-1, 0]] < percent * n[j] or (comp[x] == comp[y]).all():
+        for i in range(0, len(n), LIST_BLOCK):
+            p0 = slice(i, min(i + LIST_BLOCK, len(n)))
+            for j in range(i, len(n), LIST_BLOCK):
+                q0 = slice(j, min(j + LIST_BLOCK, len(n)))
+                if 100 * n[p0][-1] < percent * n[j]:
+                    break  # all sets from here on are too large for this block's
+                # The block as a whole: by position, and by class.
+                most = min(pos[p0].max(), pos[q0].max()) + 1 + min(tail[p0].max(), tail[q0].max())
+                if most < least_overlap(n[i], n[j], percent) or (comp[p0] == comp[i]).all() and (comp[q0] == comp[i]).all():
                     continue
-                ok = possible(n[x], u[x], last[x], n[y], u[y], last[y], percent) & (comp[x] != comp[y])
+                f = lambda c, p0=p0, q0=q0: (x[c][p0][:, None], x[c][q0][None, :])
+                (np_, nq), (ip, iq), (tp, tq), (cp, cq) = f("n"), f("pos"), (tail[p0][:, None], tail[q0][None, :]), f("comp")
+                need = least_overlap(np_, nq, percent)
+                ok = (cp != cq) & (np.minimum(ip, iq) + 1 + np.minimum(tp, tq) >= need)
+                if halves:
+                    ok &= np.not_equal(*f("own"))
                 if i == j:
                     ok = np.triu(ok, 1)
                 p, q = np.nonzero(ok)
                 p, q = p + i, q + j
+                keep = possible(n[p], x["u"][p], x["last"][p], n[q], x["u"][q], x["last"][q], percent)
+                p, q = p[keep], q[keep]
+                doc, judge, shares = x["doc_id"], x["judge"], x["shares"]
+                need = least_overlap(n[p], n[q], percent)
+                # What the judge's answers say.
+                one = (judge[p] == judge[q]) & (judge[p] != NO_JUDGE)
+                most = np.minimum(shares[p], shares[q]) + np.minimum(n[p] - shares[p], n[q] - shares[q])
+                sure = one & (shares[p] + shares[q] - x["judge_n"][p] >= need)
+                settled = one & (most < need) | (judge[p] == doc[q]) | (judge[q] == doc[p])
+                p, q, need, sure = p[~settled], q[~settled], need[~settled], sure[~settled]
                 # Behind its prefix a set has so many shingles; the set whose prefix ends first shares no others.
+                last, s, r, main = x["last"], x["s"], x["r"], x["main"]
                 rest = np.where(last[p] < last[q], behind[p], np.where(last[q] < last[p], behind[q], np.minimum(behind[p], behind[q])))
-                need = least_overlap(n[p], n[q], percent) - rest
+                need = need - rest
                 led, other = np.minimum(s[p], s[q]), np.minimum(r[p], r[q])
                 first = led >= need
                 keep = (led + other >= need) & (first | ~(main[p] & main[q]))
-                p, q, need, other, first = p[keep], q[keep], need[keep], other[keep], first[keep]
+                p, q, need, other, sure = p[keep], q[keep], need[keep], other[keep], sure[keep]
                 if len(p):
                     both_main = main[p] & main[q]
-                    yield np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), leader[p], np.where(both_main, need - other, 1)], 1)
+                    yield np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), x["leader"][p], np.where(both_main, need - other, 1), sure], 1)
 
     @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,156 +310,203 @@ def class_pairs(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
         count = 0
 
         def flush() -> pa.RecordBatch:
-            all_, c = np.unique(np.concatenate(kept), axis=0, return_counts=True)
-            return B.row_batch(schema, a=all_[:, 0], b=all_[:, 1], leader=all_[:, 2], c=c.astype(np.int32), need=all_[:, 3].astype(np.int32))
-
-        def lists() -> Iterator[list[np.ndarray]]:
-            rest: list[np.ndarray] | None = None
+            x = np.concatenate(kept)
+            x = x[np.lexsort(x.T)]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]).any(1)
+            at = np.flatnonzero(new)
+            c = np.diff(np.append(at, len(x)))
+            x = x[at]
+            return B.row_batch(schema, a=x[:, 0], b=x[:, 1], leader=x[:, 2], c=c.astype(np.int32), need=x[:, 3].astype(np.int32), sure=x[:, 4].astype(bool))
+
+        names = ["key", "a", "b", "own", *LISTED]
+
+        def parts() -> Iterator[dict[str, np.ndarray]]:
+            rest: dict[str, np.ndarray] | None = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(10)]
+                cols = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
                 if rest is not None:
-                    cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-                bounds = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist()]
+                    cols = {c: np.concatenate([rest[c], v]) for c, v in cols.items()}
+                key = np.stack([cols["key"], cols["a"], cols["b"]])
+                bounds = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
                 for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                    yield [c[s:e] for c in cols[1:]]
-                rest = [c[bounds[-1] :] for c in cols]
+                    yield {c: v[s:e] for c, v in cols.items()}
+                rest = {c: v[bounds[-1] :] for c, v in cols.items()}
             if rest is not None:
-                yield rest[1:]
+                yield rest
 
-        for own in lists():
-            for part in pairs(*own):
+        for x in parts():
+            for part in pairs(x, bool(x["a"][0] != x["b"][0])):
                 kept.append(part)
                 count += len(part)
-                if count > 500_000:
+                if count > 200_000:
                     yield flush()
                     kept, count = [], 0
         if kept:
             yield flush()
 
-    lists = entries.select("key", "doc_id", "n", "last", "u", "comp", "leader", "s", "r", "main").repartition(B.partitions(entries.sparkSession), "key").sortWithinPartitions("key", "n", "doc_id")
-    found = lists.mapInArrow(run, "a long, b long, leader long, c int, need int").groupBy("a", "b", "leader").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
-    return found.where("c >= need").select(F.col("b").alias("doc_id"), F.col("a").alias("leader")).distinct()
+    dealt = list_parts(lists).repartition(tasks, "key", "a", "b").sortWithinPartitions("key", "a", "b").select("key", "a", "b", "own", *LISTED)
+    found = dealt.mapInArrow(run, "a long, b long, leader long, c int, need int, sure boolean").groupBy("a", "b", "leader").agg(F.sum("c").alias("c"), F.min("need").alias("need"), F.max("sure").alias("sure"))
+    return found.where("sure or c >= need").groupBy("a", "b").agg(F.max("sure").alias("sure")).select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), "sure")
+
 
+#: The judge of a set that none was verified against.
+NO_JUDGE = -(1 << 63)
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, leader_rows: int = LEADER_ROWS) -> DataFrame:
-    """(a, b) of the pairs (doc_id, leader) whose sets are linked, by exact intersection.
 
-    Texts of paired documents are cut into sets once more and meet at the leader; a leader of many
-    members is sent to as many groups as those members need.
+def verified(docs: DataFrame, pairs: DataFrame, tasks: int, k: int = SHINGLE, percent: int = PERCENT, leader_rows: int = LEADER_ROWS) -> DataFrame:
+    """(leader, doc_id, leader_n, shares, linked) of the pairs (doc_id, leader), a stored table, by exact intersection.
+
+    ``docs`` has (doc_id, text, only).  Texts of paired documents are cut into sets once more and meet at the
+    leader; a leader of many members is sent to as many groups as those members need.
     """
     spark = docs.sparkSession
-    pairs = B.stored(pairs, "join-pairs")
     n = pairs.count()
     if not n:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "leader long, doc_id long, leader_n long, shares long, linked boolean")
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / leader_rows).cast("int").alias("s"))
     spread = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
     members = pairs.join(salts, "leader").select("doc_id", "leader", spread.alias("salt"))
     leads = salts.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
     roles = leads.unionByName(members).groupBy("doc_id").agg(F.collect_list(F.struct("leader", "salt")).alias("roles"))
-    roles = B.stored(roles.select(F.col("doc_id").alias("_id"), F.transform("roles", lambda r: r["leader"]).alias("leaders"), F.transform("roles", lambda r: r["salt"].cast("long")).alias("salts")), "join-roles")
-    joined = docs.join(F.broadcast(roles) if 2 * n <= B.BROADCAST_ROWS else roles, docs["doc_id"] == roles["_id"]).select("doc_id", "text", "leaders", "salts")
+    roles = B.stored(roles.select(F.col("doc_id").alias("_id"), F.transform("roles", lambda r: r["leader"]).alias("leaders"), F.transform("roles", lambda r: r["salt"].cast("long")).alias("salts")), "join-roles", tasks)
+    joined = docs.join(F.broadcast(roles) if 2 * n <= B.BROADCAST_ROWS else roles, docs["doc_id"] == roles["_id"]).select("doc_id", "text", "only", "leaders", "salts")
     schema = pa.schema([("leader", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
     @B.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, leaders, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            doc_ids, leaders, at = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for a, m, data, offs in B.text_blocks(batch):
-                g, first = shingle_sets(data, offs, k)
+                g, first = chosen_sets(batch, a, m, data, offs, k)
                 out: dict[str, list] = {f.name: [] for f in schema}
                 size = 0
                 for d in range(m):
                     blob = g[first[d] : first[d + 1]].tobytes()
-                    for lead, salt in zip(leaders[a + d], at[a + d], strict=True):
+                    for lead, salt in zip(leaders[a + d], at[a + d], strict=True) if blob else ():
                         for name, x in zip(out, (lead, salt, doc_ids[a + d], int(lead != doc_ids[a + d]), blob), strict=True):
                             out[name].append(x)
                         size += len(blob)
-                        if size > 8 << 20:
+                        if size > SEND_BYTES:
                             yield B.row_batch(schema, **out)
                             out, size = {f.name: [] for f in schema}, 0
                 yield B.row_batch(schema, **out)
 
+    told = pa.schema([("leader", pa.int64()), ("doc_id", pa.int64()), ("leader_n", pa.int64()), ("shares", pa.int64()), ("linked", pa.bool_())])
+
     @B.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = [], []
+            out: dict[str, list] = {f.name: [] for f in told}
             ids_, kinds, leads_, blobs = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(4)
             for i, kind in enumerate(kinds):
                 x = np.frombuffer(blobs[i].as_buffer(), np.uint64)
                 if kind == 0:
                     lead, own = leads_[i], x.copy()
-                elif lead == leads_[i] and len(own) and len(x):
+                elif lead == leads_[i]:
                     at = np.minimum(np.searchsorted(own, x), len(own) - 1)
                     both = int((own[at] == x).sum())
-                    if 100 * both >= percent * (len(own) + len(x) - both):
-                        a.append(lead)
-                        b.append(ids_[i])
-            yield B.row_batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), a=a, b=b)
+                    linked = 100 * both >= percent * (len(own) + len(x) - both)
+                    for name, v in zip(out, (lead, ids_[i], len(own), both, linked), strict=True):
+                        out[name].append(v)
+            yield B.row_batch(told, **out)
 
-    met = joined.mapInArrow(send, "leader long, salt long, doc_id long, kind int, blob binary").repartition(B.partitions(spark), "leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-    return B.stored(met.mapInArrow(meet, "a long, b long"), "join-links")
+    met = joined.mapInArrow(send, "leader long, salt long, doc_id long, kind int, blob binary").repartition(tasks, "leader", "salt").sortWithinPartitions("leader", "salt", "kind")
+    return B.stored(met.mapInArrow(meet, "leader long, doc_id long, leader_n long, shares long, linked boolean"), "join-answers")
 
 
-def connected(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, comp): the classes of nodes (doc_id, comp) joined further by links (a, b); comp is the least id.
+def connected(links: DataFrame, files: int) -> DataFrame:
+    """(node, comp) of every node of links (a, b) that isn't the least of its class; comp is the class's least id.
 
-    Each round every class hooks to its least neighbour, chains are shortened by jumping, and links are
-    contracted; links within a class vanish, so a round's work shrinks.  All of it stays distributed.
+    Each round every node hooks to its least neighbour, chains are shortened by jumping, and links are
+    contracted; links within a class vanish, so a round's work shrinks.  All of it stays distributed, and a
+    node of very many links is one that Spark can split, as each join has one row a node on its other side.
     """
-    label = nodes
-    own = lambda side: nodes.select(F.col("doc_id").alias(side), F.col("comp").alias(f"c{side}"))
-    edges = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    edges, rounds = links, []
     while True:
-        edges = B.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges")
+        edges = B.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges", files)
         if edges.isEmpty():
-            return label
-        parent = edges.groupBy("hi").agg(F.min("lo").alias("lo"))
-        for _ in range(3):
-            parent = B.stored(parent, "cc-parent")
+            break
+        parent = B.stored(edges.groupBy("hi").agg(F.min("lo").alias("lo")), "cc-parent", files)
+        for _ in range(2):
             up = parent.select(F.col("hi").alias("lo"), F.col("lo").alias("top"))
             parent = parent.join(up, "lo", "left").select("hi", F.coalesce("top", "lo").alias("lo"))
-        parent = B.stored(parent, "cc-parent")
-        to = parent.select(F.col("hi").alias("comp"), F.col("lo").alias("top"))
-        label = B.stored(label.join(to, "comp", "left").select("doc_id", F.coalesce("top", "comp").alias("comp")), "cc-labels")
-        pa_, pb = parent.select(F.col("hi"), F.col("lo").alias("ha")), parent.select(F.col("hi").alias("lo"), F.col("lo").alias("hb"))
-        edges = edges.join(pa_, "hi", "left").join(pb, "lo", "left").select(F.coalesce("ha", "hi").alias("a"), F.coalesce("hb", "lo").alias("b"))
+        parent = B.stored(parent, "cc-parent", files)
+        rounds.append(parent)
+        ha, hb = parent.select("hi", F.col("lo").alias("a")), parent.select(F.col("hi").alias("lo"), F.col("lo").alias("b"))
+        edges = edges.join(ha, "hi", "left").join(hb, "lo", "left").select(F.coalesce("a", "hi").alias("a"), F.coalesce("b", "lo").alias("b"))
+    if not rounds:
+        return links.sparkSession.createDataFrame([], "node long, comp long")
+    label = rounds[0].select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
+    for parent in rounds[1:]:
+        # Who was hooked in a later round only, is new.
+        known = label.join(parent.select(F.col("hi").alias("comp"), F.col("lo").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+        label = known.unionByName(parent.join(label.select(F.col("node").alias("hi")), "hi", "left_anti").select(F.col("hi").alias("node"), F.col("lo").alias("comp")))
+    return B.stored(label, "cc-labels", files)
+
+
+def _left_hot(left: DataFrame, right: DataFrame, on: list[str], value: str, hot: DataFrame) -> DataFrame:
+    """left join of ``value``; the few keys in ``hot``, which very many rows have, are joined by broadcast, so no task gets all rows of one."""
+    few = F.broadcast(hot.join(right, on).select(*on, F.col(value).alias("_v"), F.lit(True).alias("_hot")))
+    x = left.join(few, on, "left")
+    done = x.where("_hot").select(*left.columns, F.col("_v").alias(value))
+    return done.unionByName(x.where("_hot is null").drop("_v", "_hot").join(right, on, "left").select(*left.columns, value))
 
 
 def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; component_id is the least doc_id reachable by links.
+    """(doc_id, n_shingles, component_id) of every row; component_id is the least doc_id reachable by links.
 
     Null and empty texts have no shingles and are linked with nothing.  Equal sets are linked.  A null id
-    keeps its row with itself (null) as its class.  Rows of one id should have equal texts.
+    keeps its row with itself (null) as its class.  Rows of one id come out once each, with their own
+    n_shingles and one class, that of the row with the most shingles (ties: by hash).
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    bits = int(np.clip(np.ceil(np.log2(max(B.input_bytes(src), 1) / 512)), 12, 24))
-    buckets = B.bucket_count(src)
+    size = B.input_bytes(src)
+    bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 512)), 12, 24))
+    buckets = max(16, size // JOIN_BYTES)
+    tasks = min(buckets, B.MOST_PARTITIONS)
     table = signatures(src, bits, k)
-    sigs = table.where(F.col("bucket").isNull()).select("doc_id", "n", "f1", "f2")
+    sigs = table.where(F.col("n").isNotNull()).select("doc_id", "n", "f1", "f2")
     real = sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    equal = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
-    copies = B.stored(real.join(equal.where("m > 1"), ["f1", "f2", "n"]).where("doc_id <> rep").select("doc_id", "rep"), "join-copies")
-    n_copies = copies.count()
-    less = copies.select("doc_id").distinct()
-    reps = src.where(F.col("doc_id").isNotNull()).join(F.broadcast(less) if n_copies <= B.BROADCAST_ROWS else less, "doc_id", "left_anti")
+    print_ = ["f1", "f2", "n"]
+    one = real.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("t"), F.min("f1").alias("x"), F.max("f1").alias("y")).select("doc_id", "t.*", "x", "y")
+    equal = B.stored(one.groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1"), "join-equal", tasks)
+    # Sets with a share of all documents: there are at most 100,000.
+    often = max(1_000, sigs.count() // 100_000)
+    hot = equal.where(F.col("m") > often)
+    copies = _left_hot(one.select("doc_id", *print_), equal.select(*print_, "rep"), print_, "rep", hot.select(*print_))
+    copies = B.stored(copies.where("doc_id <> rep").select("doc_id", "rep"), "join-copies", tasks)
+    less = copies.select("doc_id")
+    reps = src.where(F.col("doc_id").isNotNull()).join(F.broadcast(less) if copies.count() <= B.BROADCAST_ROWS else less, "doc_id", "left_anti")
+    clash = B.stored(one.where("x <> y").select(F.col("doc_id"), F.col("f1").alias("only")), "join-clash", tasks)
+    n_clash = clash.count()
+    reps = reps.join(F.broadcast(clash) if n_clash <= B.BROADCAST_ROWS else clash, "doc_id", "left") if n_clash else reps.withColumn("only", F.lit(None).cast("long"))
     entries = B.stored(prefix_entries(reps, rarity(table, bits), bits, buckets, k, percent), "join-entries")
     shared = entries.groupBy("doc_id", "n").agg(F.count("*").alias("s"))
     need = F.expr(f"n - cast(ceil({percent} * n / 100.0D) as int) + 1 - s")
-    full = B.stored(with_leaders(entries.join(shared.select("doc_id", need.cast("int").alias("u")), "doc_id")), "join-lists")
-    by_leader = B.stored(full.groupBy("doc_id", "leader", "n", "last", "u").agg(F.count("*").cast("int").alias("s")), "join-leaders")
-    links = verified(reps, leader_pairs(by_leader, percent), k, percent)
-    nodes = shared.select("doc_id", F.col("doc_id").alias("comp"))
-    label = connected(spark, nodes, links)
+    full = B.stored(with_leaders(entries.join(shared.select("doc_id", need.cast("int").alias("u")), "doc_id")), "join-lists", tasks)
+    by_leader = B.stored(full.groupBy("doc_id", "leader", "n", "last", "u").agg(F.count("*").cast("int").alias("s")), "join-leaders", tasks)
+    answers = verified(reps, B.stored(leader_pairs(by_leader, percent), "join-pairs", tasks), tasks, k, percent)
+    label = connected(answers.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), tasks)
     total = by_leader.groupBy("doc_id").agg(F.sum("s").cast("int").alias("t"), F.max_by("leader", F.struct("s", -F.col("leader"))).alias("top"))
-    sets = by_leader.join(total, "doc_id").join(label, "doc_id").select("doc_id", "leader", "comp", "s", (F.col("t") - F.col("s")).alias("r"), (F.col("leader") == F.col("top")).alias("main"))
-    marked = full.join(sets, ["doc_id", "leader"])
-    mixed = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    more = verified(reps, class_pairs(marked.join(mixed, "key", "left_semi"), percent), k, percent)
-    label = connected(spark, label, more).select(F.col("doc_id").alias("rep"), "comp")
-    own = sigs.join(copies, "doc_id", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    return own.join(label, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    judged = answers.groupBy("doc_id").agg(F.max("leader").alias("judge"), F.max("shares").alias("shares"), F.max("leader_n").alias("judge_n"))
+    sets = by_leader.join(total, "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(judged, "doc_id", "left")
+    sets = sets.select(
+        "doc_id", "leader", F.coalesce("comp", "doc_id").alias("comp"), "s", (F.col("t") - F.col("s")).alias("r"), (F.col("leader") == F.col("top")).alias("main"),
+        F.coalesce("judge", F.lit(NO_JUDGE)).alias("judge"), F.coalesce("shares", F.lit(0)).alias("shares"), F.coalesce("judge_n", F.lit(0)).alias("judge_n"),
+    )
+    open_ = B.stored(class_pairs(full.join(sets, ["doc_id", "leader"]), tasks, percent), "join-pairs", tasks)
+    more = verified(reps, open_.where("not sure"), tasks, k, percent).where("linked").select("leader", "doc_id").unionByName(open_.where("sure").select("leader", "doc_id"))
+    of = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
+    between = more.join(of("leader"), "leader", "left").join(of("doc_id"), "doc_id", "left").select(F.coalesce("_leader", "leader").alias("a"), F.coalesce("_doc_id", "doc_id").alias("b"))
+    upper = connected(between, tasks).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    # A set has a label of its own, that of its class, or both.
+    both = label.join(upper, "comp", "left").select(F.col("node").alias("rep"), F.coalesce("top", "comp").alias("comp"))
+    both = B.stored(both.unionByName(upper.select(F.col("comp").alias("rep"), F.col("top").alias("comp"))), "join-classes", tasks)
+    own = sigs.join(copies, "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
+    out = _left_hot(own, both, ["rep"], "comp", hot.select("rep"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
