@@ -64,6 +64,32 @@ def test_substring_split(spark, monkeypatch, segments, most):
     assert len(split) <= most and bool(len(split)) == (segments == 1)
 
 
+def test_substring_repeated_ids(spark):
+    """Null and repeated ids keep their rows apart: each text gets its own cuts."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(None, a), (None, b + " tail"), (None, "x y"), (2, a + " z"), (2, b), (2, b), (3, "p q r " + b), (3, a[:20] + " " + a), (4, None)]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in fmindex.dedup(frame(spark, rows)).collect())
+    assert got == sorted([("None", 30, 0), ("None", 31, 0), ("None", 2, 0), ("2", 31, 30), ("2", 30, 30), ("2", 30, 30), ("3", 33, 30), ("3", 30 + len(a[:20].split()), 30), ("4", 0, 0)])
+
+
+@pytest.mark.parametrize("most", [8, 1 << 9])
+def test_substring_small_filter(spark, monkeypatch, most):
+    """A filter too small for its minimizers lets more segments through and changes no result."""
+    monkeypatch.setattr(fmindex, "FILTER_BYTES", most)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fmindex.dedup(frame(spark, ROWS)).collect()}
+    assert got == brute.substring(ROWS)
+
+
+def test_substring_many_buckets(spark, monkeypatch):
+    """More buckets than partitions: a partition takes several, one after the other."""
+    monkeypatch.setattr(blocks, "MOST_PARTITIONS", 3)
+    monkeypatch.setattr(fmindex, "SPLIT_SEGMENTS", 2)
+    monkeypatch.setattr(fmindex, "SEARCH_ROWS", 5)
+    monkeypatch.setattr(fmindex, "KNOWN_WINDOWS", 4)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fmindex.dedup(frame(spark, ROWS)).collect()}
+    assert got == brute.substring(ROWS)
+
+
 def test_substring_empty(spark):
     assert fmindex.dedup(frame(spark, ROWS).limit(0)).collect() == []
     assert [r["n_words"] for r in fmindex.dedup(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()] == [2]
@@ -353,15 +379,58 @@ def test_plan():
     assert packing.plan({}) == []
 
 
-def test_index_search():
-    r = np.random.default_rng(1)
-    t = r.integers(1, 6, 400)
-    t[::37] = 0
-    ix = fmindex.FMIndex(t)
-    for k in (1, 3, 13):
-        pats = np.array([t[i : i + k] for i in range(380) if (t[i : i + k] > 0).all()] + [list(r.integers(1, 6, k)) for _ in range(50)])
-        for p, a, b in zip(pats, *ix.search(pats), strict=True):
-            assert sorted(ix.suffixes[a:b]) == [i for i in range(len(t) - k + 1) if (t[i : i + k] == p).all()]
+def _longest(text, pattern, depth):
+    """Matching statistics the slow way."""
+    out = []
+    for i in range(len(pattern)):
+        m = 0
+        while m < min(depth, len(pattern) - i) and any((text[j : j + m + 1] == pattern[i : i + m + 1]).all() for j in range(len(text) - m)):
+            m += 1
+        out.append(m)
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 6, 13])
+def test_matching_statistics(depth):
+    """Streamed patterns, some with symbols that the text lacks: lengths, and the least owner of every full match."""
+    r = np.random.default_rng(depth)
+    t = np.minimum(r.zipf(1.5, 400), 9)
+    t[::37] = t[-1] = 0
+    own = r.integers(0, 1000, len(t))
+    ix = fmindex.FMIndex(t, own, depth)
+    full = 0
+    pats = [t[1:30], *(np.minimum(r.zipf(1.5, n), 11) for n in r.integers(1, 30, 25))]
+    size = np.array([len(p) for p in pats])
+    length, lo = ix.matches(np.concatenate(pats), np.cumsum(size) - size, size)
+    assert length.tolist() == [x for p in pats for x in _longest(t, p, depth)]
+    for at, p in zip(np.cumsum(size) - size, pats, strict=True):
+        for i in range(len(p) - depth + 1):
+            if length[at + i] == depth:
+                full += 1
+                assert ix.least_owner(lo[at + i : at + i + 1])[0] == min(own[j] for j in range(len(t) - depth + 1) if (t[j : j + depth] == p[i : i + depth]).all())
+    assert full > 10
+
+
+def test_entropy_codes():
+    """Prefix-free, and near the text's entropy."""
+    count = np.array([0, 900, 1, 300, 40, 40, 7, 1, 0, 2])
+    size = fmindex.code_lengths(count)
+    code = fmindex.codes(size)
+    own = np.flatnonzero(count)
+    words = ["".join(str(code[i] >> k & 1) for k in range(size[i])) for i in own]
+    assert all(i == j or not b.startswith(a) for i, a in enumerate(words) for j, b in enumerate(words))
+    p = count[own] / count.sum()
+    assert (p * size[own]).sum() < -(p * np.log2(p)).sum() + 1
+
+
+def test_segments_of_one_hash():
+    """Words decide whether segments are equal, not their common hash."""
+    seg = np.array([7, 7, 7, 9], np.uint64)
+    h = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 5, 5, 5], np.uint64)
+    order, new = fmindex._distinct(seg, np.array([0, 3, 6, 9]), np.array([3, 3, 3, 3]), h)
+    assert order.tolist() == [0, 1, 2, 3] and new.tolist() == [True, True, True, True]
+    order, new = fmindex._distinct(seg, np.array([0, 6, 3, 9]), np.array([3, 3, 3, 3]), h)
+    assert new.tolist() == [True, False, True, True]
 
 
 def test_word_hashes():

@@ -2,16 +2,18 @@
 
 A window of 13 words is sharded by its minimizer, the least hash of the six-word grams in it, so equal
 windows meet in one shard and no shard is searched for all documents.  Runs of windows with one
-minimizer travel together as a segment.  In a shard the distinct segments are indexed: suffixes sorted
-to the depth of a window, the Burrows-Wheeler transform in a wavelet matrix of packed bits.  A minimizer
-that many segments have, as one in a common passage, is split: its windows are sharded one by one, by
-their own hashes, so its shard doesn't grow with the number of documents around the passage.  Backward
-search then gives every window of the distinct segments, once each, its suffix interval and the least
-document in it.  Documents aren't searched: their places are joined to these answers by the segment's
-hash, and no match lengths are worked out.
-
-Words are 64-bit hashes in the index, and segments are told apart by one 64-bit hash of their words: two
-segments of one hash in a shard would take each other's answers.
+minimizer travel together as a segment.  A shard's distinct segments are indexed: the Burrows-Wheeler
+transform of their words in a wavelet matrix shaped by an entropy code, so a frequent word takes few
+bits, and the least document of every 13-word interval.  The suffix array isn't kept.  Then the shard's
+segments of every document are streamed through the index, from their last word to their first: backward
+search carries the longest match that begins at each word (the matching statistics), and where it reaches
+13 words its interval is reported and compared with the document.
+
+A minimizer that many segments have, as one in a common passage, is split: its windows are sharded one
+by one, by their own hashes, so its shard doesn't grow with the number of documents around the passage,
+and their places are streamed past the index.
+
+Words are 64-bit hashes in the index, and a match means that 13 of them agree, one by one.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ from . import blocks as B
 WINDOW, GRAM, LONGEST = 13, 6, 32
 #: A cut list of at most so many bytes is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Input bytes of one shard, and the bound of the filter of shared minimizers.
+#: Input bytes of one shard, and the most bytes of the filter of shared minimizers.
 SHARD_BYTES, FILTER_BYTES = 4 << 20, 64 << 20
+#: Segments that are searched at a time.
+SEARCH_ROWS = 1 << 15
+#: Split windows that a task remembers to have sent to the index; then it forgets them and may send them again.
+KNOWN_WINDOWS = 1 << 19
 #: Segments of one minimizer from which on its windows are sharded one by one, and the most minimizers so
 #: listed; where there are more, the limit is doubled until the list is as short.
 SPLIT_SEGMENTS, SPLIT_MOST = 4_096, 1 << 20
@@ -38,76 +44,178 @@ _LEVELS = 40
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
+    """The places of a text in the order of their next symbols, ``depth`` or more of them."""
+    n, width = len(text), max(1, 62 // max(1, int(text.max(initial=0)).bit_length()))
+    width = min(width, depth)
+    bits = max(1, int(text.max(initial=0)).bit_length())
+    rank = np.zeros(n, np.int64)
+    padded = np.append(text.astype(np.int64), np.zeros(width, np.int64))
+    for j in range(width):
+        rank = (rank << bits) | padded[j : j + n]
+    order = np.argsort(rank, kind="stable")
+    while width < depth:
+        s = rank[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(0, s[1:] != s[:-1])) + 1
+        after = np.zeros(n, np.int64)
+        after[: max(n - width, 0)] = rank[width:]
+        rank = rank * (n + 1) + after
+        order = np.argsort(rank, kind="stable")
+        width *= 2
+    return order
+
+
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Bits of each symbol in an entropy code (Shannon's): the rounded-up logarithm of how rare it is; 0 for one that doesn't occur."""
+    n = counts.sum()
+    own = np.maximum(1, np.ceil(np.log2(n / np.maximum(counts, 1)) - 1e-9)).astype(np.int64)
+    return np.where(counts > 0, own, 0)
+
+
+def codes(length: np.ndarray) -> np.ndarray:
+    """Prefix-free codes of these lengths, first bit lowest, for a wavelet matrix.
+
+    A matrix puts the zeros of a level before its ones, so prefixes lie in the order of their reversed
+    bits.  The symbols that end at a level get its largest prefixes: they lie last and can be cut off.
+    """
+    out = np.zeros(len(length), np.int64)
+    left = int((length > 0).sum())
+    free = np.zeros(1, np.int64)
+    for k in range(1, int(length.max(initial=0)) + 1):
+        free = np.concatenate([free, free + (1 << (k - 1))])[:left]
+        ends = np.flatnonzero(length == k)
+        if len(ends):
+            out[ends] = free[len(free) - len(ends) :]
+            free = free[: len(free) - len(ends)]
+            left -= len(ends)
+    return out
+
+
 class FMIndex:
-    """Backward search for patterns of at most ``depth`` symbols over a text of integers > 0, with 0 between segments.
+    """A compressed index of a text of integers > 0, with 0 between segments, each place with an owner.
 
-    Suffixes are sorted by their first ``depth`` symbols (a power of two), which is all that patterns up
-    to that length need.  The transform is a wavelet matrix: one packed bit and half a bit of counts for
-    each symbol and level.
+    Kept are the transform as a wavelet matrix (a symbol takes the bits of its code, with half a bit of
+    counts each), the common prefixes of neighbouring suffixes up to ``depth``, a byte each, and the least
+    owner of every ``depth`` symbols that occur.
     """
 
-    def __init__(self, text: np.ndarray, depth: int = 16):
-        n = len(text)
-        rank = text.astype(np.int64)
-        width = 1
-        order = np.argsort(rank, kind="stable")
-        while True:
-            s = rank[order]
-            new = np.zeros(n, np.int64)
-            new[1:] = s[1:] != s[:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) + 1
-            if width >= depth:
-                break
-            after = np.zeros(n, np.int64)
-            after[: max(n - width, 0)] = rank[width:]
-            rank = rank * (n + 1) + after
-            order = np.argsort(rank, kind="stable")
-            width *= 2
-        self.suffixes = order
-        bwt = text[order - 1].astype(np.int64)
-        self.levels = max(1, int(text.max(initial=0)).bit_length())
+    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int = WINDOW):
+        n, self.depth = len(text), depth
+        self.size = n
+        order = sorted_suffixes(text, depth)
+        padded = np.append(text, np.zeros(depth, text.dtype)).astype(np.int32)
+        self.common = np.zeros(n, np.uint8)
+        alive = np.ones(max(n - 1, 0), bool)
+        for d in range(depth):
+            alive &= padded[order[1:] + d] == padded[order[:-1] + d]
+            self.common[1:] += alive
+        # The intervals of ``depth`` symbols, by their first places.
+        self.first = np.flatnonzero(self.common < depth).astype(np.int32)
+        self.least = np.minimum.reduceat(owner[order], self.first) if n else np.zeros(0, np.int64)
+        self._starts: dict[int, np.ndarray] = {}
+        seq = text[order - 1].astype(np.int32)
+        count = np.bincount(seq, minlength=1)
+        self.begin = np.concatenate([[0], np.cumsum(count)])
+        self.length = code_lengths(count)
+        self.code = codes(self.length)
         self.bits, self.ranks, self.zeros = [], [], []
-        symbols = np.arange(int(text.max(initial=0)) + 1)
-        self.counts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=len(symbols)))])
-        for level in range(self.levels - 1, -1, -1):
-            bit = (bwt >> level) & 1
-            packed = np.zeros((n // 64 + 1) * 8, np.uint8)
-            raw = np.packbits(bit.astype(np.uint8), bitorder="little")
-            packed[: len(raw)] = raw
-            lanes = packed.view("<u8")
+        for k in range(int(self.length.max(initial=0))):
+            bit = ((self.code[seq] >> k) & 1).astype(np.uint8)
+            lanes = np.zeros((len(seq) // 64 + 1) * 8, np.uint8)
+            raw = np.packbits(bit, bitorder="little")
+            lanes[: len(raw)] = raw
+            lanes = lanes.view("<u8")
             self.bits.append(lanes)
             self.ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(lanes)[:-1], dtype=np.int32)]).astype(np.int32))
             zero = bit == 0
             self.zeros.append(int(zero.sum()))
-            bwt = np.concatenate([bwt[zero], bwt[~zero]])
-        # Where each symbol's occurrences begin in the last level, folded into the cumulative counts.
-        self.shift = self.counts[:-1] - self._descend(symbols, np.zeros(len(symbols), np.int64))
+            seq = np.concatenate([seq[zero], seq[~zero]])
+            seq = seq[: len(seq) - int(count[self.length == k + 1].sum())]
+        # Where each symbol's occurrences begin in its last level, folded into the cumulative counts.
+        symbols = np.arange(len(count))
+        self.shift = self.begin[:-1] - self._descend(symbols, np.zeros(len(symbols), np.int64))
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k, level in enumerate(range(self.levels - 1, -1, -1)):
+        out = at.copy()
+        length, code, mine = self.length[symbol], self.code[symbol], np.arange(len(symbol))
+        own = length > 0
+        if not own.all():
+            length, code, mine, at = length[own], code[own], mine[own], at[own]
+        for k in range(len(self.bits)):
+            if not len(mine):
+                break
             lane = at >> 6
             mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
             ones = self.ranks[k][lane] + np.bitwise_count(self.bits[k][lane] & mask)
-            at = np.where((symbol >> level) & 1, self.zeros[k] + ones, at - ones)
-        return at
+            at = np.where((code >> k) & 1, self.zeros[k] + ones, at - ones)
+            done = length == k + 1
+            if done.any():
+                out[mine[done]] = at[done]
+                on = ~done
+                length, code, mine, at = length[on], code[on], mine[on], at[on]
+        return out
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of the patterns with a symbol put before them."""
-        both = self._descend(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
-        base = self.shift[symbol]
-        return base + both[: len(lo)], base + both[len(lo) :]
-
-    def search(self, patterns: np.ndarray, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-        """(lo, hi) suffix intervals of rows of symbols; hi <= lo where a row doesn't occur."""
-        lo, hi = np.empty(len(patterns), np.int64), np.empty(len(patterns), np.int64)
-        for a in range(0, len(patterns), block):
-            p = patterns[a : a + block]
-            x, y = self.counts[p[:, -1]], self.counts[p[:, -1] + 1]
-            for j in range(p.shape[1] - 2, -1, -1):
-                x, y = self.step(p[:, j], x, y)
-            lo[a : a + block], hi[a : a + block] = x, y
-        return lo, hi
+        """The intervals of the matches with a symbol put before them; empty (hi <= lo) where they don't occur so, and for symbols that the text lacks."""
+        known = (symbol > 0) & (symbol < len(self.length))
+        c = np.where(known, symbol, 0)
+        both = self._descend(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        base = self.shift[c]
+        x, y = base + both[: len(lo)], base + both[len(lo) :]
+        known &= self.length[c] > 0
+        return np.where(known, x, 0), np.where(known, y, 0)
+
+    def shortened(self, lo: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first ``depth`` symbols of the matches at these places."""
+        starts = self._starts.get(depth)
+        if starts is None:
+            starts = self._starts[depth] = np.append(np.flatnonzero(self.common < depth) if depth else np.zeros(min(self.size, 1), np.int64), self.size)
+        at = np.searchsorted(starts, lo, "right") - 1
+        return starts[at], starts[at + 1]
+
+    def matches(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of streamed segments text[begin : begin + size], one after the other.
+
+        For each place of each segment the length of the longest match that begins there and stays in the
+        segment, up to ``depth`` symbols, and the first suffix of its interval.  A match is carried from
+        place to place: cut to depth - 1 symbols, then grown by the symbol before it; where that doesn't
+        occur it's cut further until it does.
+        """
+        order = np.argsort(-size, kind="stable")
+        last, sizes = (begin + size)[order] - 1, size[order]
+        place = (np.cumsum(size) - size + size)[order] - 1
+        k = len(size)
+        length = np.zeros(k, np.int64)
+        lo, hi = np.zeros(k, np.int64), np.full(k, self.size, np.int64)
+        out_length, out_lo = np.zeros(int(size.sum()), np.uint8), np.zeros(int(size.sum()), np.int32)
+        for t in range(int(sizes[0]) if k else 0):
+            k = int(np.searchsorted(-sizes, -t, "left"))
+            c = text[last[:k] - t]
+            m, x, y = length[:k], lo[:k], hi[:k]
+            over = np.flatnonzero(m == self.depth)
+            x[over], y[over] = self.shortened(x[over], self.depth - 1)
+            m[over] = self.depth - 1
+            grown = self.step(c, x, y)
+            bad = np.flatnonzero(grown[1] <= grown[0])
+            while len(bad):
+                none = bad[m[bad] == 0]
+                grown[0][none], grown[1][none], m[none] = 0, self.size, -1
+                bad = bad[m[bad] > 0]
+                m[bad] -= 1
+                for d in np.unique(m[bad]).tolist():
+                    i = bad[m[bad] == d]
+                    x[i], y[i] = self.shortened(x[i], d)
+                grown[0][bad], grown[1][bad] = self.step(c[bad], x[bad], y[bad])
+                bad = bad[grown[1][bad] <= grown[0][bad]]
+            lo[:k], hi[:k] = grown
+            m += 1
+            out_length[place[:k] - t], out_lo[place[:k] - t] = m, lo[:k]
+        return out_length, out_lo
+
+    def least_owner(self, lo: np.ndarray) -> np.ndarray:
+        """The least owner of the ``depth`` symbols whose interval begins at these suffixes."""
+        return self.least[np.searchsorted(self.first, lo)]
 
 
 def segments(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,9 +270,10 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
-def _bloom_bits(v: np.ndarray, size: int) -> np.ndarray:
-    """The two filter positions of each minimizer, one row each."""
-    return np.stack([(v >> np.uint64(7)) % np.uint64(size), B.mix(v ^ _STEP) % np.uint64(size)]).astype(np.int64)
+def _bloom_bits(v: np.ndarray, size: int, hashes: int) -> np.ndarray:
+    """The filter positions of each minimizer, a row each; one where the filter is so full that a second would only fill it more."""
+    both = [(v >> np.uint64(7)) % np.uint64(size), *([B.mix(v ^ _STEP) % np.uint64(size)] if hashes > 1 else [])]
+    return np.stack(both).astype(np.int64)
 
 
 def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
@@ -175,7 +284,7 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
     block.  ``often`` holds those with many segments, each with its level (how often SPLIT_SEGMENTS has
     to be doubled to exceed its segments), and ``levels`` their numbers by level.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
     @B.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +309,8 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
 
     @B.tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [B.unpack(blob, "u8", "i8", "i4", "?") for batch in batches for blob in batch.column(1).to_pylist()]
-        if parts:
+        for bucket in B.per_bucket(batches):
+            parts = [B.unpack(blob, "u8", "i8", "i4", "?") for batch in bucket for blob in batch.column(1).to_pylist()]
             v, doc, n, many = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(v, kind="stable")
             v, doc, n, many = v[order], doc[order], n[order], many[order]
@@ -214,7 +323,7 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
 
     out = pa.schema([("n", pa.int64()), ("blob", pa.binary()), ("often", pa.binary()), ("levels", pa.list_(pa.int64()))])
     kind = "n long, blob binary, often binary, levels array<long>"
-    return B.stored(docs.mapInArrow(send, "bucket int, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(meet, kind), "fm-minimizers")
+    return B.stored(B.gathered(docs.mapInArrow(send, "bucket long, blob binary"), buckets).mapInArrow(meet, kind), "fm-minimizers")
 
 
 def split_minimizers(shared: DataFrame) -> np.ndarray:
@@ -235,24 +344,25 @@ def split_minimizers(shared: DataFrame) -> np.ndarray:
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def minimizer_filter(shared: DataFrame) -> np.ndarray | None:
-    """A Bloom filter of the shared minimizers, 12 bits each, made by ranges on the executors; None where it would have over FILTER_BYTES.
+def minimizer_filter(shared: DataFrame) -> tuple[np.ndarray, int, int]:
+    """A Bloom filter (bits, size, hashes) of the shared minimizers, made by ranges on the executors.
 
-    A false hit only sends a segment that no other document has.  Without a filter all segments are sent.
+    It has 12 bits for each, FILTER_BYTES at most.  A false hit only sends a segment that no other document
+    has: beyond that size hits become more, till a full filter would send all segments.
     """
     n = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    size = max(1024, 12 * n)
-    if size > 8 * FILTER_BYTES:
-        return None
+    size = int(np.clip(12 * n, 1024, 8 * FILTER_BYTES))
+    hashes = 2 if size > 2 * n else 1
     wide = 1 << 20
+    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
     @B.tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                bits = np.unique(_bloom_bits(np.frombuffer(blob, "u8"), size))
+                bits = np.unique(_bloom_bits(np.frombuffer(blob, "u8"), size, hashes))
                 for k, i in B.split_by(bits // wide):
-                    yield B.row_batch(pa.schema([("part", pa.int32()), ("blob", pa.binary())]), part=[k], blob=[(bits[i] % wide).astype(np.uint32).tobytes()])
+                    yield B.row_batch(schema, part=[k], blob=[(bits[i] % wide).astype(np.uint32).tobytes()])
 
     @B.tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,194 +371,248 @@ def minimizer_filter(shared: DataFrame) -> np.ndarray | None:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts.setdefault(k, np.zeros(wide, bool))[np.frombuffer(blob, np.uint32)] = True
         for k, x in parts.items():
-            yield B.row_batch(pa.schema([("part", pa.int32()), ("blob", pa.binary())]), part=[k], blob=[np.packbits(x).tobytes()])
+            yield B.row_batch(schema, part=[k], blob=[np.packbits(x).tobytes()])
 
     out = np.zeros((size // wide + 1, wide // 8), np.uint8)
     kind = "part int, blob binary"
     for r in shared.select("blob").mapInArrow(place, kind).repartition(min(size // wide + 1, B.partitions(shared.sparkSession)), "part").mapInArrow(fill, kind).collect():
         out[r["part"]] = np.frombuffer(bytes(r["blob"]), np.uint8)
-    return np.append(out.ravel(), np.frombuffer(np.array([size], np.int64).tobytes(), np.uint8))
+    return out.ravel(), size, hashes
+
+
+def _passes(bloom: tuple[np.ndarray, int, int], v: np.ndarray) -> np.ndarray:
+    bits, size, hashes = bloom
+    hit = np.ones(len(v), bool)
+    for at in _bloom_bits(v, size, hashes):
+        hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return hit
 
 
-def _passes(bloom: np.ndarray, v: np.ndarray) -> np.ndarray:
-    size = int(bloom[-8:].view(np.int64)[0])
-    one, two = _bloom_bits(v, size)
-    test = lambda b: (bloom[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
-    return (test(one) & test(two)).astype(bool)
+def _distinct(seg: np.ndarray, begin: np.ndarray, words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): segments sorted by hash, and whether each differs from the one before it; their words decide, not the hash alone."""
+    order = np.argsort(seg, kind="stable")
+    new = np.ones(len(seg), bool)
+    new[1:] = (seg[order][1:] != seg[order][:-1]) | (words[order][1:] != words[order][:-1])
+    at = np.flatnonzero(~new)
+    if len(at):
+        n = words[order[at]]
+        differ = h[_ranges(begin[order[at]], n)] != h[_ranges(begin[order[at - 1]], n)]
+        new[at[np.repeat(np.arange(len(at)), n)[differ]]] = True
+    return order, new
+
 
+def _segment_rows(docs: DataFrame, buckets: int, window: int, sent) -> DataFrame:
+    """Segments by shard: (bucket, kind, segs, words, places), each block's distinct ones with all their places.
 
-def _segment_rows(docs: DataFrame, buckets: int, window: int, content: bool, sent) -> DataFrame:
-    """The segments by shard: with ``content`` each block's distinct ones (hash, least document, windows, words), else all places (hash, document, first word)."""
-    names = ["seg", "doc", "size", "words"] if content else ["seg", "doc", "size"]
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in names)])
+    segs: hash, least document and windows; places: segment, document, text's key and first word.  Kind 0
+    is what a shard's index is made of.  Windows of split minimizers go on as kind 0 without places, once a
+    task unless a smaller document has them, and as kind 1 with their places, which come after the index.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("segs", pa.binary()), ("words", pa.binary()), ("places", pa.binary())])
+
+    def rows(kind: int, v: np.ndarray, doc: np.ndarray, key: np.ndarray, p: np.ndarray, at_word: np.ndarray, size: np.ndarray, h: np.ndarray, known: dict[int, int] | None) -> Iterator[tuple]:
+        words = size + window - 1
+        seg = _sequence_hashes(h, p, words)
+        order, new = _distinct(seg, p, words, h)
+        which = np.cumsum(new) - 1
+        at = order[new]
+        if not len(at):
+            return
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+        local = np.empty(len(seg), np.int64)
+        local[order] = which
+        shard = seg[at] if known is not None else v[at]
+        bucket = (shard >> np.uint64(40)) % np.uint64(buckets)
+        place_bucket = bucket[local]
+        by_place = dict(B.split_by(place_bucket))
+        for b, i in B.split_by(bucket):
+            segs, flat = B.pack(seg[at[i]], least[i], size[at[i]].astype(np.int32)), h[_ranges(p[at[i]], words[at[i]])].tobytes()
+            own = by_place[b]
+            places = B.pack(np.searchsorted(i, local[own]).astype(np.uint32), doc[own], key[own], at_word[own].astype(np.int32))
+            if known is None:
+                yield b, 0, segs, flat, places
+                continue
+            yield b, 1, segs, flat, places
+            fresh = np.array([known.get(x, least_ + 1) > least_ for x, least_ in zip(seg[at[i]].tolist(), least[i].tolist(), strict=True)])
+            if fresh.any():
+                j = i[fresh]
+                known.update(zip(seg[at[j]].tolist(), least[j].tolist(), strict=True))
+                yield b, 0, B.pack(seg[at[j]], least[j], size[at[j]].astype(np.int32)), h[_ranges(p[at[j]], words[at[j]])].tobytes(), b""
 
     @B.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, int] = {}
         for batch in batches:
-            doc_ids = B.ids(batch)
+            doc_ids, keys = B.ids(batch), B.ids(batch, "tkey")
             for a, n, data, offs in B.text_blocks(batch):
                 h, first = _hashed(data, offs)
                 v, doc, p, size = segments(h, first, window)
                 bloom, often = sent.value
-                if bloom is not None:
-                    own = _passes(bloom, v)
-                    v, doc, p, size = v[own], doc[own], p[own], size[own]
+                own = _passes(bloom, v)
+                v, doc, p, size = v[own], doc[own], p[own], size[own]
                 if not len(v):
                     continue
-                hot = np.zeros(len(v), bool)
-                if len(often):
-                    hot = often[np.minimum(np.searchsorted(often, v), len(often) - 1)] == v
-                    one = _ranges(p[hot], size[hot])
-                    doc = np.concatenate([doc[~hot], np.repeat(doc[hot], size[hot])])
-                    p, size = np.concatenate([p[~hot], one]), np.concatenate([size[~hot], np.ones(len(one), size.dtype)])
-                seg = _sequence_hashes(h, p, size + window - 1)
-                v = np.concatenate([v[~hot], seg[len(v) - int(hot.sum()) :]])
-                owner = doc_ids[a : a + n][doc]
-                if content:
-                    order = np.lexsort((owner, seg))
-                    keep = np.ones(len(seg), bool)
-                    keep[1:] = seg[order][1:] != seg[order][:-1]
-                    at = order[keep]
-                else:
-                    at = np.arange(len(seg))
-                    size = p - first[doc]
-                bucket = (v[at] >> np.uint64(40)) % np.uint64(buckets)
-                out: dict[str, list] = {c: [] for c in ["bucket", *names]}
-                for k, i in B.split_by(bucket):
-                    i = at[i]
-                    out["bucket"].append(k)
-                    for c, x in zip(names, (seg[i], owner[i], size[i].astype(np.int32)), strict=False):
-                        out[c].append(B.pack(x))
-                    if content:
-                        out["words"].append(h[_ranges(p[i], size[i] + window - 1)].tobytes())
-                yield B.row_batch(schema, **out)
-
-    return docs.mapInArrow(send, ", ".join(["bucket int", *(f"{c} binary" for c in names)]))
-
-
-def _search_shard(seg: np.ndarray, doc: np.ndarray, size: np.ndarray, flat: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct segment, windows, least document of each window) of a shard, by backward search in its index."""
-    words = size + window - 1
-    begin = np.cumsum(words) - words
-    order = np.lexsort((doc, seg))
-    new = np.ones(len(seg), bool)
-    new[1:] = seg[order][1:] != seg[order][:-1]
-    at = order[new]
-    seg, doc, size, words, begin = seg[at], doc[at], size[at], words[at], begin[at]
-    vocab, symbol = np.unique(flat[_ranges(begin, words)], return_inverse=True)
-    text = np.zeros(int(words.sum()) + len(seg), np.int64)
-    place = np.cumsum(words + 1) - (words + 1)
-    text[_ranges(place, words)] = symbol + 1
-    index = FMIndex(text)
-    q = _ranges(place, size)
-    lo, hi = np.empty(len(q), np.int64), np.empty(len(q), np.int64)
-    for a in range(0, len(q), 1 << 18):
-        part = q[a : a + (1 << 18), None] + np.arange(window)
-        lo[a : a + len(part)], hi[a : a + len(part)] = index.search(text[part])
-    owner = np.repeat(doc, words + 1)[index.suffixes]
-    own, inv = np.unique(lo, return_inverse=True)
-    top = np.zeros(len(own), np.int64)
-    top[inv] = hi
-    least = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), np.stack([own, top], 1).ravel())[::2]
-    return seg, size, least[inv]
+                hot = often[np.minimum(np.searchsorted(often, v), len(often) - 1)] == v if len(often) else np.zeros(len(v), bool)
+                out: list[tuple] = []
+                for kind, mine in ((0, ~hot), (1, hot)):
+                    w, d, q, m = v[mine], doc[mine], p[mine], size[mine]
+                    if kind:
+                        q, w, d, m = _ranges(q, m), np.repeat(w, m), np.repeat(d, m), np.ones(int(m.sum()), m.dtype)
+                    if len(known) > KNOWN_WINDOWS:
+                        known.clear()
+                    out += rows(kind, w, doc_ids[a : a + n][d], keys[a : a + n][d], q, q - first[d], m, h, known if kind else None)
+                yield B.row_batch(schema, **{f.name: [r[i] for r in out] for i, f in enumerate(schema)})
+
+    return docs.mapInArrow(send, "bucket long, kind int, segs binary, words binary, places binary")
+
+
+class _Shard:
+    """The index of a shard's distinct segments."""
+
+    def __init__(self, seg: np.ndarray, doc: np.ndarray, size: np.ndarray, flat: np.ndarray, window: int):
+        words = size + window - 1
+        begin = np.cumsum(words) - words
+        order, new = _distinct(seg, begin, words, flat)
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+        at = order[new]
+        words, begin = words[at], begin[at]
+        own = flat[_ranges(begin, words)]
+        self.vocab, symbol = np.unique(own, return_inverse=True)
+        text = np.zeros(int(words.sum()) + len(at), np.int64)
+        text[_ranges(np.cumsum(words + 1) - (words + 1), words)] = symbol + 1
+        self.index = FMIndex(text, np.repeat(least, words + 1), window)
+        self.window = window
+
+    def search(self, size: np.ndarray, flat: np.ndarray, rows: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first segment, end, least document of each window) of streamed segments, ``rows`` of them at a time."""
+        words = size + self.window - 1
+        end = np.cumsum(words)
+        for a in range(0, len(size), rows):
+            b = min(a + rows, len(size))
+            own = flat[end[a] - words[a] : end[b - 1]]
+            at = np.minimum(np.searchsorted(self.vocab, own), len(self.vocab) - 1)
+            symbol = np.where(self.vocab[at] == own, at + 1, 0)
+            length, lo = self.index.matches(symbol, end[a:b] - words[a:b] - (end[a] - words[a]), words[a:b])
+            reached = length == self.window
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            least[reached] = self.index.least_owner(lo[reached])
+            yield a, b, least[_ranges(end[a:b] - words[a:b] - (end[a] - words[a]), size[a:b])]
+
+
+def _spans(seg: np.ndarray, doc: np.ndarray, key: np.ndarray, at_word: np.ndarray, size: np.ndarray, begin: np.ndarray, least: np.ndarray, window: int) -> tuple[np.ndarray, ...] | None:
+    """(document, key, first, end) of the runs of windows that a smaller document has, from places and the windows' least documents."""
+    n = size[seg]
+    w = _ranges(begin[seg], n)
+    row = np.repeat(np.arange(len(seg)), n)
+    hit = least[w] < doc[row]
+    row, start = row[hit], (at_word[row] + (w - begin[seg][row]))[hit]
+    if not len(row):
+        return None
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    return doc[row[first]], key[row[first]], start[first].astype(np.int32), (start[last] + window).astype(np.int32)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, spans) of the documents with words to remove: spans holds int32 (first, end) word pairs, sorted and apart.
+    """(doc_id, tkey, spans) of the rows with words to remove: spans holds int32 (first, end) word pairs, sorted and apart.
 
-    A window is reported where its sequence also starts in a document with a smaller id.  Texts must
-    belong to their ids: rows of one id should be equal.  A null id counts as the least.
+    ``docs`` has (doc_id, text, tkey), tkey a hash of the text: rows are told apart by both.  A window is
+    reported where its sequence also starts in a row with a smaller id.  A null id counts as the least.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    buckets = B.bucket_count(src, SHARD_BYTES)
-    shared = shared_minimizers(src, buckets, window)
+    buckets = B.bucket_count(docs, SHARD_BYTES)
+    shared = shared_minimizers(docs, buckets, window)
     sent = docs.sparkSession.sparkContext.broadcast((minimizer_filter(shared), split_minimizers(shared)))
+    place_types = ("u4", "i8", "i8", "i4")
 
     @B.tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for k, *cols in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                parts.setdefault(k, []).append([np.frombuffer(c, t) for c, t in zip(cols, ("u8", "i8", "i4", "u8"), strict=True)])
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("seg", pa.binary()), ("doc", pa.binary()), ("size", pa.binary())])
-        for k in list(parts):
-            seg, doc, size, flat = (np.concatenate(x) for x in zip(*parts.pop(k), strict=True))
-            seg, size, first = _search_shard(seg, doc, size.astype(np.int64), flat, window)
-            yield B.row_batch(schema, bucket=[k], kind=[0], seg=[seg.tobytes()], doc=[first.tobytes()], size=[size.astype(np.int32).tobytes()])
+        schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
-    found = _segment_rows(src, buckets, window, True, sent).repartitionById(buckets, F.col("bucket")).mapInArrow(search, "bucket int, kind int, seg binary, doc binary, size binary")
-    places = _segment_rows(src, buckets, window, False, sent).select("bucket", F.lit(1).alias("kind"), "seg", "doc", "size")
-
-    @B.tidy
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A shard's answers come before its places, which are streamed.
-        known: list[tuple] = []
-        table: tuple | None = None
-        schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
-        for batch in batches:
-            for _, kind, seg, doc, size in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                seg, doc, size = np.frombuffer(seg, "u8"), np.frombuffer(doc, "i8"), np.frombuffer(size, "i4").astype(np.int64)
-                if kind == 0:
-                    known.append((seg, doc, size))
-                    continue
-                if table is None:
-                    s, least_doc, n = (np.concatenate(x) for x in zip(*known, strict=True))
-                    order = np.argsort(s, kind="stable")
-                    table = s[order], (np.cumsum(n) - n)[order], n[order], least_doc
-                at = np.searchsorted(table[0], seg)
-                begin, n = table[1][at], table[2][at]
-                w = _ranges(begin, n)
-                row = np.repeat(np.arange(len(seg)), n)
-                hit = table[3][w] < doc[row]
-                start = size[row] + (w - begin[row])
-                d, s = doc[row][hit], start[hit]
-                if not len(d):
-                    continue
-                # Runs of windows become one span.
-                new = np.ones(len(d), bool)
-                new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(d)) - 1
-                d, a, e = d[first], s[first].astype(np.int32), (s[last] + window).astype(np.int32)
-                rows = [(k, B.pack(d[i], a[i], e[i])) for k, i in B.split_by(d % buckets)]
+        def told(found: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
+            if found is not None:
+                rows = [(k, B.pack(*(x[i] for x in found))) for k, i in B.split_by(B.mix(found[0].view(np.uint64)) % np.uint64(buckets))]
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], blob=[r[1] for r in rows])
 
-    marked = found.unionByName(places).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind").mapInArrow(mark, "bucket int, blob binary")
+        def streamed(shard: _Shard, size: np.ndarray, flat: np.ndarray, places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(places[0], kind="stable")
+            seg, doc, key, at_word = (x[order] for x in places)
+            for a, b, least in shard.search(size, flat, SEARCH_ROWS):
+                own = slice(*np.searchsorted(seg, [a, b]))
+                part = size[a:b]
+                yield from told(_spans(seg[own] - a, doc[own], key[own], at_word[own], part, np.cumsum(part) - part, least, window))
+
+        for bucket in B.per_bucket(batches):
+            shard: _Shard | None = None
+            held: list[list[np.ndarray]] = []
+            places: list[list[np.ndarray]] = []
+
+            def build() -> tuple[_Shard, np.ndarray, np.ndarray]:
+                seg, doc, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))  # noqa: B023
+                return _Shard(seg, doc, size.astype(np.int64), flat, window), size.astype(np.int64), flat
+
+            def cold(size: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+                before = np.cumsum([0, *(len(x[0]) for x in held)])  # noqa: B023
+                mine = [np.concatenate(x) for x in zip(*([p[0].astype(np.int64) + before[i], *p[1:]] for i, p in enumerate(places)), strict=True)]  # noqa: B023
+                yield from streamed(shard, size, flat, mine)  # noqa: B023
+
+            for batch in bucket:
+                for kind, segs, words, at in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    x = [*B.unpack(segs, "u8", "i8", "i4"), np.frombuffer(words, "u8")]
+                    if kind == 0:
+                        held.append(x)
+                        places.append(B.unpack(at, *place_types))
+                        continue
+                    if shard is None:
+                        # All of the index has come; what is left is streamed past it.
+                        shard, size, flat = build()
+                        yield from cold(size, flat)
+                        held, places, size, flat = [], [], None, None
+                    seg, *rest = B.unpack(at, *place_types)
+                    yield from streamed(shard, x[2].astype(np.int64), x[3], [seg.astype(np.int64), *rest])
+            if shard is None:
+                shard, size, flat = build()
+                yield from cold(size, flat)
+
+    marked = B.gathered(_segment_rows(docs, buckets, window, sent), buckets, "kind").mapInArrow(search, "bucket long, blob binary")
 
     @B.tidy
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [B.unpack(blob, "i8", "i4", "i4") for batch in batches for blob in batch.column(1).to_pylist()]
-        if not parts:
-            return
-        d, s, e = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
-        order = np.lexsort((s, d))
-        d, s, e = d[order], s[order], e[order]
-        _, doc = np.unique(d, return_inverse=True)
-        shift = doc * (int(e.max()) + 1)
-        reach = np.maximum.accumulate(e + shift)
-        new = np.ones(len(d), bool)
-        new[1:] = s[1:] + shift[1:] > reach[:-1]
-        first = np.flatnonzero(new)
-        end = reach[np.append(first[1:], len(d)) - 1] - shift[first]
-        pair = np.stack([s[first], end], 1).astype(np.int32)
-        owner, cut = np.unique(d[first], return_index=True)
-        yield B.row_batch(pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())]), doc_id=owner, spans=[x.tobytes() for x in np.split(pair, cut[1:])])
-
-    return B.stored(marked.repartitionById(buckets, F.col("bucket")).mapInArrow(union, "doc_id long, spans binary"), "fm-spans")
+        for bucket in B.per_bucket(batches):
+            parts = [B.unpack(blob, "i8", "i8", "i4", "i4") for batch in bucket for blob in batch.column(1).to_pylist()]
+            d, t, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((s, t, d))
+            d, t, s, e = d[order], t[order], s[order].astype(np.int64), e[order].astype(np.int64)
+            other = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))
+            shift = (np.cumsum(other) - 1) * (int(e.max()) + 1)
+            reach = np.maximum.accumulate(e + shift)
+            new = np.ones(len(d), bool)
+            new[1:] = s[1:] + shift[1:] > reach[:-1]
+            new |= other
+            first = np.flatnonzero(new)
+            end = reach[np.append(first[1:], len(d)) - 1] - shift[first]
+            pair = np.stack([s[first], end], 1).astype(np.int32)
+            cut = np.flatnonzero(other[first])
+            yield B.row_batch(pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("spans", pa.binary())]), doc_id=d[first][cut], tkey=t[first][cut], spans=[x.tobytes() for x in np.split(pair, cut[1:])])
+
+    return B.stored(B.gathered(marked, buckets).mapInArrow(union, "doc_id long, tkey long, spans binary"), "fm-spans")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every document without the words that repeat a smaller-id document.
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every row without the words that repeat a smaller-id document.
 
     kept_text is null where nothing was removed (the text stands as it was).  Null and empty texts have no
-    words.  Texts of under 13 words are kept.  Windows are judged on the input, not on what is left.
+    words.  Texts of under 13 words are kept.  Windows are judged on the input, not on what is left.  Rows
+    come out once each and are judged by their own texts, repeated ids too; a null id counts as the least.
     Columns in ``keep`` come along as keep_<name>, whatever their names.
     """
-    spans = repeated_spans(docs, window)
-    size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 16), F.lit(0)).alias("b")).first()["b"]
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    cuts = spans.withColumnRenamed("doc_id", "_id")
-    joined = src.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, F.coalesce(src["doc_id"], F.lit(-(1 << 63)).cast("long")) == cuts["_id"], "left").select("doc_id", "text", "spans", *[f"keep_{c}" for c in keep])
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tkey"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    spans = repeated_spans(src.select("doc_id", "text", "tkey"), window)
+    size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 24), F.lit(0)).alias("b")).first()["b"]
+    cuts = spans.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "spans")
+    own = (F.coalesce(src["doc_id"], F.lit(-(1 << 63)).cast("long")) == cuts["_id"]) & (src["tkey"] == cuts["_key"])
+    joined = src.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, own, "left").select("doc_id", "text", "spans", *[f"keep_{c}" for c in keep])
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[f"keep_{c}" for c in keep]]
 
     @B.tidy
