@@ -95,21 +95,32 @@ def test_substring_empty(spark):
     assert [r["n_words"] for r in fmindex.dedup(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()] == [2]
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_decontamination(spark, broadcast_rows, monkeypatch):
+@pytest.mark.parametrize("small", [True, False])
+def test_decontamination(spark, small, monkeypatch):
     items = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id string, text string, h int")
-    if not broadcast_rows:
+    if not small:
         real = decontam.hits
-        monkeypatch.setattr(decontam, "hits", lambda *a: real(*a, broadcast_rows=0))
-    got = {r["doc_id"]: r for r in decontam.scan(frame(spark, ROWS[:-1]), items).collect()}
-    want = brute.contamination(ROWS[:-1], ITEMS)
-    assert got.keys() == want.keys()
-    for d, r in got.items():
-        assert (r["n_words"], sum(s["end"] - s["first"] for s in r["spans"]), len(r["items"])) == want[d][:3], d
+        monkeypatch.setattr(decontam, "hits", lambda *a: real(*a, broadcast_windows=0))
+        monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    got = decontam.scan(frame(spark, ROWS), items).collect()
+    want = brute.contamination(ROWS, ITEMS)
+    assert sorted(r["doc_id"] for r in got) == sorted(d for d, _ in ROWS)
+    for r in got:
+        assert (r["n_words"], sum(s["end"] - s["first"] for s in r["spans"]), len(r["items"])) == want[r["doc_id"]][:3], r
         assert [*r["items"]] == sorted(r["items"])
     assert sum(bool(w[1]) for w in want.values()) > 4
 
 
+def test_decontamination_repeated_ids(spark):
+    """Rows of one id, or of none, come out once each with their own hits."""
+    leak = " ".join(f"w{i}" for i in range(12))
+    rows = [(3, leak), (3, leak), (3, "x " + leak), (None, leak), (None, "a b"), (None, None), (5, "a b")]
+    got = decontam.scan(frame(spark, rows), spark.createDataFrame([("i", leak)], "item_id string, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in got) == sorted(
+        [("3", 12, [(0, 12)], ["i"]), ("3", 12, [(0, 12)], ["i"]), ("3", 13, [(1, 13)], ["i"]), ("None", 12, [(0, 12)], ["i"]), ("None", 2, [], []), ("None", 0, [], []), ("5", 2, [], [])]
+    )
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id string, text string")
     got = decontam.scan(frame(spark, ROWS[:4]), none).collect()
@@ -141,7 +152,10 @@ def test_classes_repeated_rows(spark):
 def test_classes_many(spark, monkeypatch, list_rows):
     """Near copies in chains and stars, some linked only through others; long lists in one part or in many."""
     monkeypatch.setattr(ngram_join.list_parts, "__defaults__", (list_rows,))
-    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 512 if list_rows > 5 else 3)
+    if list_rows == 5:
+        monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
+        monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
+        monkeypatch.setattr(ngram_join, "PAIR_ROWS", 7)
     r = random.Random(9)
     vocab = [f"w{i}" for i in range(900)]
     rows, d = [], 0

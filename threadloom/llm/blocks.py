@@ -29,6 +29,8 @@ MOST_PARTITIONS = 1 << 17
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: A table of at most so many rows of a few bytes may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A table of files of at most so many bytes may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -9,8 +9,6 @@ words there are compared one by one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +16,8 @@ from . import blocks as B
 
 WINDOW, SHINGLE = 10, 3
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: No shingle's hash: joins every document's closing row to one row of the benchmark's side.
-CLOSE = -1
+#: Windows of a benchmark up to which its side is broadcast; a larger one is joined by a shuffle on the shingle.
+BROADCAST_WINDOWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -30,12 +28,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def shingle_hash(at: list[Column]) -> Column:
-    """A shingle's hash, never CLOSE."""
-    h = F.xxhash64(*at)
-    return F.when(h == CLOSE, F.lit(CLOSE - 1)).otherwise(h)
-
-
 def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(item_id, win, seq, off, h): the shingles of every distinct window of every item.
 
@@ -52,72 +44,79 @@ def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
 
 def _hash_at(seq: Column, at: Column, k: Column, shingle: int) -> Column:
     """Hash of the k <= shingle words from ``at`` (zero-based) on; a shorter shingle's hash has its own salt."""
-    options = [F.when(k == n, shingle_hash([F.lit(n), *[F.get(seq, at + j) for j in range(n)]])) for n in range(1, shingle + 1)]
-    return F.coalesce(*options)
+    return F.coalesce(*[F.when(k == n, shingle_hash(seq, at, n)) for n in range(1, shingle + 1)])
 
 
-def _exploded(docs: DataFrame, sizes: list[int], shingle: int) -> DataFrame:
-    """(doc_id, w, n, pos, h): a row for each shingle of each document, and one with h = CLOSE that closes it."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    rows = d.select("doc_id", "w", F.size("w").alias("n"), F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
-    whole = F.when(F.col("pos") + shingle <= F.col("n"), shingle_hash([F.lit(shingle), *[F.get(F.col("w"), F.col("pos") + j) for j in range(shingle)]]))
-    parts = []
-    for k in sizes:
-        h = whole if k == shingle else F.when(F.col("pos") + k <= F.col("n"), shingle_hash([F.lit(k), *[F.get(F.col("w"), F.col("pos") + j) for j in range(k)]]))
-        parts.append(rows.select("doc_id", "w", "n", "pos", F.when(F.col("pos") == F.col("n"), F.lit(CLOSE)).otherwise(h).alias("h")) if k == sizes[0] else rows.where(F.col("pos") < F.col("n")).select("doc_id", "w", "n", "pos", h.alias("h")))
-    return reduce(DataFrame.unionAll, parts)
+def shingle_hash(seq: Column, at: Column, k: int) -> Column:
+    return F.xxhash64(F.lit(k), *[F.get(seq, at + j) for j in range(k)])
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = 100_000) -> DataFrame:
-    """(doc_id, n_words, start, length, item_id): every place of a document where a window of an item begins; one more row with null start closes every document.
+def _exploded(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, tkey, w, n, pos, h): a row for each shingle of these sizes of each document, from one pass over its words."""
+    d = docs.select("doc_id", "tkey", words(F.col("text")).alias("w"))
+    rows = d.select("doc_id", "tkey", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    hashes = [F.when(F.col("pos") + k <= F.col("n"), shingle_hash(F.col("w"), F.col("pos"), k)) for k in sizes]
+    if len(sizes) == 1:
+        return rows.select("doc_id", "tkey", "w", "n", "pos", hashes[0].alias("h")).where("h is not null")
+    return rows.select("doc_id", "tkey", "w", "n", "pos", F.explode(F.array(*hashes)).alias("h")).where("h is not null")
 
-    The benchmark's side is broadcast while it has at most ``broadcast_rows`` windows; a larger one is
-    joined by a shuffle on the shingle, which sends the words around the shingle and not the document.
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, tkey, start, length, items): every place of a document (doc_id, text, tkey) where a window of these items begins.
+
+    A larger benchmark than ``broadcast_windows`` windows is joined by a shuffle, which sends the words
+    around a shingle and not the document; a shingle of very many places is split by Spark, as its
+    benchmark side is small.
     """
     shingles = B.stored(windows(items, window, shingle), "bench-windows")
-    stat = shingles.agg(F.count("*").alias("n"), F.collect_set("k").alias("k")).first()
-    small = stat["n"] <= broadcast_rows * window
-    sizes = sorted({*stat["k"], shingle}, reverse=True)
-    if len(sizes) > 1:  # the corpus is exploded once for each shingle size that the items need
-        sizes = [shingle, *[k for k in sizes if k != shingle]]
+    stat = shingles.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("k")).alias("k")).first()
+    small = stat["n"] <= broadcast_windows * window
     hint = F.broadcast if small else (lambda d: d)
-    rows = _exploded(docs, sizes, shingle)
+    rows = _exploded(docs, stat["k"] or [shingle])
     # Rarity of the benchmark's shingles over all documents.
     counts = rows.select("h").join(hint(shingles.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("df"))
     rank = Window.partitionBy("item_id", "seq").orderBy(F.coalesce(F.col("df"), F.lit(0)), "h", "off")
     prefix = shingles.join(counts, "h", "left").withColumn("_r", F.row_number().over(rank)).where("_r = 1")
-    prefix = prefix.groupBy("h", "seq", "off").agg(F.collect_set("item_id").alias("items"))
-    prefix = B.stored(prefix.unionByName(docs.sparkSession.range(1).select(F.lit(CLOSE).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("seq"), F.lit(0).alias("off"), F.lit(None).cast("array<string>").alias("items"))), "bench-prefix")
+    # A window whose rarest shingle no document has can't occur.
+    prefix = B.stored(prefix.where("df > 0").groupBy("h", "seq", "off").agg(F.collect_set("item_id").alias("items")), "bench-prefix")
     start = F.col("pos") - F.col("off")
+    inside = (start >= 0) & (start + F.size("seq") <= F.col("n"))
     if small:
-        met = rows.join(F.broadcast(prefix), "h")
-        fits = (start >= 0) & (start + F.size("seq") <= F.col("n")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("seq")) == F.col("seq"))
+        met = rows.join(F.broadcast(prefix), "h").where(inside & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("seq")) == F.col("seq")))
     else:
-        near = rows.select("doc_id", "n", "pos", "h", F.greatest(F.col("pos") - window, F.lit(0)).alias("base"), F.slice("w", F.greatest(F.col("pos") - window, F.lit(0)) + 1, 2 * window).alias("w"))
-        met = near.join(prefix, "h")
-        fits = (start >= 0) & (start + F.size("seq") <= F.col("n")) & (F.slice("w", F.greatest(start - F.col("base"), F.lit(0)) + 1, F.size("seq")) == F.col("seq"))
-    met = met.where((F.col("h") == CLOSE) | fits)
-    closing = F.col("h") == CLOSE
-    return met.select("doc_id", F.col("n").alias("n_words"), F.when(~closing, start).alias("start"), F.when(~closing, F.size("seq")).alias("length"), F.when(~closing, F.col("items")).alias("items"))
+        base = F.greatest(F.col("pos") - window, F.lit(0))
+        near = rows.select("doc_id", "tkey", "n", "pos", "h", base.alias("base"), F.slice("w", base + 1, 2 * window).alias("w"))
+        met = near.join(prefix, "h").where(inside & (F.slice("w", F.greatest(start - F.col("base"), F.lit(0)) + 1, F.size("seq")) == F.col("seq")))
+    return met.select("doc_id", "tkey", start.alias("start"), F.size("seq").alias("length"), "items")
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_words, spans, items) of every document: the words hit as an array of (first, end), and the sorted items whose windows occur.
+    """(doc_id, n_words, spans, items) of every row: the words hit as an array of (first, end), and the sorted items whose windows occur.
 
-    Null or empty texts have no words and no hits, an empty benchmark hits nothing.  doc_id must be
-    unique; rows of one id are taken together.
+    Null or empty texts have no words and no hits, an empty benchmark hits nothing.  Rows come out once each
+    and are judged by their own texts, whatever their ids: repeated rows, repeated ids and null ids too.
     """
-    found = hits(docs, items, window, shingle)
-    by_doc = found.groupBy("doc_id").agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("end"))))).alias("hit"),
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tkey"))
+    found = hits(src, items, window, shingle)
+    by_doc = found.groupBy("doc_id", "tkey").agg(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    # Spans of the union: each hit counts from where the hits before it have ended.
-    empty = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<first:int,end:int>>").alias("spans"))
+    # Spans of the union: hits in order that touch are one; the open one goes to the spans when the next begins behind it.
+    none = F.array().cast("array<struct<first:int,end:int>>")
+    span = lambda first, end: F.array(F.struct(first.alias("first"), end.alias("end")))
+    empty = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("end"), none.alias("spans"))
 
     def add(acc: Column, x: Column) -> Column:
-        first = F.greatest(x["start"], acc["upto"])
-        return F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), F.when(x["end"] > first, F.concat(acc["spans"], F.array(F.struct(first.alias("first"), x["end"].alias("end"))))).otherwise(acc["spans"]).alias("spans"))
-
-    return by_doc.select("doc_id", "n_words", F.aggregate("hit", empty, add)["spans"].alias("spans"), "items")
+        on = x["start"] <= acc["end"]
+        first, end = F.when(on, acc["first"]).otherwise(x["start"]), F.when(on, F.greatest(acc["end"], x["end"])).otherwise(x["end"])
+        spans = F.when(on | (acc["end"] < 0), acc["spans"]).otherwise(F.concat(acc["spans"], span(acc["first"], acc["end"])))
+        return F.struct(first.alias("first"), end.alias("end"), spans.alias("spans"))
+
+    def close(acc: Column) -> Column:
+        return F.when(acc["end"] < 0, none).otherwise(F.concat(acc["spans"], span(acc["first"], acc["end"])))
+
+    hit = B.stored(by_doc.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), F.aggregate("hit", empty, add, close).alias("spans"), "items"), "bench-hits")
+    counted = src.select("doc_id", "tkey", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    full = counted.join(F.broadcast(hit) if B.input_bytes(hit) <= B.BROADCAST_BYTES else hit, counted["doc_id"].eqNullSafe(hit["_id"]) & (counted["tkey"] == hit["_key"]), "left")
+    return full.select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

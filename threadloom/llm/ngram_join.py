@@ -19,6 +19,7 @@ pair that could join two classes is left out.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,11 @@ from . import blocks as B
 
 SHINGLE, PERCENT = 5, 80
 #: Input bytes of one bucket of shingles and of one task of what follows.
-JOIN_BYTES = 16 << 20
+JOIN_BYTES = 8 << 20
 #: Members of a leader, and of a part of a list, that one task takes at a time.
 LEADER_ROWS, LIST_ROWS = 5_000, 4_096
-LIST_BLOCK = 512
+#: Members of a block of a long list; lists up to SHORT_LIST are paired together, about PAIR_ROWS pairs at a time.
+LIST_BLOCK, SHORT_LIST, PAIR_ROWS = 512, 64, 200_000
 #: Bytes of sets that go on in one batch.
 SEND_BYTES = 2 << 20
 _ALT = np.uint64(0xA24BAED4963EE407)
@@ -256,53 +258,66 @@ def class_pairs(lists: DataFrame, tasks: int, percent: int = PERCENT) -> DataFra
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("leader", pa.int64()), ("c", pa.int32()), ("need", pa.int32()), ("sure", pa.bool_())])
 
-    def pairs(x: dict[str, np.ndarray], halves: bool) -> Iterator[np.ndarray]:
-        order = np.lexsort((x["doc_id"], x["pos"], x["n"]))
-        x = {c: v[order] for c, v in x.items()}
+    def kept_pairs(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The pairs of members p and q of one list, in order of size, that the bounds and the judges' answers leave."""
+        n, doc, judge, shares, last = x["n"], x["doc_id"], x["judge"], x["shares"], x["last"]
+        behind = n - prefix_length(n, percent)
+        keep = possible(n[p], x["u"][p], last[p], n[q], x["u"][q], last[q], percent)
+        p, q = p[keep], q[keep]
+        need = least_overlap(n[p], n[q], percent)
+        # What the judge's answers say.
+        one = (judge[p] == judge[q]) & (judge[p] != NO_JUDGE)
+        most = np.minimum(shares[p], shares[q]) + np.minimum(n[p] - shares[p], n[q] - shares[q])
+        sure = one & (shares[p] + shares[q] - x["judge_n"][p] >= need)
+        settled = one & (most < need) | (judge[p] == doc[q]) | (judge[q] == doc[p])
+        p, q, need, sure = p[~settled], q[~settled], need[~settled], sure[~settled]
+        # Behind its prefix a set has so many shingles; the set whose prefix ends first shares no others.
+        rest = np.where(last[p] < last[q], behind[p], np.where(last[q] < last[p], behind[q], np.minimum(behind[p], behind[q])))
+        need = need - rest
+        led, other = np.minimum(x["s"][p], x["s"][q]), np.minimum(x["r"][p], x["r"][q])
+        both_main = x["main"][p] & x["main"][q]
+        keep = (led + other >= need) & ((led >= need) | ~both_main)
+        p, q, need, other, sure, both_main = p[keep], q[keep], need[keep], other[keep], sure[keep], both_main[keep]
+        return np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), x["leader"][p], np.where(both_main, need - other, 1), sure], 1)
+
+    def by_position(x: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether members p and q (arrays that broadcast) of other classes and, in halves of a list, other parts may be linked by where they have the list's shingle."""
+        n, pos = x["n"], x["pos"]
+        most = np.minimum(pos[p], pos[q]) + 1 + np.minimum((n - 1 - pos)[p], (n - 1 - pos)[q])
+        return (x["comp"][p] != x["comp"][q]) & (most >= least_overlap(n[p], n[q], percent)) & ((x["a"][p] == x["b"][p]) | (x["own"][p] != x["own"][q]))
+
+    def of_long_list(x: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """The pairs of one list, by blocks of members in order of size and position."""
         n, pos, comp = x["n"], x["pos"], x["comp"]
         tail = n - 1 - pos
-        behind = n - prefix_length(n, percent)
         for i in range(0, len(n), LIST_BLOCK):
-            p0 = slice(i, min(i + LIST_BLOCK, len(n)))
+            p = np.arange(i, min(i + LIST_BLOCK, len(n)))
             for j in range(i, len(n), LIST_BLOCK):
-                q0 = slice(j, min(j + LIST_BLOCK, len(n)))
-                if 100 * n[p0][-1] < percent * n[j]:
+                q = np.arange(j, min(j + LIST_BLOCK, len(n)))
+                if 100 * n[p[-1]] < percent * n[j]:
                     break  # all sets from here on are too large for this block's
                 # The block as a whole: by position, and by class.
-                most = min(pos[p0].max(), pos[q0].max()) + 1 + min(tail[p0].max(), tail[q0].max())
-                if most < least_overlap(n[i], n[j], percent) or (comp[p0] == comp[i]).all() and (comp[q0] == comp[i]).all():
+                most = min(pos[p].max(), pos[q].max()) + 1 + min(tail[p].max(), tail[q].max())
+                if most < least_overlap(n[i], n[j], percent) or (comp[p] == comp[i]).all() and (comp[q] == comp[i]).all():
                     continue
-                f = lambda c, p0=p0, q0=q0: (x[c][p0][:, None], x[c][q0][None, :])
-                (np_, nq), (ip, iq), (tp, tq), (cp, cq) = f("n"), f("pos"), (tail[p0][:, None], tail[q0][None, :]), f("comp")
-                need = least_overlap(np_, nq, percent)
-                ok = (cp != cq) & (np.minimum(ip, iq) + 1 + np.minimum(tp, tq) >= need)
-                if halves:
-                    ok &= np.not_equal(*f("own"))
-                if i == j:
-                    ok = np.triu(ok, 1)
-                p, q = np.nonzero(ok)
-                p, q = p + i, q + j
-                keep = possible(n[p], x["u"][p], x["last"][p], n[q], x["u"][q], x["last"][q], percent)
-                p, q = p[keep], q[keep]
-                doc, judge, shares = x["doc_id"], x["judge"], x["shares"]
-                need = least_overlap(n[p], n[q], percent)
-                # What the judge's answers say.
-                one = (judge[p] == judge[q]) & (judge[p] != NO_JUDGE)
-                most = np.minimum(shares[p], shares[q]) + np.minimum(n[p] - shares[p], n[q] - shares[q])
-                sure = one & (shares[p] + shares[q] - x["judge_n"][p] >= need)
-                settled = one & (most < need) | (judge[p] == doc[q]) | (judge[q] == doc[p])
-                p, q, need, sure = p[~settled], q[~settled], need[~settled], sure[~settled]
-                # Behind its prefix a set has so many shingles; the set whose prefix ends first shares no others.
-                last, s, r, main = x["last"], x["s"], x["r"], x["main"]
-                rest = np.where(last[p] < last[q], behind[p], np.where(last[q] < last[p], behind[q], np.minimum(behind[p], behind[q])))
-                need = need - rest
-                led, other = np.minimum(s[p], s[q]), np.minimum(r[p], r[q])
-                first = led >= need
-                keep = (led + other >= need) & (first | ~(main[p] & main[q]))
-                p, q, need, other, sure = p[keep], q[keep], need[keep], other[keep], sure[keep]
-                if len(p):
-                    both_main = main[p] & main[q]
-                    yield np.stack([np.minimum(doc[p], doc[q]), np.maximum(doc[p], doc[q]), x["leader"][p], np.where(both_main, need - other, 1), sure], 1)
+                ok = by_position(x, p[:, None], q[None, :])
+                s, t = np.nonzero(np.triu(ok, 1) if i == j else ok)
+                yield kept_pairs(x, s + i, t + j)
+
+    def of_short_lists(x: dict[str, np.ndarray], size: np.ndarray) -> Iterator[np.ndarray]:
+        """The pairs of many lists of these sizes, all at once."""
+        end = np.repeat(np.cumsum(size), size)
+        partners = end - np.arange(len(end)) - 1
+        upto = np.cumsum(partners)
+        a = 0
+        while a < len(end):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIR_ROWS, "right")))
+            k = partners[a:b]
+            p = np.repeat(np.arange(a, b), k)
+            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)
+            ok = by_position(x, p, q)
+            yield kept_pairs(x, p[ok], q[ok])
+            a = b
 
     @B.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,24 +336,36 @@ def class_pairs(lists: DataFrame, tasks: int, percent: int = PERCENT) -> DataFra
 
         names = ["key", "a", "b", "own", *LISTED]
 
-        def parts() -> Iterator[dict[str, np.ndarray]]:
+        def whole_lists() -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+            """Batches of whole lists (or parts), members in order of size and position, and the lists' sizes."""
             rest: dict[str, np.ndarray] | None = None
-            for batch in batches:
-                if not batch.num_rows:
+            for batch in itertools.chain(batches, [None]):
+                if batch is not None:
+                    if not batch.num_rows:
+                        continue
+                    cols = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+                    if rest is not None:
+                        cols = {c: np.concatenate([rest[c], v]) for c, v in cols.items()}
+                elif rest is None:
+                    return
+                else:
+                    cols = rest
+                new = np.append(True, (cols["key"][1:] != cols["key"][:-1]) | (cols["a"][1:] != cols["a"][:-1]) | (cols["b"][1:] != cols["b"][:-1]))
+                at = np.flatnonzero(new)
+                upto = len(new) if batch is None else int(at[-1])
+                rest = {c: v[upto:] for c, v in cols.items()}
+                if upto:
+                    order = np.lexsort((cols["doc_id"][:upto], cols["pos"][:upto], cols["n"][:upto], np.cumsum(new)[:upto]))
+                    yield {c: v[:upto][order] for c, v in cols.items()}, np.diff(np.append(at[at < upto], upto))
+
+        for x, size in whole_lists():
+            short = np.repeat(size <= SHORT_LIST, size)
+            found = [of_short_lists({c: v[short] for c, v in x.items()}, size[size <= SHORT_LIST])]
+            begin = np.cumsum(size) - size
+            found += [of_long_list({c: v[begin[i] : begin[i] + size[i]] for c, v in x.items()}) for i in np.flatnonzero(size > SHORT_LIST)]
+            for part in itertools.chain(*found):
+                if not len(part):
                     continue
-                cols = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
-                if rest is not None:
-                    cols = {c: np.concatenate([rest[c], v]) for c, v in cols.items()}
-                key = np.stack([cols["key"], cols["a"], cols["b"]])
-                bounds = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()]
-                for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                    yield {c: v[s:e] for c, v in cols.items()}
-                rest = {c: v[bounds[-1] :] for c, v in cols.items()}
-            if rest is not None:
-                yield rest
-
-        for x in parts():
-            for part in pairs(x, bool(x["a"][0] != x["b"][0])):
                 kept.append(part)
                 count += len(part)
                 if count > 200_000:
