@@ -53,7 +53,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     padded = np.append(text.astype(np.int64), np.zeros(width, np.int64))
     for j in range(width):
         rank = (rank << bits) | padded[j : j + n]
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while width < depth:
         s = rank[order]
         rank = np.empty(n, np.int64)
@@ -61,7 +61,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(n - width, 0)] = rank[width:]
         rank = rank * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         width *= 2
     return order
 
@@ -92,6 +92,25 @@ def codes(length: np.ndarray) -> np.ndarray:
     return out
 
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
+class Bits:
+    """Packed bits with the number of ones before each 64 of them."""
+
+    def __init__(self, bit: np.ndarray):
+        lanes = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)
+        raw = np.packbits(bit, bitorder="little")
+        lanes[: len(raw)] = raw
+        self.lanes = lanes.view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.lanes)[:-1], dtype=np.int32)]).astype(np.int32)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """The ones before each place."""
+        lane = at >> 6
+        return self.before.take(lane) + np.bitwise_count(self.lanes.take(lane) & _BELOW.take(at & 63))
+
+
 class FMIndex:
     """A compressed index of a text of integers > 0, with 0 between segments, each place with an owner.
 
@@ -108,52 +127,47 @@ class FMIndex:
         self.common = np.zeros(n, np.uint8)
         alive = np.ones(max(n - 1, 0), bool)
         for d in range(depth):
-            alive &= padded[order[1:] + d] == padded[order[:-1] + d]
+            symbol = padded[d:].take(order)
+            alive &= symbol[1:] == symbol[:-1]
             self.common[1:] += alive
         # The intervals of ``depth`` symbols, by their first places.
-        self.first = np.flatnonzero(self.common < depth).astype(np.int32)
-        self.least = np.minimum.reduceat(owner[order], self.first) if n else np.zeros(0, np.int64)
-        self._starts: dict[int, np.ndarray] = {}
+        full = self.common < depth
+        self.first = Bits(full)
+        self.least = np.minimum.reduceat(owner[order], np.flatnonzero(full)) if n else np.zeros(0, np.int64)
+        self._starts: dict[int, tuple[Bits, np.ndarray]] = {}
         seq = text[order - 1].astype(np.int32)
         count = np.bincount(seq, minlength=1)
         self.begin = np.concatenate([[0], np.cumsum(count)])
         self.length = code_lengths(count)
         self.code = codes(self.length)
-        self.bits, self.ranks, self.zeros = [], [], []
+        self.bits, self.zeros = [], []
+        seq = self.code[seq].astype(np.int32)
         for k in range(int(self.length.max(initial=0))):
-            bit = ((self.code[seq] >> k) & 1).astype(np.uint8)
-            lanes = np.zeros((len(seq) // 64 + 1) * 8, np.uint8)
-            raw = np.packbits(bit, bitorder="little")
-            lanes[: len(raw)] = raw
-            lanes = lanes.view("<u8")
-            self.bits.append(lanes)
-            self.ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(lanes)[:-1], dtype=np.int32)]).astype(np.int32))
-            zero = bit == 0
-            self.zeros.append(int(zero.sum()))
-            seq = np.concatenate([seq[zero], seq[~zero]])
+            bit = ((seq >> k) & 1).astype(bool)
+            self.bits.append(Bits(bit))
+            zeros = seq[~bit]
+            self.zeros.append(len(zeros))
+            seq = np.concatenate([zeros, seq[bit]])
             seq = seq[: len(seq) - int(count[self.length == k + 1].sum())]
         # Where each symbol's occurrences begin in its last level, folded into the cumulative counts.
         symbols = np.arange(len(count))
         self.shift = self.begin[:-1] - self._descend(symbols, np.zeros(len(symbols), np.int64))
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = at.copy()
-        length, code, mine = self.length[symbol], self.code[symbol], np.arange(len(symbol))
-        own = length > 0
-        if not own.all():
-            length, code, mine, at = length[own], code[own], mine[own], at[own]
-        for k in range(len(self.bits)):
-            if not len(mine):
+        # Symbols of long codes first: those still on their way are the first ones at each level.
+        length = self.length.take(symbol)
+        order = np.argsort(-length.astype(np.int8), kind="stable")
+        on = len(symbol) - np.cumsum(np.bincount(length, minlength=len(self.bits) + 1))
+        code, at = self.code.take(symbol.take(order)), at.take(order)
+        for k, (bits, zeros) in enumerate(zip(self.bits, self.zeros, strict=True)):
+            n = on[k]
+            if not n:
                 break
-            lane = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.ranks[k][lane] + np.bitwise_count(self.bits[k][lane] & mask)
-            at = np.where((code >> k) & 1, self.zeros[k] + ones, at - ones)
-            done = length == k + 1
-            if done.any():
-                out[mine[done]] = at[done]
-                on = ~done
-                length, code, mine, at = length[on], code[on], mine[on], at[on]
+            now = at[:n]
+            ones = bits.ones(now)
+            at[:n] = np.where((code[:n] >> k) & 1, zeros + ones, now - ones)
+        out = np.empty_like(at)
+        out[order] = at
         return out
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +182,12 @@ class FMIndex:
 
     def shortened(self, lo: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the first ``depth`` symbols of the matches at these places."""
-        starts = self._starts.get(depth)
-        if starts is None:
-            starts = self._starts[depth] = np.append(np.flatnonzero(self.common < depth) if depth else np.zeros(min(self.size, 1), np.int64), self.size)
-        at = np.searchsorted(starts, lo, "right") - 1
-        return starts[at], starts[at + 1]
+        if depth not in self._starts:
+            marks = self.common < depth if depth else np.arange(self.size) == 0
+            self._starts[depth] = Bits(marks), np.append(np.flatnonzero(marks), self.size).astype(np.int32)
+        marks, starts = self._starts[depth]
+        at = marks.ones(lo + 1)
+        return starts.take(at - 1), starts.take(at)
 
     def matches(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of streamed segments text[begin : begin + size], one after the other.
@@ -215,7 +230,7 @@ class FMIndex:
 
     def least_owner(self, lo: np.ndarray) -> np.ndarray:
         """The least owner of the ``depth`` symbols whose interval begins at these suffixes."""
-        return self.least[np.searchsorted(self.first, lo)]
+        return self.least.take(self.first.ones(lo))
 
 
 def segments(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -390,7 +405,7 @@ def _passes(bloom: tuple[np.ndarray, int, int], v: np.ndarray) -> np.ndarray:
 
 def _distinct(seg: np.ndarray, begin: np.ndarray, words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): segments sorted by hash, and whether each differs from the one before it; their words decide, not the hash alone."""
-    order = np.argsort(seg, kind="stable")
+    order = np.argsort(seg)
     new = np.ones(len(seg), bool)
     new[1:] = (seg[order][1:] != seg[order][:-1]) | (words[order][1:] != words[order][:-1])
     at = np.flatnonzero(~new)
@@ -476,25 +491,29 @@ class _Shard:
         least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
         at = order[new]
         words, begin = words[at], begin[at]
-        own = flat[_ranges(begin, words)]
-        self.vocab, symbol = np.unique(own, return_inverse=True)
-        text = np.zeros(int(words.sum()) + len(at), np.int64)
-        text[_ranges(np.cumsum(words + 1) - (words + 1), words)] = symbol + 1
+        self.vocab, symbol = np.unique(flat, return_inverse=True)
+        #: Of the words that the shard was made of.
+        self.symbols = symbol.astype(np.int32) + 1
+        text = np.zeros(int(words.sum()) + len(at), np.int32)
+        text[_ranges(np.cumsum(words + 1) - (words + 1), words)] = self.symbols[_ranges(begin, words)]
         self.index = FMIndex(text, np.repeat(least, words + 1), window)
         self.window = window
 
-    def search(self, size: np.ndarray, flat: np.ndarray, rows: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    def symbols_of(self, flat: np.ndarray) -> np.ndarray:
+        """The index's symbols of words; 0 for those that it lacks."""
+        at = np.minimum(np.searchsorted(self.vocab, flat), len(self.vocab) - 1)
+        return np.where(self.vocab[at] == flat, at + 1, 0)
+
+    def search(self, size: np.ndarray, symbols: np.ndarray, rows: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first segment, end, least document of each window) of streamed segments, ``rows`` of them at a time."""
         words = size + self.window - 1
         end = np.cumsum(words)
         for a in range(0, len(size), rows):
             b = min(a + rows, len(size))
-            own = flat[end[a] - words[a] : end[b - 1]]
-            at = np.minimum(np.searchsorted(self.vocab, own), len(self.vocab) - 1)
-            symbol = np.where(self.vocab[at] == own, at + 1, 0)
+            symbol = symbols[end[a] - words[a] : end[b - 1]]
             length, lo = self.index.matches(symbol, end[a:b] - words[a:b] - (end[a] - words[a]), words[a:b])
             reached = length == self.window
-            least = np.full(len(own), np.iinfo(np.int64).max)
+            least = np.full(len(symbol), np.iinfo(np.int64).max)
             least[reached] = self.index.least_owner(lo[reached])
             yield a, b, least[_ranges(end[a:b] - words[a:b] - (end[a] - words[a]), size[a:b])]
 
@@ -535,10 +554,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows = [(k, B.pack(*(x[i] for x in found))) for k, i in B.split_by(B.mix(found[0].view(np.uint64)) % np.uint64(buckets))]
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], blob=[r[1] for r in rows])
 
-        def streamed(shard: _Shard, size: np.ndarray, flat: np.ndarray, places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def streamed(shard: _Shard, size: np.ndarray, symbols: np.ndarray, places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(places[0], kind="stable")
             seg, doc, key, at_word = (x[order] for x in places)
-            for a, b, least in shard.search(size, flat, SEARCH_ROWS):
+            for a, b, least in shard.search(size, symbols, SEARCH_ROWS):
                 own = slice(*np.searchsorted(seg, [a, b]))
                 part = size[a:b]
                 yield from told(_spans(seg[own] - a, doc[own], key[own], at_word[own], part, np.cumsum(part) - part, least, window))
@@ -548,14 +567,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             held: list[list[np.ndarray]] = []
             places: list[list[np.ndarray]] = []
 
-            def build() -> tuple[_Shard, np.ndarray, np.ndarray]:
+            def build() -> tuple[_Shard, np.ndarray]:
                 seg, doc, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))  # noqa: B023
-                return _Shard(seg, doc, size.astype(np.int64), flat, window), size.astype(np.int64), flat
+                return _Shard(seg, doc, size.astype(np.int64), flat, window), size.astype(np.int64)
 
-            def cold(size: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+            def cold(size: np.ndarray) -> Iterator[pa.RecordBatch]:
                 before = np.cumsum([0, *(len(x[0]) for x in held)])  # noqa: B023
                 mine = [np.concatenate(x) for x in zip(*([p[0].astype(np.int64) + before[i], *p[1:]] for i, p in enumerate(places)), strict=True)]  # noqa: B023
-                yield from streamed(shard, size, flat, mine)  # noqa: B023
+                yield from streamed(shard, size, shard.symbols, mine)  # noqa: B023
+                shard.symbols = None  # noqa: B023
 
             for batch in bucket:
                 for kind, segs, words, at in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
@@ -566,14 +586,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         continue
                     if shard is None:
                         # All of the index has come; what is left is streamed past it.
-                        shard, size, flat = build()
-                        yield from cold(size, flat)
-                        held, places, size, flat = [], [], None, None
+                        shard, size = build()
+                        yield from cold(size)
+                        held, places, size = [], [], None
                     seg, *rest = B.unpack(at, *place_types)
-                    yield from streamed(shard, x[2].astype(np.int64), x[3], [seg.astype(np.int64), *rest])
+                    yield from streamed(shard, x[2].astype(np.int64), shard.symbols_of(x[3]), [seg.astype(np.int64), *rest])
             if shard is None:
-                shard, size, flat = build()
-                yield from cold(size, flat)
+                shard, size = build()
+                yield from cold(size)
 
     marked = B.gathered(_segment_rows(docs, buckets, window, sent), buckets, "kind").mapInArrow(search, "bucket long, blob binary")
 
