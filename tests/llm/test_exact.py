@@ -332,27 +332,24 @@ def test_packing(spark):
     path = _tokenizer()
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    extra = [(20_000, "it's 'tis don't WE'LL  x\n\n y z 日本 <|endoftext|>"), (20_001, "\x1c \x85 ''re 'll'")]
-    rows = ROWS[:-1] + extra
+    t = Tokenizer.from_file(path)  # as it comes, with nothing set
+    extra = [(20_000, "it's 'tis don't WE'LL  x\n\n y z 日本 <|endoftext|>"), (20_001, "\x1c \x85 ''re 'll'"), (None, "no id"), (None, None), (20_002, "long " * 9000), (20_002, "long " * 9000)]
+    rows = ROWS + extra
     cut = packing.stored_pieces(frame(spark, rows), path)
     got = packing.pack(cut, rank_rows=7).collect()
-    ids = {d: t.encode(x or "", add_special_tokens=False).ids + [0] for d, x in rows}
-    mine, bins = defaultdict(list), defaultdict(list)
+    want = defaultdict(int)
+    for d, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [0]
+        at, k = 0, 0
+        while at < len(ids):  # the first piece is what is over
+            n = (len(ids) - at) % 2048 or 2048
+            want[d, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())] += 1
+            at, k = at + n, k + 1
+    mine, bins = defaultdict(int), defaultdict(list)
     for r in got:
-        mine[r["doc_id"]].append(r)
+        mine[r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]] += 1
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
-    assert mine.keys() == ids.keys()
-    for d, own in mine.items():
-        own.sort(key=lambda r: r["piece"])
-        assert [r["piece"] for r in own] == list(range(len(own)))
-        at = 0
-        for r in own:
-            assert r["start"] == at and 0 < r["length"] <= 2048
-            assert r["ids_crc32"] == zlib.crc32(np.array(ids[d][at : at + r["length"]], "<u4").tobytes())
-            at += r["length"]
-        assert at == len(ids[d]) and all(r["length"] == 2048 for r in own[1:])
+    assert mine == want
     for b in bins.values():
         at = 0
         for o, n in sorted(b):
@@ -393,6 +390,30 @@ def test_plan():
     assert packing.plan({}) == []
 
 
+def test_sum_index():
+    """What it finds makes the sum of available pieces, as few as can be; None only where nothing does, as counts fall."""
+    from itertools import combinations_with_replacement
+
+    r = np.random.default_rng(3)
+    have = np.zeros(41, np.int64)
+    have[[3, 5, 8, 14, 21, 22]] = [2, 1, 4, 1, 2, 1]
+    index = packing.SumIndex(have)
+
+    def makes(total):
+        return [c for k in (1, 2, 3) for c in combinations_with_replacement(range(1, 41), k) if sum(c) == total and all(have[x] >= c.count(x) for x in c)]
+
+    while have.any():
+        for total in r.permutation(np.arange(1, 41)).tolist():
+            found, all_ = index.find(total), makes(total)
+            assert (found is None) == (not all_), (total, found, all_, have)
+            if found:
+                assert sum(found) == total and index.available(found) and len(found) == len(all_[0])
+        index.reserve((int(r.choice(np.flatnonzero(have))),))
+        if r.random() < 0.5:
+            pattern, n = index.use()
+            assert n >= 1
+
+
 def _longest(text, pattern, depth):
     """Matching statistics the slow way."""
     out = []

@@ -1,10 +1,11 @@
 """Best-fit packing of token pieces by exact-complement hashing.
 
-The plan needs only how many pieces there are of each length, at most ``capacity`` counts.  From the
-longest down, a length's gap is looked up among single lengths, sums of two and sums of three that are
-still available, and as many sequences as the counts allow are filled at once; what no combination
-fills exactly takes the longest piece that fits.  The pieces themselves are numbered within their
-length and look up their place in the plan.
+The plan needs only how many pieces there are of each length, at most ``capacity`` counts.  An index
+holds for each sum a single length, a pair and a triple that make it and are still available.  From the
+longest down, a length's complement to the capacity is looked up there, and as many sequences as the
+counts allow are filled exactly at once.  The lengths that no available combination completes are packed
+by best fit, which looks up the gap that is left after each piece as well.  The pieces themselves are
+numbered within their length and look up their place in the plan.
 """
 
 from __future__ import annotations
@@ -208,67 +209,103 @@ def stored_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     return B.stored(pieces(docs, tokenizer, capacity), "pieces")
 
 
-def exact_fill(gap: int, have: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to the gap, the most plentiful ones; None if there are none."""
-    if have[gap]:
-        return (gap,)
+class SumIndex:
+    """Combinations of one, two or three available lengths, by their sum.
 
-    def pair(g: int) -> tuple[int, int] | None:
-        if g < 2:
+    ``have`` holds how many pieces there are of each length, without those ``reserved`` for the sequence at
+    hand.  Taken pieces never come back, so what was found stays good until one of its lengths runs out, and
+    a sum that nothing makes while none is reserved stays so.
+    """
+
+    def __init__(self, have: np.ndarray):
+        self.have = have
+        self.reserved: list[int] = []
+        self.known: dict[tuple[int, int], tuple[int, ...] | None] = {}
+
+    def reserve(self, lengths: tuple[int, ...]) -> None:
+        for x in lengths:
+            self.have[x] -= 1
+        self.reserved += lengths
+
+    def use(self) -> tuple[list[int], int]:
+        """The reserved pieces as a sequence, as many times as the counts allow."""
+        for x in self.reserved:
+            self.have[x] += 1
+        lengths, uses = np.unique(self.reserved, return_counts=True)
+        n = int((self.have[lengths] // uses).min())
+        self.have[lengths] -= n * uses
+        pattern, self.reserved = sorted(self.reserved, reverse=True), []
+        return pattern, n
+
+    def available(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.have[x] >= lengths.count(x) for x in lengths)
+
+    def _look_up(self, many: int, total: int) -> tuple[int, ...] | None:
+        known = self.known.get((many, total), ())
+        if known is None or known and self.available(known):
+            return known
+        found = (self._pair if many == 2 else self._triple)(total)
+        if found or not self.reserved:
+            self.known[many, total] = found
+        return found
+
+    def _pair(self, total: int) -> tuple[int, ...] | None:
+        """The most plentiful pair."""
+        if total < 2:
             return None
-        a = np.arange(1, g // 2 + 1)
-        n = np.minimum(have[a], have[g - a])
-        if g % 2 == 0:
-            n[-1] = have[g // 2] // 2
+        a = np.arange(1, total // 2 + 1)
+        n = np.minimum(self.have[a], self.have[total - a])
+        if total % 2 == 0:
+            n[-1] = self.have[total // 2] // 2
         k = int(n.argmax())
-        return (g - int(a[k]), int(a[k])) if n[k] > 0 else None
-
-    two = pair(gap)
-    if two:
-        return two
-    for c in np.flatnonzero(have[: gap - 1])[::-1] if gap > 2 else ():
-        have[c] -= 1
-        two = pair(gap - int(c))
-        have[c] += 1
-        if two:
-            return (int(c), *two)
-    return None
+        return (total - int(a[k]), int(a[k])) if n[k] > 0 else None
+
+    def _triple(self, total: int) -> tuple[int, ...] | None:
+        """A triple of the longest length that has one."""
+        for c in np.flatnonzero(self.have[: max(total - 1, 0)])[::-1].tolist():
+            two = self._look_up(2, total - c)
+            if two and not self.available((c, *two)):
+                self.have[c] -= 1
+                two = self._pair(total - c)
+                self.have[c] += 1
+            if two:
+                return (c, *two)
+        return None
+
+    def find(self, total: int) -> tuple[int, ...] | None:
+        """The available combination of fewest lengths that makes the total, or None."""
+        if self.have[total]:
+            return (total,)
+        return self._look_up(2, total) or self._look_up(3, total)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """(lengths of a sequence, number of such sequences) that use every piece once.
 
-    Each round exhausts a length, so there are few rounds whatever the counts.
+    A sequence begins with the longest length left.  If one to three available lengths complete it exactly,
+    they do; else the longest that fits goes in (at once where the gap is over three times the longest
+    length) and the gap that it leaves is looked up again.  Each step exhausts a length, so there are few
+    steps whatever the counts.
     """
     have = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         have[length] += n
-    out = []
-    if have[capacity]:
-        out.append(([capacity], int(have[capacity])))
-        have[capacity] = 0
-    while True:
-        left = np.flatnonzero(have)
-        if not len(left):
-            return out
-        pattern, gap = [], capacity
-        trial = have.copy()
+    index, out = SumIndex(have), []
+    while len(left := np.flatnonzero(have)):
         longest = int(left[-1])
+        index.reserve((longest,))
+        gap = capacity - longest
         while gap:
-            fill = exact_fill(gap, trial) if pattern and gap <= 3 * longest else None
+            fill = index.find(gap) if gap <= 3 * longest else None
             if fill is None:
-                fits = np.flatnonzero(trial[: gap + 1])
+                fits = np.flatnonzero(have[: gap + 1])
                 if not len(fits):
                     break
                 fill = (int(fits[-1]),)
-            for x in fill:
-                trial[x] -= 1
-            pattern += fill
+            index.reserve(fill)
             gap -= sum(fill)
-        lengths, uses = np.unique(pattern, return_counts=True)
-        n = int((have[lengths] // uses).min())
-        have[lengths] -= n * uses
-        out.append((sorted(pattern, reverse=True), n))
+        out.append(index.use())
+    return out
 
 
 def _places(planned: list[tuple[list[int], int]]) -> np.ndarray:
