@@ -88,11 +88,19 @@ def curves(df: DataFrame, period: str, role: str, category: str, left: str = "us
     return out.select(*by, "user_msgs", "assistant_msgs", "entropy_user", F.when(ok, F.sqrt(F.greatest("d", F.lit(0.0)))).alias("js_distance"))
 
 
+def cosines(df: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]], eps: float = 1e-12) -> DataFrame:
+    """(keys, one column a pair): name -> the cosine of two vectors in long form, all by one aggregation; null where a norm is under eps."""
+
+    def one(x: str, y: str) -> Column:
+        nx, ny = F.sqrt(F.sum(F.col(x) * F.col(x))), F.sqrt(F.sum(F.col(y) * F.col(y)))
+        return F.when((nx >= eps) & (ny >= eps), F.sum(F.col(x) * F.col(y)) / F.nullif(nx * ny, F.lit(0.0)))
+
+    return df.groupBy(*keys).agg(*[one(x, y).alias(name) for name, (x, y) in pairs.items()])
+
+
 def cosine(df: DataFrame, keys: list[str], x: str, y: str, eps: float = 1e-12) -> DataFrame:
     """(keys, cosine) of two vectors in long form; null where a norm is under eps."""
-    nx, ny = F.sqrt(F.sum(F.col(x) * F.col(x))), F.sqrt(F.sum(F.col(y) * F.col(y)))
-    value = F.when((nx >= eps) & (ny >= eps), F.sum(F.col(x) * F.col(y)) / F.nullif(nx * ny, F.lit(0.0)))
-    return df.groupBy(*keys).agg(value.alias("cosine"))
+    return cosines(df, keys, {"cosine": (x, y)}, eps)
 
 
 def qualifying(df: DataFrame, period: str, role: str, least: int, roles: tuple[str, ...] = ("user", "assistant")) -> DataFrame:

@@ -12,7 +12,7 @@ def roots(nodes: DataFrame, thread: str, node: str, parent: str) -> DataFrame:
     return nodes.join(known, [thread, parent], "left_anti").select(*nodes.columns)
 
 
-def main_path(nodes: DataFrame, thread: str, node: str, parent: str, ts: str, max_depth: int = 100_000) -> DataFrame:
+def main_path(nodes: DataFrame, thread: str, node: str, parent: str, ts: str) -> DataFrame:
     """(thread, pos, node) of each thread's longest root-to-leaf path.
 
     Ties go, at the highest place where paths part, to the earlier child (no time counts as latest, equal
@@ -35,7 +35,7 @@ def main_path(nodes: DataFrame, thread: str, node: str, parent: str, ts: str, ma
         order, seen, stack = [], set(), list(tops)
         while stack:
             n = stack.pop()
-            if n not in seen and len(seen) < max_depth * 1000:
+            if n not in seen:
                 seen.add(n)
                 order.append(n)
                 stack += [c for c in down.get(n, []) if c not in seen]

@@ -103,7 +103,9 @@ def marker_profile(spark, d):
 
 
 def _ttr(df: DataFrame, key: str) -> DataFrame:
-    w = df.select(key, F.explode(X.ascii_words(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("k"))
+    w = df.select(key, F.explode(F.split(F.lower("text"), X.NOT_WORD)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("k"))
+    # Distinct words are tested, not every word.
+    w = w.where(X.is_ascii_word(F.col("w")))
     return w.groupBy(key).agg(F.count("*").alias("unique_words"), F.sum("k").alias("total_words"), F.round(F.count("*") / F.sum("k"), 4).alias("ttr"))
 
 
@@ -226,7 +228,7 @@ def episode_summary(spark, d):
 @query(f"""WITH {EVT}, x AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS a FROM e), w AS (SELECT rn // 250 AS "window", rn % 250 AS place, ts, domain FROM x WHERE rn < (a // 250) * 250),
 s AS (SELECT "window", domain, count(*) / 250.0 AS q FROM w GROUP BY 1, 2), t AS (SELECT "window", max(CASE WHEN place = 125 THEN ts END) AS mid_ts FROM w GROUP BY 1) SELECT "window", mid_ts, round(sum(-q * log2(q)), 6) AS entropy FROM s JOIN t USING ("window") GROUP BY 1, 2""")
 def rolling_entropy_count_window(spark, d):
-    w = runs.count_windows(S.event_facts(spark, d), ["ts", "event_id"], 250, "day")
+    w = runs.count_windows(S.event_facts(spark, d), ["ts", "event_id"], 250)
     mid = w.groupBy("window").agg(F.max(F.when(F.col("place") == 125, F.col("ts"))).alias("mid_ts"))
     return rounded(dist.entropy(w, ["window"], "domain", base=2.0).join(mid, "window").select("window", "mid_ts", "entropy"), "entropy")
 
@@ -258,29 +260,50 @@ def state_transitions(spark, d):
 
 # ---- coupling and statistics
 
-_G = f"WITH {sides(ORD, 'o', 'month')}, g AS (SELECT p, domain, coalesce(l / nullif(ls, 0), 0.0) AS u, coalesce(r / nullif(rs, 0), 0.0) AS a FROM (SELECT DISTINCT p FROM c) x1 CROSS JOIN (SELECT DISTINCT domain FROM c) x2 LEFT JOIN c USING (p, domain)), dd AS (SELECT p, domain, u - lag(u) OVER w AS du, a - lag(a) OVER w AS da FROM g WINDOW w AS (PARTITION BY domain ORDER BY p)), pr AS (SELECT p, domain, du, da, lead(du) OVER w AS du2, lead(da) OVER w AS da2 FROM dd WINDOW w AS (PARTITION BY domain ORDER BY p)), cs AS (SELECT p, sum(du * da2) / nullif(sqrt(sum(du * du) * sum(da2 * da2)), 0) AS f, sum(da * du2) / nullif(sqrt(sum(da * da) * sum(du2 * du2)), 0) AS b FROM pr WHERE du IS NOT NULL AND du2 IS NOT NULL GROUP BY p)"
 
+def coupling_sql(cte: str, table: str, period: str) -> str:
+    """CTEs to g (shares u and a of every period and domain), dd (their changes), pr (with the next ones) and cs (both cosines of each period)."""
+    return f"WITH {sides(cte, table, period)}, g AS (SELECT p, domain, coalesce(l / nullif(ls, 0), 0.0) AS u, coalesce(r / nullif(rs, 0), 0.0) AS a FROM (SELECT DISTINCT p FROM c) x1 CROSS JOIN (SELECT DISTINCT domain FROM c) x2 LEFT JOIN c USING (p, domain)), dd AS (SELECT p, domain, u - lag(u) OVER w AS du, a - lag(a) OVER w AS da FROM g WINDOW w AS (PARTITION BY domain ORDER BY p)), pr AS (SELECT p, domain, du, da, lead(du) OVER w AS du2, lead(da) OVER w AS da2 FROM dd WINDOW w AS (PARTITION BY domain ORDER BY p)), cs AS (SELECT p, sum(du * da2) / nullif(sqrt(sum(du * du) * sum(da2 * da2)), 0) AS f, sum(da * du2) / nullif(sqrt(sum(da * da) * sum(du2 * du2)), 0) AS b FROM pr WHERE du IS NOT NULL AND du2 IS NOT NULL GROUP BY p)"
 
-def _pairs(spark, d):
+
+def shuffled_sql(draws: int) -> str:
+    """More CTEs, to zc: both cosines of each draw and period, the right side's periods shuffled as whole vectors."""
+    return f""", mo AS (SELECT DISTINCT p FROM dd WHERE du IS NOT NULL), k AS (SELECT perm_id, p, row_number() OVER (PARTITION BY perm_id ORDER BY p) AS pos, row_number() OVER (PARTITION BY perm_id ORDER BY md5(perm_id || '|42|' || p), p) AS dst FROM mo, range(0, {draws}) q(perm_id)),
+mv AS (SELECT a.perm_id, a.p, b.p AS src FROM k a JOIN k b ON a.perm_id = b.perm_id AND a.pos = b.dst), z AS (SELECT perm_id, mv.p, x.domain, x.du, y.da FROM mv JOIN dd x ON x.p = mv.p JOIN dd y ON y.p = mv.src AND y.domain = x.domain),
+zz AS (SELECT *, lead(du) OVER w AS du2, lead(da) OVER w AS da2 FROM z WINDOW w AS (PARTITION BY perm_id, domain ORDER BY p)), zc AS (SELECT perm_id, p, sum(du * da2) / nullif(sqrt(sum(du * du) * sum(da2 * da2)), 0) AS f, sum(da * du2) / nullif(sqrt(sum(da * da) * sum(du2 * du2)), 0) AS b FROM zz WHERE du2 IS NOT NULL GROUP BY 1, 2)"""
+
+
+_G = coupling_sql(ORD, "o", "month")
+#: Shuffles of a coupling and of a trend.
+SHUFFLES, TREND_SHUFFLES = 2_000, 10_000
+COUPLED = {"forward": ("delta_u", "next_a"), "reverse": ("delta_a", "next_u")}
+
+
+def coupled_pairs(rows: DataFrame, period: str) -> DataFrame:
     """Changes of both sides' shares with the next period's changes beside them, per domain."""
-    s = dist.scaffolded(S.order_facts(spark, d), "month", "domain", "role", "user", "assistant").withColumnsRenamed({"left_share": "u", "right_share": "a"})
-    w = Window.partitionBy("domain").orderBy("month")
-    x = runs.deltas(s, "month", ["u", "a"], ["domain"])
-    return x.withColumns({"next_u": F.lead("delta_u").over(w), "next_a": F.lead("delta_a").over(w)}).where(F.col("delta_u").isNotNull() & F.col("next_u").isNotNull())
+    s = dist.scaffolded(rows, period, "domain", "role", "user", "assistant").withColumnsRenamed({"left_share": "u", "right_share": "a"})
+    w = Window.partitionBy("domain").orderBy(period)
+    x = runs.deltas(s, period, ["u", "a"], ["domain"])
+    return x.withColumns({"next_u": F.lead("delta_u").over(w), "next_a": F.lead("delta_a").over(w)}).where(F.col("delta_u").isNotNull())
+
+
+def _mean_coupling(pairs: DataFrame, period: str) -> DataFrame:
+    c = dist.cosines(pairs.where(F.col("next_u").isNotNull()), [period], COUPLED)
+    return c.agg(F.avg("forward").alias("forward"), F.avg("reverse").alias("reverse"), (F.avg("forward") - F.avg("reverse")).alias("difference"))
+
+
+def _pairs(spark, d):
+    return coupled_pairs(S.order_facts(spark, d), "month").where(F.col("next_u").isNotNull())
 
 
 @query(_G + " SELECT p AS month, round(f, 6) AS forward, round(b, 6) AS reverse FROM cs")
 def delta_coupling_pairs(spark, d):
-    p = _pairs(spark, d)
-    f, b = dist.cosine(p, ["month"], "delta_u", "next_a").withColumnRenamed("cosine", "forward"), dist.cosine(p, ["month"], "delta_a", "next_u").withColumnRenamed("cosine", "reverse")
-    return rounded(f.join(b, "month"), "forward", "reverse")
+    return rounded(dist.cosines(_pairs(spark, d), ["month"], COUPLED), "forward", "reverse")
 
 
 @query(_G + " SELECT round(avg(f), 6) AS forward, round(avg(b), 6) AS reverse, round(avg(f) - avg(b), 6) AS difference FROM cs")
 def delta_coupling_summary(spark, d):
-    p = _pairs(spark, d)
-    f, b = dist.cosine(p, ["month"], "delta_u", "next_a").withColumnRenamed("cosine", "f"), dist.cosine(p, ["month"], "delta_a", "next_u").withColumnRenamed("cosine", "b")
-    return f.join(b, "month").agg(F.round(F.avg("f"), 6).alias("forward"), F.round(F.avg("b"), 6).alias("reverse"), F.round(F.avg("f") - F.avg("b"), 6).alias("difference"))
+    return rounded(_mean_coupling(_pairs(spark, d), "month"), "forward", "reverse", "difference")
 
 
 @query(_G + " SELECT domain, round(corr(du, da2), 6) AS r, count(*) AS n FROM pr WHERE du IS NOT NULL AND da2 IS NOT NULL GROUP BY domain")
@@ -334,16 +357,16 @@ def value_histogram(spark, d):
 # ---- permutations (hash-ordered, so SQL can repeat them)
 
 
-@query(_SERIES + """, s AS (SELECT month AS row_id, n AS x, t FROM v WHERE domain = '1-URGENT'), p AS (SELECT perm_id, row_id, x, t, row_number() OVER (PARTITION BY perm_id ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM s, range(0, 50) q(perm_id)),
-j AS (SELECT a.perm_id, a.t, b.x FROM p a JOIN p b ON a.perm_id = b.perm_id AND a.pos = b.dst) SELECT perm_id, round(corr(t, x), 6) AS r, count(*) AS n FROM j GROUP BY perm_id""")
+@query(_SERIES + """, s AS (SELECT month AS row_id, n AS x, t FROM v WHERE domain = '1-URGENT'), p AS (SELECT perm_id, row_id, x, t, row_number() OVER (PARTITION BY perm_id ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM s, range(0, N_) q(perm_id)),
+j AS (SELECT a.perm_id, a.t, b.x FROM p a JOIN p b ON a.perm_id = b.perm_id AND a.pos = b.dst) SELECT perm_id, round(corr(t, x), 6) AS r, count(*) AS n FROM j GROUP BY perm_id""".replace("N_", str(SHUFFLES)))
 def perm_trend(spark, d):
     s = _series(spark, d).where("domain = '1-URGENT'").select(F.col("month").alias("row_id"), F.col("n").alias("x"), "t")
-    return rounded(stats.pearson(stats.permute(s, "row_id", "x", 50), ["perm_id"], "t", "x_perm"), "r")
+    return rounded(stats.pearson(stats.permute(s, "row_id", "x", SHUFFLES), ["perm_id"], "t", "x_perm"), "r")
 
 
 _MSGS = f"{MSG}, s AS (SELECT conv_id || '-' || turn AS row_id, month, role, domain FROM m WHERE role IN ('user', 'assistant'))"
 #: Draws of a null model, and its contrasts of periods: name -> (measure, periods, periods to take off).
-DRAWS = 20
+DRAWS = 200
 CONTRASTS = {
     "entropy_peak_early": ("entropy_user", ["2025-08", "2025-09", "2025-10"], ["2025-05", "2025-06", "2025-07"]),
     "js_spike": ("js_distance", ["2025-09", "2025-10"], ["2025-05", "2025-06", "2025-07", "2025-08"]),
@@ -421,25 +444,40 @@ def null_model_pvalues(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_COUPLING = _G + """, mo AS (SELECT DISTINCT p FROM dd WHERE du IS NOT NULL), k AS (SELECT perm_id, p, row_number() OVER (PARTITION BY perm_id ORDER BY p) AS pos, row_number() OVER (PARTITION BY perm_id ORDER BY md5(perm_id || '|42|' || p), p) AS dst FROM mo, range(0, 50) q(perm_id)),
-mv AS (SELECT a.perm_id, a.p, b.p AS src FROM k a JOIN k b ON a.perm_id = b.perm_id AND a.pos = b.dst), z AS (SELECT perm_id, mv.p, x.domain, x.du, y.da FROM mv JOIN dd x ON x.p = mv.p JOIN dd y ON y.p = mv.src AND y.domain = x.domain),
-zz AS (SELECT *, lead(du) OVER w AS du2, lead(da) OVER w AS da2 FROM z WINDOW w AS (PARTITION BY perm_id, domain ORDER BY p)), zc AS (SELECT perm_id, p, sum(du * da2) / nullif(sqrt(sum(du * du) * sum(da2 * da2)), 0) AS f, sum(da * du2) / nullif(sqrt(sum(da * da) * sum(du2 * du2)), 0) AS b FROM zz WHERE du2 IS NOT NULL GROUP BY 1, 2)"""
+@query(_G + shuffled_sql(SHUFFLES) + " SELECT perm_id, round(avg(f), 6) AS forward, round(avg(b), 6) AS reverse, round(avg(f) - avg(b), 6) AS difference FROM zc GROUP BY perm_id")
+def perm_coupling(spark, d):
+    x = coupled_pairs(S.order_facts(spark, d), "month")
+    return rounded(resample.shuffled_coupling(x, "month", "domain", "delta_u", "delta_a", SHUFFLES), "forward", "reverse", "difference")
 
 
-@query(_COUPLING + " SELECT perm_id, round(avg(f), 6) AS forward, round(avg(b), 6) AS reverse, round(avg(f) - avg(b), 6) AS difference FROM zc GROUP BY perm_id")
-def perm_coupling(spark, d):
-    s = dist.scaffolded(S.order_facts(spark, d), "month", "domain", "role", "user", "assistant").withColumnsRenamed({"left_share": "u", "right_share": "a"})
-    x = runs.deltas(s, "month", ["u", "a"], ["domain"]).where(F.col("delta_u").isNotNull())
-    return rounded(resample.shuffled_coupling(x, "month", "domain", "delta_u", "delta_a", 50), "forward", "reverse", "difference")
+def coupling_pvalues(pairs: DataFrame, period: str, n: int) -> DataFrame:
+    """One row: the means, and the shares of n shuffles as large as forward and reverse and as far from 0 as the difference."""
+    real = _mean_coupling(pairs, period)
+    null = resample.shuffled_coupling(pairs, period, "domain", "delta_u", "delta_a", n)
+    names = ["forward", "reverse", "difference"]
+    met = null.select(*[F.round(c, 9).alias(f"_{c}") for c in names]).crossJoin(F.broadcast(real))
+    p = {c: stats.perm_pvalue(met, f"_{c}", F.round(c, 9), "abs" if c == "difference" else "greater") for c in names}
+    return met.agg(*[F.max(c).alias(c) for c in names], *[p[c].alias(f"p_{c}") for c in names])
+
+
+PVALUES = """, re AS (SELECT avg(f) AS f, avg(b) AS b FROM cs), nl AS (SELECT perm_id, avg(f) AS f, avg(b) AS b FROM zc GROUP BY 1),
+pv AS (SELECT max(re.f) AS forward, max(re.b) AS reverse, max(re.f - re.b) AS difference, avg(CASE WHEN round(nl.f, 9) >= round(re.f, 9) THEN 1.0 ELSE 0 END) AS p_forward, avg(CASE WHEN round(nl.b, 9) >= round(re.b, 9) THEN 1.0 ELSE 0 END) AS p_reverse,
+avg(CASE WHEN round(abs(nl.f - nl.b), 9) >= round(abs(re.f - re.b), 9) THEN 1.0 ELSE 0 END) AS p_difference FROM nl, re)"""
 
 
-@query(_G + """, v AS (SELECT domain, p, du, da2, domain || '|' || p AS row_id FROM pr WHERE du IS NOT NULL AND da2 IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY perm_id, domain ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id, domain ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM v, range(0, 50) q(perm_id)),
+@query(_G + shuffled_sql(SHUFFLES) + PVALUES + " SELECT round(forward, 6) AS forward, round(reverse, 6) AS reverse, round(difference, 6) AS difference, round(p_forward, 6) AS p_forward, round(p_reverse, 6) AS p_reverse, round(p_difference, 6) AS p_difference FROM pv")
+def monthly_coupling_pvalues(spark, d):
+    p = coupling_pvalues(coupled_pairs(S.order_facts(spark, d), "month"), "month", SHUFFLES)
+    return rounded(p, *p.columns)
+
+
+@query(_G + """, v AS (SELECT domain, p, du, da2, domain || '|' || p AS row_id FROM pr WHERE du IS NOT NULL AND da2 IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY perm_id, domain ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id, domain ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM v, range(0, N_) q(perm_id)),
 nl AS (SELECT a.perm_id, a.domain, corr(a.du, b.da2) AS r FROM k a JOIN k b ON a.perm_id = b.perm_id AND a.domain = b.domain AND a.pos = b.dst GROUP BY 1, 2), re AS (SELECT domain, corr(du, da2) AS r FROM v GROUP BY 1)
-SELECT domain, round(any_value(re.r), 6) AS r, round(avg(CASE WHEN round(abs(nl.r), 9) >= round(abs(re.r), 9) THEN 1.0 ELSE 0 END), 6) AS p_abs FROM nl JOIN re USING (domain) GROUP BY domain""")
+SELECT domain, round(any_value(re.r), 6) AS r, round(avg(CASE WHEN round(abs(nl.r), 9) >= round(abs(re.r), 9) THEN 1.0 ELSE 0 END), 6) AS p_abs FROM nl JOIN re USING (domain) GROUP BY domain""".replace("N_", str(SHUFFLES)))
 def perm_domain_pearson(spark, d):
     v = _pairs(spark, d).select("domain", F.concat_ws("|", "domain", "month").alias("row_id"), "delta_u", "next_a")
     real = stats.pearson(v, ["domain"], "delta_u", "next_a").select("domain", "r")
-    null = stats.pearson(stats.permute(v, "row_id", "next_a", 50, within=("domain",)), ["perm_id", "domain"], "delta_u", "next_a_perm").select("domain", F.col("r").alias("_n"))
+    null = stats.pearson(stats.permute(v, "row_id", "next_a", SHUFFLES, within=("domain",)), ["perm_id", "domain"], "delta_u", "next_a_perm").select("domain", F.col("r").alias("_n"))
     far = (F.round(F.abs("_n"), 9) >= F.round(F.abs("r"), 9)).cast("double")
     return rounded(null.join(real, "domain").groupBy("domain").agg(F.max("r").alias("r"), F.avg(far).alias("p_abs")), "r", "p_abs")
 
@@ -448,11 +486,11 @@ def perm_domain_pearson(spark, d):
 q AS (SELECT *, count(*) FILTER (l > 0) OVER w AS la, count(*) FILTER (r > 0) OVER w AS ra, count(*) OVER w AS k, l / sum(l) OVER w AS u, r / sum(r) OVER w AS a FROM c WINDOW w AS (PARTITION BY domain)),
 n AS (SELECT *, lead(u) OVER w AS u2, lead(a) OVER w AS a2 FROM q WHERE la >= 8 AND ra >= 8 WINDOW w AS (PARTITION BY domain ORDER BY p)), v AS (SELECT *, domain || '|' || p AS row_id FROM n WHERE u2 IS NOT NULL),
 re AS (SELECT domain, max(k) AS periods, max(la) AS left_active, max(ra) AS right_active, sum(u * a2) / nullif(sqrt(sum(u * u) * sum(a2 * a2)), 0) AS f, sum(a * u2) / nullif(sqrt(sum(a * a) * sum(u2 * u2)), 0) AS b FROM v GROUP BY domain),
-k AS (SELECT *, row_number() OVER (PARTITION BY perm_id, domain ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id, domain ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM v, range(0, 50) z(perm_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY perm_id, domain ORDER BY row_id) AS pos, row_number() OVER (PARTITION BY perm_id, domain ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS dst FROM v, range(0, N_) z(perm_id)),
 nl AS (SELECT x.perm_id, x.domain, sum(x.u * y.a2) / nullif(sqrt(sum(x.u * x.u) * sum(y.a2 * y.a2)), 0) AS f FROM k x JOIN k y ON x.perm_id = y.perm_id AND x.domain = y.domain AND x.pos = y.dst GROUP BY 1, 2)
-SELECT re.domain, periods, left_active, right_active, round(re.f, 6) AS forward, round(re.b, 6) AS reverse, round(re.f - re.b, 6) AS difference, round(avg(CASE WHEN round(abs(nl.f - re.b), 9) >= round(abs(re.f - re.b), 9) THEN 1.0 ELSE 0 END), 6) AS p_abs FROM nl JOIN re ON nl.domain = re.domain GROUP BY ALL""")
+SELECT re.domain, periods, left_active, right_active, round(re.f, 6) AS forward, round(re.b, 6) AS reverse, round(re.f - re.b, 6) AS difference, round(avg(CASE WHEN round(abs(nl.f - re.b), 9) >= round(abs(re.f - re.b), 9) THEN 1.0 ELSE 0 END), 6) AS p_abs FROM nl JOIN re ON nl.domain = re.domain GROUP BY ALL""".replace("N_", str(SHUFFLES)))
 def domain_lead_lag(spark, d):
-    return rounded(resample.lead_lag(S.event_facts(spark, d), "day", "domain", "role", n=50), "forward", "reverse", "difference", "p_abs")
+    return rounded(resample.lead_lag(S.event_facts(spark, d), "day", "domain", "role", n=SHUFFLES), "forward", "reverse", "difference", "p_abs")
 
 
 # s is materialized: inlined, this DuckDB gives 7 of its 8 rows (U is 7.5 by hand on the smallest tables).
@@ -631,11 +669,14 @@ def fig_lead_by_domain(spark, d):
     return s.groupBy("domain").agg(F.round(F.avg("left_share"), 6).alias("user_share"), F.round(F.avg("right_share"), 6).alias("assistant_share"), F.round(F.avg("left_share") - F.avg("right_share"), 6).alias("lead"))
 
 
-@query(_SERIES + ", p AS (SELECT domain, month, n / sum(n) OVER (PARTITION BY month) AS share FROM v) SELECT month, round(coalesce(sum(share) FILTER (domain = '1-URGENT'), 0), 6) AS urgent, round(coalesce(sum(share) FILTER (domain = '2-HIGH'), 0), 6) AS high, round(coalesce(sum(share) FILTER (domain = '3-MEDIUM'), 0), 6) AS medium, arg_max(domain, (share, domain)) AS dominant FROM p GROUP BY month")
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "not_specified", "5-LOW": "low"}
+
+
+@query(_SERIES + f", p AS (SELECT domain, month, n / sum(n) OVER (PARTITION BY month) AS share FROM v) SELECT month, {', '.join(f"round(coalesce(sum(share) FILTER (domain = '{v}'), 0), 6) AS {name}" for v, name in PRIORITIES.items())}, arg_max(domain, (share, domain)) AS dominant FROM p GROUP BY month")
 def fig_share_pivot(spark, d):
     p = _series(spark, d).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("month")))
     part = lambda v: F.round(F.coalesce(F.sum(F.when(F.col("domain") == v, F.col("share"))), F.lit(0.0)), 6)
-    return p.groupBy("month").agg(part("1-URGENT").alias("urgent"), part("2-HIGH").alias("high"), part("3-MEDIUM").alias("medium"), F.max_by("domain", F.struct("share", "domain")).alias("dominant"))
+    return p.groupBy("month").agg(*[part(v).alias(name) for v, name in PRIORITIES.items()], F.max_by("domain", F.struct("share", "domain")).alias("dominant"))
 
 
 @query("WITH t AS (SELECT conv_id, count(*) AS msgs, sum(length(text)) / count(*) AS chars FROM conversations GROUP BY 1) SELECT conv_id, msgs, round(greatest(10.0, least(300.0, chars / max(chars) OVER () * 300)), 6) AS size, row_number() OVER (ORDER BY msgs DESC, conv_id) <= 5 AS labelled FROM t")
@@ -654,6 +695,9 @@ def fig_radar(spark, d):
     return q.groupBy("domain").agg(at(F.min_by, "z").alias("first"), at(F.max_by, "z").alias("last"), F.round(F.max_by("n", "month") / F.min_by("n", "month") - 1, 6).alias("growth"))
 
 
+from . import more  # noqa: E402, F401  (its queries join the others)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

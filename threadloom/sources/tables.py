@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import base64
+import html
 import json
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 MESSAGES = "thread_id string, thread_title string, thread_create_time double, thread_update_time double, node_id string, parent_id string, role string, author_name string, message_create_time double, message_create_time_iso string, text string, text_len long"
 THREADS = "thread_id string, thread_title string, thread_create_time double, thread_create_time_iso string, thread_update_time double, thread_update_time_iso string, num_nodes_in_tree long, num_nodes_in_main_path long, num_user_msgs_main_path long, num_assistant_msgs_main_path long, main_path_text_chars long"
 
@@ -18,13 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV with a header, quoted line breaks and doubled quotes, under an explicit schema; only ``columns`` are kept."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"')
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return df.select(*columns) if columns else df
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """CSV with a header, blanks and line breaks kept; a small result as one file, a large one as a file a partition."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quoteAll=True)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="threadloom-scratch-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def write_messages(df: DataFrame, path: str) -> None:
@@ -32,6 +48,32 @@ def write_messages(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("role").parquet(path)
 
 
+def write_transcripts(transcripts: DataFrame, path: str, name: Column, text: str = "transcript") -> None:
+    """One folder of text for each thread, called file=<name>, below a path; every executor writes its own threads."""
+    transcripts.select(name.alias("file"), F.col(text).alias("value")).repartition("file").write.mode("overwrite").partitionBy("file").text(path)
+
+
+def report_html(title: str, sections: list[tuple[str, str, DataFrame | bytes | None]], rows: int = 200) -> str:
+    """A self-contained HTML page: of each section its heading, its wording, and a small table (up to ``rows`` rows) or a PNG within the page."""
+    out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
+    for head, words, what in sections:
+        out.append(f"<h2>{html.escape(head)}</h2><p>{html.escape(words)}</p>")
+        if isinstance(what, bytes):
+            out.append(f"<img alt='{html.escape(head)}' src='data:image/png;base64,{base64.b64encode(what).decode()}'>")
+        elif what is not None:
+            cells = lambda tag, x: "<tr>" + "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in x) + "</tr>"
+            out.append("<table>" + cells("th", what.columns) + "".join(cells("td", r) for r in what.limit(rows).collect()) + "</table>")
+    return "".join([*out, "</body></html>"])
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join with a map that must have each key once: a key that has several rows fails the query."""
+    rest = [c for c in right.columns if c != on]
+    once = right.groupBy(on).agg(F.any_value(F.struct(*rest)).alias("_m"), F.count("*").alias("_n"))
+    checked = once.where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit(f"{on} isn't unique: "), F.col(on).cast("string"))).cast("boolean")))
+    return left.join(checked.select(on, "_m.*"), on)
+
+
 def find_path(name: str, folders: list[str]) -> str | None:
     """The first folder's file of that name; None if no folder has it."""
     return next((p for d in folders if os.path.exists(p := os.path.join(d, name))), None)
@@ -61,28 +103,69 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
+EXPORT = "id string, title string, create_time double, update_time double, mapping string"
+
+
+def _first_character(spark: SparkSession, path: str) -> str:
+    """The first character of a file that isn't blank, read from its head by Hadoop's file system; "" if there is none."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isDirectory():
+        files = sorted(f.getPath().toString() for f in fs.listStatus(at) if not f.getPath().getName().startswith(("_", ".")))
+        return next((c for c in (_first_character(spark, f) for f in files) if c), "")
+    with_stream = fs.open(at)
+    try:
+        while (c := with_stream.read()) >= 0:
+            if not chr(c).isspace() and c not in (0xEF, 0xBB, 0xBF):
+                return chr(c)
+        return ""
+    finally:
+        with_stream.close()
+
+
+def read_export(spark: SparkSession, path: str, lines: bool = False, keep_empty: bool = False) -> DataFrame:
     """One row a conversation of a chat export: id, title, create_time, update_time and its map of raw nodes.
 
-    The file must hold a JSON list.  Nodes stay JSON text in a map, so that ids become no columns and odd
-    shapes don't fail.  Conversations without a non-empty object as mapping are dropped.
+    A file must hold a JSON list, which is parsed as a stream and once; with ``lines`` it has one conversation
+    a line, and Spark splits it.  Nodes stay JSON text in a map, so that ids become no columns and odd
+    shapes don't fail.  Conversations without a non-empty object as mapping are dropped, unless ``keep_empty``.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("j"))
-    if raw.where(~F.ltrim("j").startswith("[")).limit(1).count():
+    if not lines and _first_character(spark, path) not in ("[", ""):
         raise ValueError("an export must be a JSON list")
-    each = raw.select(F.explode(F.from_json("j", "array<string>")).alias("c"))
-    head = F.from_json("c", "struct<id:string,title:string,create_time:double,update_time:double,mapping:string>").alias("s")
-    rows = each.select(head).select("s.id", F.coalesce("s.title", F.lit("Untitled")).alias("title"), "s.create_time", "s.update_time", F.from_json("s.mapping", "map<string,string>").alias("mapping"))
-    return rows.where(F.size("mapping") > 0)
+    # mapping is text first, as some have no object there.
+    rows = spark.read.schema(EXPORT).json(path, multiLine=not lines)
+    mapping = F.when(F.ltrim("mapping").startswith("{"), F.from_json("mapping", "map<string,string>"))
+    rows = rows.select("id", F.coalesce("title", F.lit("Untitled")).alias("title"), "create_time", "update_time", mapping.alias("mapping"))
+    return rows if keep_empty else rows.where(F.size("mapping") > 0)
+
+
+def export_counts(export: DataFrame) -> DataFrame:
+    """(conversations, skipped, nodes) of an export read with ``keep_empty``: those without nodes count in the total."""
+    n = F.greatest(F.coalesce(F.size("mapping"), F.lit(0)), F.lit(0))
+    return export.agg(F.count("*").alias("conversations"), F.count_if(n == 0).alias("skipped"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("nodes"))
 
 
 def content_text(content: Column) -> Column:
-    """The text of a message's content (JSON text): parts joined by line breaks, else text, else value, else a bare string; trimmed."""
-    parts = F.from_json(F.get_json_object(content, "$.parts"), "array<string>")
-    own = lambda p: F.coalesce(F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), p)), p)
-    joined = F.array_join(F.transform(F.filter(parts, lambda p: p.isNotNull()), own), "\n")
-    plain = F.when(~F.ltrim(content).startswith("{"), content)
-    found = F.coalesce(joined, F.get_json_object(content, "$.text"), F.get_json_object(content, "$.value"), plain, F.lit(""))
+    """The text of a message's content (JSON text): parts joined by line breaks, else text, else value, else a bare string; trimmed.
+
+    Of the parts, a string is itself whatever it begins with, an object its text or else its JSON, null is
+    None and a number or truth value its wording.
+    """
+    v = F.try_parse_json(content)
+    parts = F.try_variant_get(v, "$.parts", "array<variant>")
+
+    def own(p: Column) -> Column:
+        kind = F.schema_of_variant(p)
+        text = F.when(kind.startswith("OBJECT"), F.when(F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING", F.try_variant_get(p, "$.text", "string")))
+        plain = F.when(kind == "STRING", F.try_variant_get(p, "$", "string")).when(kind == "BOOLEAN", F.initcap(F.try_variant_get(p, "$", "string")))
+        return F.when(p.isNull() | (kind == "VOID"), "None").otherwise(F.coalesce(text, plain, F.to_json(p)))
+
+    joined = F.array_join(F.transform(parts, own), "\n")
+    string = lambda at: F.when(F.schema_of_variant(F.try_variant_get(v, at, "variant")) == "STRING", F.try_variant_get(v, at, "string"))
+    # What is no JSON is a bare string, too.
+    bare = F.when(v.isNull(), content).otherwise(string("$"))
+    found = F.coalesce(joined, string("$.text"), string("$.value"), bare, F.lit(""))
     return F.regexp_replace(found, r"(?U)^\s+|\s+$", "")
 
 
@@ -113,6 +196,13 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("user_id").alias("thread"), "ts", F.to_date("ts").alias("day"), role.alias("role"), F.col("event_type").alias("domain"))
 
 
+def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as (row_id, ts, week, role, domain)."""
+    n = table(spark, sf_dir, "lineitem")
+    role = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 2 == 0, "user").otherwise("assistant")
+    return n.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"), F.col("l_shipdate").alias("ts"), X.week_label(F.col("l_shipdate")).alias("week"), role.alias("role"), (F.col("l_partkey") % 5).cast("int").alias("domain"))
+
+
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as (o_orderkey, month, role, domain, value)."""
     o = table(spark, sf_dir, "orders")
