@@ -102,10 +102,11 @@ def stored(df: DataFrame, name: str, files: int | None = None, **options: str) -
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of the rows in bytes, which is the files' size for a scan; where it knows none, the texts' length is summed."""
+    """The optimizer's size of the rows in bytes, which is the files' size for a scan; where it knows none, the lengths of texts and 8 bytes a row are summed."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 56:
-        size = df.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).first()["b"]
+        texts = [F.coalesce(F.octet_length(f.name).cast("long"), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+        size = df.agg(F.coalesce(F.sum(sum(texts, F.lit(8).cast("long"))), F.lit(0)).alias("b")).first()["b"]
     return size
 
 

@@ -285,6 +285,11 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
+def _files(buckets: int) -> int:
+    """Files of a stage's small table: several buckets to each."""
+    return max(8, buckets // 8)
+
+
 def _bloom_bits(v: np.ndarray, size: int, hashes: int) -> np.ndarray:
     """The filter positions of each minimizer, a row each; one where the filter is so full that a second would only fill it more."""
     both = [(v >> np.uint64(7)) % np.uint64(size), *([B.mix(v ^ _STEP) % np.uint64(size)] if hashes > 1 else [])]
@@ -338,7 +343,7 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
 
     out = pa.schema([("n", pa.int64()), ("blob", pa.binary()), ("often", pa.binary()), ("levels", pa.list_(pa.int64()))])
     kind = "n long, blob binary, often binary, levels array<long>"
-    return B.stored(B.gathered(docs.mapInArrow(send, "bucket long, blob binary"), buckets).mapInArrow(meet, kind), "fm-minimizers")
+    return B.stored(B.gathered(docs.mapInArrow(send, "bucket long, blob binary"), buckets).mapInArrow(meet, kind), "fm-minimizers", _files(buckets))
 
 
 def split_minimizers(shared: DataFrame) -> np.ndarray:
@@ -616,7 +621,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             cut = np.flatnonzero(other[first])
             yield B.row_batch(pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("spans", pa.binary())]), doc_id=d[first][cut], tkey=t[first][cut], spans=[x.tobytes() for x in np.split(pair, cut[1:])])
 
-    return B.stored(B.gathered(marked, buckets).mapInArrow(union, "doc_id long, tkey long, spans binary"), "fm-spans")
+    return B.stored(B.gathered(marked, buckets).mapInArrow(union, "doc_id long, tkey long, spans binary"), "fm-spans", _files(buckets))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
