@@ -398,7 +398,7 @@ def verified(docs: DataFrame, pairs: DataFrame, tasks: int, k: int = SHINGLE, pe
     members = pairs.join(salts, "leader").select("doc_id", "leader", spread.alias("salt"))
     leads = salts.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
     roles = leads.unionByName(members).groupBy("doc_id").agg(F.collect_list(F.struct("leader", "salt")).alias("roles"))
-    roles = B.stored(roles.select(F.col("doc_id").alias("_id"), F.transform("roles", lambda r: r["leader"]).alias("leaders"), F.transform("roles", lambda r: r["salt"].cast("long")).alias("salts")), "join-roles", tasks)
+    roles = B.stored(roles.select(F.col("doc_id").alias("_id"), F.transform("roles", lambda r: r["leader"]).alias("leaders"), F.transform("roles", lambda r: r["salt"].cast("long")).alias("salts")), "join-roles", max(8, tasks // 4))
     joined = docs.join(F.broadcast(roles) if 2 * n <= B.BROADCAST_ROWS else roles, docs["doc_id"] == roles["_id"]).select("doc_id", "text", "only", "leaders", "salts")
     schema = pa.schema([("leader", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
@@ -496,29 +496,30 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 512)), 12, 24))
     buckets = max(16, size // JOIN_BYTES)
     tasks = min(buckets, B.MOST_PARTITIONS)
+    files = max(8, tasks // 4)  # of tables that are small beside the documents
     table = signatures(src, bits, k)
     sigs = table.where(F.col("n").isNotNull()).select("doc_id", "n", "f1", "f2")
     real = sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     print_ = ["f1", "f2", "n"]
     one = real.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("t"), F.min("f1").alias("x"), F.max("f1").alias("y")).select("doc_id", "t.*", "x", "y")
-    equal = B.stored(one.groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1"), "join-equal", tasks)
+    equal = B.stored(one.groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1"), "join-equal", files)
     # Sets with a share of all documents: there are at most 100,000.
     often = max(1_000, sigs.count() // 100_000)
     hot = equal.where(F.col("m") > often)
     copies = _left_hot(one.select("doc_id", *print_), equal.select(*print_, "rep"), print_, "rep", hot.select(*print_))
-    copies = B.stored(copies.where("doc_id <> rep").select("doc_id", "rep"), "join-copies", tasks)
+    copies = B.stored(copies.where("doc_id <> rep").select("doc_id", "rep"), "join-copies", files)
     less = copies.select("doc_id")
     reps = src.where(F.col("doc_id").isNotNull()).join(F.broadcast(less) if copies.count() <= B.BROADCAST_ROWS else less, "doc_id", "left_anti")
-    clash = B.stored(one.where("x <> y").select(F.col("doc_id"), F.col("f1").alias("only")), "join-clash", tasks)
+    clash = B.stored(one.where("x <> y").select(F.col("doc_id"), F.col("f1").alias("only")), "join-clash", files)
     n_clash = clash.count()
     reps = reps.join(F.broadcast(clash) if n_clash <= B.BROADCAST_ROWS else clash, "doc_id", "left") if n_clash else reps.withColumn("only", F.lit(None).cast("long"))
     entries = B.stored(prefix_entries(reps, rarity(table, bits), bits, buckets, k, percent), "join-entries")
     shared = entries.groupBy("doc_id", "n").agg(F.count("*").alias("s"))
     need = F.expr(f"n - cast(ceil({percent} * n / 100.0D) as int) + 1 - s")
     full = B.stored(with_leaders(entries.join(shared.select("doc_id", need.cast("int").alias("u")), "doc_id")), "join-lists", tasks)
-    by_leader = B.stored(full.groupBy("doc_id", "leader", "n", "last", "u").agg(F.count("*").cast("int").alias("s")), "join-leaders", tasks)
-    answers = verified(reps, B.stored(leader_pairs(by_leader, percent), "join-pairs", tasks), tasks, k, percent)
-    label = connected(answers.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), tasks)
+    by_leader = B.stored(full.groupBy("doc_id", "leader", "n", "last", "u").agg(F.count("*").cast("int").alias("s")), "join-leaders", files)
+    answers = verified(reps, B.stored(leader_pairs(by_leader, percent), "join-pairs", files), tasks, k, percent)
+    label = connected(answers.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), files)
     total = by_leader.groupBy("doc_id").agg(F.sum("s").cast("int").alias("t"), F.max_by("leader", F.struct("s", -F.col("leader"))).alias("top"))
     judged = answers.groupBy("doc_id").agg(F.max("leader").alias("judge"), F.max("shares").alias("shares"), F.max("leader_n").alias("judge_n"))
     sets = by_leader.join(total, "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(judged, "doc_id", "left")
@@ -526,14 +527,14 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
         "doc_id", "leader", F.coalesce("comp", "doc_id").alias("comp"), "s", (F.col("t") - F.col("s")).alias("r"), (F.col("leader") == F.col("top")).alias("main"),
         F.coalesce("judge", F.lit(NO_JUDGE)).alias("judge"), F.coalesce("shares", F.lit(0)).alias("shares"), F.coalesce("judge_n", F.lit(0)).alias("judge_n"),
     )
-    open_ = B.stored(class_pairs(full.join(sets, ["doc_id", "leader"]), tasks, percent), "join-pairs", tasks)
+    open_ = B.stored(class_pairs(full.join(sets, ["doc_id", "leader"]), tasks, percent), "join-pairs", files)
     more = verified(reps, open_.where("not sure"), tasks, k, percent).where("linked").select("leader", "doc_id").unionByName(open_.where("sure").select("leader", "doc_id"))
     of = lambda c: label.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
     between = more.join(of("leader"), "leader", "left").join(of("doc_id"), "doc_id", "left").select(F.coalesce("_leader", "leader").alias("a"), F.coalesce("_doc_id", "doc_id").alias("b"))
-    upper = connected(between, tasks).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    upper = connected(between, files).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     # A set has a label of its own, that of its class, or both.
     both = label.join(upper, "comp", "left").select(F.col("node").alias("rep"), F.coalesce("top", "comp").alias("comp"))
-    both = B.stored(both.unionByName(upper.select(F.col("comp").alias("rep"), F.col("top").alias("comp"))), "join-classes", tasks)
+    both = B.stored(both.unionByName(upper.select(F.col("comp").alias("rep"), F.col("top").alias("comp"))), "join-classes", files)
     own = sigs.join(copies, "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     out = _left_hot(own, both, ["rep"], "comp", hot.select("rep"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
