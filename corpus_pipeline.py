@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """The documents whose ids aren't among the bad ones; ids are broadcast while they are few."""
-    ids = blocks.stored(bad.select(F.col("doc_id").alias("_bad")).distinct(), "stage-bad")
+    ids = blocks.stored(bad.select(F.col("doc_id").alias("_bad")).distinct(), "stage-bad", blocks.bucket_count(docs, 64 << 20))
     small = ids.count() <= blocks.BROADCAST_ROWS
     return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["_bad"], "left_anti").select(*COLUMNS)
 

@@ -68,7 +68,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     around a shingle and not the document; a shingle of very many places is split by Spark, as its
     benchmark side is small.
     """
-    shingles = B.stored(windows(items, window, shingle), "bench-windows")
+    shingles = B.stored(windows(items, window, shingle), "bench-windows", B.bucket_count(items))
     stat = shingles.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("k")).alias("k")).first()
     small = stat["n"] <= broadcast_windows * window
     hint = F.broadcast if small else (lambda d: d)
@@ -78,7 +78,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     rank = Window.partitionBy("item_id", "seq").orderBy(F.coalesce(F.col("df"), F.lit(0)), "h", "off")
     prefix = shingles.join(counts, "h", "left").withColumn("_r", F.row_number().over(rank)).where("_r = 1")
     # A window whose rarest shingle no document has can't occur.
-    prefix = B.stored(prefix.where("df > 0").groupBy("h", "seq", "off").agg(F.collect_set("item_id").alias("items")), "bench-prefix")
+    prefix = B.stored(prefix.where("df > 0").groupBy("h", "seq", "off").agg(F.collect_set("item_id").alias("items")), "bench-prefix", B.bucket_count(items))
     start = F.col("pos") - F.col("off")
     inside = (start >= 0) & (start + F.size("seq") <= F.col("n"))
     if small:
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     def close(acc: Column) -> Column:
         return F.when(acc["end"] < 0, none).otherwise(F.concat(acc["spans"], span(acc["first"], acc["end"])))
 
-    hit = B.stored(by_doc.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), F.aggregate("hit", empty, add, close).alias("spans"), "items"), "bench-hits")
+    hit = B.stored(by_doc.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), F.aggregate("hit", empty, add, close).alias("spans"), "items"), "bench-hits", B.bucket_count(src, 64 << 20))
     counted = src.select("doc_id", "tkey", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     full = counted.join(F.broadcast(hit) if B.input_bytes(hit) <= B.BROADCAST_BYTES else hit, counted["doc_id"].eqNullSafe(hit["_id"]) & (counted["tkey"] == hit["_key"]), "left")
     return full.select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

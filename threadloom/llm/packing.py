@@ -332,7 +332,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS) -
     spark = cut.sparkSession
     buckets = max(1, -(-cut.count() // rank_rows))
     keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = B.stored(keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "pack-counts")
+    counts = B.stored(keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "pack-counts", max(8, buckets))
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     sent = spark.sparkContext.broadcast(_places(plan(lengths, capacity)))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

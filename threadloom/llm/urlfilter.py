@@ -49,7 +49,7 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(w, n) of every word of all pages' visible text, as a stored table."""
     plain = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("w")).where(F.length("w") > 0)
-    return B.stored(words.groupBy("w").agg(F.count("*").alias("n")), "url-words")
+    return B.stored(words.groupBy("w").agg(F.count("*").alias("n")), "url-words", B.bucket_count(pages))
 
 
 def segment(label: str, costs: dict[str, float], unseen: float) -> list[str]:
@@ -86,7 +86,7 @@ def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     total, lengths = told["total"], told["lengths"]
     unseen = (-math.log(told["least"] / total) if total else 10.0) + 2.0
     parts = hosts.select("host", F.posexplode(F.filter(F.split("host", "[^a-z]+"), lambda r: r != "")).alias("pos", "run"))
-    runs = B.stored(parts.select("run").distinct(), "url-runs")
+    runs = B.stored(parts.select("run").distinct(), "url-runs", B.bucket_count(hosts))
 
     def substrings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple[str, str]] = []
@@ -107,9 +107,9 @@ def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             yield pd.DataFrame({"run": x["run"], "words": words})
 
     known = runs.mapInPandas(substrings, "run string, w string").join(counts, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("known"))
-    words = B.stored(runs.join(known, "run", "left").mapInPandas(split, "run string, words array<string>"), "url-segments")
+    words = B.stored(runs.join(known, "run", "left").mapInPandas(split, "run string, words array<string>"), "url-segments", B.bucket_count(hosts))
     found = parts.join(small(words), "run").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "words"))), lambda p: p["words"])).alias("words"))
-    return B.stored(found.select("host", F.transform("words", lambda w: F.concat(F.lit("h:"), w)).alias("tokens")), "url-hosts")
+    return B.stored(found.select("host", F.transform("words", lambda w: F.concat(F.lit("h:"), w)).alias("tokens")), "url-hosts", B.bucket_count(hosts))
 
 
 def path_tokens(path: str) -> list[str]:
@@ -125,7 +125,7 @@ def with_path_tokens(paths: DataFrame) -> DataFrame:
         for x in frames:
             yield pd.DataFrame({"path": x["path"], "tokens": [path_tokens(p) for p in x["path"]]})
 
-    return B.stored(paths.mapInPandas(run, "path string, tokens array<string>"), "url-paths")
+    return B.stored(paths.mapInPandas(run, "path string, tokens array<string>"), "url-paths", B.bucket_count(paths))
 
 
 def fit(labelled: DataFrame, hosts: DataFrame, paths: DataFrame, alpha: float = 1.0) -> tuple[float, DataFrame, float]:
@@ -134,7 +134,7 @@ def fit(labelled: DataFrame, hosts: DataFrame, paths: DataFrame, alpha: float =
     sums = [F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")]
     # Equal hosts and equal paths are summed before they meet their tokens.
     told = [base.groupBy(k).agg(*sums).join(tokens, k).select("allow", "block", F.explode("tokens").alias("token")) for k, tokens in (("host", hosts), ("path", paths))]
-    counts = B.stored(told[0].unionByName(told[1]).groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-tokens")
+    counts = B.stored(told[0].unionByName(told[1]).groupBy("token").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "url-tokens", B.bucket_count(labelled))
     all_ = counts.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in ("allow", "block")]).first()
     prior = {r["verdict"]: r["n"] for r in base.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
     total = {v: all_[v] + alpha * (all_["n"] + 1) for v in ("allow", "block")}
@@ -148,7 +148,7 @@ def token_sums(tokens: DataFrame, key: str, weights: DataFrame, unseen: float, n
     """(key, name): the summed weights of each row's tokens, in their order, as a stored table."""
     each = tokens.select(key, F.posexplode("tokens").alias("pos", "token")).join(weights, "token", "left")
     own = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("weight", F.lit(unseen)).alias("weight"))))
-    return B.stored(each.groupBy(key).agg(F.aggregate(own, F.lit(0.0), lambda a, t: a + t["weight"]).alias(name)), "url-" + name)
+    return B.stored(each.groupBy(key).agg(F.aggregate(own, F.lit(0.0), lambda a, t: a + t["weight"]).alias(name)), "url-" + name, B.bucket_count(tokens))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -162,7 +162,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = base.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
     ruled = B.stored(ruled, "url-pages")
-    hosts = host_tokens(B.stored(ruled.select("host").distinct(), "url-names"), word_counts(base))
+    hosts = host_tokens(B.stored(ruled.select("host").distinct(), "url-names", B.bucket_count(ruled)), word_counts(base))
     paths = with_path_tokens(ruled.select("path").distinct())
     bias, weights, unseen = fit(ruled.where(F.col("said").isNotNull()).select("host", "path", F.col("said").alias("verdict")), hosts, paths)
     weights = small(weights)
