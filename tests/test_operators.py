@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import resample, stats, svd, tree
+from threadloom.functions import text
+from threadloom.operators import resample, runs, stats, svd, tree
 from threadloom.sources import tables
 
 
@@ -87,17 +88,95 @@ def test_reduced_topics_of_new_rows(spark):
 def test_export_shapes(spark, tmp_path):
     node = lambda parent, content, at: {"parent": parent, "message": {"author": {"role": "User"}, "create_time": at, "content": content}}
     nodes = {
-        "a": node(None, {"parts": ["  one", {"text": "two"}, {"k": 1}, None]}, 1.0),
+        "a": node(None, {"parts": ["  one", {"text": "two"}, {"k": 1}, None, 3, True, "{not json}", {"text": 5}]}, 1.0),
         "b": node("a", {"text": "plain \n"}, 2.0), "c": node("gone", {"value": "v"}, None), "d": node("a", "bare", "x"), "e": {"parent": "b", "message": None},
     }
     f = tmp_path / "e.json"
     f.write_text(json.dumps([{"id": "t", "title": None, "mapping": nodes}, {"id": "u", "mapping": {}}, {"id": "w", "mapping": []}]))
     got = {r["node_id"]: r for r in tables.export_nodes(tables.read_export(spark, str(f))).collect()}
-    assert {k: r["text"] for k, r in got.items()} == {"a": 'one\ntwo\n{"k":1}', "b": "plain", "c": "v", "d": "bare", "e": ""}
+    assert {k: r["text"] for k, r in got.items()} == {"a": 'one\ntwo\n{"k":1}\nNone\n3\nTrue\n{not json}\n{"text":5}', "b": "plain", "c": "v", "d": "bare", "e": ""}
     assert got["a"]["role"] == "user" and got["d"]["ts"] is None and got["c"]["parent_id"] == "gone"
-    f.write_text("{}")
+    counted = tables.export_counts(tables.read_export(spark, str(f), keep_empty=True)).first()
+    assert tuple(counted) == (3, 2, 5)
+    lines = tmp_path / "e.jsonl"
+    lines.write_text("".join(json.dumps(x) + "\n" for x in json.loads(f.read_text())))
+    assert sorted(map(str, tables.read_export(spark, str(lines), lines=True).collect())) == sorted(map(str, tables.read_export(spark, str(f)).collect()))
+    f.write_text("\n  {}")
     with pytest.raises(ValueError):
         tables.read_export(spark, str(f))
+    f.write_text("[]")
+    assert tables.read_export(spark, str(f)).collect() == []
+
+
+def test_join_with_a_map_checks_its_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    assert sorted(map(tuple, tables.join_unique(left, spark.createDataFrame([(1, 7), (3, None)], "k int, d int"), "k").collect())) == [(1, "a", 7), (3, "c", None)]
+    with pytest.raises(Exception, match="isn't unique"):
+        tables.join_unique(left, spark.createDataFrame([(1, 7), (1, 7)], "k int, d int"), "k").collect()
+
+
+def test_paths_and_cluster_files(spark, tmp_path):
+    for folder, name, head in (("a", "x.csv", "node_id,cluster"), ("b", "x.csv", "node_id,text"), ("b/c", "y.csv", "macro_domain,node_id,z"), ("b", "z.txt", "node_id,topic")):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_text(head + "\n")
+    assert tables.find_path("x.csv", [str(tmp_path / "none"), str(tmp_path / "b"), str(tmp_path / "a")]) == str(tmp_path / "b" / "x.csv")
+    assert tables.find_path("q.csv", [str(tmp_path)]) is None
+    assert tables.find_cluster_files(spark, str(tmp_path)) == [str(tmp_path / "a" / "x.csv"), str(tmp_path / "b" / "c" / "y.csv")]
+    tables.write_config({"b": 1, "a": [2]}, str(tmp_path / "c.json"))
+    assert json.loads((tmp_path / "c.json").read_text()) == {"a": [2], "b": 1}
+    with pytest.raises(ValueError, match="missing columns: t"):
+        tables.require(spark.range(1), ["id", "t"])
+
+
+def test_report(spark):
+    page = tables.report_html("A <title>", [("Head", "x & y", spark.createDataFrame([(1, "<b>"), (2, None)], "n int, t string")), ("Picture", "", b"\x89PNG"), ("Words", "only", None)])
+    assert page.startswith("<!DOCTYPE html>") and page.endswith("</html>")
+    assert "A &lt;title&gt;" in page and "<td>&lt;b&gt;</td>" in page and "x &amp; y" in page and "src='data:image/png;base64,iVBORw=='" in page
+
+
+def test_labels(spark):
+    rows = [(0.0, "2025-07", 0.75), (1.5, "nothing", -0.45), (1746098096.789012, None, 0.2), (None, "2024-12", 0.05), (-1.0, "2025-05", -0.9)]
+    df = spark.createDataFrame(rows, "s double, m string, r double")
+    got = df.select(text.epoch_to_iso(F.col("s")), text.month_label(F.col("m")), text.month_label(F.col("m"), year=True), text.trend_word(F.col("r"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("1970-01-01T00:00:00+00:00", "Jul", "Jul '25", "strongly increasing"), ("1970-01-01T00:00:01.500000+00:00", "nothing", "nothing", "moderately decreasing"),
+        ("2025-05-01T11:14:56.789012+00:00", None, None, "slightly increasing"), ("", "Dec", "Dec '24", "stable"), ("1969-12-31T23:59:59+00:00", "May", "May '25", "strongly decreasing"),
+    ]
+    weeks = spark.sql("select timestamp_ntz'2025-05-11 23:59:59' as a, timestamp_ntz'2025-05-12 00:00:00' as b, timestamp_ntz'2025-01-01 00:00:00' as c")
+    assert tuple(weeks.select(*[text.week_label(F.col(c)) for c in "abc"]).first()) == ("2025-05-05/2025-05-11", "2025-05-12/2025-05-18", "2024-12-30/2025-01-05")
+
+
+@pytest.mark.parametrize("bucket_rows", [1_000_000, 13])
+def test_count_windows_in_ranges(spark, bucket_rows):
+    """Numbered in many ranges or in one, with a time that many rows share."""
+    rows = [(i, 5 if 20 <= i < 60 else i) for i in range(107)]
+    df = spark.createDataFrame(rows, "id int, at int").repartition(5)
+    got = {r["id"]: (r["window"], r["place"]) for r in runs.count_windows(df, ["at", "id"], 10, bucket_rows=bucket_rows).collect()}
+    order = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert got == {i: (k // 10, k % 10) for k, i in enumerate(order) if k < 100}
+
+
+def test_dealt_values_of_many_stretches(spark):
+    """Without groups, where some values have far more rows than others."""
+    df = spark.createDataFrame([(str(i), min(i // 3, 20) if i % 7 else None) for i in range(400)], "id string, v int")
+    out = resample.deal(df, "id", "v", 2).groupBy("perm_id", "v_perm").count().collect()
+    want = {r["v"]: r["count"] for r in df.groupBy("v").count().collect()}
+    assert {(r["perm_id"], r["v_perm"]): r["count"] for r in out} == {(p, v): n for p in range(2) for v, n in want.items()}
+
+
+def test_trend_shuffle(spark):
+    """Against all orders of four values: shares near the exact ones."""
+    import itertools
+
+    rows = [("a", k, v) for k, v in enumerate([1.0, 2.0, 4.0, 3.0])] + [("b", k, 4.0 - k) for k in range(4)] + [("c", k, 1.0) for k in range(4)]
+    got = {r["k"]: r for r in resample.trend_shuffle(spark.createDataFrame(rows, "k string, t int, v double"), "k", "t", "v", 3000).collect()}
+    rho = lambda x: float(np.corrcoef(range(4), x)[0, 1])
+    for key, ranks in (("a", [1, 2, 4, 3]), ("b", [4, 3, 2, 1])):
+        real, null = rho(ranks), [rho(p) for p in itertools.permutations(ranks)]
+        assert got[key]["rho"] == pytest.approx(real)
+        assert got[key]["p_one_tail"] == pytest.approx(np.mean([n >= real - 1e-9 for n in null]), abs=0.03)
+        assert got[key]["p_two_tail"] == pytest.approx(np.mean([abs(n) >= abs(real) - 1e-9 for n in null]), abs=0.03)
+    assert got["c"]["rho"] is None
 
 
 def test_main_path_cases(spark):

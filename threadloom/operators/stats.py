@@ -18,8 +18,10 @@ def average_rank(df: DataFrame, column: str, keys: list[str], out: str) -> DataF
 def pearson(df: DataFrame, keys: list[str], x: str, y: str, min_std: float = 1e-12) -> DataFrame:
     """(keys, r, n) over rows with both values; null where a population deviation is under min_std."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ok = (F.stddev_pop(x) >= min_std) & (F.stddev_pop(y) >= min_std)
-    return d.groupBy(*keys).agg(F.when(ok, F.corr(x, y)).alias("r"), F.count("*").alias("n"))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    # Not corr(), which divides before a guard around it is looked at.
+    r = F.covar_pop(x, y) / F.nullif(sx * sy, F.lit(0.0))
+    return d.groupBy(*keys).agg(F.when((sx >= min_std) & (sy >= min_std), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"), F.count("*").alias("n"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
