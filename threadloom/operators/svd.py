@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from . import topic_model
 
 #: Bound of the basis, terms times dimensions times eight bytes, which goes to every executor.
@@ -145,7 +146,7 @@ class ReducedTopics:
 
 def fit(weights: DataFrame, key: str, settings: list[tuple[int, int]], unit: bool = True, starts: int = 1, seed: int = 42) -> dict[tuple[int, int], ReducedTopics]:
     """A model for each setting (clusters, dimensions): one decomposition at the most dimensions, whose first ones serve the others."""
-    terms = vocabulary(weights).persist()
+    terms = tables.stored(vocabulary(weights))
     n = terms.count()
     rows = packed(weights, terms, key).persist()
     try:

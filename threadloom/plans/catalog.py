@@ -598,7 +598,7 @@ def macro_label_terms(spark, d):
 @query()
 def svd_topics(spark, d):
     """Clusters of all documents after a truncated SVD of their weights, rows of length 1."""
-    weights = topics.tfidf(S.table(spark, d, "documents"), "doc_id", "text", STOP)
+    weights = S.stored(topics.tfidf(S.table(spark, d, "documents"), "doc_id", "text", STOP))
     return svd.fit(weights, "doc_id", [(12, 16)])[12, 16].transform(weights, "doc_id")
 
 
@@ -606,7 +606,7 @@ def svd_topics(spark, d):
 def robustness_grid(spark, d):
     """The contrasts of periods for each number of clusters and of dimensions."""
     m = S.conversations(spark, d).where("role in ('user', 'assistant')")
-    weights = topics.tfidf(m, "node_id", "text", STOP, min_df=2)
+    weights = S.stored(topics.tfidf(m, "node_id", "text", STOP, min_df=2))
     parts = []
     for (k, dims), model in svd.fit(weights, "node_id", [(k, n) for k in (4, 6) for n in (8, 16)]).items():
         told = m.join(model.transform(weights, "node_id"), "node_id")

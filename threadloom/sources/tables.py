@@ -43,6 +43,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared folder and read again, so that what uses them several times makes them once."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_messages(df: DataFrame, path: str) -> None:
     """Messages as Parquet, a folder a role; readers prune by it."""
     df.write.mode("overwrite").partitionBy("role").parquet(path)
