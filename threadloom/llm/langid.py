@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a context tree of orders 0 to 3 with method C escapes and full exclusion, so the
-code lengths are those of a true probability distribution.  The statistics are frozen after training:
+Each language has a context tree of orders 0 to 3 (the bound of the variable order) with method C escapes
+and full exclusion, so the code lengths are those of a true probability distribution.  The statistics are frozen after training:
 the code length of a byte is a function of the four bytes that end at it, and is worked out once for
 every four bytes seen in training (and once a worker for others), so scoring a text is a table lookup
 a byte and language.

@@ -2,7 +2,8 @@
 
 Texts are read once: the statistics of every document are written as a narrow table.  The normal
 equations are sums over partitions, added up by Spark; what reaches the driver is one D x D matrix
-and the calibration's bins, whatever the number of labels.
+and the calibration's bins, whatever the number of labels.  Isotonic means are those of BINS bins of raw
+scores between -0.5 and 1.5, not of single scores; between the bins' mean scores the value is interpolated.
 """
 
 from __future__ import annotations

@@ -92,7 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     count = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("p")).first()
     if not count["p"]:
         return np.zeros(1 << BITS), -4.0
-    share = lambda name, n: F.pmod(F.xxhash64(F.lit(name), F.col("doc_id")), F.lit(10_000_000)) < n * 10_000_000
+    # A share of all 63-bit hashes, so that a bound holds however many rows there are.
+    share = lambda name, n: F.shiftrightunsigned(F.xxhash64(F.lit(name), F.col("doc_id")), 1) < F.lit(min(int(n * (1 << 63)), (1 << 63) - 1))
     some = known.where((F.col("toxic") == 1) & share("toxic", positives / count["p"])).select("doc_id", F.lit(1).alias("is_p"))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left")
     picked = rows.withColumn("is_u", share("unlabelled", unlabelled / max(docs.count(), 1))).where(F.col("is_u") | F.col("is_p").isNotNull())
