@@ -119,9 +119,10 @@ def test_paths_and_cluster_files(spark, tmp_path):
     for folder, name, head in (("a", "x.csv", "node_id,cluster"), ("b", "x.csv", "node_id,text"), ("b/c", "y.csv", "macro_domain,node_id,z"), ("b", "z.txt", "node_id,topic")):
         (tmp_path / folder).mkdir(parents=True, exist_ok=True)
         (tmp_path / folder / name).write_text(head + "\n")
-    assert tables.find_path("x.csv", [str(tmp_path / "none"), str(tmp_path / "b"), str(tmp_path / "a")]) == str(tmp_path / "b" / "x.csv")
-    assert tables.find_path("q.csv", [str(tmp_path)]) is None
-    assert tables.find_cluster_files(spark, str(tmp_path)) == [str(tmp_path / "a" / "x.csv"), str(tmp_path / "b" / "c" / "y.csv")]
+    assert tables.find_path(spark, "x.csv", [str(tmp_path / "none"), str(tmp_path / "b"), str(tmp_path / "a")]) == str(tmp_path / "b" / "x.csv")
+    assert tables.find_path(spark, "q.csv", [str(tmp_path)]) is None
+    found = [f.removeprefix("file:") for f in tables.find_cluster_files(spark, str(tmp_path))]
+    assert found == [str(tmp_path / "a" / "x.csv"), str(tmp_path / "b" / "c" / "y.csv")]
     tables.write_config({"b": 1, "a": [2]}, str(tmp_path / "c.json"))
     assert json.loads((tmp_path / "c.json").read_text()) == {"a": [2], "b": 1}
     with pytest.raises(ValueError, match="missing columns: t"):
@@ -164,6 +165,26 @@ def test_dealt_values_of_many_stretches(spark):
     assert {(r["perm_id"], r["v_perm"]): r["count"] for r in out} == {(p, v): n for p in range(2) for v, n in want.items()}
 
 
+def test_count_draws(spark):
+    """Tables drawn from counts keep both margins, and their means are those of a permutation of rows."""
+    rows = [(m, r, d) for m, n in (("a", 6), ("b", 4)) for i in range(n) for r, d in ((("user", "assistant")[i % 2], i % 3), ("user", 1))]
+    df = spark.createDataFrame(rows, "m string, r string, d int")
+    got = resample.count_draws(df, "r", "d", 400, within=("m",)).collect()
+    count = lambda key, of: {k: sum(x["n"] for x in of if key(x) == k) for k in {key(x) for x in of}}
+    by = lambda *i: (lambda x: tuple(x[j] for j in i))
+    real = [{"m": m, "r": r, "d": d, "n": 1} for m, r, d in rows]
+    for p in (0, 7, 399):
+        own = [x for x in got if x["perm_id"] == p]
+        for margin in (("m", "r"), ("m", "d")):
+            assert count(by(*margin), own) == count(by(*margin), real)
+    left, right, all_ = count(by("m", "r"), real), count(by("m", "d"), real), count(by("m"), real)
+    mean = count(by("m", "r", "d"), got)
+    for (m, r, d), n in mean.items():
+        assert n / 400 == pytest.approx(left[m, r] * right[m, d] / all_[(m,)], abs=0.25)
+    again = resample.count_draws(df.repartition(5), "r", "d", 400, within=("m",)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_trend_shuffle(spark):
     """Against all orders of four values: shares near the exact ones."""
     import itertools

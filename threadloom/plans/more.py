@@ -256,6 +256,12 @@ def transcript_files(spark, d):
     return sizes.join(names, "file").select("file", "messages", (F.col("chars") - 1).cast("long").alias("chars"))
 
 
+@query()
+def perm_role_counts(spark, d):
+    """Shuffles of the role within months as tables drawn from the counts, for tables too large to be dealt row by row."""
+    return resample.count_draws(C._messages(spark, d), "role", "domain", C.DRAWS, within=("month",))
+
+
 # ---- topics
 
 _EN = "(" + ", ".join(f"'{w}'" for w in X.ENGLISH_STOP) + ")"

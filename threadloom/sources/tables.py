@@ -81,20 +81,32 @@ def join_unique(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(checked.select(on, "_m.*"), on)
 
 
-def find_path(name: str, folders: list[str]) -> str | None:
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path), so that any store that Spark reads will do."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def find_path(spark: SparkSession, name: str, folders: list[str]) -> str | None:
     """The first folder's file of that name; None if no folder has it."""
-    return next((p for d in folders if os.path.exists(p := os.path.join(d, name))), None)
+    for path in (f"{d.rstrip('/')}/{name}" for d in folders):
+        fs, at = _file_system(spark, path)
+        if fs.exists(at):
+            return path
+    return None
 
 
 def find_cluster_files(spark: SparkSession, folder: str) -> list[str]:
-    """CSV files below a folder whose header has node_id and a cluster column."""
-    found = []
-    for d, _, names in os.walk(folder):
-        for n in sorted(names):
-            if n.endswith(".csv"):
-                cols = set(spark.read.csv(os.path.join(d, n), header=True).columns)
-                if "node_id" in cols and cols & {"cluster", "fine_cluster", "topic", "macro_domain"}:
-                    found.append(os.path.join(d, n))
+    """CSV files below a folder whose header has node_id and a cluster column; of each file the header alone is read."""
+    fs, at = _file_system(spark, folder)
+    files, found = fs.listFiles(at, True), []
+    while files.hasNext():
+        path = files.next().getPath().toString()
+        if path.endswith(".csv"):
+            head = spark.read.text(path).limit(1).collect()
+            cols = {c.strip().strip('"') for c in head[0]["value"].split(",")} if head else set()
+            if "node_id" in cols and cols & {"cluster", "fine_cluster", "topic", "macro_domain"}:
+                found.append(path)
     return sorted(found)
 
 
@@ -115,9 +127,7 @@ EXPORT = "id string, title string, create_time double, update_time double, mappi
 
 def _first_character(spark: SparkSession, path: str) -> str:
     """The first character of a file that isn't blank, read from its head by Hadoop's file system; "" if there is none."""
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs, at = _file_system(spark, path)
     if fs.getFileStatus(at).isDirectory():
         files = sorted(f.getPath().toString() for f in fs.listStatus(at) if not f.getPath().getName().startswith(("_", ".")))
         return next((c for c in (_first_character(spark, f) for f in files) if c), "")
