@@ -583,7 +583,7 @@ def topic_holdout(spark, d):
     """Clusters and domains of all documents by a model fitted on those of the first two sources by name."""
     docs = S.table(spark, d, "documents")
     first = F.broadcast(docs.select("source").distinct().orderBy("source").limit(2))
-    model = topic_model.fit(docs.join(first, "source", "left_semi"), "text", 12, 4, STOP)
+    model = topic_model.fit(docs.join(first, "source", "left_semi"), "text", 60, 8, STOP)
     return model.transform(docs).select("doc_id", "source", "cluster", "domain")
 
 
@@ -599,7 +599,11 @@ def macro_label_terms(spark, d):
 def svd_topics(spark, d):
     """Clusters of all documents after a truncated SVD of their weights, rows of length 1."""
     weights = S.stored(topics.tfidf(S.table(spark, d, "documents"), "doc_id", "text", STOP))
-    return svd.fit(weights, "doc_id", [(12, 16)])[12, 16].transform(weights, "doc_id")
+    return svd.fit(weights, "doc_id", [(60, 200)])[60, 200].transform(weights, "doc_id")
+
+
+#: Numbers of clusters and of dimensions.
+GRID = (40, 60, 80), (100, 200)
 
 
 @query()
@@ -608,7 +612,7 @@ def robustness_grid(spark, d):
     m = S.conversations(spark, d).where("role in ('user', 'assistant')")
     weights = S.stored(topics.tfidf(m, "node_id", "text", STOP, min_df=2))
     parts = []
-    for (k, dims), model in svd.fit(weights, "node_id", [(k, n) for k in (4, 6) for n in (8, 16)]).items():
+    for (k, dims), model in svd.fit(weights, "node_id", [(k, n) for k in GRID[0] for n in GRID[1]]).items():
         told = m.join(model.transform(weights, "node_id"), "node_id")
         c = resample.contrasts(dist.curves(told, "month", "role", "cluster"), "month", [], CONTRASTS)
         parts.append(c.select(F.lit(k).alias("k"), F.lit(dims).alias("svd_dims"), "*"))
