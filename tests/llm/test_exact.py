@@ -156,6 +156,7 @@ def test_classes_many(spark, monkeypatch, list_rows):
         monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
         monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
         monkeypatch.setattr(ngram_join, "PAIR_ROWS", 7)
+        monkeypatch.setattr(blocks, "MOST_PARTITIONS", 3)  # so a partition has several buckets
     r = random.Random(9)
     vocab = [f"w{i}" for i in range(900)]
     rows, d = [], 0

@@ -27,6 +27,8 @@ BUCKET_BYTES = 8 << 20
 MOST_PARTITIONS = 1 << 17
 #: Bytes of the Arrow batches that the JVM hands to Python, where the session sets none.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: A task holds a row group of its file in memory; those of 128 MB that are the default take much of a small executor.
+WRITE = {"parquet.block.size": str(32 << 20)}
 #: A table of at most so many rows of a few bytes may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A table of files of at most so many bytes may be broadcast.
@@ -97,7 +99,7 @@ def stored(df: DataFrame, name: str, files: int | None = None, **options: str) -
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(files)).write.options(**options).parquet(path)
+    (df if files is None else df.coalesce(files)).write.options(**WRITE, **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
