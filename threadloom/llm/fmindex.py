@@ -632,13 +632,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) ->
     come out once each and are judged by their own texts, repeated ids too; a null id counts as the least.
     Columns in ``keep`` come along as keep_<name>, whatever their names.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tkey"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    sent = [c for c in keep if c != "text"]  # the text goes to Python once
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tkey"), *[F.col(c).alias(f"keep_{c}") for c in sent])
     spans = repeated_spans(src.select("doc_id", "text", "tkey"), window)
     size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 24), F.lit(0)).alias("b")).first()["b"]
     cuts = spans.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), "spans")
     own = (F.coalesce(src["doc_id"], F.lit(-(1 << 63)).cast("long")) == cuts["_id"]) & (src["tkey"] == cuts["_key"])
-    joined = src.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, own, "left").select("doc_id", "text", "spans", *[f"keep_{c}" for c in keep])
+    joined = src.join(F.broadcast(cuts) if size <= BROADCAST_BYTES else cuts, own, "left").select("doc_id", "text", "spans", *[f"keep_{c}" for c in sent])
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[f"keep_{c}" for c in keep]]
+    place = {"text": 1, **{c: 3 + i for i, c in enumerate(sent)}}
 
     @B.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -668,7 +670,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) ->
                 cols = [
                     batch.column(0).slice(a, n), pa.array(words), pa.array(words - left), pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
                     pa.array([k.decode() if w != m else None for k, w, m in zip(kept, words.tolist(), left.tolist(), strict=True)], pa.string()),
-                    *(batch.column(3 + i).slice(a, n) for i in range(len(keep))),
+                    *(batch.column(place[c]).slice(a, n) for c in keep),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
