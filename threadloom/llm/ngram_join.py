@@ -32,6 +32,8 @@ from . import blocks as B
 SHINGLE, PERCENT = 5, 80
 #: Input bytes of one bucket of shingles and of one task of what follows.
 JOIN_BYTES = 8 << 20
+#: Input bytes to a file of the tables between the stages.
+FILE_BYTES = 64 << 20
 #: Members of a leader, and of a part of a list, that one task takes at a time.
 LEADER_ROWS, LIST_ROWS = 5_000, 4_096
 #: Members of a block of a long list; lists up to SHORT_LIST are paired together, about PAIR_ROWS pairs at a time.
@@ -104,7 +106,7 @@ def signatures(docs: DataFrame, bits: int, k: int = SHINGLE) -> DataFrame:
                 if len(at):
                     yield B.row_batch(schema, doc_id=[None], n=[None], f1=[None], f2=[None], bucket=[j], blob=[B.pack(at.astype(np.uint16), part[at])])
 
-    return B.stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f1 long, f2 long, bucket int, blob binary"), "join-signatures")
+    return B.stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, f1 long, f2 long, bucket int, blob binary"), "join-signatures", B.bucket_count(docs))
 
 
 def rarity(table: DataFrame, bits: int) -> np.ndarray:
@@ -398,7 +400,7 @@ def verified(docs: DataFrame, pairs: DataFrame, tasks: int, k: int = SHINGLE, pe
     members = pairs.join(salts, "leader").select("doc_id", "leader", spread.alias("salt"))
     leads = salts.select(F.col("leader").alias("doc_id"), "leader", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
     roles = leads.unionByName(members).groupBy("doc_id").agg(F.collect_list(F.struct("leader", "salt")).alias("roles"))
-    roles = B.stored(roles.select(F.col("doc_id").alias("_id"), F.transform("roles", lambda r: r["leader"]).alias("leaders"), F.transform("roles", lambda r: r["salt"].cast("long")).alias("salts")), "join-roles", max(8, tasks // 4))
+    roles = roles.select(F.col("doc_id").alias("_id"), F.transform("roles", lambda r: r["leader"]).alias("leaders"), F.transform("roles", lambda r: r["salt"].cast("long")).alias("salts"))
     joined = docs.join(F.broadcast(roles) if 2 * n <= B.BROADCAST_ROWS else roles, docs["doc_id"] == roles["_id"]).select("doc_id", "text", "only", "leaders", "salts")
     schema = pa.schema([("leader", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
@@ -442,7 +444,7 @@ def verified(docs: DataFrame, pairs: DataFrame, tasks: int, k: int = SHINGLE, pe
             yield B.row_batch(told, **out)
 
     met = joined.mapInArrow(send, "leader long, salt long, doc_id long, kind int, blob binary").repartition(tasks, "leader", "salt").sortWithinPartitions("leader", "salt", "kind")
-    return B.stored(met.mapInArrow(meet, "leader long, doc_id long, leader_n long, shares long, linked boolean"), "join-answers")
+    return met.mapInArrow(meet, "leader long, doc_id long, leader_n long, shares long, linked boolean")
 
 
 def connected(links: DataFrame, files: int) -> DataFrame:
@@ -457,7 +459,7 @@ def connected(links: DataFrame, files: int) -> DataFrame:
         edges = B.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "cc-edges", files)
         if edges.isEmpty():
             break
-        parent = B.stored(edges.groupBy("hi").agg(F.min("lo").alias("lo")), "cc-parent", files)
+        parent = edges.groupBy("hi").agg(F.min("lo").alias("lo"))
         for _ in range(2):
             up = parent.select(F.col("hi").alias("lo"), F.col("lo").alias("top"))
             parent = parent.join(up, "lo", "left").select("hi", F.coalesce("top", "lo").alias("lo"))
@@ -496,7 +498,8 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     bits = int(np.clip(np.ceil(np.log2(max(size, 1) / 512)), 12, 24))
     buckets = max(16, size // JOIN_BYTES)
     tasks = min(buckets, B.MOST_PARTITIONS)
-    files = max(8, tasks // 4)  # of tables that are small beside the documents
+    # Tables between the stages are small beside the documents, and so are written as few files.
+    files = max(2, size // FILE_BYTES)
     table = signatures(src, bits, k)
     sigs = table.where(F.col("n").isNotNull()).select("doc_id", "n", "f1", "f2")
     real = sigs.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -510,15 +513,26 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     copies = B.stored(copies.where("doc_id <> rep").select("doc_id", "rep"), "join-copies", files)
     less = copies.select("doc_id")
     reps = src.where(F.col("doc_id").isNotNull()).join(F.broadcast(less) if copies.count() <= B.BROADCAST_ROWS else less, "doc_id", "left_anti")
-    clash = B.stored(one.where("x <> y").select(F.col("doc_id"), F.col("f1").alias("only")), "join-clash", files)
-    n_clash = clash.count()
-    reps = reps.join(F.broadcast(clash) if n_clash <= B.BROADCAST_ROWS else clash, "doc_id", "left") if n_clash else reps.withColumn("only", F.lit(None).cast("long"))
-    entries = B.stored(prefix_entries(reps, rarity(table, bits), bits, buckets, k, percent), "join-entries")
+    clash = one.where("x <> y").select(F.col("doc_id"), F.col("f1").alias("only"))
+    if clash.isEmpty():
+        reps = reps.withColumn("only", F.lit(None).cast("long"))
+    else:
+        clash = B.stored(clash, "join-clash", files)
+        reps = reps.join(F.broadcast(clash) if clash.count() <= B.BROADCAST_ROWS else clash, "doc_id", "left")
+    entries = B.stored(prefix_entries(reps, rarity(table, bits), bits, buckets, k, percent), "join-entries", files)
+    classes = _classes(reps, entries, tasks, files, k, percent)
+    own = sigs.join(copies, "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
+    out = _left_hot(own, classes, ["rep"], "comp", hot.select("rep"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+
+
+def _classes(reps: DataFrame, entries: DataFrame, tasks: int, files: int, k: int, percent: int) -> DataFrame:
+    """(rep, comp) of the sets that aren't the least of their classes, from one row a set (doc_id, text, only) and the prefix entries."""
     shared = entries.groupBy("doc_id", "n").agg(F.count("*").alias("s"))
     need = F.expr(f"n - cast(ceil({percent} * n / 100.0D) as int) + 1 - s")
-    full = B.stored(with_leaders(entries.join(shared.select("doc_id", need.cast("int").alias("u")), "doc_id")), "join-lists", tasks)
+    full = B.stored(with_leaders(entries.join(shared.select("doc_id", need.cast("int").alias("u")), "doc_id")), "join-lists", files)
     by_leader = B.stored(full.groupBy("doc_id", "leader", "n", "last", "u").agg(F.count("*").cast("int").alias("s")), "join-leaders", files)
-    answers = verified(reps, B.stored(leader_pairs(by_leader, percent), "join-pairs", files), tasks, k, percent)
+    answers = B.stored(verified(reps, B.stored(leader_pairs(by_leader, percent), "join-pairs", files), tasks, k, percent), "join-answers", files)
     label = connected(answers.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), files)
     total = by_leader.groupBy("doc_id").agg(F.sum("s").cast("int").alias("t"), F.max_by("leader", F.struct("s", -F.col("leader"))).alias("top"))
     judged = answers.groupBy("doc_id").agg(F.max("leader").alias("judge"), F.max("shares").alias("shares"), F.max("leader_n").alias("judge_n"))
@@ -534,7 +548,4 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     upper = connected(between, files).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     # A set has a label of its own, that of its class, or both.
     both = label.join(upper, "comp", "left").select(F.col("node").alias("rep"), F.coalesce("top", "comp").alias("comp"))
-    both = B.stored(both.unionByName(upper.select(F.col("comp").alias("rep"), F.col("top").alias("comp"))), "join-classes", files)
-    own = sigs.join(copies, "doc_id", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
-    out = _left_hot(own, both, ["rep"], "comp", hot.select("rep"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    return both.unionByName(upper.select(F.col("comp").alias("rep"), F.col("top").alias("comp")))
