@@ -69,6 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{blocks.work_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.options(**blocks.WRITE).parquet(path)
+        stage(spark, docs, sf_dir).coalesce(blocks.bucket_count(docs)).write.options(**blocks.WRITE).parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -287,7 +287,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _files(buckets: int) -> int:
     """Files of a stage's small table: several buckets to each."""
-    return max(8, buckets // 8)
+    return max(4, buckets // 8)
 
 
 def _bloom_bits(v: np.ndarray, size: int, hashes: int) -> np.ndarray:

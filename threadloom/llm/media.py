@@ -181,7 +181,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([i.slice(a, n), pa.array(size), pa.array(media, pa.binary())], schema=schema)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return B.stored(src.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media", **PACKED)
+    return B.stored(src.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media", B.bucket_count(docs), **PACKED)
 
 
 #: The stored files take most of the disk; zstd keeps them smaller than the default codec.

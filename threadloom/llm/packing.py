@@ -206,7 +206,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 def stored_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces as a table in the shared folder: texts are tokenized once, whatever reads the pieces."""
-    return B.stored(pieces(docs, tokenizer, capacity), "pieces")
+    return B.stored(pieces(docs, tokenizer, capacity), "pieces", B.bucket_count(docs))
 
 
 class SumIndex:

@@ -96,7 +96,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], schema=schema)
 
     kind = ", ".join(["doc_id long", *(f"{s} double" for s in STATS)])
-    return B.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind), "quality-stats")
+    return B.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind), "quality-stats", B.bucket_count(docs))
 
 
 @dataclass

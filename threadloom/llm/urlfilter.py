@@ -161,7 +161,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
     base = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = base.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
-    ruled = B.stored(ruled, "url-pages")
+    ruled = B.stored(ruled, "url-pages", B.bucket_count(pages))
     hosts = host_tokens(B.stored(ruled.select("host").distinct(), "url-names", B.bucket_count(ruled)), word_counts(base))
     paths = with_path_tokens(ruled.select("path").distinct())
     bias, weights, unseen = fit(ruled.where(F.col("said").isNotNull()).select("host", "path", F.col("said").alias("verdict")), hosts, paths)
