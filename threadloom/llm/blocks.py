@@ -26,7 +26,7 @@ BUCKET_BYTES = 8 << 20
 #: Partitions of a bucketed stage; more buckets share them.
 MOST_PARTITIONS = 1 << 17
 #: Bytes of the Arrow batches that the JVM hands to Python, where the session sets none.
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 #: A task holds a row group of its file in memory; those of 128 MB that are the default take much of a small executor.
 WRITE = {"parquet.block.size": str(32 << 20)}
 #: A table of at most so many rows of a few bytes may be broadcast; larger ones are joined by a shuffle.
