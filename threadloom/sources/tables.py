@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .shipping import ship
 
 MESSAGES = "thread_id string, thread_title string, thread_create_time double, thread_update_time double, node_id string, parent_id string, role string, author_name string, message_create_time double, message_create_time_iso string, text string, text_len long"
 THREADS = "thread_id string, thread_title string, thread_create_time double, thread_create_time_iso string, thread_update_time double, thread_update_time_iso string, num_nodes_in_tree long, num_nodes_in_main_path long, num_user_msgs_main_path long, num_assistant_msgs_main_path long, main_path_text_chars long"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
