@@ -3,34 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
 from . import blocks, decontam, fmindex, langid, media, ngram_join, packing, quality, sharding, toxicity, urlfilter
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once an application, so that they need no copy on their path."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="threadloom-code-")) / "threadloom_code.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(str(path.resolve()))
-    _SHIPPED.add(sc.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     blocks.bound_batches(spark)
