@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import numbering
+
 
 def shifts(df: DataFrame, thread: str, order: list[str], category: str, role: str) -> DataFrame:
     """(thread, order, initiator_role, from_category, to_category) where the category changes; null categories don't count."""
@@ -32,28 +34,13 @@ def first_sustained(found: DataFrame, thread: str, least: int) -> DataFrame:
     return sustained(found, least).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def count_windows(df: DataFrame, order: list[str], size: int, bucket_rows: int = 1_000_000) -> DataFrame:
+def count_windows(df: DataFrame, order: list[str], size: int, bucket_rows: int = numbering.RANGE_ROWS) -> DataFrame:
     """The rows with (window, place): tumbling windows of ``size`` rows in global order, an incomplete last one dropped.
 
-    Rows are cut into ranges of about ``bucket_rows`` rows by quantiles of the first order column (a number
-    or a time), numbered in their range and offset by the counts of the ranges before, so only counts pass
-    through one task, however many rows a day has.
+    Rows are numbered by ranges of the order, so only counts pass through one task, however many rows a time has.
     """
-    kind = df.schema[order[0]].dataType.simpleString()
-    number = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order[0]).cast("double")
-    parts = max(1, -(-df.count() // bucket_rows))
-    at = F.lit(0)
-    if parts > 1:
-        cuts = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)]).alias("c")).first()["c"]
-        at = F.array_size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < number))
-    x = df.withColumn("_b", at)
-    per_bucket = x.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offset = per_bucket.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    rn = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    x = x.withColumn("_rn", rn).join(F.broadcast(offset), "_b").withColumn("_at", F.col("_before") + F.col("_rn"))
-    x = x.where(F.col("_at") < F.floor(F.col("_all") / size) * size)
-    return x.withColumn("window", F.floor(F.col("_at") / size)).withColumn("place", F.col("_at") % size).drop("_b", "_rn", "_before", "_all", "_at")
+    x = numbering.numbered(df, order, out="_at", total="_all", range_rows=bucket_rows).where(F.col("_at") < F.floor(F.col("_all") / size) * size)
+    return x.withColumn("window", F.floor(F.col("_at") / size)).withColumn("place", F.col("_at") % size).drop("_all", "_at")
 
 
 def deltas(df: DataFrame, order: str, columns: list[str], keys: list[str] | None = None) -> DataFrame:
