@@ -48,6 +48,52 @@ least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 """
 
+#: One tree: recursive CTEs over a table of leaves (k, pos, n, digest), and the climb of every leaf through it.
+def _tree(name: str, leaves: str) -> str:
+    return f"""{name} AS (
+  SELECT 0 AS lvl, k, pos, CAST(n AS BIGINT) AS width, digest, CAST(NULL AS VARCHAR) AS pre FROM {leaves}
+  UNION ALL
+  SELECT lvl + 1, k, pos // 16, CAST(max((width + 15) // 16) AS BIGINT), sha256(string_agg(digest, '' ORDER BY pos)), string_agg(digest, '' ORDER BY pos) FROM {name} WHERE width > 1 GROUP BY lvl, k, pos // 16
+)"""
+
+
+def _climb(name: str, tree: str, start: str) -> str:
+    return f"""{name} AS (
+  SELECT id, 0 AS lvl, k, pos, digest, h, sib FROM {start}
+  UNION ALL
+  SELECT c.id, c.lvl + 1, c.k, c.pos // 16, t.digest, sha256(left(t.pre, 64 * (c.pos % 16)) || c.h || substr(t.pre, 64 * (c.pos % 16) + 65)), c.sib || left(t.pre, 64 * (c.pos % 16)) || substr(t.pre, 64 * (c.pos % 16) + 65)
+  FROM {name} c JOIN {tree} t ON t.k = c.k AND t.lvl = c.lvl + 1 AND t.pos = c.pos // 16
+), {name}_top AS (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl DESC) = 1)"""
+
+
+def _crc32(text: str) -> str:
+    """Bit by bit, of the bytes of an ASCII text."""
+    step = "list_reduce([xor(c, b)] || range(0, 8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INTEGER, 1))::BIGINT), lambda c, b: {step}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    part = lambda v: f"coalesce(strlen({v}) || ':' || {v}, '-')"
+    return "sha256(" + " || ".join(part(v) for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+_OP11 = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS k, {_leaf("text")} AS digest,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM rows
+), {_tree("tree", "leaves")},
+tops AS (SELECT k AS grp, digest, '' AS k, row_number() OVER (ORDER BY k::BLOB) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE width = 1),
+{_tree("upper_tree", "tops")},
+start_low AS (SELECT id, k, pos, digest, coalesce(tampered, digest) AS h, '' AS sib FROM leaves),
+{_climb("low", "tree", "start_low")},
+start_high AS (SELECT l.id, t.k, t.pos, t.digest, l.h, l.sib FROM low_top l JOIN tops t ON t.grp = l.k),
+{_climb("high", "upper_tree", "start_high")}
+SELECT r.doc_id, r.digest AS leaf, l.digest AS subroot, h.digest AS root, sha256(h.sib) AS proof_sha256, h.h AS folded_root, h.h = h.digest AS verified
+FROM leaves r JOIN low_top l USING (id) JOIN high_top h USING (id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op9_ngram_join": _OP9}
+    return {"op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op9_ngram_join": _OP9, "op11_merkle": _OP11}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from . import blocks, decontam, fmindex, langid, media, ngram_join, packing, quality, sharding, toxicity, urlfilter
+from . import blocks, decontam, fmindex, langid, media, merkle, ngram_join, packing, quality, sharding, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +82,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.audit(table(spark, sf_dir, "documents"), tampered=fold(F.col("doc_id"), 5) == 0)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_media, op2_url_filter, op3_substring_dedup, op4_decontamination, op5_language_id, op6_toxicity, op7_sharding, op8_packing, op9_ngram_join, op10_quality]
+    own = [op1_media, op2_url_filter, op3_substring_dedup, op4_decontamination, op5_language_id, op6_toxicity, op7_sharding, op8_packing, op9_ngram_join, op10_quality, op11_merkle]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
