@@ -94,6 +94,29 @@ SELECT r.doc_id, r.digest AS leaf, l.digest AS subroot, h.digest AS root, sha256
 FROM leaves r JOIN low_top l USING (id) JOIN high_top h USING (id)
 """
 
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '-') AS host, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), raw AS (
+  SELECT id, host, text, unnest(string_split(text, chr(10))) AS line FROM d
+), lines AS (
+  SELECT *, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw FROM raw
+), named AS (
+  SELECT *, regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm FROM lines WHERE len(lw) > 0
+), dup AS (SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines FROM named GROUP BY id),
+grams AS (SELECT id, i, md5(array_to_string(list_slice(w, i, i + 7), ' ')) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT id, i FROM grams QUALIFY count(*) OVER (PARTITION BY id, g) >= 2),
+rep AS (SELECT id, count(DISTINCT j) AS n_repeat_words FROM (SELECT id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY id),
+hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
+freq AS (SELECT host, norm FROM named JOIN hosts USING (host) GROUP BY host, norm HAVING count(DISTINCT text) > greatest(10.0, 0.02::DOUBLE * any_value(n))),
+lost AS (SELECT id, sum(len(lw)) AS n FROM named SEMI JOIN freq USING (host, norm) GROUP BY id),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_words
+  FROM d LEFT JOIN dup USING (id) LEFT JOIN rep USING (id) LEFT JOIN lost USING (id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 20 AND n_removed_words * 100 <= n_words * 50 AS kept FROM b
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op9_ngram_join": _OP9, "op11_merkle": _OP11}
+    return {"op3_substring_dedup": _OP3, "op4_decontamination": _OP4, "op9_ngram_join": _OP9, "op11_merkle": _OP11, "op12_line_rules": _OP12}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from . import blocks, decontam, fmindex, langid, media, merkle, ngram_join, packing, quality, sharding, toxicity, urlfilter
+from . import blocks, decontam, fmindex, langid, line_rules, media, merkle, ngram_join, packing, quality, sharding, toxicity, urlfilter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +87,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = line_rules.judge(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_media, op2_url_filter, op3_substring_dedup, op4_decontamination, op5_language_id, op6_toxicity, op7_sharding, op8_packing, op9_ngram_join, op10_quality, op11_merkle]
+    own = [op1_media, op2_url_filter, op3_substring_dedup, op4_decontamination, op5_language_id, op6_toxicity, op7_sharding, op8_packing, op9_ngram_join, op10_quality, op11_merkle, op12_line_rules, op13_whitening]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
