@@ -1,74 +1,3 @@
-"""A training corpus from raw documents in five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: STAGES, ORACLE_SQL and run, as threadloom.llm.pipeline has them."""
 
-from __future__ import annotations
-
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from threadloom.llm import blocks, decontam, fmindex, ngram_join, packing, quality
-from threadloom.llm.queries import fold, table, tokenizer_path
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The documents whose ids aren't among the bad ones; ids are broadcast while they are few."""
-    ids = blocks.stored(bad.select(F.col("doc_id").alias("_bad")).distinct(), "stage-bad", blocks.bucket_count(docs, 64 << 20))
-    small = ids.count() <= blocks.BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["_bad"], "left_anti").select(*COLUMNS)
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
-    labels = table(spark, sf_dir, "labels")
-    stats = quality.document_stats(docs)
-    model = quality.fit(stats, labels.where(fold(F.col("doc_id"), 3) != 1))
-    return _without(docs, quality.score(stats, model).where("predicted = 0"))
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
-    return _without(docs, ngram_join.components(docs).where("component_id <> doc_id"))
-
-
-def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that a document with a smaller id has are cut; a document of nothing else goes."""
-    cut = fmindex.dedup(docs, keep=("text", "lang", "source", "n_chars")).where("n_removed = 0 or n_removed < n_words")
-    size = F.coalesce(F.char_length("kept_text").cast(docs.schema["n_chars"].dataType), F.col("keep_n_chars"))
-    return cut.select("doc_id", F.coalesce("kept_text", "keep_text").alias("text"), F.col("keep_lang").alias("lang"), F.col("keep_source").alias("source"), size.alias("n_chars"))
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
-    found = decontam.scan(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(F.size("items") > 0))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences and places."""
-    return packing.pack(packing.stored_pieces(docs, tokenizer_path()))
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("substring_dedup", substring_stage),
-    ("decontamination", decontamination_stage),
-    ("packing", packing_stage),
-]
-
-#: The first stage is a trained classifier, which SQL can't express; tests hold the rows against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{blocks.work_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).coalesce(blocks.bucket_count(docs)).write.options(**blocks.WRITE).parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+from threadloom.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401

@@ -57,6 +57,8 @@ def _write(spark, path, empty=False):
     put("labels", [*labels, (None, 1, 1), (500, 1, 1), (100, None, None), labels[0]], "doc_id long, quality int, toxic int")
     put("benchmark", ITEMS, "item_id string, text string")
     put("pages", [(i, u, "<p>the house river stone</p>" if i % 2 else None) for i, u in enumerate(URLS)] + [(1, URLS[1], None), (None, URLS[0], None)], "page_id long, url string, html string")
+    vectors = [(i % 40, [float((i * k) % 7) / 3 for k in range(1, 7)]) for i in range(45)] + [(None, [0.5] * 6), (50, None), (51, [None] * 6), (52, [float("nan")] * 6), (53, []), (54, [1.0])]
+    put("embeddings", [(*v, 1) for v in vectors], "vec_id long, embedding array<float>, label int")
     return str(path)
 
 
@@ -168,6 +170,28 @@ def test_op8(spark, sf):
     assert max(end.values()) <= 2048
 
 
+def test_op11(spark, sf):
+    from test_merkle import brute as tree
+
+    got = queries.op11_merkle(spark, sf).collect()
+    want = tree([(d, "src", lang, None if t is None else len(t), t) for d, t, lang in ROWS])
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
+def test_op12(spark, sf):
+    from test_line_rules import STATS, brute as rules
+
+    got = queries.op12_line_rules(spark, sf).collect()
+    want = rules([(d, t, "src") for d, t, _ in ROWS], 10, 0.02)
+    assert Counter((r["doc_id"], *[r[c] for c in STATS], r["base_failed"], r["n_removed_words"], r["kept"]) for r in got) == Counter((*w[:8], w[9]) for w in want)
+
+
+def test_op13(spark, sf):
+    got = queries.op13_whitening(spark, sf).collect()
+    assert Counter(r["vec_id"] for r in got) == Counter({**{i: 12 if i < 5 else 6 for i in range(40)}, None: 6})
+    assert {r["n"] for r in got} == {46} and {r["component"] for r in got} == set(range(1, 7))
+
+
 def test_op9(spark, sf):
     # An id of several texts is one document, of the text with the most shingles.
     best = {}
