@@ -36,3 +36,25 @@ def numbered(df: DataFrame, order: list[str], within: tuple[str, ...] = (), out:
     few = offset.count() <= BROADCAST_ROWS
     out_cols = [*[F.col(f"x.{c}") for c in df.columns], (F.col("x._at") + F.col("o._shift")).alias(out), *([F.col("o._all").alias(total)] if total else [])]
     return placed.alias("x").join(F.broadcast(offset.alias("o")) if few else offset.alias("o"), same).select(*out_cols)
+
+
+def running(df: DataFrame, order: list[str], within: tuple[str, ...], value: str, out: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows with the sum of ``value`` up to and with each row, in the order of ``order`` in its group, and the next row's first order column as ``_next``.
+
+    A table of one range's rows is summed group by group; a larger one is numbered first, so that a group's
+    stretches are summed apart and a group of any size is spread over tasks.  ``order`` tells all rows apart.
+    """
+    rows = df.count()
+    if rows <= range_rows:
+        w = Window.partitionBy(*within).orderBy(*order)
+        return df.withColumns({out: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead(order[0]).over(w)})
+    x = numbered(df, order, within, out="_pos", range_rows=range_rows).withColumn("_stretch", F.expr(f"_pos div {range_rows}"))
+    x = S.stored(x)
+    sums = x.groupBy(*within, "_stretch").agg(F.sum(value).alias("_s"), F.min(order[0]).alias("_least"))
+    group = Window.partitionBy(*within).orderBy("_stretch")
+    before = S.stored(sums.select(*within, "_stretch", F.coalesce(F.sum("_s").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_least").over(group).alias("_after")))
+    own = Window.partitionBy(*within, "_stretch").orderBy("_pos")
+    x = x.withColumns({"_own": F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)), "_lead": F.lead(order[0]).over(own)})
+    same = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}")) for c in within], F.col("x._stretch") == F.col("b._stretch"))
+    met = x.alias("x").join(before.alias("b"), same)
+    return met.select(*[F.col(f"x.{c}") for c in df.columns], (F.col("x._own") + F.col("b._before")).alias(out), F.coalesce("x._lead", "b._after").alias("_next"))

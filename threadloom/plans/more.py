@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dist, resample, runs, stats, topic_model, topics, tree
+from ..operators import density, dist, resample, runs, stats, topic_model, topics, tree
 from ..sources import tables as S
 from . import catalog as C
 from .catalog import EVT, MSG, ORD, query, rounded
@@ -331,3 +331,25 @@ def contrast_thirds(spark, d):
     months = [r["month"] for r in k.select("month").distinct().collect()]  # few: one a calendar month
     early, peak, late = stats.pick_windows(months, ["2025-05", "2025-06"], ["2025-08", "2025-09"], ["2025-12"])
     return k.agg(F.round(stats.contrast(k, "month", "entropy_user", peak, early), 6).alias("peak_early"), F.round(stats.contrast(k, "month", "entropy_user", late, peak), 6).alias("late_peak"))
+
+
+# ---- density clusters
+
+
+def noise_free_entropy(labels):
+    """(period, n, clusters, entropy) of labelled rows: all rows count in n, noise in neither clusters nor entropy, which is 0 without clusters."""
+    found = dist.entropy(labels, ["period"], "label", exclude=(density.NOISE,)).select("period", "categories", "entropy")
+    x = labels.groupBy("period").agg(F.count("*").alias("n")).join(found, "period", "left")
+    return x.select("period", "n", F.coalesce("categories", F.lit(0)).alias("clusters"), F.round(F.coalesce("entropy", F.lit(0.0)), 6).alias("entropy"))
+
+
+@query()
+def density_clusters(spark, d):
+    """Density clusters of all embeddings at length 1, 30 rows at least; -1 is noise."""
+    return density.clustered(S.table(spark, d, "embeddings"), "vec_id", "embedding", least=30)
+
+
+@query()
+def density_entropy(spark, d):
+    """Entropy of the clusters by period, noise left out."""
+    return noise_free_entropy(density_clusters(spark, d).withColumn("period", F.col("vec_id") % 8))
