@@ -478,3 +478,17 @@ def test_word_hashes():
     again = np.frombuffer(("zz " + " ".join(words)).encode(), np.uint8)
     s, e, _ = blocks.word_spans(blocks.SPACE[again], np.array([0, len(again)]))
     assert blocks.word_hashes(again, s, e)[1:].tolist() == h.tolist()
+
+
+def test_shards_of_minimizers_are_even():
+    """The shards of a corpus' minimizers hold much the same number, at many shards as well as at few."""
+    import numpy as np
+
+    from threadloom.llm import fmindex
+
+    h = np.random.default_rng(2).integers(0, 1 << 64, 400_000, dtype=np.uint64)
+    v, *_ = fmindex.segments(h, np.array([0, len(h)]), fmindex.WINDOW)
+    v = np.unique(v)
+    for shards in (64, 1 << 12):
+        n = np.bincount((fmindex.B.mix(v) % np.uint64(shards)).astype(int), minlength=shards)
+        assert n.max() < n.mean() + 6 * n.mean() ** 0.5 and n.min() > n.mean() - 6 * n.mean() ** 0.5

@@ -323,7 +323,7 @@ def shared_minimizers(docs: DataFrame, buckets: int, window: int = WINDOW) -> Da
                 many = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
                 new = np.append(True, (v[1:] != v[:-1]) | (seg[1:] != seg[:-1]))
                 distinct = np.add.reduceat(new.astype(np.int32), at)
-                bucket = (v[at] >> np.uint64(40)) % np.uint64(buckets)
+                bucket = B.mix(v[at]) % np.uint64(buckets)  # minimizers are least hashes, so they aren't even themselves
                 rows = [(k, B.pack(v[at[i]], doc[at[i]], distinct[i].astype(np.int32), many[i])) for k, i in B.split_by(bucket)]
                 yield B.row_batch(schema, bucket=[r[0] for r in rows], blob=[r[1] for r in rows])
 
@@ -442,7 +442,7 @@ def _segment_rows(docs: DataFrame, buckets: int, window: int, sent) -> DataFrame
         local = np.empty(len(seg), np.int64)
         local[order] = which
         shard = seg[at] if known is not None else v[at]
-        bucket = (shard >> np.uint64(40)) % np.uint64(buckets)
+        bucket = B.mix(shard) % np.uint64(buckets)
         place_bucket = bucket[local]
         by_place = dict(B.split_by(place_bucket))
         for b, i in B.split_by(bucket):
