@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import density, dist, resample, runs, stats, topic_model, topics, tree
+from ..sources import layout
 from ..sources import tables as S
+from ..streaming import ingest
 from . import catalog as C
 from .catalog import EVT, MSG, ORD, query, rounded
 
@@ -209,23 +213,59 @@ def trend_labels(spark, d):
 _STAMP = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN m.turn % 2 = 1 THEN '.250000' ELSE '' END || '+00:00'"
 
 
-@query(f"WITH {MSG}, {C.NODES} SELECT CAST(m.conv_id AS VARCHAR) AS thread_id, n.node_id, n.parent_id, {_STAMP} AS iso, m.role, regexp_replace(coalesce(m.text, 'None') || chr(10) || m.role, '^\\s+|\\s+$', '', 'g') AS text FROM m JOIN n ON m.conv_id = n.conv_id AND m.turn = n.turn")
-def export_round_trip(spark, d):
-    """All messages written as a chat export, a conversation a line, and read from it node by node."""
-    c = S.conversations(spark, d)
+def _export_lines(c):
+    """Messages as chat exports, a conversation a line."""
     seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1e6D") + F.when(F.col("turn") % 2 == 1, 0.25).otherwise(0.0)
     quoted = F.expr("substr(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
     content = F.parse_json(F.concat(F.lit('{"content_type":"text","parts":['), quoted, F.lit(","), F.to_json(F.struct(F.col("role").alias("text"))), F.lit("]}")))
     message = F.struct(F.struct("role").alias("author"), seconds.alias("create_time"), content.alias("content"))
     node = F.struct(F.col("parent_id").alias("parent"), F.array().cast("array<string>").alias("children"), message.alias("message"))
     threads = c.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", node))).alias("mapping"))
-    text = threads.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("A thread").alias("title"), "mapping")).alias("value"))
+    return threads.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("A thread").alias("title"), "mapping")).alias("value"))
+
+
+_EXPORTED = f"WITH {MSG}, {C.NODES} SELECT CAST(m.conv_id AS VARCHAR) AS thread_id, n.node_id, n.parent_id, {_STAMP} AS iso, m.role, regexp_replace(coalesce(m.text, 'None') || chr(10) || m.role, '^\\s+|\\s+$', '', 'g') AS text FROM m JOIN n ON m.conv_id = n.conv_id AND m.turn = n.turn"
+
+
+@query(_EXPORTED)
+def export_round_trip(spark, d):
+    """All messages written as a chat export, a conversation a line, and read from it node by node."""
     path = S.scratch_dir(spark)
-    text.write.text(path)
+    _export_lines(S.conversations(spark, d)).write.text(path)
     n = S.export_nodes(S.read_export(spark, path, lines=True))
     return n.select("thread_id", "node_id", "parent_id", X.epoch_to_iso(F.col("ts")).alias("iso"), "role", "text")
 
 
+@query(_EXPORTED)
+def export_stream(spark, d):
+    """The same export read as a stream, some files to a batch, every file twice over; the table is as one read gives it."""
+    path = S.scratch_dir(spark)
+    lines = _export_lines(S.conversations(spark, d))
+    for _ in range(2):
+        lines.write.mode("append").text(f"{path}/exports")
+    ingest.start(spark, f"{path}/exports", f"{path}/table", f"{path}/state", lines=True, files_per_batch=5).awaitTermination()
+    n = ingest.read(spark, f"{path}/table")
+    return n.select("thread_id", "node_id", "parent_id", X.epoch_to_iso(F.col("ts")).alias("iso"), "role", "text")
+
+
+def _laid_out(spark, d):
+    path = S.scratch_dir(spark)
+    layout.write_layout(S.conversations(spark, d).select("conv_id", "turn", "ts", "role", "text"), path, "conv_id", "ts")
+    return path
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IN (3, 77, 1000000000)")
+def thread_lookup(spark, d):
+    """All messages of some threads, by the layout for lookups: the feature is to read no more than their files."""
+    return layout.lookup_threads(spark, _laid_out(spark, d), "conv_id", [3, 77, 10**9]).select("conv_id", "turn", "role", "text")
+
+
+@query(f"WITH {MSG} SELECT conv_id, turn, ts, role FROM m WHERE ts >= TIMESTAMP '2025-07-03 00:01:00' AND ts < TIMESTAMP '2025-07-10 00:00:00'")
+def time_lookup(spark, d):
+    """All messages of a stretch of time, whose threads the narrow table of times names."""
+    return layout.lookup_times(spark, _laid_out(spark, d), "conv_id", "ts", datetime(2025, 7, 3, 0, 1), datetime(2025, 7, 10)).select("conv_id", "turn", "ts", "role")
+
+
 @query("SELECT conv_id, turn, role, text, CAST(length(text) AS INTEGER) AS chars FROM conversations")
 def messages_csv_round_trip(spark, d):
     """All messages written as CSV, texts with quotes and line breaks included, and read back, the columns that are asked for alone."""

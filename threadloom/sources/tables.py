@@ -152,11 +152,15 @@ def read_export(spark: SparkSession, path: str, lines: bool = False, keep_empty:
     """
     if not lines and _first_character(spark, path) not in ("[", ""):
         raise ValueError("an export must be a JSON list")
+    rows = export_rows(spark.read.schema(EXPORT).json(path, multiLine=not lines))
+    return rows if keep_empty else rows.where(F.size("mapping") > 0)
+
+
+def export_rows(raw: DataFrame) -> DataFrame:
+    """Conversations as read under EXPORT with their nodes as a map of JSON texts, null where there is no object."""
     # mapping is text first, as some have no object there.
-    rows = spark.read.schema(EXPORT).json(path, multiLine=not lines)
     mapping = F.when(F.ltrim("mapping").startswith("{"), F.from_json("mapping", "map<string,string>"))
-    rows = rows.select("id", F.coalesce("title", F.lit("Untitled")).alias("title"), "create_time", "update_time", mapping.alias("mapping"))
-    return rows if keep_empty else rows.where(F.size("mapping") > 0)
+    return raw.select("id", F.coalesce("title", F.lit("Untitled")).alias("title"), "create_time", "update_time", mapping.alias("mapping"))
 
 
 def export_counts(export: DataFrame) -> DataFrame:
@@ -188,12 +192,12 @@ def content_text(content: Column) -> Column:
     return F.regexp_replace(found, r"(?U)^\s+|\s+$", "")
 
 
-def export_nodes(export: DataFrame) -> DataFrame:
-    """(thread_id, node_id, parent_id, ts, role, author, text) of every node of an export's conversations."""
-    e = export.select(F.col("id").alias("thread_id"), F.explode("mapping").alias("node_id", "node"))
+def export_nodes(export: DataFrame, *keep: str) -> DataFrame:
+    """(thread_id, node_id, parent_id, ts, role, author, text) of every node of an export's conversations, and the columns in ``keep``."""
+    e = export.select(F.col("id").alias("thread_id"), *keep, F.explode("mapping").alias("node_id", "node"))
     n = e.withColumn("m", F.get_json_object("node", "$.message"))
     return n.select(
-        "thread_id", "node_id", F.get_json_object("node", "$.parent").alias("parent_id"), F.expr("try_cast(get_json_object(m, '$.create_time') as double)").alias("ts"),
+        "thread_id", *keep, "node_id", F.get_json_object("node", "$.parent").alias("parent_id"), F.expr("try_cast(get_json_object(m, '$.create_time') as double)").alias("ts"),
         F.lower(F.get_json_object("m", "$.author.role")).alias("role"), F.get_json_object("m", "$.author.name").alias("author_name"), content_text(F.get_json_object("m", "$.content")).alias("text"),
     )
 
