@@ -78,8 +78,11 @@ def js_from_reference(dist: DataFrame, period: str, category: str, train: Column
 
 def curves(df: DataFrame, period: str, role: str, category: str, left: str = "user", right: str = "assistant", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, period, user_msgs, assistant_msgs, entropy_user, js_distance) by one aggregation of the rows."""
-    by = [*keys, period]
-    c = two_sided(df, by, category, role, left, right)
+    return curves_of_counts(two_sided(df, [*keys, period], category, role, left, right), [*keys, period])
+
+
+def curves_of_counts(c: DataFrame, by: list[str]) -> DataFrame:
+    """The curves of counts ``l`` and ``r`` of both sides by (by, category)."""
     w = Window.partitionBy(*by)
     c = c.withColumns({"l_all": F.sum("l").over(w), "r_all": F.sum("r").over(w)})
     p, q = F.col("l") / F.nullif(F.col("l_all"), F.lit(0)), F.col("r") / F.nullif(F.col("r_all"), F.lit(0))

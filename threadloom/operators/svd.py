@@ -12,13 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import tables
-from . import topic_model
+from . import lloyd
 
 #: Bound of the basis, terms times dimensions times eight bytes, which goes to every executor.
 BASIS_BYTES = 256 << 20
@@ -135,27 +133,29 @@ class ReducedTopics:
     terms: DataFrame
     components: np.ndarray
     singular: np.ndarray
-    clusters: KMeansModel
+    centres: np.ndarray
     unit: bool
 
     def transform(self, weights: DataFrame, key: str) -> DataFrame:
         """(key, cluster) of the rows that have a known term."""
-        x = project(packed(weights, self.terms, key), key, self.components, self.unit).withColumn("_features", array_to_vector("vec"))
-        return self.clusters.transform(x).select(key, F.col("_cluster").alias("cluster"))
+        x = project(packed(weights, self.terms, key), key, self.components, unit=False)
+        sent = weights.sparkSession.sparkContext.broadcast((self.centres, self.unit))
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, unit = sent.value
+            for batch in batches:
+                if batch.num_rows and len(centres):
+                    at, _ = lloyd.nearest(lloyd.cut(lloyd.rows_of(batch, 1), centres.shape[1], unit), centres)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32))], names=[key, "cluster"])
 
-def fit(weights: DataFrame, key: str, settings: list[tuple[int, int]], unit: bool = True, starts: int = 1, seed: int = 42) -> dict[tuple[int, int], ReducedTopics]:
-    """A model for each setting (clusters, dimensions): one decomposition at the most dimensions, whose first ones serve the others."""
+        return x.mapInArrow(run, f"`{key}` {x.schema[key].dataType.simpleString()}, cluster int")
+
+
+def fit(weights: DataFrame, key: str, settings: list[tuple[int, int]], unit: bool = True, starts: int = 10, seed: int = 42) -> dict[tuple[int, int], ReducedTopics]:
+    """A model for each setting (clusters, dimensions): one decomposition at the most dimensions, whose first ones serve the others, and the best of so many starts of all settings at once."""
     terms = tables.stored(vocabulary(weights))
     n = terms.count()
-    rows = packed(weights, terms, key).persist()
-    try:
-        components, singular = decompose(rows, n, max(d for _, d in settings), seed=seed)
-        out = {}
-        for k, d in settings:
-            x = project(rows, key, components[:, :d], unit).select(array_to_vector("vec").alias("_features")).persist()
-            out[k, d] = ReducedTopics(terms, components[:, :d], singular[:d], topic_model.kmeans(x, "_features", "_cluster", k, starts, seed), unit)
-            x.unpersist()
-    finally:
-        rows.unpersist()
-    return out
+    rows = tables.stored(packed(weights, terms, key))
+    components, singular = decompose(rows, n, max(d for _, d in settings), seed=seed)
+    found = lloyd.fit(tables.stored(project(rows, key, components, unit=False).select("vec")), settings, starts, seed, unit)
+    return {(k, d): ReducedTopics(terms, components[:, :d], singular[:d], found[k, d][0], unit) for k, d in settings}

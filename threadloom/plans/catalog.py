@@ -364,7 +364,9 @@ def perm_trend(spark, d):
     return rounded(stats.pearson(stats.permute(s, "row_id", "x", SHUFFLES), ["perm_id"], "t", "x_perm"), "r")
 
 
-_MSGS = f"{MSG}, s AS (SELECT conv_id || '-' || turn AS row_id, month, role, domain FROM m WHERE role IN ('user', 'assistant'))"
+#: Messages of each role that a month needs to count in null models; the published 50 leave none of the smaller tables' months.
+MONTH_ROWS = 20
+_MSGS = f"{MSG}, s0 AS (SELECT month, role, domain FROM m WHERE role IN ('user', 'assistant') AND length(text) > 0), s AS (SELECT month, role, domain, count(*) AS n FROM s0 SEMI JOIN (SELECT month FROM s0 GROUP BY month HAVING count(*) FILTER (role = 'user') >= {MONTH_ROWS} AND count(*) FILTER (role = 'assistant') >= {MONTH_ROWS}) USING (month) GROUP BY 1, 2, 3)"
 #: Draws of a null model, and its contrasts of periods: name -> (measure, periods, periods to take off).
 DRAWS = 200
 CONTRASTS = {
@@ -376,72 +378,105 @@ _MEAN = lambda x, months: f"avg(CASE WHEN month IN ({', '.join(repr(m) for m in
 _CONTRASTS = ", ".join(f"round({_MEAN(x, a)} - {_MEAN(x, b)}, 9) AS {name}" for name, (x, a, b) in CONTRASTS.items())
 
 
-def _rank_sql(within: str) -> str:
-    """CTE r: the messages ranked by hash in each draw and group."""
-    return f"r AS (SELECT *, row_number() OVER (PARTITION BY perm_id{within} ORDER BY md5(perm_id || '|42|' || row_id), row_id) AS rk FROM s, range(0, {DRAWS}) q(perm_id))"
+def _sides_of_counts(src: str, keys: str) -> str:
+    """CTEs c0 and c of counts (keys, role, domain, n)."""
+    return f"""c0 AS (SELECT {keys} AS p, domain, coalesce(sum(n) FILTER (role = 'user'), 0) AS l, coalesce(sum(n) FILTER (role = 'assistant'), 0) AS r FROM {src} GROUP BY 1, 2),
+c AS (SELECT p, domain, l, r, nullif(sum(l) OVER (PARTITION BY p), 0) AS ls, nullif(sum(r) OVER (PARTITION BY p), 0) AS rs FROM c0)"""
 
 
-def _draws_sql(rows: str) -> str:
-    """CTEs to g(perm_id, month, curves) from a table of dealt or sampled messages x."""
-    return f"""{rows}, y AS (SELECT {{'k': perm_id, 'm': month}} AS km, role, domain FROM x), {sides('z AS (SELECT 1)', 'y', 'km')}, g AS (SELECT month.k AS perm_id, month.m AS month, user_msgs, assistant_msgs, entropy_user, js_distance FROM ({CURVES}))"""
+def _draws_sql(cells: str, take: str = "") -> str:
+    """CTEs to dr(perm_id, g, v, cell, n): tables drawn from cells(g, v, cell, n) label by label and cell by cell, by inversion.
 
+    g is the group's text; with take(g, floor) so many rows are drawn of all labels together.
+    """
+    labels = f"SELECT g, [''] AS vs, [floor] AS rs FROM ({take})" if take else "SELECT g, list(v ORDER BY v) AS vs, list(n ORDER BY v) AS rs FROM (SELECT g, v, sum(n)::BIGINT AS n FROM cells GROUP BY 1, 2) GROUP BY g"
+    log = lambda a, b: f"(lgamma({a} + 1.0) - lgamma({b} + 1.0) - lgamma({a} - ({b}) + 1.0))"
+    return f"""cells AS ({cells}), tc AS (SELECT g, list(cell ORDER BY cell) AS cs, list(n ORDER BY cell) AS ls FROM (SELECT g, cell, sum(n)::BIGINT AS n FROM cells GROUP BY 1, 2) GROUP BY g), tv AS ({labels}),
+st AS (SELECT perm_id, g, 0 AS step, cs, vs, rs, ls AS rest, 0::BIGINT AS need, 0::BIGINT AS n FROM tc JOIN tv USING (g), range(0, {DRAWS}) q(perm_id)
+  UNION ALL
+  SELECT perm_id, g, step, cs, vs, rs, list_transform(rest, lambda x, i: CASE WHEN i = ci THEN x - n ELSE x END), need - n, n FROM (
+    SELECT *, least(hi, lo + len(list_filter(list_transform(range(1, len(ps) + 1), lambda i: list_sum(list_slice(ps, 1, i))), lambda x: x <= u)))::BIGINT AS n FROM (
+      SELECT *, list_transform(range(lo, hi + 1), lambda k: exp({log("marked", "k")} + {log("(total - marked)", "(need - k)")} - {log("total", "need")})) AS ps FROM (
+        SELECT *, greatest(0, need - (total - marked)) AS lo, least(marked, need) AS hi FROM (
+          SELECT perm_id, g, step + 1 AS step, cs, vs, rs, rest, step % len(cs) + 1 AS ci, CASE WHEN step % len(cs) = 0 THEN rs[step // len(cs) + 1] ELSE need END AS need, rest[step % len(cs) + 1] AS marked, list_sum(list_slice(rest, step % len(cs) + 1, len(rest)))::BIGINT AS total,
+            ('0x' || substr(md5(perm_id || '|42|' || g || '|' || vs[step // len(cs) + 1] || '|' || cs[step % len(cs) + 1]), 1, 13))::BIGINT / 4503599627370496.0 AS u
+          FROM st WHERE step < len(cs) * len(vs)))))),
+dr AS (SELECT perm_id, g, vs[(step - 1) // len(cs) + 1] AS v, cs[(step - 1) % len(cs) + 1] AS cell, n FROM st WHERE step > 0)"""
 
-_MONTHS_DEALT = f"{_rank_sql('')}, b AS (SELECT month AS month_perm, sum(count(*)) OVER (ORDER BY month) AS upto, sum(count(*)) OVER (ORDER BY month) - count(*) AS below FROM s GROUP BY month), x AS (SELECT perm_id, month_perm AS month, role, domain FROM r JOIN b ON rk > below AND rk <= upto)"
-_ROLES_DEALT = f"{_rank_sql(', month')}, b AS (SELECT month, role AS role_perm, sum(count(*)) OVER w AS upto, sum(count(*)) OVER w - count(*) AS below FROM s GROUP BY month, role WINDOW w AS (PARTITION BY month ORDER BY role)), x AS (SELECT perm_id, r.month, role_perm AS role, domain FROM r JOIN b ON r.month = b.month AND rk > below AND rk <= upto)"
-_SAMPLED = f"{_rank_sql(', month, role')}, b AS (SELECT role, min(n) AS floor FROM (SELECT month, role, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1), x AS (SELECT perm_id, month, r.role, domain FROM r JOIN b ON r.role = b.role AND rk <= floor)"
 
+_MONTHS_DEALT = _draws_sql("SELECT '' AS g, month AS v, role || '|' || domain AS cell, n FROM s") + ", x AS (SELECT perm_id, v AS month, split_part(cell, '|', 1) AS role, split_part(cell, '|', 2) AS domain, n FROM dr)"
+_ROLES_DEALT = _draws_sql("SELECT month AS g, role AS v, domain::VARCHAR AS cell, n FROM s") + ", x AS (SELECT perm_id, g AS month, v AS role, cell AS domain, n FROM dr)"
+_FLOOR = "SELECT month || '|' || role AS g, floor FROM (SELECT DISTINCT month, role FROM s) JOIN (SELECT role, min(n)::BIGINT AS floor FROM (SELECT month, role, sum(n) AS n FROM s GROUP BY 1, 2) GROUP BY 1) USING (role)"
+_SAMPLED = _draws_sql("SELECT month || '|' || role AS g, '' AS v, domain::VARCHAR AS cell, n FROM s", _FLOOR) + ", x AS (SELECT perm_id, split_part(g, '|', 1) AS month, split_part(g, '|', 2) AS role, cell AS domain, n FROM dr)"
+_NULL_CURVES = f"{_sides_of_counts('x', chr(123) + chr(39) + 'k' + chr(39) + ': perm_id, ' + chr(39) + 'm' + chr(39) + ': month' + chr(125))}, g AS (SELECT month.k AS perm_id, month.m AS month, entropy_user, js_distance FROM ({CURVES}))"
 
-def _messages(spark, d):
-    return S.conversations(spark, d).where("role in ('user', 'assistant')").select(F.col("node_id").alias("row_id"), "month", "role", "domain")
 
+def counted(rows: DataFrame, least: int, category: str = "domain") -> DataFrame:
+    """(month, role, category, n) of messages with text, of the months in which each role has ``least`` of them; the rows are read once."""
+    c = rows.where(F.col("role").isin("user", "assistant") & (F.length("text") > 0)).groupBy("month", "role", category).agg(F.count("*").alias("n"))
+    c = S.stored(c)
+    roles = c.groupBy("month").agg(*[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(r) for r in ("user", "assistant")])
+    return c.join(roles.where((F.col("user") >= least) & (F.col("assistant") >= least)).select("month"), "month", "left_semi")
 
-def _null_contrasts(rows):
-    return resample.contrasts(dist.curves(rows, "month", "role", "domain", keys=("perm_id",)), "month", ["perm_id"], CONTRASTS)
 
+def _counts(spark, d):
+    return counted(S.conversations(spark, d), MONTH_ROWS)
 
-def _months_dealt(spark, d):
-    return resample.deal(_messages(spark, d), "row_id", "month", DRAWS).select("perm_id", F.col("month_perm").alias("month"), "role", "domain")
 
+def contrasts_of_counts(counts: DataFrame, keys: list[str], category: str = "domain") -> DataFrame:
+    """The contrasts of each key by its counts (keys, month, role, category, n)."""
+    side = lambda r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0))
+    c = counts.groupBy(*keys, "month", category).agg(side("user").alias("l"), side("assistant").alias("r"))
+    return resample.contrasts(dist.curves_of_counts(c, [*keys, "month"]), "month", keys, CONTRASTS)
 
-def _roles_dealt(spark, d):
-    return resample.deal(_messages(spark, d), "row_id", "role", DRAWS, within=("month",)).select("perm_id", "month", F.col("role_perm").alias("role"), "domain")
 
+def _nulls(spark, d):
+    return resample.null_tables(_counts(spark, d), "month", "role", "domain", DRAWS)
 
-def _sampled(spark, d):
-    return resample.sample_equal(_messages(spark, d), "row_id", "month", "role", DRAWS)
 
-
-@query(f"WITH {_MSGS}, {_draws_sql(_MONTHS_DEALT)} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id")
+@query(f"WITH RECURSIVE {_MSGS}, {_MONTHS_DEALT}, {_NULL_CURVES} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id")
 def perm_month_shuffle(spark, d):
-    return _null_contrasts(_months_dealt(spark, d))
+    """The contrasts of every shuffle of the months, drawn from counts."""
+    return contrasts_of_counts(_nulls(spark, d)["months"], ["perm_id"])
 
 
-@query(f"WITH {_MSGS}, {_ROLES_DEALT} SELECT perm_id, month, domain, count(*) FILTER (role = 'user') AS user_n FROM x GROUP BY 1, 2, 3")
+@query(f"WITH RECURSIVE {_MSGS}, {_ROLES_DEALT} SELECT perm_id, month, domain::INTEGER AS domain, CAST(sum(n) FILTER (role = 'user') AS BIGINT) AS user_n FROM x GROUP BY 1, 2, 3")
 def perm_role_shuffle(spark, d):
-    return _roles_dealt(spark, d).groupBy("perm_id", "month", "domain").agg(F.count_if(F.col("role") == "user").alias("user_n"))
+    """Messages that every shuffle of the roles within months gives to users, by month and domain."""
+    x = _nulls(spark, d)["roles"].groupBy("perm_id", "month", F.col("domain").cast("int").alias("domain"))
+    return x.agg(F.sum(F.when(F.col("role") == "user", F.col("n"))).alias("user_n"))
 
 
-@query(f"WITH {_MSGS}, {_draws_sql(_SAMPLED)} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id")
+@query(f"WITH RECURSIVE {_MSGS}, {_SAMPLED}, {_NULL_CURVES} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id")
 def volume_control(spark, d):
-    return _null_contrasts(_sampled(spark, d))
+    """The contrasts of samples of one size a month and role."""
+    return contrasts_of_counts(_nulls(spark, d)["volume"], ["perm_id"])
 
 
 def _pvalues_sql() -> str:
     models = {"months": _MONTHS_DEALT, "roles": _ROLES_DEALT, "volume": _SAMPLED}
-    real = f"e AS (SELECT {_CONTRASTS} FROM ({CURVES}))"
+    real = f"(WITH {_sides_of_counts('s', 'month')} SELECT {_CONTRASTS} FROM ({CURVES})) e"
     parts = []
     for name, rows in models.items():
         cols = [f"max(e.{c}) AS real_{c}" for c in CONTRASTS] + [f"round(avg(CASE WHEN e.{c} >= 0 AND g.{c} >= e.{c} OR e.{c} < 0 AND g.{c} <= e.{c} THEN 1.0 ELSE 0 END) FILTER (e.{c} IS NOT NULL AND g.{c} IS NOT NULL), 6) AS p_{c}" for c in CONTRASTS]
-        parts.append(f"SELECT '{name}' AS model, {', '.join(cols)} FROM (WITH {_draws_sql(rows)} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id) g, (WITH {sides('z AS (SELECT 1)', 's', 'month')}, {real} SELECT * FROM e) e")
+        parts.append(f"SELECT '{name}' AS model, {', '.join(cols)} FROM (WITH RECURSIVE {rows}, {_NULL_CURVES} SELECT perm_id, {_CONTRASTS} FROM g GROUP BY perm_id) g, {real}")
     return f"WITH {_MSGS} " + " UNION ALL ".join(parts)
 
 
+def null_pvalues(counts: DataFrame, draws: int, within: tuple[str, ...] = (), category: str = "domain") -> DataFrame:
+    """(model, within, real and p of each contrast) of the three null models of a count table, which is all that is drawn from."""
+    real = contrasts_of_counts(counts, list(within), category)
+    parts = []
+    for name, drawn in resample.null_tables(counts, "month", "role", category, draws, within).items():
+        null = contrasts_of_counts(drawn, [*within, "perm_id"], category)
+        parts.append(resample.sided_pvalues(null, real, list(CONTRASTS), within).select(F.lit(name).alias("model"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(_pvalues_sql())
 def null_model_pvalues(spark, d):
-    real = resample.contrasts(dist.curves(_messages(spark, d), "month", "role", "domain"), "month", [], CONTRASTS)
-    models = {"months": _months_dealt, "roles": _roles_dealt, "volume": _sampled}
-    parts = [rounded(resample.sided_pvalues(_null_contrasts(f(spark, d)), real, list(CONTRASTS)), *[f"p_{c}" for c in CONTRASTS]).select(F.lit(name).alias("model"), "*") for name, f in models.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Real contrasts and the shares of draws as far out, by null model."""
+    return rounded(null_pvalues(_counts(spark, d), DRAWS), *[f"p_{c}" for c in CONTRASTS])
 
 
 @query(_G + shuffled_sql(SHUFFLES) + " SELECT perm_id, round(avg(f), 6) AS forward, round(avg(b), 6) AS reverse, round(avg(f) - avg(b), 6) AS difference FROM zc GROUP BY perm_id")
@@ -583,7 +618,7 @@ def topic_holdout(spark, d):
     """Clusters and domains of all documents by a model fitted on those of the first two sources by name."""
     docs = S.table(spark, d, "documents")
     first = F.broadcast(docs.select("source").distinct().orderBy("source").limit(2))
-    model = topic_model.fit(docs.join(first, "source", "left_semi"), "text", 60, 8, STOP)
+    model = topic_model.fit(docs.join(first, "source", "left_semi"), "text", 60, 8, X.ENGLISH_STOP)
     return model.transform(docs).select("doc_id", "source", "cluster", "domain")
 
 
@@ -597,26 +632,40 @@ def macro_label_terms(spark, d):
 
 @query()
 def svd_topics(spark, d):
-    """Clusters of all documents after a truncated SVD of their weights, rows of length 1."""
-    weights = S.stored(topics.tfidf(S.table(spark, d, "documents"), "doc_id", "text", STOP))
+    """Clusters of all documents after a truncated SVD of their weights, rows of length 1, the best of ten starts."""
+    weights = S.stored(topics.tfidf(S.table(spark, d, "documents"), "doc_id", "text", X.ENGLISH_STOP))
     return svd.fit(weights, "doc_id", [(60, 200)])[60, 200].transform(weights, "doc_id")
 
 
-#: Numbers of clusters and of dimensions.
-GRID = (40, 60, 80), (100, 200)
+#: Numbers of clusters and of dimensions, and the messages of each role that a month needs.
+GRID, GRID_MONTH_ROWS = ((40, 60, 80), (100, 200)), 50
+GRID_NAMES = {"entropy_peak_early": ("entropy_contrast_peak_minus_early", "entropy"), "js_spike": ("js_spike_contrast_sep_oct_minus_may_aug", "js_spike"), "js_recovery": ("js_recovery_contrast_nov_dec_minus_sep_oct", "js_recovery")}
+GRID_MODELS = {"months": "month_shuffle", "roles": "role_shuffle", "volume": "volume_control"}
+
+
+def grid_tests(counts: DataFrame, draws: int) -> DataFrame:
+    """A row a setting (k, svd_dims) of counts (k, svd_dims, month, role, cluster, n): its contrasts, nine p-values and the smallest months."""
+    keys = ("k", "svd_dims")
+    p = S.stored(null_pvalues(counts, draws, keys, "cluster"))
+    of = lambda model, c: F.max(F.when(F.col("model") == model, F.col(c)))
+    real = [F.max(f"real_{c}").alias(name) for c, (name, _) in GRID_NAMES.items()]
+    shares = [of(m, f"p_{c}").alias(f"p_{label}_{short}") for m, label in GRID_MODELS.items() for c, (_, short) in GRID_NAMES.items()]
+    size = counts.groupBy(*keys, "month", "role").agg(F.sum("n").alias("n")).groupBy(*keys)
+    least = size.agg(*[F.min(F.when(F.col("role") == r, F.col("n"))).alias(f"min_{r}_per_month") for r in ("user", "assistant")])
+    return p.groupBy(*keys).agg(*real, *shares).join(least, list(keys))
 
 
 @query()
 def robustness_grid(spark, d):
-    """The contrasts of periods for each number of clusters and of dimensions."""
-    m = S.conversations(spark, d).where("role in ('user', 'assistant')")
-    weights = S.stored(topics.tfidf(m, "node_id", "text", STOP, min_df=2))
+    """The contrasts of periods and their null models for each number of clusters and of dimensions; no rows where no month has enough messages."""
+    m = S.conversations(spark, d).where("role in ('user', 'assistant') and length(text) > 0").select("node_id", "month", "role", "text")
+    m = S.stored(dist.qualifying(m, "month", "role", GRID_MONTH_ROWS))
+    weights = S.stored(topics.tfidf(m, "node_id", "text", X.ENGLISH_STOP))
     parts = []
     for (k, dims), model in svd.fit(weights, "node_id", [(k, n) for k in GRID[0] for n in GRID[1]]).items():
-        told = m.join(model.transform(weights, "node_id"), "node_id")
-        c = resample.contrasts(dist.curves(told, "month", "role", "cluster"), "month", [], CONTRASTS)
-        parts.append(c.select(F.lit(k).alias("k"), F.lit(dims).alias("svd_dims"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+        told = m.select("node_id", "month", "role").join(model.transform(weights, "node_id"), "node_id")
+        parts.append(told.groupBy("month", "role", "cluster").agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), F.lit(dims).alias("svd_dims"), "*"))
+    return grid_tests(S.stored(reduce(DataFrame.unionByName, parts)), DRAWS)
 
 
 # ---- cleaning, maps and checks

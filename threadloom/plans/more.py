@@ -299,7 +299,8 @@ def transcript_files(spark, d):
 @query()
 def perm_role_counts(spark, d):
     """Shuffles of the role within months as tables drawn from the counts, for tables too large to be dealt row by row."""
-    return resample.count_draws(C._messages(spark, d), "role", "domain", C.DRAWS, within=("month",))
+    m = S.conversations(spark, d).where("role in ('user', 'assistant')").select("month", "role", "domain")
+    return resample.count_draws(m, "role", "domain", C.DRAWS, within=("month",))
 
 
 # ---- topics
