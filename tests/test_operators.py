@@ -1,8 +1,12 @@
 """Resampling, reduced topics and small statistics on small rows, against plain Python and numpy."""
 
+import decimal
 import hashlib
+import itertools
 import json
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -40,20 +44,90 @@ def test_equal_samples_take_the_smallest_period(spark):
 
 
 def test_rank_sum_against_enumeration(spark):
-    for a, b in [([1.0, 2.0, 5.0, 7.0], [3.0, 4.0, 2.0, 0.0]), ([1.0], [1.0, 1.0])]:
+    r = random.Random(2)
+    cases = [([1.0, 2.0, 5.0, 7.0], [3.0, 4.0, 2.0, 0.0]), ([1.0], [1.0, 1.0]), ([1.0, 1.0, 2.0], [1.0, 1.0, 2.0])]
+    cases += [([float(r.randint(0, 9)) for _ in range(n)], [float(r.randint(0, 9)) for _ in range(12 - n)]) for n in (1, 5, 6, 11)]
+    for a, b in cases:
         df = spark.createDataFrame([(True, x) for x in a] + [(False, x) for x in b] + [(True, None)], "g boolean, v double")
-        r = resample.rank_sum_exact(df, F.col("g"), "v").first()
-        u, p = stats.mann_whitney_greater(a, b)
-        assert (r["n_a"], r["n_b"], r["u"]) == (len(a), len(b), u) and r["p_greater"] == pytest.approx(p)
-    with pytest.raises(ValueError):
-        resample.rank_sum_exact(spark.range(30), F.lit(True), "id")
+        got = resample.rank_sum(df, F.col("g"), "v").first()
+        u, p = mann_whitney_greater(a, b)
+        assert (got["n_a"], got["n_b"], got["u"]) == (len(a), len(b), u) and got["p_greater"] == pytest.approx(p, abs=1e-12)
+    assert resample.rank_sum(spark.range(30), F.lit(True), "id").first()["p_greater"] is None
+    assert resample.rank_sum(spark.range(0), F.lit(True), "id").collect() == []
+
+
+def test_rank_sum_of_many_values(spark, monkeypatch):
+    """The normal limit meets the exact count where both can be had, and ranks by ranges are those of one sort."""
+    df = spark.range(180).select((F.col("id") % 3 == 0).alias("g"), ((F.col("id") * 37 % 101) + F.when(F.col("id") % 3 == 0, 7).otherwise(0)).alias("v"))
+    exact, near = (resample.rank_sum(df, F.col("g"), "v", n).first() for n in (200, 10))
+    assert exact["u"] == near["u"] and exact["p_greater"] == pytest.approx(near["p_greater"], abs=2e-3)
+    monkeypatch.setattr(resample.running, "__defaults__", (20,))
+    assert resample.rank_sum(df, F.col("g"), "v").first() == exact
+
+
+def mann_whitney_greater(a, b):
+    """(U of a, exact one-sided p that a is greater) by counting all assignments."""
+    both = [*a, *b]
+    u = lambda x, y: sum((p > q) + (p == q) / 2 for p in x for q in y)
+    picks = list(itertools.combinations(range(len(both)), len(a)))
+    null = [u([both[i] for i in c], [both[i] for i in range(len(both)) if i not in c]) for c in picks]
+    return u(a, b), sum(x >= u(a, b) for x in null) / len(picks)
+
+
+def student_two_sided(rho, n):
+    """Two-sided p of a correlation of n pairs under Student's t: Simpson's rule of the tail in the angle, where the density is smooth."""
+    if abs(rho) >= 1:
+        return 0.0
+    df = n - 2
+    t = abs(rho) * math.sqrt(df / (1 - rho * rho))
+    steps = 20_000
+    a, b = math.atan(t / math.sqrt(df)), math.pi / 2
+    h = (b - a) / steps
+    f = lambda u: math.cos(u) ** (df - 1)
+    total = f(a) + f(b) + sum((4 if k % 2 else 2) * f(a + k * h) for k in range(1, steps))
+    norm = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    return 2 * norm * total * h / 3
+
+
+def test_log_gamma(spark):
+    xs = [0.01, 0.5, 1.0, 1.5, 2.0, 7.3, 30.0, 1e4, 1e9, 1e15]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(stats.log_gamma(F.col("x")).alias("g")).collect()
+    assert [r["g"] for r in got] == pytest.approx([math.lgamma(x) for x in xs], rel=1e-13, abs=1e-13)
+
+
+@pytest.mark.parametrize("p", [0.5, 0.2, 0.93])
+def test_binomial_against_exact_sums(spark, p):
+    r = random.Random(int(p * 100))
+    cases = [(k, n) for n in (1, 2, 3, 10, 47) for k in {0, 1, n // 2, n - 1, n}] + [(r.randint(0, n), n) for n in (200, 1000) for _ in range(4)] + [(int(p * 1000), 1000), (int(p * 1000) - 30, 1000)]
+    got = {(x["k"], x["n"]): x["p_value"] for x in stats.binomial_two_sided(spark.createDataFrame([*cases, (0, 0)], "k long, n long"), "k", "n", p).collect()}
+    assert got[0, 0] is None
+    share = Fraction(p).limit_denominator(100)
+    for k, n in cases:
+        pmf = [math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(n + 1)]
+        want = float(sum(q for q in pmf if q <= pmf[k] * (1 + Fraction(1, 10**7))))
+        assert got[k, n] == pytest.approx(want, rel=1e-9), (k, n)
+
+
+def test_binomial_of_a_billion(spark):
+    """A tail of a billion draws, by the ratios of its terms in sixty digits."""
+    n, k = 10**9, 500_040_000
+    got = stats.binomial_two_sided(spark.createDataFrame([(k, n), (n // 2, n)], "k long, n long"), "k", "n").orderBy("k").collect()
+    assert got[0]["p_value"] == 1.0
+    decimal.getcontext().prec = 60
+    D = decimal.Decimal
+    pi = D("3.14159265358979323846264338327950288419716939937510582097494")
+    ln_fact = lambda m: (D(m) + D("0.5")) * D(m).ln() - D(m) + (2 * pi).ln() / 2 + 1 / (12 * D(m)) - 1 / (360 * D(m) ** 3)
+    first = float((ln_fact(n) - ln_fact(k) - ln_fact(n - k) + n * D("0.5").ln()).exp())
+    i = np.arange(k, k + 900_000, dtype=float)
+    want = 2 * first * (1 + np.cumprod((n - i) / (i + 1)).sum())
+    assert got[1]["p_value"] == pytest.approx(want, rel=1e-9)
 
 
 def test_correlation_pvalue_against_the_integral(spark):
     cases = [(0.5, 8), (-0.857, 8), (0.643, 9), (0.1, 3), (0.3, 4), (0.9, 5), (1.0, 6), (0.0, 30)]
     df = spark.createDataFrame([*cases, (0.5, 2), (None, 9)], "r double, n int")
     got = [x["p"] for x in df.select(stats.correlation_pvalue(F.col("r"), F.col("n")).alias("p")).collect()]
-    assert got[: len(cases)] == pytest.approx([stats.student_two_sided(r, n) for r, n in cases], abs=1e-9)
+    assert got[: len(cases)] == pytest.approx([student_two_sided(r, n) for r, n in cases], abs=1e-9)
     assert got[-2:] == [None, None]
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,23 +29,6 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return pearson(d, keys, "_rx", "_ry").withColumnRenamed("r", "rho")
 
 
-def student_two_sided(rho: float, n: int) -> float:
-    """Two-sided p of a correlation of n pairs under Student's t with n - 2 degrees of freedom."""
-    if n < 3:
-        return float("nan")
-    if abs(rho) >= 1:
-        return 0.0
-    df = n - 2
-    t = abs(rho) * math.sqrt(df / (1 - rho * rho))
-    steps = 20_000  # Simpson's rule of the tail in the angle, where the density is smooth
-    a, b = math.atan(t / math.sqrt(df)), math.pi / 2
-    h = (b - a) / steps
-    f = lambda u: math.cos(u) ** (df - 1)
-    total = f(a) + f(b) + sum((4 if k % 2 else 2) * f(a + k * h) for k in range(1, steps))
-    norm = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
-    return 2 * norm * total * h / 3
-
-
 def correlation_pvalue(rho: Column, n: Column) -> Column:
     """Two-sided p of a correlation of n pairs under Student's t, by the finite series for whole degrees of freedom; null for n < 3 or a null rho.
 
@@ -66,27 +48,105 @@ def correlation_pvalue(rho: Column, n: Column) -> Column:
     return F.when((n >= 3) & rho.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
 
 
+def _let(f, **values: Column) -> Column:
+    """f of values that are worked out once a row, however often f names them."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), F.lit(0))
+
+
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function of x > 0: Stirling's series eight steps up, where its error is below rounding, and back by the recurrence."""
+    y = x + 8
+    series = sum(F.lit(c) / F.pow(y, F.lit(float(e))) for c, e in ((1 / 12, 1), (-1 / 360, 3), (1 / 1260, 5), (-1 / 1680, 7), (1 / 1188, 9), (-691 / 360360, 11)))
+    steps = F.log(x) + sum(F.log(x + i) for i in range(1, 8))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def _stirling_error(n: Column) -> Column:
+    """What ln n! has beyond (n + 1/2) ln n - n + ln(2 pi) / 2; 0 for n = 0, whose terms are left out where it is used."""
+    large = sum(F.lit(c) / F.pow(n, F.lit(float(e))) for c, e in ((1 / 12, 1), (-1 / 360, 3), (1 / 1260, 5), (-1 / 1680, 7)))
+    small = log_gamma(n + 1) - (n + 0.5) * F.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return F.when(n <= 0, 0.0).when(n < 30, small).otherwise(large)
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x without the loss of digits near the mean."""
+    v = (x - mean) / (x + mean)
+    near = (x - mean) * v + 2 * x * v * sum(F.pow(v, F.lit(2.0 * j)) / (2 * j + 1) for j in range(1, 12))
+    return F.when(x <= 0, mean).when(F.abs(v) < 0.1, near).otherwise(x * F.log(x / mean) + mean - x)
+
+
+def log_binomial(k: Column, n: Column, p: float) -> Column:
+    """ln of the probability of k hits in n, 0 < p < 1; the digits lost don't grow with n."""
+    return _let(lambda v: _log_binomial(v["k"], v["n"], p), k=k.cast("double"), n=n.cast("double"))
+
+
+def _log_binomial(k: Column, n: Column, p: float) -> Column:
+    core = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - _deviance(k, n * p) - _deviance(n - k, n * (1 - p))
+    inner = 0.5 * (F.log(n) - F.log(k) - F.log(n - k) - math.log(2 * math.pi))
+    return F.when(k <= 0, n * math.log1p(-p)).when(k >= n, n * math.log(p)).otherwise(core + inner)
+
+
+def beta_fraction(a: Column, b: Column, x: float) -> Column:
+    """The continued fraction of the incomplete beta function at x < (a + 1) / (a + b + 2), in as many steps as the root of a and b asks for."""
+    return _let(lambda v: _beta_fraction(v["a"], v["b"], x), a=a, b=b)
+
+
+def _beta_fraction(a: Column, b: Column, x: float) -> Column:
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    one = F.lit(1.0)
+    steps = F.sequence(F.lit(1), (F.lit(60) + 6 * F.ceil(F.sqrt(F.greatest(a, b)))).cast("int"))
+    d0 = 1 / safe(one - (a + b) * x / (a + 1))
+    start = F.struct(one.alias("c"), d0.alias("d"), d0.alias("h"), F.lit(False).alias("end"))
+
+    def turn(s: Column, coefficient: Column) -> tuple[Column, Column]:
+        return safe(one + coefficient / s["c"]), 1 / safe(one + coefficient * s["d"])
+
+    def step(s: Column, i: Column) -> Column:
+        m = i.cast("double")
+        c1, d1 = turn(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        half = F.struct(c1.alias("c"), d1.alias("d"), (s["h"] * c1 * d1).alias("h"))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+
+        def rest(t: Column) -> Column:
+            c2, d2 = turn(t, odd)
+            return F.struct(c2.alias("c"), d2.alias("d"), (t["h"] * c2 * d2).alias("h"), (F.abs(c2 * d2 - 1) < 1e-15).alias("end"))
+
+        return F.when(s["end"], s).otherwise(_let(lambda v: rest(v["t"]), t=half))
+
+    return F.aggregate(steps, start, step)["h"]
+
+
 def binomial_two_sided(df: DataFrame, k: str, n: str, p: float = 0.5) -> DataFrame:
-    """Adds p_value: the exact sum of probabilities no larger than the observed one, at most 1; null for n = 0."""
-    log = lambda i, m: F.expr(f"(ln_fact[{m}] - ln_fact[{i}] - ln_fact[{m} - {i}])") + F.expr(i) * math.log(p) + (F.expr(m) - F.expr(i)) * math.log(1 - p)
-    top = df.agg(F.coalesce(F.max(n), F.lit(0)).alias("top"))
-    facts = top.select(F.expr("transform(sequence(0, int(top)), i -> aggregate(sequence(1, greatest(i, 1)), 0D, (a, j) -> a + ln(j)))").alias("ln_fact"))
-    x = df.withColumn("_id", F.monotonically_increasing_id()).crossJoin(F.broadcast(facts)).withColumn("_i", F.explode(F.expr(f"sequence(0, int({n}))")))
-    x = x.withColumns({"_p": F.exp(log("_i", f"int({n})")), "_q": F.exp(log(f"int({k})", f"int({n})"))})
-    value = F.least(F.sum(F.when(F.col("_p") <= F.col("_q") + 1e-12, F.col("_p"))), F.lit(1.0))
-    return x.groupBy("_id", *df.columns).agg(value.alias("p_value")).withColumn("p_value", F.when(F.col(n) > 0, F.col("p_value"))).drop("_id")
-
-
-def mann_whitney_greater(a: list[float], b: list[float]) -> tuple[float, float]:
-    """(U of a, exact one-sided p that a is greater) by counting all assignments; for small samples."""
-    both = [*a, *b]
-    u = lambda x, y: sum((p > q) + (p == q) / 2 for p in x for q in y)
-    real, hits, all_ = u(a, b), 0, 0
-    for pick in itertools.combinations(range(len(both)), len(a)):
-        x = [both[i] for i in pick]
-        hits += u(x, [both[i] for i in range(len(both)) if i not in pick]) >= real
-        all_ += 1
-    return real, hits / all_
+    """Adds p_value: the sum of the probabilities of all numbers of hits that are no likelier than the observed one; null for n = 0.
+
+    Both tails are incomplete beta functions, and where the other tail begins is found by halving, so the work
+    for a row grows with the root of n and its memory as little.  Likelihoods within 1e-7 of each other count as equal.
+    """
+    hits, all_ = F.col(k).cast("double"), F.col(n).cast("double")
+    lower = lambda i: _let(lambda v: F.exp(_log_binomial(v["i"], v["n"], p)) * p * _beta_fraction(v["n"] - v["i"], v["i"] + 1, 1 - p), i=i, n=all_)  # noqa: E731  (at most i)
+    upper = lambda i: _let(lambda v: F.exp(_log_binomial(v["i"], v["n"], p)) * (1 - p) * _beta_fraction(v["i"], v["n"] - v["i"] + 1, p), i=i, n=all_)  # noqa: E731  (at least i)
+    x = df.withColumn("_l", log_binomial(hits, all_, p) + 1e-7).withColumn("_mode", F.least(F.floor((all_ + 1) * p).cast("double"), all_))
+    # The first number of hits above the mode that is no likelier, or the last one below.
+    ends = F.struct(F.when(hits < F.col("_mode"), F.col("_mode")).otherwise(F.lit(-1.0)).alias("lo"), F.when(hits < F.col("_mode"), all_ + 1).otherwise(F.col("_mode")).alias("hi"))
+    above = hits < F.col("_mode")
+
+    def halve(s: Column, l: Column, n: Column, above: Column) -> Column:  # noqa: E741
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("double")
+        up = (log_binomial(mid, n, p) <= l) == above
+        end = lambda v: F.struct(F.when(v["up"], s["lo"]).otherwise(v["mid"]).alias("lo"), F.when(v["up"], v["mid"]).otherwise(s["hi"]).alias("hi"))
+        return F.when(s["hi"] - s["lo"] > 1, _let(end, up=up, mid=mid)).otherwise(s)
+
+    bits = F.sequence(F.lit(1), (F.ceil(F.log2(all_ + 2)) + 1).cast("int"))
+    found = _let(lambda v: F.aggregate(bits, v["ends"], lambda s, i: halve(s, v["l"], v["n"], v["above"])), ends=ends, l=F.col("_l"), n=all_, above=above)
+    x = x.withColumn("_at", found)
+    other = F.when(above, F.col("_at")["hi"]).otherwise(F.col("_at")["lo"])
+    x = x.withColumn("_other", other).withColumn("_at_mode", log_binomial(F.col("_mode"), all_, p) <= F.col("_l"))
+    low = F.when(above, hits).otherwise(F.col("_other"))
+    high = F.when(above, F.col("_other")).otherwise(hits)
+    tails = F.when(low >= 0, F.when(low >= all_, 1.0).otherwise(lower(low))).otherwise(0.0) + F.when(high <= all_, F.when(high <= 0, 1.0).otherwise(upper(high))).otherwise(0.0)
+    value = F.when(all_ > 0, F.when(F.col("_at_mode"), 1.0).otherwise(F.least(tails, F.lit(1.0))))
+    return x.withColumn("p_value", value).select(*df.columns, "p_value")
 
 
 def line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

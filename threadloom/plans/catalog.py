@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dist, resample, runs, stats, svd, topic_model, topics, tree
+from ..operators import dist, quantiles, resample, runs, stats, svd, topic_model, topics, tree
 from ..sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,7 +534,7 @@ mk AS (SELECT b AS m FROM range(0, 256) q(b), z WHERE bit_count(b) = z.a AND b <
 re AS (SELECT sum(CASE WHEN x.n > y.n THEN 1.0 WHEN x.n = y.n THEN 0.5 ELSE 0 END) AS u FROM k x, k y WHERE x.g AND NOT y.g) SELECT max(z.a) AS n_a, max(z.c - z.a) AS n_b, max(re.u)::DOUBLE AS u, round(avg(CASE WHEN uu.u >= re.u THEN 1.0 ELSE 0 END), 6) AS p_greater FROM uu, re, z""")
 def rank_sum_early_late(spark, d):
     s = _series(spark, d).where("domain = '1-URGENT' and t < 8")
-    return rounded(resample.rank_sum_exact(s, F.col("t") < 4, "n"), "p_greater")
+    return rounded(resample.rank_sum(s, F.col("t") < 4, "n"), "p_greater")
 
 
 @query(_SERIES + """, r AS (SELECT domain, rank() OVER (PARTITION BY domain ORDER BY n) + (count(*) OVER (PARTITION BY domain, n) - 1) / 2 AS rx, rank() OVER (PARTITION BY domain ORDER BY t) AS rt FROM v), c AS (SELECT domain, corr(rx, rt) AS rho, count(*)::INTEGER AS n FROM r GROUP BY domain), x AS (SELECT *, abs(rho) AS si, sqrt(1 - rho * rho) AS co, (n - 2) // 2 AS terms, n % 2 = 1 AS odd FROM c)
@@ -566,7 +566,11 @@ def thread_transcripts(spark, d):
 @query(f"WITH {MSG}, t AS (SELECT conv_id, min(month) AS month, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role IN ('user', 'assistant')) AS k, sum(length(text)) AS c FROM m GROUP BY conv_id) SELECT month, count(*) AS threads, round(median(c / nullif(k, 0)), 6) AS med_chars_per_msg, round(median(u / nullif(k, 0)), 6) AS med_user_share FROM t GROUP BY month")
 def thread_complexity_monthly(spark, d):
     t = S.conversations(spark, d).groupBy("conv_id").agg(F.min("month").alias("month"), F.count_if(F.col("role") == "user").alias("u"), F.count_if(F.col("role").isin("user", "assistant")).alias("k"), F.sum(F.length("text")).alias("c"))
-    return t.groupBy("month").agg(F.count("*").alias("threads"), F.round(F.median(X.share(F.col("c"), F.col("k"))), 6).alias("med_chars_per_msg"), F.round(F.median(X.share(F.col("u"), F.col("k"))), 6).alias("med_user_share"))
+    t = S.stored(t.select("month", X.share(F.col("c"), F.col("k")).alias("chars"), X.share(F.col("u"), F.col("k")).alias("share")))
+    out = t.groupBy("month").agg(F.count("*").alias("threads"))
+    for value, name in (("chars", "med_chars_per_msg"), ("share", "med_user_share")):
+        out = out.join(quantiles.quantiles(t, ["month"], value, {name: 0.5}), "month", "left")
+    return rounded(out, "med_chars_per_msg", "med_user_share")
 
 
 # ---- vectors

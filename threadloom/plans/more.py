@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import density, dist, resample, runs, stats, topic_model, topics, tree
+from ..operators import density, dist, quantiles, resample, runs, stats, topic_model, topics, tree
 from ..sources import layout
 from ..sources import tables as S
 from ..streaming import ingest
@@ -117,7 +117,7 @@ def fig_vocabulary(spark, d):
     """Vocabulary richness of each month beside the median length of its threads' messages, where there are any."""
     m = S.conversations(spark, d)
     t = m.groupBy("conv_id").agg(F.min("month").alias("month"), F.count("*").alias("all"), X.share(F.sum(F.length("text")), F.count_if(F.col("role").isin("user", "assistant"))).alias("cpm")).where("all > 2")
-    chars = t.groupBy("month").agg(F.round(F.median("cpm"), 6).alias("median_chars_msg"))
+    chars = rounded(quantiles.quantiles(t, ["month"], "cpm", {"median_chars_msg": 0.5}), "median_chars_msg")
     return C._ttr(m.where("role = 'user'"), "month").where("ttr > 0").join(chars, "month", "left").select("month", "ttr", "median_chars_msg")
 
 
@@ -353,7 +353,7 @@ def holdout_rank_sum(spark, d):
     """Whether the held-out periods are farther from the reference than the training ones, by an exact rank-sum test."""
     e = S.table(spark, d, "embeddings").withColumn("period", F.col("vec_id") % 8)
     j = rounded(divergences(e, "period", "label", F.col("period") < 4), "jsd", digits=9)
-    return rounded(resample.rank_sum_exact(j, F.col("period") >= 4, "jsd"), "p_greater")
+    return rounded(resample.rank_sum(j, F.col("period") >= 4, "jsd"), "p_greater")
 
 
 @query()
