@@ -282,3 +282,17 @@ def test_main_path_cases(spark):
     for r in tree.main_path(df, "t", "n", "p", "ts").orderBy("t", "pos").collect():
         path.setdefault(r["t"], []).append(r["n"])
     assert path == {"x": ["r", "a", "c"], "y": ["o", "p"]}
+
+
+def test_coupling_reads_its_rows_once(spark, monkeypatch):
+    """What weekly_coupling makes of the counts never goes back to the table."""
+    from pathlib import Path
+
+    from threadloom.plans import catalog, more
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("no tables here")
+    plan = more.weekly_coupling(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "l_partkey" not in plan
+    assert "o_orderkey" not in catalog.monthly_coupling_pvalues(spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables as S
+
 
 def counts(df: DataFrame, keys: list[str], category: str) -> DataFrame:
     """(keys, category, n)."""
@@ -24,12 +26,25 @@ def two_sided(df: DataFrame, keys: list[str], category: str, side: str, left: st
     return df.where(F.col(side).isin(left, right)).groupBy(*keys, category).agg(F.count_if(F.col(side) == left).alias("l"), F.count_if(F.col(side) == right).alias("r"))
 
 
+def side_counts(df: DataFrame, period: str, category: str, side: str, left: str, right: str, least: int = 0) -> DataFrame:
+    """(period, category, l, r) stored, so that all that is made of the counts reads the rows once; with ``least``, of the periods in which each side has so many rows."""
+    c = S.stored(two_sided(df, [period], category, side, left, right))
+    if not least:
+        return c
+    full = c.groupBy(period).agg(F.sum("l").alias("_l"), F.sum("r").alias("_r")).where((F.col("_l") >= least) & (F.col("_r") >= least))
+    return S.stored(c.join(F.broadcast(full.select(period)), period, "left_semi"))
+
+
 def scaffolded(df: DataFrame, period: str, category: str, side: str, left: str, right: str) -> DataFrame:
-    """(period, category, left_share, right_share) with a row for every period and category, 0 where there is none.
+    """(period, category, left_share, right_share) with a row for every period and category, 0 where there is none; the rows are read once."""
+    return scaffold(side_counts(df, period, category, side, left, right), period, category)
+
+
+def scaffold(c: DataFrame, period: str, category: str) -> DataFrame:
+    """The same of counts (period, category, l, r).
 
     The scaffold is made of distinct periods and categories, both of which are few.
     """
-    c = two_sided(df, [period], category, side, left, right)
     grid = c.select(period).distinct().crossJoin(F.broadcast(c.select(category).distinct()))
     w = Window.partitionBy(period)
     full = grid.join(c, [period, category], "left").select(period, category, F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("r", F.lit(0)).alias("r"))

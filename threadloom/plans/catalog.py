@@ -279,12 +279,16 @@ SHUFFLES, TREND_SHUFFLES = 2_000, 10_000
 COUPLED = {"forward": ("delta_u", "next_a"), "reverse": ("delta_a", "next_u")}
 
 
-def coupled_pairs(rows: DataFrame, period: str) -> DataFrame:
-    """Changes of both sides' shares with the next period's changes beside them, per domain."""
-    s = dist.scaffolded(rows, period, "domain", "role", "user", "assistant").withColumnsRenamed({"left_share": "u", "right_share": "a"})
+def coupled_pairs(counts: DataFrame, period: str) -> DataFrame:
+    """Changes of both sides' shares with the next period's changes beside them, per domain, of counts by period and domain; stored, as several things are made of them."""
+    s = dist.scaffold(counts, period, "domain").withColumnsRenamed({"left_share": "u", "right_share": "a"})
     w = Window.partitionBy("domain").orderBy(period)
     x = runs.deltas(s, period, ["u", "a"], ["domain"])
-    return x.withColumns({"next_u": F.lead("delta_u").over(w), "next_a": F.lead("delta_a").over(w)}).where(F.col("delta_u").isNotNull())
+    return S.stored(x.withColumns({"next_u": F.lead("delta_u").over(w), "next_a": F.lead("delta_a").over(w)}).where(F.col("delta_u").isNotNull()))
+
+
+def _order_pairs(spark, d):
+    return coupled_pairs(dist.side_counts(S.order_facts(spark, d), "month", "domain", "role", "user", "assistant"), "month")
 
 
 def _mean_coupling(pairs: DataFrame, period: str) -> DataFrame:
@@ -293,7 +297,7 @@ def _mean_coupling(pairs: DataFrame, period: str) -> DataFrame:
 
 
 def _pairs(spark, d):
-    return coupled_pairs(S.order_facts(spark, d), "month").where(F.col("next_u").isNotNull())
+    return _order_pairs(spark, d).where(F.col("next_u").isNotNull())
 
 
 @query(_G + " SELECT p AS month, round(f, 6) AS forward, round(b, 6) AS reverse FROM cs")
@@ -481,7 +485,7 @@ def null_model_pvalues(spark, d):
 
 @query(_G + shuffled_sql(SHUFFLES) + " SELECT perm_id, round(avg(f), 6) AS forward, round(avg(b), 6) AS reverse, round(avg(f) - avg(b), 6) AS difference FROM zc GROUP BY perm_id")
 def perm_coupling(spark, d):
-    x = coupled_pairs(S.order_facts(spark, d), "month")
+    x = _order_pairs(spark, d)
     return rounded(resample.shuffled_coupling(x, "month", "domain", "delta_u", "delta_a", SHUFFLES), "forward", "reverse", "difference")
 
 
@@ -502,7 +506,7 @@ avg(CASE WHEN round(abs(nl.f - nl.b), 9) >= round(abs(re.f - re.b), 9) THEN 1.0
 
 @query(_G + shuffled_sql(SHUFFLES) + PVALUES + " SELECT round(forward, 6) AS forward, round(reverse, 6) AS reverse, round(difference, 6) AS difference, round(p_forward, 6) AS p_forward, round(p_reverse, 6) AS p_reverse, round(p_difference, 6) AS p_difference FROM pv")
 def monthly_coupling_pvalues(spark, d):
-    p = coupling_pvalues(coupled_pairs(S.order_facts(spark, d), "month"), "month", SHUFFLES)
+    p = coupling_pvalues(_order_pairs(spark, d), "month", SHUFFLES)
     return rounded(p, *p.columns)
 
 

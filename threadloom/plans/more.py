@@ -45,8 +45,8 @@ def weekly_domain_shares(spark, d):
 )
 def weekly_coupling(spark, d):
     """Mean cosines of one side's weekly changes with the other's next ones, and the p of their difference; null for under six weeks."""
-    rows = _weekly(spark, d)
-    p = C.coupling_pvalues(C.coupled_pairs(rows, "week"), "week", C.SHUFFLES).crossJoin(F.broadcast(rows.agg(F.countDistinct("week").alias("weeks_used"))))
+    counts = dist.side_counts(S.line_facts(spark, d), "week", "domain", "role", "user", "assistant", WEEK_LEAST)
+    p = C.coupling_pvalues(C.coupled_pairs(counts, "week"), "week", C.SHUFFLES).crossJoin(F.broadcast(counts.agg(F.countDistinct("week").alias("weeks_used"))))
     out = {"forward": "forward", "reverse": "reverse", "difference": "difference", "p_difference": "perm_p_abs"}
     return p.select("weeks_used", *[F.when(F.col("weeks_used") >= WEEKS, F.round(c, 6)).alias(name) for c, name in out.items()])
 
