@@ -288,18 +288,3 @@ def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     for part in np.split(order, cut):
         if len(part):
             yield int(bucket[part[0]]), part
-
-
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """(key, rows) of runs of equal keys in rows sorted by it, over batch borders."""
-    now, rows = None, []
-    for b in batches:
-        keys = b.column(b.schema.get_field_index(key)).to_pylist()
-        for k, row in zip(keys, b.to_pylist(), strict=True):
-            if k != now and rows:
-                yield now, rows
-                rows = []
-            now = k
-            rows.append(row)
-    if rows:
-        yield now, rows

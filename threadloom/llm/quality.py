@@ -142,6 +142,7 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
     """A model from all rows of ``labels`` (doc_id, quality) that have statistics; None without any.
 
     Several labels of a document count as their largest.  Labels join the narrow table, never the texts.
+    Rows that share an id, equal ones too, are each learnt from with its label; a row without id has none.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     rows = stats.join(known, "doc_id").select("y", *STATS)
@@ -207,7 +208,8 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: fl
 def score(stats: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, predicted) of every row of the statistics; without a model the score is 0.5.
 
-    A null or empty text has the statistics of no bytes and is scored like any other.
+    A null or empty text has the statistics of no bytes and is scored like any other.  Each row is scored by
+    its own text, whatever its id; other columns of the documents don't matter.
     """
     if model is None:
         return stats.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))

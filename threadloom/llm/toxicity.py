@@ -20,7 +20,7 @@ BITS = 20
 #: Bounds of the training sample in documents (picked by a hash of doc_id), and the rows a word must occur in to have a weight.
 POSITIVES, UNLABELLED, LEAST_ROWS = 3_000, 12_000, 3
 #: A word has a weight if its share of the positives is so many standard errors from its share of the unlabelled.
-SCREEN = 5.0
+SCREEN = 4.0
 STEPS, RATE, L2 = 300, 0.05, 1e-4
 
 
@@ -86,7 +86,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """A model from documents (doc_id, text) and labels (doc_id, toxic); rows to learn from are the caller's choice.
 
     The class prior is the toxic share of the labels.  Without a positive label the model is constant
-    and says clean.  The labels that join documents are at most ``positives`` rows.
+    and says clean.  The labels that join documents are at most ``positives`` rows.  Several labels of an id
+    count as their greatest; rows that share an id are each a row with that label, equal rows are learnt from
+    each, and a row without id is never labelled but may be taken as unlabelled.  Other columns don't matter.
     """
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)).alias("p")).first()
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """(doc_id, score, predicted) of every whole text; a null or empty text has the score of no words."""
+    """(doc_id, score, predicted) of every row by its own whole text, whatever its id; a null or empty text has the score of no words, other columns don't matter."""
     weights, bias = model
     kept = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((kept.astype(np.uint32), weights[kept], bias))
