@@ -5,21 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables as S
 from . import numbering
 
 
-def shifts(df: DataFrame, thread: str, order: list[str], category: str, role: str) -> DataFrame:
+def _in_order(df: DataFrame, thread: str, order: list[str], category: str, range_rows: int) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows with a category and the one before it as ``_prev``, the columns of a stretch, the order in it).
+
+    Threads of up to ``range_rows`` rows in all are a stretch each.  More rows are numbered by ranges and every
+    thread is cut into stretches of that many rows; a stretch's first row gets what the stretch before ended
+    with, so a thread of any size is spread over tasks.
+    """
+    x = df.where(F.col(category).isNotNull())
+    if x.count() <= range_rows:
+        return x.withColumn("_prev", F.lag(category).over(Window.partitionBy(thread).orderBy(*order))), [thread], order
+    x = S.stored(numbering.numbered(x, order, within=(thread,), out="_pos", range_rows=range_rows).withColumn("_stretch", F.expr(f"_pos div {range_rows}")))
+    last = x.groupBy(thread, "_stretch").agg(F.max_by(category, "_pos").alias("_last"))
+    carried = S.stored(last.select(thread, "_stretch", F.lag("_last").over(Window.partitionBy(thread).orderBy("_stretch")).alias("_carried")))
+    x = _joined(x, carried, thread)
+    return x.withColumn("_prev", F.coalesce(F.lag(category).over(Window.partitionBy(thread, "_stretch").orderBy("_pos")), "_carried")).drop("_carried"), [thread, "_stretch"], ["_pos"]
+
+
+def _joined(x: DataFrame, by_stretch: DataFrame, thread: str) -> DataFrame:
+    """The rows with what a table has of their stretch; a null thread is one as well."""
+    more = [c for c in by_stretch.columns if c not in (thread, "_stretch")]
+    same = F.col(f"x.{thread}").eqNullSafe(F.col(f"s.{thread}")) & (F.col("x._stretch") == F.col("s._stretch"))
+    return x.alias("x").join(by_stretch.alias("s"), same).select("x.*", *[f"s.{c}" for c in more])
+
+
+def shifts(df: DataFrame, thread: str, order: list[str], category: str, role: str, range_rows: int = numbering.RANGE_ROWS) -> DataFrame:
     """(thread, order, initiator_role, from_category, to_category) where the category changes; null categories don't count."""
-    w = Window.partitionBy(thread).orderBy(*order)
-    x = df.where(F.col(category).isNotNull()).withColumn("_prev", F.lag(category).over(w))
+    x, _, _ = _in_order(df, thread, order, category, range_rows)
     return x.where(F.col("_prev") != F.col(category)).select(thread, *order, F.col(role).alias("initiator_role"), F.col("_prev").alias("from_category"), F.col(category).alias("to_category"))
 
 
-def runs(df: DataFrame, thread: str, order: list[str], category: str, role: str) -> DataFrame:
-    """(thread, run_id, category, initiator_role, start, end, n): maximal stretches of one category, by gaps and islands."""
-    w = Window.partitionBy(thread).orderBy(*order)
-    x = df.where(F.col(category).isNotNull()).withColumn("_new", F.coalesce((F.col(category) != F.lag(category).over(w)).cast("int"), F.lit(1)))
-    x = x.withColumn("run_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def runs(df: DataFrame, thread: str, order: list[str], category: str, role: str, range_rows: int = numbering.RANGE_ROWS) -> DataFrame:
+    """(thread, run_id, category, initiator_role, start, end, n): maximal stretches of one category, by gaps and islands.
+
+    Runs are numbered from 1 in their thread; where a thread is cut into stretches, its runs are numbered in
+    each and moved on by the runs before, so a run over several stretches is one.
+    """
+    x, cut, within = _in_order(df, thread, order, category, range_rows)
+    x = x.withColumn("_new", F.coalesce((F.col(category) != F.col("_prev")).cast("int"), F.lit(1)))
+    x = x.withColumn("run_id", F.sum("_new").over(Window.partitionBy(*cut).orderBy(*within).rowsBetween(Window.unboundedPreceding, 0)))
+    if len(cut) > 1:
+        x = S.stored(x)
+        began = x.groupBy(*cut).agg(F.sum("_new").alias("_runs"))
+        before = Window.partitionBy(thread).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        moved = S.stored(began.select(*cut, F.coalesce(F.sum("_runs").over(before), F.lit(0)).alias("_before")))
+        x = _joined(x, moved, thread).withColumn("run_id", F.col("run_id") + F.col("_before"))
     key = F.struct(*order)
     return x.groupBy(thread, "run_id").agg(F.min(category).alias("category"), F.min_by(role, key).alias("initiator_role"), F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count("*").alias("n"))
 
