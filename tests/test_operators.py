@@ -284,6 +284,26 @@ def test_main_path_cases(spark):
     assert path == {"x": ["r", "a", "c"], "y": ["o", "p"]}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_main_path_of_large_threads(spark, seed):
+    """Walked by joins, odd threads give the paths of walking in one group: chains, stars, ties, orphans, cycles, repeated and null ids."""
+    r = random.Random(seed)
+    rows = [("chain", f"n{i}", f"n{i - 1}" if i else None, i) for i in range(70)]
+    rows += [("star", f"n{i}", "n0" if i else None, 5 if i else 0) for i in range(60)] + [("self", "a", "a", 1), ("self", "b", "a", 2)]
+    rows += [("ring", f"n{i}", f"n{(i + 1) % 4}", 3 - i) for i in range(4)] + [("ring", "x", "n2", 0), ("rho", "a", "z", 1), ("rho", "z", "y", 1), ("rho", "y", "z", 1), ("rho", "b", "a", 0)]
+    rows += [(None, "a", None, 2), (None, "b", "a", None), (None, "c", "a", 7), (None, None, "a", 1), ("twice", "a", None, 3), ("twice", "b", "a", 4), ("twice", "a", "b", 9), ("twice", "b", "a", 4)]
+    for t in range(6):
+        n = r.randrange(2, 40)
+        rows += [(f"r{t}", f"n{i:02}", r.choice([None, "gone", *(f"n{j:02}" for j in range(n + 1))]) if r.random() < 0.15 else f"n{r.randrange(max(i, 1)):02}", r.choice([None, 1, 2, 3])) for i in range(n)]
+    df = spark.createDataFrame(rows, "t string, n string, p string, ts int").repartition(3)
+    want, got, both = (sorted(map(tuple, tree.main_path(df, "t", "n", "p", "ts", most_rows=m).collect()), key=str) for m in (1_000, 0, 30))
+    assert got == want == both
+    paths = {t: [n for t2, _, n in sorted(want, key=lambda x: x[1]) if t2 == t] for t in {x[0] for x in want}}
+    assert len(paths["chain"]) == 70 and paths["star"] == ["n0", "n1"] and paths["self"] == ["a", "b"]
+    assert paths[None] == ["a", "c"] and paths["twice"] == ["a", "b"] and paths["rho"] == ["a", "b"] and paths["ring"] == ["n0", "n3", "n2", "x"]
+    assert tree.main_path(df.limit(0), "t", "n", "p", "ts", most_rows=0).count() == 0
+
+
 def test_coupling_reads_its_rows_once(spark, monkeypatch):
     """What weekly_coupling makes of the counts never goes back to the table."""
     from pathlib import Path

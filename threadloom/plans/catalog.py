@@ -551,12 +551,21 @@ def spearman_pvalue(spark, d):
 # ---- threads and trees
 
 
-@query(f"""WITH RECURSIVE {NODES}, walk AS (SELECT conv_id, node_id, 1 AS depth, lpad(CAST(turn AS VARCHAR), 4, '0') AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.conv_id, n.node_id, w.depth + 1, w.path || '/' || lpad(CAST(n.turn AS VARCHAR), 4, '0') FROM n JOIN walk w ON n.conv_id = w.conv_id AND n.parent_id = w.node_id),
-best AS (SELECT conv_id, path FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC, path) = 1) SELECT w.conv_id, CAST(w.depth - 1 AS BIGINT) AS pos, w.node_id FROM walk w JOIN best b ON w.conv_id = b.conv_id AND starts_with(b.path, w.path)""")
+MAIN_PATH = f"""WITH RECURSIVE {NODES}, walk AS (SELECT conv_id, node_id, 1 AS depth, lpad(CAST(turn AS VARCHAR), 4, '0') AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.conv_id, n.node_id, w.depth + 1, w.path || '/' || lpad(CAST(n.turn AS VARCHAR), 4, '0') FROM n JOIN walk w ON n.conv_id = w.conv_id AND n.parent_id = w.node_id),
+best AS (SELECT conv_id, path FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC, path) = 1) SELECT w.conv_id, CAST(w.depth - 1 AS BIGINT) AS pos, w.node_id FROM walk w JOIN best b ON w.conv_id = b.conv_id AND starts_with(b.path, w.path)"""
+
+
+@query(MAIN_PATH)
 def tree_main_path(spark, d):
     return tree.main_path(S.conversations(spark, d), "conv_id", "node_id", "parent_id", "turn")
 
 
+@query(MAIN_PATH)
+def tree_main_path_large(spark, d):
+    """The same paths, threads of over four rows walked by joins."""
+    return tree.main_path(S.conversations(spark, d), "conv_id", "node_id", "parent_id", "turn", most_rows=4)
+
+
 @query(f"WITH {NODES} SELECT conv_id, node_id FROM n WHERE parent_id IS NULL")
 def tree_roots(spark, d):
     return tree.roots(S.conversations(spark, d), "conv_id", "node_id", "parent_id").select("conv_id", "node_id")
