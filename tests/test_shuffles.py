@@ -42,3 +42,25 @@ def test_months_are_dealt_to_all_messages(spark, folder):
     for perm in (0, 1, 57, 199):
         want = contrasts(Counter(months_dealt(perm)))
         assert {c: got[perm][c] for c in want} == pytest.approx(want, abs=2e-9)
+
+
+def by_month(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r[1]].append(r)
+    return out
+
+
+def roles_dealt(perm):
+    return [(m, r, d) for m, rows in by_month(ROWS).items() for r, (_, _, _, d) in zip(sorted(x[2] for x in rows), ranked(perm, rows), strict=True)]
+
+
+def test_roles_are_dealt_to_all_messages_of_a_month(spark, folder):
+    got = defaultdict(dict)
+    for r in catalog.QUERIES["perm_role_shuffle"](spark, folder).collect():
+        got[r["perm_id"]][r["month"], str(r["domain"])] = r["user_n"]
+    assert sorted(got) == list(range(catalog.DRAWS))
+    cells = {(m, d) for _, m, _, d in ROWS}
+    for perm in (0, 1, 57, 199):
+        want = Counter((m, d) for m, r, d in roles_dealt(perm) if r == "user")
+        assert got[perm] == {c: want[c] for c in cells}
