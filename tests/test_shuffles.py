@@ -64,3 +64,23 @@ def test_roles_are_dealt_to_all_messages_of_a_month(spark, folder):
     for perm in (0, 1, 57, 199):
         want = Counter((m, d) for m, r, d in roles_dealt(perm) if r == "user")
         assert got[perm] == {c: want[c] for c in cells}
+
+
+def sampled(perm):
+    sides = defaultdict(list)
+    for r in ROWS:
+        sides[r[1], r[2]].append(r)
+    floor = {side: min(len(x) for (_, r), x in sides.items() if r == side) for side in ("user", "assistant")}
+    return [r[1:] for (_, side), rows in sides.items() for r in ranked(perm, rows)[: floor[side]]]
+
+
+def test_pvalues_are_of_all_messages(spark, folder):
+    got = {r["model"]: r.asDict() for r in catalog.QUERIES["null_model_pvalues"](spark, folder).collect()}
+    real = contrasts(Counter(r[1:] for r in ROWS))
+    assert set(got) == {"months", "roles", "volume"}
+    for model, draw in {"months": months_dealt, "roles": roles_dealt, "volume": sampled}.items():
+        drawn = [contrasts(Counter(draw(perm))) for perm in range(catalog.DRAWS)]
+        for name, value in real.items():
+            assert got[model][f"real_{name}"] == pytest.approx(value, abs=2e-9)
+            far = [x[name] >= value - 2e-9 if value >= 0 else x[name] <= value + 2e-9 for x in drawn if x[name] is not None]
+            assert got[model][f"p_{name}"] == pytest.approx(sum(far) / len(far), abs=1e-6)
