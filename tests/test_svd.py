@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from threadloom.operators import svd, topics
+from threadloom.plans import catalog
 
 
 def test_a_batch_gathers_no_more_than_a_row_needs():
@@ -55,3 +56,15 @@ def test_clusters_of_texts_have_a_row_a_document(spark):
     assert sorted(i for i, _ in got) == sorted(i // 2 for i in range(24)) and len({c for _, c in got}) == 2
     empty = svd.fit_texts(docs.limit(0), "id", "text", [], [(2, 2)])
     assert empty[0][2, 2].assign(empty[1], "id").collect() == []
+
+
+def test_grid_counts_each_message_once(spark, tmp_path, monkeypatch):
+    """Messages that share an id, as conversations that are there twice, count as two and not as four."""
+    monkeypatch.setattr(catalog, "GRID", ((3,), (2,)))
+    monkeypatch.setattr(catalog, "GRID_MONTH_ROWS", 5)
+    monkeypatch.setattr(catalog, "DRAWS", 3)
+    words = ["red blue", "dog cat", "sun rain", "tree leaf"]
+    rows = [(i, t, ("user", "assistant")[t % 2], f"{words[(i + t) % 4]} {words[(i * i) % 4]}") for i in range(96) for t in range(2)]
+    spark.createDataFrame(rows + rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (got,) = catalog.QUERIES["robustness_grid"](spark, str(tmp_path)).collect()
+    assert (got["min_user_per_month"], got["min_assistant_per_month"]) == (24, 24)
